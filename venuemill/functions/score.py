@@ -221,13 +221,14 @@ def composite_score(df: DataFrame, policy: ScorePolicy, inputs: ScoreInputs, as_
         ]),
         lambda e: e["value"].isNotNull(),
     )
-    out = work.withColumns({
-        "normalized_ratings": F.map_from_entries(entries),
-        "composite_score": shown.cast("int"),
-        "composite_score_raw": raw,
-    })
-    helpers = [f"_{k}_{s}" for k in "sw" for s in policy.order]
-    return out.drop(*helpers, "_starred", "_prestige", "_visited", "_weighted", "_weight", "_n", "_raw")
+    result = F.struct(
+        F.map_from_entries(entries).alias("normalized_ratings"),
+        shown.cast("int").alias("composite_score"),
+        raw.alias("composite_score_raw"),
+    )
+    # A generator keeps later filters on the score above it.  Pushed below,
+    # they would copy the whole score expression into the filter.
+    return work.select(*df.columns, F.inline(F.array(result)))
 
 
 def _any_numeric(inputs: ScoreInputs, policy: ScorePolicy) -> Column:

@@ -26,9 +26,11 @@ def row_number_in_groups(
     partition can have such rows, and large groups number at most
     ``rows / window_rows``, so the offset table is small by construction.
     """
+    plain = Window.partitionBy(*groups).orderBy(*order)
+    if df.count() <= window_rows:  # needs no column, so it prunes to a bare count
+        return df.withColumn(out, F.row_number().over(plain))
     sizes = df.groupBy(*groups).count()
     large = sizes.where(F.col("count") > window_rows).select(*groups)
-    plain = Window.partitionBy(*groups).orderBy(*order)
     if large.isEmpty():
         return df.withColumn(out, F.row_number().over(plain))
 
@@ -65,17 +67,14 @@ def assign_ranks(df: DataFrame, idx: str = "idx", window_rows: int = WINDOW_ROWS
     0 nationally and NULL regionally.  Ties keep the order of ``idx``.
     """
     ranked = F.col("category").isin(V.RANKED_CATEGORIES) & (F.col("composite_score") > 0)
-    ranked = F.coalesce(ranked, F.lit(False))
-    metros = [m[0] for m in V.METRO_CENTRES]
+    metro = F.col("metro_region").isin([m[0] for m in V.METRO_CENTRES])
     order = [F.desc("composite_score_raw"), F.asc(idx)]
-
-    in_rank = row_number_in_groups(df.where(ranked), ["category"], order, "rank_national", window_rows)
-    in_metro = F.coalesce(F.col("metro_region").isin(metros), F.lit(False))
-    regional = row_number_in_groups(
-        in_rank.where(in_metro), ["category", "metro_region"], order, "rank_region", window_rows
-    )
-    rest = in_rank.where(~in_metro).withColumn("rank_region", F.lit(None).cast("int"))
-    unranked = df.where(~ranked).withColumns({
-        "rank_national": F.lit(0), "rank_region": F.lit(None).cast("int"),
-    })
-    return regional.unionByName(rest).unionByName(unranked)
+    # a flag instead of a split: one pass over the scored rows, and the
+    # regional window reuses the partitioning of the national one
+    flagged = df.withColumn("_ranked", F.coalesce(ranked, F.lit(False)))
+    national = row_number_in_groups(flagged, ["category", "_ranked"], order, "_n", window_rows)
+    both = row_number_in_groups(national, ["category", "_ranked", "metro_region"], order, "_m", window_rows)
+    return both.withColumns({
+        "rank_national": F.when(F.col("_ranked"), F.col("_n")).otherwise(F.lit(0)),
+        "rank_region": F.when(F.col("_ranked") & metro, F.col("_m")),
+    }).drop("_ranked", "_n", "_m")
