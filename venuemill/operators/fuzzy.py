@@ -32,8 +32,8 @@ from venuemill.functions.text import street_number
 
 # share of the indexed names that makes a segment hot; at most
 # ``segments / HOT_SHARE`` of them can exist, which bounds the broadcast
-HOT_SHARE = 1e-4
-HOT_FLOOR = 64
+HOT_SHARE = 1e-5
+HOT_FLOOR = 16
 _EPS = 1e-9
 
 
@@ -144,9 +144,13 @@ def similar_name_keys(
     )
     l = _signatures(_probes(queries, threshold), hot).withColumnRenamed("key", "left_key")
     r = _signatures(segments, hot).withColumnRenamed("key", "right_key")
+    longest = F.greatest(F.length("left_key"), F.length("right_key"))
+    bound = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
     return (
         l.join(r, ["len", "sig"])
         .where("left_key <> right_key")
+        # the bounded distance stops early and is -1 beyond the bound
+        .where(F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), bound) >= 0)
         .where(similarity_ratio(F.col("left_key"), F.col("right_key")) >= F.lit(threshold))
         .select("left_key", "right_key")
         .distinct()

@@ -95,32 +95,33 @@ def _founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Rounds touch only nodes that still have open edges.
     """
     edges = cut_lineage(edges)
-    touched = edges.select(F.col("dst").alias("node")).distinct()
-    founders = nodes.join(touched, "node", "left_anti").select("node")
-    open_nodes = cut_lineage(touched)
-    first = True
-    while not open_nodes.isEmpty():
-        if first:  # an untouched source is a founder already
-            settled = edges.select(F.col("src").alias("node")).distinct().join(open_nodes, "node", "left_anti")
-            first = False
-        else:
-            settled = new
-        matched = edges.join(settled, edges["src"] == settled["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        open_nodes = open_nodes.join(matched, "node", "left_anti")
-        edges = (
-            edges.join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-            .join(open_nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+    founders = nodes.join(_ends(edges), "node", "left_anti").select("node")
+    while not edges.isEmpty():
+        sources = edges.select(F.col("src").alias("node")).distinct().join(
+            edges.select(F.col("dst").alias("node")), "node", "left_anti"
+        )
+        matched = edges.join(sources.withColumnRenamed("node", "src"), "src", "left_semi").select(
+            F.col("dst").alias("node")
+        ).distinct()
+        rest = (
+            edges.join(matched.withColumnRenamed("node", "dst"), "dst", "left_anti")
+            .join(matched.withColumnRenamed("node", "src"), "src", "left_anti")
             .select("src", "dst")
         )
-        edges = cut_lineage(edges)
-        open_nodes = cut_lineage(open_nodes)
-        new = open_nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        new = cut_lineage(new)
-        founders = founders.unionByName(new)
-        open_nodes = open_nodes.join(new, "node", "left_anti")
+        rest = cut_lineage(rest)
+        # neither matched nor blocked any more
+        freed = _ends(edges).join(matched, "node", "left_anti").join(_ends(rest), "node", "left_anti")
+        founders = founders.unionByName(freed)
+        edges = rest
     return founders
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).unionByName(
+        edges.select(F.col("dst").alias("node"))
+    ).distinct()
+
+
 def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Add ``venue_ord`` (the founder's ``ord``) and ``match_kind`` to mentions.
 
@@ -130,7 +131,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     spark = mentions.sparkSession
     if aliases is None:
         aliases = spark.createDataFrame([], "key string, canonical_key string")
-    keys = mentions.select("key").distinct()
+    mentions = cut_lineage(mentions)  # read four times below
+    keys = cut_lineage(mentions.select("key").distinct())
     pairs = cut_lineage(similar_name_keys(keys, keys, V.NAME_THRESHOLD))
 
     nodes = cut_lineage(

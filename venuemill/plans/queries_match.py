@@ -113,7 +113,7 @@ def _line_mentions(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
     x = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     ln, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-    order = F.struct(ln.alias("pass"), F.col("l_orderkey").alias("pos"), F.col("l_suppkey").cast("int").alias("sub"))
+    order = F.struct(ln.alias("pass"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_partkey").cast("int").alias("sub"))
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     rows = x.select(
         "l_partkey", order.alias("ord"), pick(PASS_SOURCES, ln).alias("source_id"), pick(RATING_KEYS, ln).alias("rating_key"),
@@ -162,7 +162,7 @@ WITH m AS (
 ),
 a AS (
   SELECT l_partkey,
-    first(ln || ':' || o || ':' || s ORDER BY rn) AS founder,
+    first(ln || ':' || (o * 10000000 + s) || ':' || l_partkey ORDER BY rn) AS founder,
     last(nm ORDER BY rn) FILTER (ln = 3) AS n3, last(nm ORDER BY rn) FILTER (ln = 1) AS n1, last(nm ORDER BY rn) FILTER (ln = 5) AS n5,
     last(nm ORDER BY rn) FILTER (ln = 6) AS n6, last(nm ORDER BY rn) FILTER (ln = 4) AS n4, last(nm ORDER BY rn) FILTER (ln = 2) AS n2,
     last(nm ORDER BY rn) FILTER (ln = 7) AS n7,
