@@ -24,7 +24,7 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: fl
 def format_distance(meters: Column) -> Column:
     return F.when(
         meters < 1000, F.format_string("%d m", F.floor(meters + F.lit(0.5)))
-    ).otherwise(F.format_string("%.1f km", meters / 1000))
+    ).when(meters >= 1000, F.format_string("%.1f km", meters / 1000))
 
 
 def metro_region(lat: Column, lng: Column) -> Column:

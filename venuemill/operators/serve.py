@@ -249,7 +249,7 @@ def cuisine_facets(serving: DataFrame, column: str = "cuisine", generic: list[st
 
 def region_facets(serving: DataFrame, region: str = "metro_region") -> DataFrame:
     """Rows per region with the grand total as ``all``."""
-    return serving.rollup(F.col(region).alias("region")).agg(
+    return serving.withColumn("region", F.col(region)).rollup("region").agg(
         F.count(F.lit(1)).alias("n"), F.grouping("region").alias("_total")
     ).select(F.when(F.col("_total") == 1, F.lit("all")).otherwise(F.col("region")).alias("region"), "n")
 

@@ -1,5 +1,17 @@
 """All registered queries: name -> (query, SQL or None)."""
 
-from venuemill.plans import queries_match, queries_score, queries_text
+from venuemill.plans import (
+    queries_match,
+    queries_pages,
+    queries_score,
+    queries_serve,
+    queries_text,
+)
 
-ALL = {**queries_score.QUERIES, **queries_text.QUERIES, **queries_match.QUERIES}
+ALL = {
+    **queries_score.QUERIES,
+    **queries_text.QUERIES,
+    **queries_match.QUERIES,
+    **queries_serve.QUERIES,
+    **queries_pages.QUERIES,
+}
