@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
+from venuemill.functions.staging import settled
 from venuemill.functions.text import lookup, present, present_number, round_half_up
 
 
@@ -221,14 +222,11 @@ def composite_score(df: DataFrame, policy: ScorePolicy, inputs: ScoreInputs, as_
         ]),
         lambda e: e["value"].isNotNull(),
     )
-    result = F.struct(
-        F.map_from_entries(entries).alias("normalized_ratings"),
-        shown.cast("int").alias("composite_score"),
-        raw.alias("composite_score_raw"),
-    )
-    # A generator keeps later filters on the score above it.  Pushed below,
-    # they would copy the whole score expression into the filter.
-    return work.select(*df.columns, F.inline(F.array(result)))
+    return settled(work, df.columns, {
+        "normalized_ratings": F.map_from_entries(entries),
+        "composite_score": shown.cast("int"),
+        "composite_score_raw": raw,
+    })
 
 
 def _any_numeric(inputs: ScoreInputs, policy: ScorePolicy) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from venuemill.functions import geo
 from venuemill.functions.hours import hours_from_periods
+from venuemill.functions.staging import settled
 from venuemill.functions.text import blank_to_null, city_from_place_address, present, present_number
 
 PLACE_COLUMNS = [
@@ -81,9 +82,8 @@ def enrich(venues: DataFrame, places: DataFrame) -> DataFrame:
             F.coalesce(blank_to_null(city_from_place_address(address)), F.col("city"))
         ),
     }
-    return out.withColumns(
-        {c: F.when(F.col("enriched"), v).otherwise(F.col(c)) for c, v in new.items()}
-    ).drop("p")
+    keep = [c for c in venues.columns if c not in new] + ["enriched"]
+    return settled(out, keep, {c: F.when(F.col("enriched"), v).otherwise(F.col(c)) for c, v in new.items()})
 
 
 def carry_over(fresh: DataFrame, previous: DataFrame) -> DataFrame:

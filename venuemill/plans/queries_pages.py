@@ -264,10 +264,10 @@ def news_records(spark, d):
 
 
 NEWS_SQL = """WITH n AS (SELECT *, date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') * 10000000 + o_orderkey AS pos,
-    CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') ELSE '' END AS at FROM orders WHERE o_orderkey % 50 > 0),
-s AS (SELECT min(pos) AS stop FROM n WHERE at <> '' AND at < '1999-01-01T00:00:00.000Z'),
+    CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') ELSE '' END AS pub FROM orders WHERE o_orderkey % 50 > 0),
+s AS (SELECT min(pos) AS stop FROM n WHERE pub <> '' AND pub < '1999-01-01T00:00:00.000Z'),
 u AS (SELECT *, 'https://whiteguide.com/se/sv/news/' || CASE WHEN o_orderkey % 3 > 0 THEN 's' ELSE '' END || o_orderkey AS url FROM n, s WHERE pos < stop)
-SELECT sha256('whiteguide-news:' || url)[1:16] AS id, url, o_orderpriority AS title, at AS published_at, CASE WHEN o_orderkey % 2 = 0 THEN 'A & B ' || o_orderstatus ELSE 'tag' END AS body_text FROM u"""
+SELECT sha256('whiteguide-news:' || url)[1:16] AS id, url, o_orderpriority AS title, pub AS published_at, CASE WHEN o_orderkey % 2 = 0 THEN 'A & B ' || o_orderstatus ELSE 'tag' END AS body_text FROM u"""
 
 
 def points_records(spark, d):

@@ -3,6 +3,7 @@
 from venuemill.plans import (
     queries_match,
     queries_pages,
+    queries_refine,
     queries_score,
     queries_serve,
     queries_text,
@@ -14,4 +15,5 @@ ALL = {
     **queries_match.QUERIES,
     **queries_serve.QUERIES,
     **queries_pages.QUERIES,
+    **queries_refine.QUERIES,
 }

@@ -198,7 +198,7 @@ def discover_review_urls(pages: DataFrame) -> DataFrame:
     """Review links of listing pages: distinct, by two words in the address."""
     found = F.regexp_extract_all(F.col("html"), F.lit(r"""svd\.se/a/[^"<>\s]+"""), 0)
     return (
-        pages.select(F.concat(F.lit("https://www."), F.explode(found)).alias("url"))
+        pages.select(F.explode(F.transform(found, lambda u: F.concat(F.lit("https://www."), u))).alias("url"))
         .where(F.contains("url", F.lit("recension")) | F.contains("url", F.lit("krog")))
         .distinct()
     )
