@@ -44,6 +44,14 @@ def blank_to_null(c: Column) -> Column:
     return F.when(present(c), c)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression that is used several times inside conditions is otherwise
+    evaluated each time, which hurts for chains of patterns."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -82,11 +90,13 @@ def normalize_address(raw: Column) -> Column:
 
 
 def normalize_city(raw: Column) -> Column:
-    city = strip(raw)
-    key = F.lower(city)
-    return F.when(key.isin(V.REGION_NAMES), F.lit("")).otherwise(
-        F.coalesce(lookup(V.CITY_ALIASES, key), city)
-    )
+    def known(city: Column) -> Column:
+        key = F.lower(city)
+        return F.when(key.isin(V.REGION_NAMES), F.lit("")).otherwise(
+            F.coalesce(lookup(V.CITY_ALIASES, key), city)
+        )
+
+    return let(strip(raw), known)
 
 
 def normalize_venue_name(raw: Column) -> Column:
@@ -96,14 +106,16 @@ def normalize_venue_name(raw: Column) -> Column:
 
 
 def normalize_price(raw: Column) -> Column:
-    price = strip(raw)
-    key = F.lower(price)
-    return (
-        F.when(key.isin(V.PRICE_WORDS["budget"]) | (price == "$"), F.lit("budget"))
-        .when(key.isin(V.PRICE_WORDS["mellan"]) | (price == "$$"), F.lit("mellan"))
-        .when(key.isin(V.PRICE_WORDS["lyx"]) | price.rlike(r"^\${3,}\z"), F.lit("lyx"))
-        .otherwise(price)
-    )
+    def tier(price: Column) -> Column:
+        key = F.lower(price)
+        return (
+            F.when(key.isin(V.PRICE_WORDS["budget"]) | (price == "$"), F.lit("budget"))
+            .when(key.isin(V.PRICE_WORDS["mellan"]) | (price == "$$"), F.lit("mellan"))
+            .when(key.isin(V.PRICE_WORDS["lyx"]) | price.rlike(r"^\${3,}\z"), F.lit("lyx"))
+            .otherwise(price)
+        )
+
+    return let(strip(raw), tier)
 
 
 def is_city_header(name: Column) -> Column:
@@ -134,19 +146,18 @@ _STREET_NUMBER = r"^(.+?)\s+(\d+\s*[a-z]?)\z"
 
 def street_number(address: Column) -> Column:
     """``struct(street, number)`` of a raw address; NULL address gives NULL."""
-    key = strip(collapse_spaces(address_key(address), 1))
-    has_number = key.rlike(_STREET_NUMBER)
-    return F.when(
-        key.isNotNull(),
-        F.struct(
-            F.when(has_number, F.trim(F.regexp_extract(key, _STREET_NUMBER, 1)))
-            .otherwise(key)
-            .alias("street"),
-            F.when(has_number, F.trim(F.regexp_extract(key, _STREET_NUMBER, 2)))
-            .otherwise(F.lit(""))
-            .alias("number"),
-        ),
-    )
+
+    def parts(key: Column) -> Column:
+        found = F.regexp_extract(key, _STREET_NUMBER, 1)
+        return F.when(
+            key.isNotNull(),
+            F.struct(
+                F.when(found != "", F.trim(found)).otherwise(key).alias("street"),
+                F.trim(F.regexp_extract(key, _STREET_NUMBER, 2)).alias("number"),
+            ),
+        )
+
+    return let(strip(collapse_spaces(address_key(address), 1)), parts)
 
 
 def fold_letters(c: Column) -> Column:
@@ -223,11 +234,17 @@ def city_from_place_address(address: Column) -> Column:
 
 def clean_guide_address(address: Column, city: Column) -> Column:
     """Drop country, post code and the given city from the end."""
+
+    def without_city(a: Column) -> Column:
+        head = F.rtrim(F.substring(a, F.lit(1), F.length(a) - F.length(city)))
+        ends_with_city = (
+            present(city) & F.endswith(F.lower(a), F.lower(city)) & F.endswith(head, F.lit(","))
+        )
+        street = strip(F.substring(head, F.lit(1), F.length(head) - 1))
+        return F.when(ends_with_city, street).otherwise(a)
+
     a = strip(F.regexp_replace(address, rf"(?i),{WS}*Sweden{WS}*\z", ""))
-    a = strip(F.regexp_replace(a, rf",{WS}*\d{{3}}{WS}*\d{{2}}{WS}*\z", ""))
-    head = F.rtrim(F.substring(a, F.lit(1), F.length(a) - F.length(city)))
-    ends_with_city = present(city) & F.endswith(F.lower(a), F.lower(city)) & F.endswith(head, F.lit(","))
-    return F.when(ends_with_city, strip(F.substring(head, F.lit(1), F.length(head) - 1))).otherwise(a)
+    return let(strip(F.regexp_replace(a, rf",{WS}*\d{{3}}{WS}*\d{{2}}{WS}*\z", "")), without_city)
 
 
 def euro_price_tier(symbols: Column) -> Column:
@@ -252,10 +269,14 @@ def strip_html(html: Column, entities: list[tuple[str, str]] = V.ENTITIES_GUIDE)
 
 def name_from_title(title: Column) -> Column:
     """``Name: headline`` gives the name; NULL for editorial titles."""
-    name = strip(F.regexp_extract(title, "^([^:]+):", 1))
-    rejected = name.rlike(f"(?i)^(?:{'|'.join(V.NON_VENUE_TITLE_PREFIXES)})")
-    ok = title.rlike("^[^:]+:") & (F.length(name) > 2) & (F.length(name) < 50) & ~rejected
-    return F.when(ok, name)
+    rejected = f"(?i)^(?:{'|'.join(V.NON_VENUE_TITLE_PREFIXES)})"
+
+    def usable(name: Column) -> Column:
+        fits = (F.length(name) > 2) & (F.length(name) < 50)
+        return F.when(fits & ~name.rlike(rejected), name)
+
+    # a title without a colon gives the empty name, which is too short
+    return let(strip(F.regexp_extract(title, "^([^:]+):", 1)), usable)
 
 
 def split_list(c: Column, sep: str = ",") -> Column:

@@ -29,6 +29,7 @@ from venuemill.functions.similarity import (
     similarity_ratio,
 )
 from venuemill.functions.text import street_number
+from venuemill.session import cut_lineage
 
 # share of the indexed names that makes a segment hot; at most
 # ``segments / HOT_SHARE`` of them can exist, which bounds the broadcast
@@ -207,6 +208,7 @@ def best_fuzzy_match(
             v, (near["right_key"] == v["right_key"]) & (near["row_city"] == v["venue_city"])
         )
     )
+    in_city = cut_lineage(in_city)  # used for the result and to exclude its rows
     anywhere = winners(near.join(in_city.select("row_id"), "row_id", "left_anti").join(v, "right_key"))
     return in_city.unionByName(anywhere).select(
         "row_id",

@@ -15,7 +15,7 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
 def row_number_in_groups(
     df: DataFrame, groups: list[str], order: list[Column], out: str,
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int = WINDOW_ROWS, rows: int | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by groups order by order)`` that scales.
 
@@ -25,9 +25,11 @@ def row_number_in_groups(
     the group's rows in earlier partitions.  Only the first group of a sorted
     partition can have such rows, and large groups number at most
     ``rows / window_rows``, so the offset table is small by construction.
+    ``rows`` is the row count when the caller knows it; counting a costly
+    ``df`` would compute it once more.
     """
     plain = Window.partitionBy(*groups).orderBy(*order)
-    if df.count() <= window_rows:  # needs no column, so it prunes to a bare count
+    if (df.count() if rows is None else rows) <= window_rows:
         return df.withColumn(out, F.row_number().over(plain))
     sizes = df.groupBy(*groups).count()
     large = sizes.where(F.col("count") > window_rows).select(*groups)
@@ -60,7 +62,9 @@ def row_number_in_groups(
     return small_rows.withColumn(out, F.row_number().over(plain)).unionByName(numbered)
 
 
-def assign_ranks(df: DataFrame, idx: str = "idx", window_rows: int = WINDOW_ROWS) -> DataFrame:
+def assign_ranks(
+    df: DataFrame, idx: str = "idx", window_rows: int = WINDOW_ROWS, rows: int | None = None
+) -> DataFrame:
     """National rank per category and rank per metro region.
 
     Only scored rows of the four public categories get a rank; the others get
@@ -72,8 +76,8 @@ def assign_ranks(df: DataFrame, idx: str = "idx", window_rows: int = WINDOW_ROWS
     # a flag instead of a split: one pass over the scored rows, and the
     # regional window reuses the partitioning of the national one
     flagged = df.withColumn("_ranked", F.coalesce(ranked, F.lit(False)))
-    national = row_number_in_groups(flagged, ["category", "_ranked"], order, "_n", window_rows)
-    both = row_number_in_groups(national, ["category", "_ranked", "metro_region"], order, "_m", window_rows)
+    national = row_number_in_groups(flagged, ["category", "_ranked"], order, "_n", window_rows, rows)
+    both = row_number_in_groups(national, ["category", "_ranked", "metro_region"], order, "_m", window_rows, rows)
     return both.withColumns({
         "rank_national": F.when(F.col("_ranked"), F.col("_n")).otherwise(F.lit(0)),
         "rank_region": F.when(F.col("_ranked") & metro, F.col("_m")),

@@ -47,7 +47,8 @@ def finish_refine(enriched: DataFrame, keep_unplaced: bool = False) -> tuple[Dat
 
 def score(refined: DataFrame, as_of: Column) -> DataFrame:
     scored = composite_score(refined, PIPELINE_POLICY, inputs_from_nested(), as_of)
-    return ranking.assign_ranks(scored)
+    # scoring keeps the rows, and the unscored table counts by metadata
+    return ranking.assign_ranks(scored, rows=refined.count())
 
 
 def serve_table(scored: DataFrame) -> DataFrame:

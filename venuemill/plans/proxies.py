@@ -15,8 +15,19 @@ from venuemill.functions.text import literal_map
 AS_OF = "2003-01-01 00:00:00"
 
 
+SMALL_BYTES = (100_000, 4_000_000_000)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.
+
+    A small file of one row group is one task, however costly the expressions
+    on it; only such inputs are spread.  Large inputs keep their splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if SMALL_BYTES[0] <= size < SMALL_BYTES[1]:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def as_of() -> Column:

@@ -9,7 +9,7 @@ from venuemill.functions import text
 from venuemill.operators import consolidate, dedup, fuzzy, resolve, slugs
 from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
-from venuemill.plans.queries_score import FACTS_SQL
+from venuemill.session import cut_lineage
 
 
 def exact_alias_match(spark, d):
@@ -60,7 +60,7 @@ def fuzzy_match_best(spark, d):
         F.when(F.col("p_size") % 5 > 0, F.lit(0.85)).otherwise(F.lit(0.90)).alias("threshold"),
     )
     venues = p.select(F.col("p_partkey").alias("venue_ord"), F.col("full").alias("key"), address.alias("address"), F.col("p_brand").alias("city"))
-    pairs = fuzzy.similar_name_keys(rows.select("key"), venues.select("key"))
+    pairs = cut_lineage(fuzzy.similar_name_keys(rows.select("key"), venues.select("key")))
     out = fuzzy.best_fuzzy_match(rows, venues, pairs)
     return out.select("row_id", "venue_ord", F.round("name_similarity", 9).alias("name_similarity"),
                       F.round("address_similarity", 9).alias("address_similarity"), F.round("combined_score", 9).alias("combined_score"))

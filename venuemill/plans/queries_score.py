@@ -92,7 +92,7 @@ def scored(spark, d):
 
 
 def ranked(spark, d):
-    return ranking.assign_ranks(scored(spark, d))
+    return ranking.assign_ranks(scored(spark, d), rows=table(spark, d, "part").count())
 
 
 def composite_score_rank(spark, d):
