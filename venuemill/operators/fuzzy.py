@@ -1,16 +1,19 @@
 """Lossless similarity join of name keys, without comparing all pairs.
 
 ``1 - d / longer >= t`` bounds the edit distance ``d``.  Names on the indexed
-side are cut into ``k + 2`` segments, where ``k`` is the largest distance any
+side are cut into ``k + 3`` segments, where ``k`` is the largest distance any
 partner may have; ``k`` edits can spoil at most ``k`` segments, so every match
-keeps at least two of them, each shifted by at most ``k`` (the PassJoin
-partition scheme, Li et al., PVLDB 5(3), 2011, with one spare segment).
+keeps at least three (the PassJoin partition scheme, Li et al., PVLDB 5(3),
+2011, with two spare segments).  A kept segment shifts by some ``s`` with
+``|s| + |length difference - s| <= k``, as the edits left and right of it add
+up.
 
-The spare segment is what copes with skew.  A segment held by very many names
+The spare segments cope with skew.  A segment held by very many names
 ("pizzeria ...") is *hot* and is never joined on alone:
 
 * a match that keeps a cold segment is found through that segment;
-* a match that keeps only hot ones keeps two, and is found through the pair.
+* a match that keeps only hot ones keeps three, and is found through those
+  three together.
 
 Hence nothing is lost and no hot segment brings all its names together.
 """
@@ -36,6 +39,7 @@ from venuemill.session import cut_lineage
 HOT_SHARE = 1e-5
 HOT_FLOOR = 16
 _EPS = 1e-9
+_SPARE = 3
 
 
 def _max_edits(length: Column, threshold: float) -> Column:
@@ -52,8 +56,8 @@ def _segment_start(i: Column, length: Column, parts: Column) -> Column:
 def _segments(keys: DataFrame, threshold: float) -> DataFrame:
     """One row per indexed key and segment: (key, len, no, text)."""
     n = F.length("key")
-    base = keys.select("key", n.alias("len"), (_max_edits(n, threshold) + 2).alias("parts"))
-    base = base.where("parts > 2")  # shorter names only match when equal
+    base = keys.select("key", n.alias("len"), (_max_edits(n, threshold) + _SPARE).alias("parts"))
+    base = base.where(F.col("parts") > _SPARE)  # shorter names only match when equal
 
     def cut(i: Column) -> Column:
         start = _segment_start(i, F.col("len"), F.col("parts"))
@@ -75,19 +79,22 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         .withColumn("longest", F.floor(F.col("own") / F.lit(threshold) + F.lit(_EPS)).cast("int"))
         .where("own > 0")
         .select("key", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
-        .withColumn("parts", _max_edits(F.col("len"), threshold) + 2)
+        .withColumn("parts", _max_edits(F.col("len"), threshold) + _SPARE)
         .withColumn(
             "k",
             F.floor(F.lit(1.0 - threshold) * F.greatest("own", "len") + F.lit(_EPS)).cast("int"),
         )
         .where("k > 0")
+        .withColumn("diff", F.col("own") - F.col("len"))
+        .withColumn("back", F.floor((F.col("k") - F.col("diff")) / 2).cast("int"))
+        .withColumn("ahead", F.floor((F.col("k") + F.col("diff")) / 2).cast("int"))
     )
 
     def windows(i: Column) -> Column:
         start = _segment_start(i, F.col("len"), F.col("parts"))
         width = _segment_start(i + 1, F.col("len"), F.col("parts")) - start
-        first = F.greatest(F.lit(1), start - F.col("k"))
-        last = F.least(F.col("own") - width + 1, start + F.col("k"))
+        first = F.greatest(F.lit(1), start - F.col("back"))
+        last = F.least(F.col("own") - width + 1, start + F.col("ahead"))
         spots = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
         return F.transform(
             spots, lambda p: F.struct(i.alias("no"), F.substring(F.col("key"), p, width).alias("text"))
@@ -98,7 +105,7 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Cold segments alone, hot segments in ordered pairs of two numbers."""
+    """Cold segments alone, hot segments in threes."""
     marked = rows.join(F.broadcast(hot), ["len", "no", "text"], "left")
     part = F.concat_ws(":", F.col("no").cast("string"), "text")
     cold = marked.where("is_hot is null").select("key", "len", part.alias("sig"))
@@ -108,20 +115,20 @@ def _signatures(rows: DataFrame, hot: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("held"))
     )
 
-    # a key has few segments and windows, so this list is short by nature
-    def partners(a: Column) -> Column:
-        later = F.filter(F.col("held"), lambda b: b["no"] > a["no"])
-        return F.transform(
-            later,
-            lambda b: F.concat_ws(
-                ":", a["no"].cast("string"), a["text"], b["no"].cast("string"), b["text"]
-            ),
-        )
+    # a key has few segments and windows, so these lists are short by nature
+    def after(x: Column) -> Column:
+        return F.filter(F.col("held"), lambda y: y["no"] > x["no"])
+
+    def label(*xs: Column) -> Column:
+        return F.concat_ws(":", *[c for x in xs for c in (x["no"].cast("string"), x["text"])])
+
+    def triples(a: Column) -> Column:
+        return F.flatten(F.transform(after(a), lambda b: F.transform(after(b), lambda c: label(a, b, c))))
 
-    pairs = held.select(
-        "key", "len", F.explode(F.flatten(F.transform("held", partners))).alias("sig")
+    together = held.select(
+        "key", "len", F.explode(F.flatten(F.transform("held", triples))).alias("sig")
     )
-    return cold.unionByName(pairs)
+    return cold.unionByName(together)
 
 
 def similar_name_keys(
