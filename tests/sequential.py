@@ -63,3 +63,56 @@ def slugs(bases: list[str]) -> list[str]:
         used.add(slug)
         out.append(slug)
     return out
+
+
+NUMERIC = ["svd", "dn", "di", "krogguiden", "falstaff", "thatsup"]
+
+
+def merge(mentions: list[dict], founder_of: dict) -> dict:
+    """Fold mentions, in order, into one plain dict per venue."""
+    venues: dict = {}
+    for m in sorted(mentions, key=lambda m: m["ord"]):
+        if m["ord"] not in founder_of:
+            continue
+        guide, michelin = m["source"] == "whiteguide-review", m["source"] == "michelin"
+        at = founder_of[m["ord"]]
+        new = at not in venues
+        if new:
+            venues[at] = {
+                "address": m["address"] or "", "city": m["match_city"] or "", "type": m["venue_type"] or "restaurant", "lat": None, "lng": None,
+                "price": "", "ratings": {}, "sources": {}, "names": {}, "quotes": {}, "first_name": m["name"],
+            }
+            if guide:
+                venues[at].update(lat=m["lat"], lng=m["lng"])
+        v = venues[at]
+        if m["lat"] and m["lng"] and not v["lat"]:
+            v.update(lat=m["lat"], lng=m["lng"])
+        v["address"] = v["address"] or m["address"] or ""
+        v["city"] = v["city"] or m["fill_city"] or ""
+        v["price"] = v["price"] or m["price_range"] or ""
+        if not m["is_sub"] and not michelin and v["type"] == "restaurant" and m["venue_type"]:
+            v["type"] = m["venue_type"]
+        if michelin and m["venue_type"] == "hotel":
+            v["type"] = "hotel"
+        if not m["is_sub"]:
+            v["names"][m["source"]] = m["name"]
+        v["sources"].setdefault(m["source"], m["url"])
+        text = (m["body_text"] or "").strip()
+        if m["source"] in ("michelin", "whiteguide-review", "falstaff", "dn-review", "svd-review", "di") and len(text) >= 20:
+            v["quotes"].setdefault(m["source"], text)
+        tag = (m["tags"] or [None])[0]
+        if guide:
+            v["ratings"].setdefault("whiteguide", tag)
+        elif michelin:
+            if m["tags"]:
+                v["ratings"].setdefault("michelin", tag)
+        elif m["score"] and m["score"] > 0:
+            v["ratings"].setdefault(m["rating_key"], m["score"])
+    return venues
+
+
+def best_name(v: dict) -> str:
+    for s in ("michelin", "whiteguide-review", "dn-review", "svd-review", "di", "krogguiden"):
+        if v["names"].get(s):
+            return v["names"][s]
+    return next(iter(v["names"].values()), "") or v["first_name"]
