@@ -131,12 +131,14 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     spark = mentions.sparkSession
     if aliases is None:
         aliases = spark.createDataFrame([], "key string, canonical_key string")
-    mentions = cut_lineage(mentions)  # read four times below
-    keys = cut_lineage(mentions.select("key").distinct())
+    # only these columns decide; texts and ratings join back once at the end
+    deciding = ["ord", "key", "address", "match_city", "threshold", "can_found"]
+    slim = cut_lineage(mentions.select(*deciding))
+    keys = cut_lineage(slim.select("key").distinct())
     pairs = cut_lineage(similar_name_keys(keys, keys, V.NAME_THRESHOLD))
 
     nodes = cut_lineage(
-        mentions.where("can_found").groupBy("key", "threshold").agg(F.min("ord").alias("node"))
+        slim.where("can_found").groupBy("key", "threshold").agg(F.min("ord").alias("node"))
     )
     later = nodes.select(F.col("key").alias("dst_key"), F.col("threshold"), F.col("node").alias("dst"))
     earlier = nodes.select(F.col("key").alias("src_key"), F.col("node").alias("src"))
@@ -155,11 +157,12 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     founders = _founders(nodes, edges)
 
     venues = cut_lineage(
-        mentions.join(founders.withColumnRenamed("node", "ord"), "ord", "left_semi").select(
+        slim.join(founders.withColumnRenamed("node", "ord"), "ord", "left_semi").select(
             F.col("ord").alias("venue_ord"), "key", "address", F.col("match_city").alias("city")
         )
     )
-    return match_to_venues(mentions, venues, pairs, aliases)
+    matches = match_to_venues(slim, venues, pairs, aliases)
+    return mentions.join(matches.select("ord", "venue_ord", "match_kind"), "ord")
 
 
 def match_to_venues(mentions: DataFrame, venues: DataFrame, pairs: DataFrame, aliases: DataFrame) -> DataFrame:

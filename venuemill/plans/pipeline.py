@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from venuemill import schemas
 from venuemill.functions.score import PIPELINE_POLICY, composite_score, inputs_from_nested
-from venuemill.functions.text import present
+from venuemill.functions.geo import venue_category
 from venuemill.operators import dedup, enrich, ranking, resolve, serve
 from venuemill.operators.consolidate import consolidate
 from venuemill.operators.slugs import unique_slugs
+from venuemill.session import cut_lineage
 
 
 def merge(articles: DataFrame, known_merges: DataFrame | None = None) -> DataFrame:
@@ -19,7 +20,8 @@ def merge(articles: DataFrame, known_merges: DataFrame | None = None) -> DataFra
     ``idx`` is the founding order and stays the tie-breaker of later steps."""
     mentions = resolve.articles_to_mentions(articles)
     aliases = resolve.alias_keys(known_merges) if known_merges is not None else None
-    venues = consolidate(resolve.resolve(mentions, aliases))
+    # one row per venue from here on; slugs read it several times
+    venues = cut_lineage(consolidate(resolve.resolve(mentions, aliases)))
     return unique_slugs(venues).withColumnRenamed("venue_ord", "idx")
 
 
@@ -35,8 +37,8 @@ def with_place_columns(venues: DataFrame) -> DataFrame:
 
 def refine(venues: DataFrame, places: DataFrame, keep_unplaced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(refined venues, alias rows for the next merge, rejected rows)."""
-    enriched = enrich.enrich(with_place_columns(venues), places)
-    return finish_refine(enriched.drop("enriched"), keep_unplaced)
+    enriched = enrich.enrich(with_place_columns(venues), places).drop("enriched")
+    return finish_refine(cut_lineage(enriched), keep_unplaced)
 
 
 def finish_refine(enriched: DataFrame, keep_unplaced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,9 +59,5 @@ def serve_table(scored: DataFrame) -> DataFrame:
 
 def recategorize(refined: DataFrame) -> DataFrame:
     """Only the category again, from stored rows."""
-    from venuemill.functions.geo import venue_category
-
     return refined.withColumn("category", venue_category(F.col("venue_type"), F.col("primary_type")))
 
-
-__all__ = ["merge", "refine", "finish_refine", "score", "serve_table", "recategorize", "with_place_columns", "present"]
