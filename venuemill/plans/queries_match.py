@@ -310,13 +310,85 @@ def merged_venues(spark, d):
     return v.select("id", "name", "address", "city", "source_count", F.col("ratings.krogguiden.score").alias("krogguiden"))
 
 
+# walks each name's venues in order; slugs of different names never meet
+CONTESTED_SQL = """
+WITH RECURSIVE b AS (
+  SELECT p_partkey AS venue_ord, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_name) AS c,
+    replace(p_name, ' ', '-') || CASE WHEN p_size % 3 > 0 THEN '-' || replace(lower(p_brand), '#', '-') ELSE '-brand' END AS base
+  FROM part
+),
+walk(p_name, i, venue_ord, id, used) AS (
+  SELECT DISTINCT p_name, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM b
+  UNION ALL
+  SELECT p_name, i, venue_ord, id, list_append(used, id) FROM (
+    SELECT b.p_name, b.i, b.venue_ord, w.used,
+      list_filter(list_prepend(base, list_transform(range(2, c + 30), lambda n: base || '-' || n)), lambda s: NOT list_contains(w.used, s))[1] AS id
+    FROM walk w JOIN b ON b.p_name = w.p_name AND b.i = w.i + 1
+  )
+)
+SELECT venue_ord, id FROM walk WHERE i > 0"""
+
+# walks the distinct names in order, collecting founders
+RESOLVE_SQL = """
+WITH RECURSIVE p AS (SELECT *, lower(p_name || ' ' || p_type) AS nm FROM part),
+m AS (
+  SELECT 'whiteguide-review' || p_partkey AS article_id, 1 AS pass, p_partkey AS pos, nm AS key, p_brand AS city, lower(p_brand) || ' street' AS street, p_size AS num, 0.85e0 AS t FROM p
+  UNION ALL
+  SELECT 'krogguiden' || p_partkey, 2, p_partkey, nm[1:p_partkey % length(nm)] || nm[p_partkey % length(nm) + 2:], p_brand,
+    CASE WHEN p_size % 5 > 0 THEN lower(p_brand) || ' street' END, p_size, CASE WHEN p_size % 5 > 0 THEN 0.85e0 ELSE 0.9e0 END FROM p
+),
+n0 AS (SELECT key, t, min((pass, pos)) AS ord FROM m GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM n0),
+k AS (SELECT DISTINCT key FROM m),
+sim AS (
+  SELECT a.key AS key, b.key AS other, 1e0 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE) AS s
+  FROM k a, k b WHERE a.key <> b.key AND abs(length(a.key) - length(b.key)) <= 4
+    AND 1e0 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE) >= 0.85e0
+),
+pred AS (
+  SELECT i, list(j) AS js FROM (
+    SELECT d.i, e.i AS j FROM n d JOIN n e ON e.key = d.key AND e.i < d.i
+    UNION ALL SELECT d.i, e.i FROM n d JOIN sim ON sim.key = d.key AND s >= d.t JOIN n e ON e.key = sim.other AND e.i < d.i
+  ) GROUP BY i
+),
+walk(i, f) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT w.i + 1, CASE WHEN list_has_any(w.f, coalesce(js, [])) THEN w.f ELSE list_append(w.f, w.i + 1) END
+  FROM walk w LEFT JOIN pred ON pred.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM n)
+),
+fl AS (SELECT unnest(f) AS i FROM (SELECT f FROM walk ORDER BY i DESC LIMIT 1)),
+v AS (SELECT m.* FROM fl JOIN n USING (i) JOIN m ON (m.pass, m.pos) = n.ord),
+ex AS (SELECT m.article_id, v.pass AS vp, v.pos AS vo FROM m JOIN v ON v.key = m.key AND (v.pass, v.pos) <= (m.pass, m.pos)),
+fz AS (
+  SELECT m.article_id, v.pass AS vp, v.pos AS vo FROM m JOIN sim ON sim.key = m.key AND s >= m.t JOIN v ON v.key = sim.other AND (v.pass, v.pos) < (m.pass, m.pos)
+  WHERE m.article_id NOT IN (SELECT article_id FROM ex)
+  QUALIFY row_number() OVER (PARTITION BY m.article_id ORDER BY v.city = m.city DESC, s * 0.8e0 + CASE WHEN m.street IS NULL OR v.street IS NULL THEN 0e0 ELSE
+    CASE WHEN m.street = v.street THEN 1e0 ELSE 1e0 - levenshtein(m.street, v.street) / CAST(greatest(length(m.street), length(v.street)) AS DOUBLE) END * 0.7e0
+    + CASE WHEN m.num = v.num THEN 1e0 ELSE 0e0 END * 0.3e0 END * 0.2e0 DESC, v.pass, v.pos) = 1
+)
+SELECT m.article_id, CASE WHEN m.pass = vp AND m.pos = vo THEN 'founded' ELSE 'exact' END AS match_kind, vp || ':' || vo AS venue FROM m JOIN ex USING (article_id)
+UNION ALL SELECT article_id, 'fuzzy', vp || ':' || vo FROM fz"""
+
+_HEAD, _TAIL = RESOLVE_SQL.split("SELECT m.article_id, CASE WHEN m.pass = vp")
+MERGED_SQL = _HEAD.rstrip() + """,
+hit AS (SELECT article_id, vp, vo FROM ex UNION ALL SELECT article_id, vp, vo FROM fz),
+g AS (
+  SELECT vp, vo, coalesce(last(key ORDER BY m.pos) FILTER (m.pass = 1), last(key ORDER BY m.pos)) AS name,
+    first(p_brand || ' street ' || p_size ORDER BY m.pass, m.pos) FILTER (m.pass = 1 OR p_size % 5 > 0) AS address, first(p_brand ORDER BY m.pass, m.pos) AS city,
+    CAST(count(DISTINCT m.pass) AS INT) AS source_count, CAST(first(p_size % 6 ORDER BY m.pos) FILTER (m.pass = 2 AND p_size % 6 > 0) AS DOUBLE) AS krogguiden
+  FROM m JOIN hit USING (article_id) JOIN part ON p_partkey = m.pos GROUP BY vp, vo
+),
+s AS (SELECT *, replace(name, ' ', '-') || '-' || replace(lower(city), '#', '-') AS base FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY vp, vo) AS rn FROM s)
+SELECT CASE WHEN rn = 1 THEN base ELSE base || '-' || rn END AS id, name, coalesce(address, '') AS address, city, source_count, krogguiden FROM r"""
+
 QUERIES = {
     "exact_alias_match": (exact_alias_match, EXACT_SQL),
     "fuzzy_match_best": (fuzzy_match_best, FUZZY_SQL),
     "slug_unique": (slug_unique, """WITH b AS (SELECT p_partkey AS venue_ord, replace(p_name, ' ', '-') || '-' || CASE WHEN p_size % 4 > 0 THEN lower(p_type) ELSE 'sweden' END AS base FROM part),
       n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY venue_ord) AS n FROM b)
       SELECT venue_ord, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS id FROM n"""),
-    "slug_contested": (slug_contested, None),
+    "slug_contested": (slug_contested, CONTESTED_SQL),
     "consolidate_first": (consolidate_first, CONSOLIDATE_SQL),
     "article_refs": (article_refs, """SELECT l_partkey AS part, CASE l_linenumber WHEN 1 THEN 'whiteguide-review' WHEN 2 THEN 'krogguiden' WHEN 3 THEN 'michelin' WHEN 4 THEN 'di'
       WHEN 5 THEN 'dn-review' WHEN 6 THEN 'svd-review' ELSE 'falstaff' END AS source_id, count(DISTINCT l_orderkey) AS articles FROM lineitem GROUP BY 1, 2"""),
@@ -327,6 +399,6 @@ QUERIES = {
         SELECT p_type AS place_id, p_name AS alias, 0 AS run, p_partkey AS pos FROM part WHERE p_size > 20
         UNION ALL SELECT p_type, p_name || ' ' || p_brand, 1, p_partkey FROM part WHERE p_size <= 30)
       SELECT place_id, 'new' AS canonical_name, alias, min(run) AS run, first(pos ORDER BY run, pos) AS pos FROM r GROUP BY place_id, alias"""),
-    "resolve_mentions": (resolve_mentions, None),
-    "merged_venues": (merged_venues, None),
+    "resolve_mentions": (resolve_mentions, RESOLVE_SQL),
+    "merged_venues": (merged_venues, MERGED_SQL),
 }
