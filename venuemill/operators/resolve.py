@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
-from venuemill.functions.text import name_key, present
+from venuemill.functions.text import lookup, name_key, present
 from venuemill.operators.fuzzy import best_fuzzy_match, similar_name_keys
 from venuemill.session import cut_lineage
 
@@ -28,10 +28,14 @@ def articles_to_mentions(articles: DataFrame) -> DataFrame:
     A mention is one row that can match or found a venue: an article of a
     merged source, or a sub-article of the listing source.
     """
-    passes = articles.sparkSession.createDataFrame(
-        V.SOURCE_PASSES, "pass int, source_id string, rating_key string, scale_min double, scale_max double"
-    )
-    rows = articles.join(F.broadcast(passes), "source_id")
+    source = F.col("source_id")
+    merged = V.SOURCE_PASSES
+    rows = articles.where(source.isin([p[1] for p in merged])).withColumns({
+        "pass": lookup({p[1]: p[0] for p in merged}, source),
+        "rating_key": lookup({p[1]: p[2] for p in merged}, source),
+        "scale_min": lookup({p[1]: p[3] for p in merged if p[3] is not None}, source),
+        "scale_max": lookup({p[1]: p[4] for p in merged if p[4] is not None}, source),
+    })
     simple = ~F.col("source_id").isin("whiteguide-review", "michelin")
     skipped = simple & F.coalesce(F.col("content_type").isin("listing", "news"), F.lit(False))
     addressed = present(F.col("venue_address"))
