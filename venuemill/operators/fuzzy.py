@@ -176,7 +176,7 @@ def best_fuzzy_match(
     the row's city go first; any venue is tried only for rows that found none
     there.  Highest combined score wins, then the earliest venue.
 
-    The winner is kept by a ``max`` over a struct, which combines on the map
+    The winner is kept by a ``min`` over a struct, which combines on the map
     side, so a row with many candidates never gathers them.
     """
     r = rows.withColumns({
@@ -187,8 +187,13 @@ def best_fuzzy_match(
         F.col("venue_ord"), F.col("key").alias("right_key"), F.lower("city").alias("venue_city"),
         F.when(F.coalesce(F.col("address") != "", F.lit(False)), street_number(F.col("address"))).alias("venue_place"),
     )
-    # copies of a venue (same key, city, street) can only win by being first
-    v = v.groupBy("right_key", "venue_city", "venue_place").agg(F.min("venue_ord").alias("venue_ord")) if not earlier_only else v
+    if not earlier_only:
+        # copies of a venue (same key, city, place) can only win by being
+        # first, and copies of a row get the same answer
+        v = v.groupBy("right_key", "venue_city", "venue_place").agg(F.min("venue_ord").alias("venue_ord"))
+        alike = F.to_json(F.struct("key", "row_place", "row_city", "threshold"))
+        members = r.select("row_id", alike.alias("alike"))
+        r = r.select(alike.alias("row_id"), "key", "row_place", "row_city", "threshold").dropDuplicates(["row_id"])
 
     near = r.join(pairs.withColumnRenamed("left_key", "key"), "key").where("name_similarity >= threshold")
     address_sim = F.coalesce(address_similarity(F.col("row_place"), F.col("venue_place")), F.lit(0.0))
@@ -217,7 +222,10 @@ def best_fuzzy_match(
     )
     in_city = cut_lineage(in_city)  # used for the result and to exclude its rows
     anywhere = winners(near.join(in_city.select("row_id"), "row_id", "left_anti").join(v, "right_key"))
-    return in_city.unionByName(anywhere).select(
+    best = in_city.unionByName(anywhere)
+    if not earlier_only:
+        best = members.join(best.withColumnRenamed("row_id", "alike"), "alike").drop("alike")
+    return best.select(
         "row_id",
         F.col("best.venue_ord").alias("venue_ord"),
         F.col("best.name_similarity").alias("name_similarity"),

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if SMALL_BYTES[0] <= size < SMALL_BYTES[1]:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+        return df.repartition(min(spark.sparkContext.defaultParallelism, 8 + size // 1_000_000))
     return df
 
 

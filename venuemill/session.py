@@ -17,6 +17,7 @@ def build_session(master: str, app_name: str = "venuemill", partitions: int = 8)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # matching expands small inputs a lot, so small partitions are worth keeping
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
