@@ -13,9 +13,11 @@ The spare segments cope with skew.  A segment held by very many names
 
 * a match that keeps a cold segment is found through that segment;
 * a match that keeps only hot ones keeps three, and is found through those
-  three together.
+  three together;
+* three that are hot together (one common word may span them) need in addition
+  a piece of the text outside them.
 
-Hence nothing is lost and no hot segment brings all its names together.
+Nothing is lost, and a common word alone never brings its names together.
 """
 
 from __future__ import annotations
@@ -53,8 +55,18 @@ def _segment_start(i: Column, length: Column, parts: Column) -> Column:
     return (F.floor(i * length / parts) + 1).cast("int")
 
 
+def _shifts(threshold: float) -> dict[str, Column]:
+    """Edit bound and shift bounds of a query key of length ``own`` against
+    indexed keys of length ``len``."""
+    k = F.floor(F.lit(1.0 - threshold) * F.greatest("own", "len") + F.lit(_EPS)).cast("int")
+    diff = F.col("own") - F.col("len")
+    return {
+        "k": k, "diff": diff, "back": F.floor((k - diff) / 2).cast("int"), "ahead": F.floor((k + diff) / 2).cast("int"),
+    }
+
+
 def _segments(keys: DataFrame, threshold: float) -> DataFrame:
-    """One row per indexed key and segment: (key, len, no, text)."""
+    """One row per indexed key and segment: (key, len, no, text, pos)."""
     n = F.length("key")
     base = keys.select("key", n.alias("len"), (_max_edits(n, threshold) + _SPARE).alias("parts"))
     base = base.where(F.col("parts") > _SPARE)  # shorter names only match when equal
@@ -62,7 +74,9 @@ def _segments(keys: DataFrame, threshold: float) -> DataFrame:
     def cut(i: Column) -> Column:
         start = _segment_start(i, F.col("len"), F.col("parts"))
         end = _segment_start(i + 1, F.col("len"), F.col("parts"))
-        return F.struct(i.alias("no"), F.substring(F.col("key"), start, end - start).alias("text"))
+        return F.struct(
+            i.alias("no"), F.substring(F.col("key"), start, end - start).alias("text"), start.alias("pos")
+        )
 
     return base.select(
         "key", "len",
@@ -80,14 +94,8 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         .where("own > 0")
         .select("key", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
         .withColumn("parts", _max_edits(F.col("len"), threshold) + _SPARE)
-        .withColumn(
-            "k",
-            F.floor(F.lit(1.0 - threshold) * F.greatest("own", "len") + F.lit(_EPS)).cast("int"),
-        )
+        .withColumns(_shifts(threshold))
         .where("k > 0")
-        .withColumn("diff", F.col("own") - F.col("len"))
-        .withColumn("back", F.floor((F.col("k") - F.col("diff")) / 2).cast("int"))
-        .withColumn("ahead", F.floor((F.col("k") + F.col("diff")) / 2).cast("int"))
     )
 
     def windows(i: Column) -> Column:
@@ -97,38 +105,83 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         last = F.least(F.col("own") - width + 1, start + F.col("ahead"))
         spots = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
         return F.transform(
-            spots, lambda p: F.struct(i.alias("no"), F.substring(F.col("key"), p, width).alias("text"))
+            spots,
+            lambda p: F.struct(i.alias("no"), F.substring(F.col("key"), p, width).alias("text"), p.alias("pos")),
         )
 
     spots = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), windows))
-    return base.select("key", "len", F.inline(F.array_distinct(spots)))
+    return base.select("key", "len", F.inline(spots))
+
 
+def _part(no: Column, piece: Column) -> Column:
+    return F.concat_ws(":", no.cast("string"), piece)
 
-def _signatures(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Cold segments alone, hot segments in threes."""
-    marked = rows.join(F.broadcast(hot), ["len", "no", "text"], "left")
-    part = F.concat_ws(":", F.col("no").cast("string"), "text")
-    cold = marked.where("is_hot is null").select("key", "len", part.alias("sig"))
+
+def _cold(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Cold segments, each a signature of its own."""
+    return rows.join(F.broadcast(hot), ["len", "no", "text"], "left_anti").select(
+        "key", "len", _part(F.col("no"), F.col("text")).alias("sig")
+    )
+
+
+def _threes(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Hot segments in ordered threes, with the text outside them."""
     held = (
-        marked.where("is_hot")
+        rows.join(F.broadcast(hot), ["len", "no", "text"], "left_semi")
         .groupBy("key", "len")
-        .agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("held"))
+        .agg(F.array_sort(F.collect_list(F.struct("no", "pos", "text"))).alias("held"))
     )
 
+    def end(x: Column) -> Column:
+        return x["pos"] + F.length(x["text"])
+
     # a key has few segments and windows, so these lists are short by nature
     def after(x: Column) -> Column:
-        return F.filter(F.col("held"), lambda y: y["no"] > x["no"])
+        return F.filter(F.col("held"), lambda y: (y["no"] > x["no"]) & (y["pos"] >= end(x)))
+
+    def three(a: Column, b: Column, c: Column) -> Column:
+        key = F.col("key")
+        rest = F.concat(
+            F.substring(key, F.lit(1), a["pos"] - 1),
+            F.substring(key, end(a), b["pos"] - end(a)),
+            F.substring(key, end(b), c["pos"] - end(b)),
+            F.substring(key, end(c), F.length(key)),
+        )
+        sig = F.concat_ws(":", *[_part(x["no"], x["text"]) for x in (a, b, c)])
+        return F.struct(sig.alias("sig"), rest.alias("rest"))
+
+    def threes(a: Column) -> Column:
+        return F.flatten(F.transform(after(a), lambda b: F.transform(after(b), lambda c: three(a, b, c))))
+
+    return held.select("key", "len", F.inline(F.flatten(F.transform("held", threes))))
+
+
+def _refined(threes: DataFrame, threshold: float, query: bool) -> DataFrame:
+    """Threes that are hot themselves, each with one piece of the rest.
 
-    def label(*xs: Column) -> Column:
-        return F.concat_ws(":", *[c for x in xs for c in (x["no"].cast("string"), x["text"])])
+    Outside three kept segments the two names still differ by at most ``k``
+    edits, so of ``k + 1`` pieces of the indexed rest one is kept, with the
+    same shift bounds as before."""
+    own = F.length("key") if query else F.col("len")
+    base = threes.withColumn("own", own).withColumns(_shifts(threshold)).withColumns({
+        "size": F.length("rest") - F.col("diff"),
+        "pieces": _max_edits(F.col("len"), threshold) + 1,
+    })
 
-    def triples(a: Column) -> Column:
-        return F.flatten(F.transform(after(a), lambda b: F.transform(after(b), lambda c: label(a, b, c))))
+    def piece(i: Column) -> Column:
+        start = _segment_start(i, F.col("size"), F.col("pieces"))
+        width = _segment_start(i + 1, F.col("size"), F.col("pieces")) - start
+        if not query:
+            return F.array(_part(i, F.substring(F.col("rest"), start, width)))
+        first = F.greatest(F.lit(1), start - F.col("back"))
+        last = F.least(F.length("rest") - width + 1, start + F.col("ahead"))
+        spots = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda p: _part(i, F.substring(F.col("rest"), p, width)))
 
-    together = held.select(
-        "key", "len", F.explode(F.flatten(F.transform("held", triples))).alias("sig")
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), piece))
+    return base.select("key", "len", "sig", F.explode(F.array_distinct(parts)).alias("piece")).select(
+        "key", "len", F.concat_ws("#", "sig", "piece").alias("sig")
     )
-    return cold.unionByName(together)
 
 
 def similar_name_keys(
@@ -148,10 +201,22 @@ def similar_name_keys(
     hot = (
         segments.groupBy("len", "no", "text").count()
         .where(F.col("count") > limit)
-        .select("len", "no", "text", F.lit(True).alias("is_hot"))
+        .select("len", "no", "text")
+    )
+    probes = _probes(queries, threshold)
+    l_threes, r_threes = _threes(probes, hot), _threes(segments, hot)
+    hot_threes = (
+        r_threes.groupBy("len", "sig").count().where(F.col("count") > limit).select("len", "sig")
     )
-    l = _signatures(_probes(queries, threshold), hot).withColumnRenamed("key", "left_key")
-    r = _signatures(segments, hot).withColumnRenamed("key", "right_key")
+
+    def signatures(rows: DataFrame, threes: DataFrame, query: bool) -> DataFrame:
+        crowded = F.broadcast(hot_threes)
+        plain = threes.join(crowded, ["len", "sig"], "left_anti").select("key", "len", "sig")
+        fine = _refined(threes.join(crowded, ["len", "sig"], "left_semi"), threshold, query)
+        return _cold(rows, hot).unionByName(plain).unionByName(fine)
+
+    l = signatures(probes, l_threes, True).withColumnRenamed("key", "left_key")
+    r = signatures(segments, r_threes, False).withColumnRenamed("key", "right_key")
     longest = F.greatest(F.length("left_key"), F.length("right_key"))
     bound = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
     return (
