@@ -204,7 +204,8 @@ def similar_name_keys(
         .select("len", "no", "text")
     )
     probes = _probes(queries, threshold)
-    l_threes, r_threes = _threes(probes, hot), _threes(segments, hot)
+    # both are read twice below
+    l_threes, r_threes = cut_lineage(_threes(probes, hot)), cut_lineage(_threes(segments, hot))
     hot_threes = (
         r_threes.groupBy("len", "sig").count().where(F.col("count") > limit).select("len", "sig")
     )
