@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import repeats
+from venuemill.llm import quality, repeats, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,36 @@ def op1_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def references_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    """Language references from the documents that ``labels`` calls good and not toxic."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0")
+    return quality.language_references(docs, good.select("doc_id"))
+
+
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality_rules(docs, references_of(spark, docs, sf_dir))
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = secrets.findings_of_paths(docs, secrets.scan_unseen(docs))
+    base = F.filter("findings", lambda x: x["kind"].isin(*secrets.KINDS[:3]))
+
+    def spans(found: Column) -> Column:
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        "doc_id", *[count(k) for k in secrets.KINDS[:3]], F.sha2(spans(base), 256).alias("base_sha256"),
+        spans(F.col("findings")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_repeated_windows": (op1_repeated_windows, None),
+    "op2_quality_divergence": (op2_quality_divergence, None),
+    "op4_secret_ledger": (op4_secret_ledger, None),
 }
