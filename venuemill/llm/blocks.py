@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuemill.llm.rolling import ASCII_SPACE
+from venuemill.llm.rolling import ASCII_SPACE, Powers, PrefixHash, mix
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -85,8 +85,28 @@ class Text:
         return starts, ends, np.diff(at)
 
 
-def joined(values: list) -> np.ndarray | list:
-    return np.concatenate(values) if values else []
+def slices(bodies: list[bytes | None], limit: int = 1 << 20):
+    """Runs of texts of about ``limit`` bytes, so that arrays by byte stay small."""
+    first = size = 0
+    for i, body in enumerate(bodies):
+        size += len(body or b"")
+        if size >= limit:
+            yield bodies[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(bodies):
+        yield bodies[first:]
+
+
+def word_codes(bodies: list[bytes | None], tables: tuple[np.ndarray, ...], powers: Powers) -> tuple[list[np.ndarray], np.ndarray]:
+    """A 64-bit code of each word under each table of byte codes, and the number of words of each text."""
+    parts, counts = [[np.zeros(0, np.uint64)] for _ in tables], [np.zeros(0, np.int64)]
+    for some in slices(bodies):
+        text = Text.of(some)
+        starts, ends, n = text.words()
+        counts.append(n)
+        for table, part in zip(tables, parts):
+            part.append(mix(PrefixHash(table[text.data], powers).ranges(starts, ends)))
+    return [np.concatenate(p) for p in parts], np.concatenate(counts)
 
 
 def as_array(cell: bytes | None, kind) -> np.ndarray:

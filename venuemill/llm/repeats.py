@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuemill.llm import blocks
-from venuemill.llm.blocks import Text, as_array
+from venuemill.llm.blocks import as_array
 from venuemill.llm.rolling import (
     Powers, PrefixHash, covered, first_of_runs, mix, sliding_argmin, starts_inside, symbol_codes,
 )
@@ -19,7 +19,7 @@ WINDOW = 35
 #: Counters of one row of the sketch, as a power of two, and rows.  The merged sketch is one bit per counter.
 WIDTH_BITS, DEPTH = 25, 2
 PIECES = 64
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 12 << 20
 
 
 class Windows:
@@ -35,10 +35,9 @@ class Windows:
         self.codes = symbol_codes(11), symbol_codes(12)
         self.powers = Powers()
 
-    def of(self, text: Text):
+    def of(self, bodies: list[bytes | None]):
         """(window starts, anchor hashes, window hashes, places of anchors): all by window, in word positions."""
-        starts, ends, counts = text.words()
-        one, two = (mix(PrefixHash(c[text.data], self.powers).ranges(starts, ends)) for c in self.codes)
+        (one, two), counts = blocks.word_codes(bodies, self.codes, self.powers)
         grams = mix(PrefixHash(one, self.powers).windows(self.gram))
         anchor = sliding_argmin(grams, self.window - self.gram + 1)
         at = np.flatnonzero(starts_inside(counts, self.window)[: len(anchor)])
@@ -65,12 +64,12 @@ def sketch(docs: DataFrame, window: int = WINDOW, text: str = "text", width_bits
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, once, twice = Windows(window), [], []
         for batch in batches:
-            at, anchors, _, place = maker.of(Text.of(batch.column(0).to_pylist()))
-            anchors = anchors[first_of_runs(place)]
-            cells = np.concatenate(_cells(anchors, width_bits))
-            cells, n = np.unique(cells, return_counts=True)
-            once.append(cells.astype(np.uint32))
-            twice.append(cells[n > 1].astype(np.uint32))
+            for some in blocks.slices(batch.column(0).to_pylist(), 4 << 20):
+                _, anchors, _, place = maker.of(some)
+                cells = np.concatenate(_cells(anchors[first_of_runs(place)], width_bits))
+                cells, n = np.unique(cells, return_counts=True)
+                once.append(cells.astype(np.uint32))
+                twice.append(cells[n > 1].astype(np.uint32))
         if not once:
             return
         cells, n = np.unique(np.concatenate(once), return_counts=True)
@@ -124,7 +123,7 @@ def remove_repeated_windows(
 
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        at, anchors, whole, _ = Windows(window).of(Text.of(blocks.ordered(table)["body"].to_pylist()))
+        at, anchors, whole, _ = Windows(window).of(blocks.ordered(table)["body"].to_pylist())
         bits = np.frombuffer(shared.value, np.uint8)
         maybe = np.ones(len(at), bool)
         for cell in _cells(anchors, width_bits):
@@ -174,14 +173,14 @@ def remove_repeated_windows(
 
     def apply(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = blocks.ordered(table)
-        text_ = Text.of(table["body"].to_pylist())
-        _, _, counts = text_.words()
+        split = [(b or b"").split() for b in table["body"].to_pylist()]
+        counts = [len(w) for w in split]
         places = [as_array(x, np.uint32) for x in answers["places"].to_pylist()]
-        gone = covered(np.concatenate([*places, np.zeros(0, np.uint32)]).astype(np.int64), window, int(counts.sum()))
+        gone = covered(np.concatenate([*places, np.zeros(0, np.uint32)]).astype(np.int64), window, sum(counts))
         kept, removed, start = [], [], 0
-        for body, n in zip(text_.bodies, counts):
-            words, mine = body.split(), gone[start : start + n]
-            start += n
+        for words in split:
+            mine = gone[start : start + len(words)]
+            start += len(words)
             removed.append(int(mine.sum()))
             if removed[-1]:
                 words = [words[i] for i in np.flatnonzero(~mine)]

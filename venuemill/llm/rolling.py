@@ -38,7 +38,7 @@ class Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = n + (1 << 16)
             steps = np.full(size, self.base, np.uint64)
             steps[0] = 1
             self.up = np.multiply.accumulate(steps)
