@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import quality, repeats, secrets
+from venuemill.llm import packing, pretokens, quality, repeats, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeated_windows(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,8 +52,22 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return placed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = pretokens.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES = {
     "op1_repeated_windows": (op1_repeated_windows, None),
     "op2_quality_divergence": (op2_quality_divergence, None),
     "op4_secret_ledger": (op4_secret_ledger, None),
+    "op5_packed_sequences": (op5_packed_sequences, None),
+    "op10_token_counts": (op10_token_counts, None),
 }
