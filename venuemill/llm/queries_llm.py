@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import packing, pretokens, quality, repeats, secrets
+from venuemill.llm import decontaminate, lines, packing, pretokens, quality, repeats, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,15 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, references_of(spark, docs, sf_dir))
 
 
+def op3_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontaminate.find_contamination(documents(spark, sf_dir), benchmark)
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = secrets.findings_of_paths(docs, secrets.scan_unseen(docs))
@@ -59,6 +68,11 @@ def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_common_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pretokens.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -67,7 +81,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repeated_windows": (op1_repeated_windows, None),
     "op2_quality_divergence": (op2_quality_divergence, None),
+    "op3_benchmark_hits": (op3_benchmark_hits, None),
     "op4_secret_ledger": (op4_secret_ledger, None),
     "op5_packed_sequences": (op5_packed_sequences, None),
+    "op8_common_lines": (op8_common_lines, None),
     "op10_token_counts": (op10_token_counts, None),
 }
