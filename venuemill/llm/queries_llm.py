@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import decontaminate, lines, packing, pretokens, quality, repeats, secrets
+from venuemill.llm import decontaminate, lines, neardup, packing, pretokens, quality, repeats, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op8_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = neardup.near_duplicates(documents(spark, sf_dir))
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pretokens.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -85,5 +90,6 @@ QUERIES = {
     "op4_secret_ledger": (op4_secret_ledger, None),
     "op5_packed_sequences": (op5_packed_sequences, None),
     "op8_common_lines": (op8_common_lines, None),
+    "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_token_counts": (op10_token_counts, None),
 }
