@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import decontaminate, lines, neardup, packing, pretokens, quality, repeats, secrets
+from venuemill.llm import decontaminate, lines, neardup, packing, ppm, pretokens, quality, repeats, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.remove_common_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -89,6 +95,7 @@ QUERIES = {
     "op3_benchmark_hits": (op3_benchmark_hits, None),
     "op4_secret_ledger": (op4_secret_ledger, None),
     "op5_packed_sequences": (op5_packed_sequences, None),
+    "op7_ppm_scores": (op7_ppm_scores, None),
     "op8_common_lines": (op8_common_lines, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_token_counts": (op10_token_counts, None),
