@@ -24,7 +24,7 @@ from venuemill.llm.store import stored
 
 CAPACITY = 2048
 END_ID = 0
-MOST_CACHED = 400_000
+MOST_CACHED = 1_200_000
 _SPACE_AHEAD, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
 
@@ -33,36 +33,61 @@ class Encoder:
 
     The split before the merges ends a token in front of every space that a
     non-space follows, so a text is cut there and the ids of the parts are
-    kept.  A text with an added token in it goes to the library whole.
+    kept.  New parts go to the library in one text with an added token between
+    them, which it takes out before it splits.  A text with an added token in it goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
+        added = self.library.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        plain = [(t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = plain[0] if plain else (None, None)
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}  # by the part without its leading space
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, parts: list[str]) -> list[bytes]:
+        if self.mark is None:
+            return self.whole(parts)
+        out = []
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            data = ids.tobytes()
+            out += [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     @staticmethod
-    def parts(text: str) -> list[str]:
-        if not _SPACE_AHEAD.search(text):
-            first, *others = text.split(" ")
-            return ([first] if first else []) + [" " + x for x in others]
-        return [x for x in _CUTS.split(text) if x]  # a space before white space stays with it
+    def parts(text: str) -> tuple[str, list[str]]:
+        """What stands before the first cut, and the other parts without their leading spaces."""
+        if _SPACE_AHEAD.search(text):  # a space before white space stays with it
+            first, *others = _CUTS.split(text)
+            return first, [x[1:] for x in others]
+        first, *others = text.split(" ")
+        return first, others
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > MOST_CACHED:
-            self.ids.clear()
-        odd = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        parts = [[] if i in odd else self.parts(t) for i, t in enumerate(texts)]
-        new = list({x for p in parts for x in p if x not in self.ids})
-        self.ids.update(zip(new, self.whole(new)))
-        get = self.ids.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for i, ids in zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])):
+        if len(self.later) > MOST_CACHED:
+            self.later.clear()
+        if len(self.first) > MOST_CACHED // 10:
+            self.first.clear()
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        skip = set(odd)
+        parts = [("", []) if i in skip else self.parts(t) for i, t in enumerate(texts)]
+        later, first = self.later, self.first
+        new = list({x for _, p in parts for x in p if x not in later})
+        later.update(zip(new, self._apart([" " + x for x in new])))
+        new = list({x for x, _ in parts if x not in first})
+        first.update(zip(new, self.whole(new)))
+        get = later.__getitem__
+        out = [first[x] + b"".join(map(get, p)) for x, p in parts]
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import decontaminate, lines, neardup, packing, ppm, pretokens, quality, repeats, secrets
+from venuemill.llm import decontaminate, lines, neardup, packing, ppm, pretokens, quality, repeats, secrets, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_earlier_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_earlier_strings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir)).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
@@ -95,6 +100,7 @@ QUERIES = {
     "op3_benchmark_hits": (op3_benchmark_hits, None),
     "op4_secret_ledger": (op4_secret_ledger, None),
     "op5_packed_sequences": (op5_packed_sequences, None),
+    "op6_earlier_strings": (op6_earlier_strings, None),
     "op7_ppm_scores": (op7_ppm_scores, None),
     "op8_common_lines": (op8_common_lines, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
