@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import sequential
@@ -111,9 +112,12 @@ def test_row_numbers_of_large_groups(spark):
     rows = [(i, rng.choice("aaaaaab"), rng.choice([None, "n", "n", "m"]), rng.choice([70.0, 70.0, 70.0, float(i % 50)])) for i in range(400)]
     df = spark.createDataFrame(rows, "idx int, g string, h string, raw double").repartition(7)
     order = [F.desc("raw"), F.asc("idx")]
-    want = {r.idx: r.n for r in ranking.row_number_in_groups(df, ["g", "h"], order, "n").collect()}
-    got = {r.idx: r.n for r in ranking.row_number_in_groups(df, ["g", "h"], order, "n", window_rows=20).collect()}
-    assert got == want and len(got) == 400
+    for groups in (["g", "h"], ["g"], []):
+        window = Window.partitionBy(*groups).orderBy(*order)
+        want = {r.idx: (r.n, r.s) for r in df.select("idx", F.row_number().over(window).alias("n"), F.sum("idx").over(window).alias("s")).collect()}
+        numbers = {r.idx: r.n for r in ranking.row_number_in_groups(df, groups, order, "n").collect()}
+        sums = {r.idx: r.s for r in ranking.running_sum_in_groups(df, groups, order, F.col("idx"), "s").collect()}
+        assert {i: (numbers[i], sums[i]) for i in numbers} == want and len(want) == 400
 
 
 def test_ranks(spark):
@@ -122,9 +126,8 @@ def test_ranks(spark):
         (4, "exclude", "malmo", 99, 99.0), (5, "hotel", "gothenburg", 10, 10.0), (6, None, "malmo", 10, 10.0),
     ]
     df = spark.createDataFrame(rows, "idx int, category string, metro_region string, composite_score int, composite_score_raw double")
-    for limit in (1, 100):
-        got = {r.idx: (r.rank_national, r.rank_region) for r in ranking.assign_ranks(df, window_rows=limit).collect()}
-        assert got == {0: (2, 1), 1: (3, 2), 2: (1, None), 3: (0, None), 4: (0, None), 5: (1, 1), 6: (0, None)}
+    got = {r.idx: (r.rank_national, r.rank_region) for r in ranking.assign_ranks(df).collect()}
+    assert got == {0: (2, 1), 1: (3, 2), 2: (1, None), 3: (0, None), 4: (0, None), 5: (1, 1), 6: (0, None)}
 
 
 def test_multi_hit_prefers_city_then_first(spark):

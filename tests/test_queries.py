@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from venuemill.plans import registry
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"resolve_mentions", "merged_venues"}
@@ -23,7 +24,7 @@ def con():
 
 
 def test_contract(spark):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert {name for name, (_, sql) in registry.ALL.items() if sql} == set(registry.ALL) <= set(entry.queries())
     assert "composite_score" in entry.entry(spark).columns
 
 
@@ -37,7 +38,7 @@ def test_equals_sql(spark, con, name):
 
 
 def test_no_query_joins_everything_with_everything(spark):
-    for name, query in entry.queries().items():
+    for name, (query, _) in registry.ALL.items():
         if name in SLOW:
             continue
         plan = query(spark, SF)._jdf.queryExecution().sparkPlan().toString()

@@ -92,6 +92,7 @@ def consolidate(resolved: DataFrame) -> DataFrame:
     quotes = F.array_sort(F.collect_list(F.when(F.col("quote").isNotNull(), F.struct(
         F.col("quote.ord").alias("ord"), "source_id", F.col("quote.v.text").alias("text"),
         F.col("quote.v.published_at").alias("published_at"), F.col("quote.v.url").alias("url"),
+        F.lit(None).cast("string").alias("excerpt"),
     ))))
     best_name = F.coalesce(
         *[of_source(F.col("last_name.v.name"), s) for s in V.NAME_PRIORITY],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from venuemill.functions.text import present
 from venuemill.operators.consolidate import NUMERIC_KEYS
+from venuemill.operators.ranking import row_number_in_groups
 
 RATING_KEYS = ["michelin", "whiteguide", *NUMERIC_KEYS]
 
@@ -60,25 +61,60 @@ def _first_per_source(placed: DataFrame, column: str) -> DataFrame:
 
 
 def known_merges(venues: DataFrame, idx: str = "idx") -> DataFrame:
-    """Long alias table ``(place_id, canonical_name, alias, ord)`` of a dedup run."""
+    """Long alias table ``(place_id, canonical_name, alias, pos)`` of a dedup run.
+
+    ``pos`` counts the aliases by (fewer sources later, ``idx``), the order in which they are found."""
     rank = F.struct((-F.col("source_count")).alias("less"), F.col(idx).alias("idx"))
     placed = venues.where(present(F.col("place_id"))).select("place_id", "name", rank.alias("rank"))
     keeper = placed.groupBy("place_id").agg(F.min(F.struct("rank", "name")).alias("k"))
-    return (
+    found = (
         placed.join(keeper, "place_id")
         .where(F.col("rank") != F.col("k.rank"))
-        .select("place_id", F.col("k.name").alias("canonical_name"), F.col("name").alias("alias"), F.col("rank").alias("ord"))
+        .select("place_id", F.col("k.name").alias("canonical_name"), F.col("name").alias("alias"), "rank")
     )
+    return _numbered(found, ["rank"]).select(*ALIAS_COLUMNS)
+
+
+ALIAS_COLUMNS = ["place_id", "canonical_name", "alias", "pos"]
+
+
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    return row_number_in_groups(rows, [], [F.asc(c) for c in order], "pos").withColumn("pos", F.col("pos").cast("long"))
+
+
+def donor_keepers(venues: DataFrame, idx: str = "idx") -> DataFrame:
+    """``(donor, keeper)`` of every venue that dedup folds into another."""
+    rank = F.struct((-F.col("source_count")).alias("less"), F.col(idx).alias("idx"))
+    placed = venues.where(present(F.col("place_id"))).select("place_id", F.col(idx).alias("donor"), rank.alias("rank"))
+    keeper = placed.groupBy("place_id").agg(F.min("rank")["idx"].alias("keeper"))
+    return placed.join(keeper, "place_id").where("donor != keeper").select("donor", "keeper")
+
+
+def rekey_article_refs(refs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Article references (``article_refs``) with donors' rows under their keeper, each article once per source."""
+    moved = refs.join(keepers, refs["venue_ord"] == keepers["donor"], "left").withColumn(
+        "venue_ord", F.coalesce("keeper", "venue_ord")
+    )
+    return moved.groupBy("venue_ord", "source_id", "article_id").agg(F.min("ord").alias("ord"))
+
+
+def with_mentions(venues: DataFrame, refs: DataFrame, idx: str = "idx") -> DataFrame:
+    """Venues whose sources count the articles that ``refs`` now hold for them."""
+    counts = refs.groupBy("venue_ord", "source_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    by_venue = counts.groupBy("venue_ord").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "n"))).alias("_n"))
+    counted = F.transform("sources", lambda s: s.withField("mentions", F.coalesce(F.try_element_at("_n", s["source_id"]), s["mentions"])))
+    return venues.join(by_venue, venues[idx] == by_venue["venue_ord"], "left").withColumn("sources", counted).select(*venues.columns)
 
 
 def upsert_known_merges(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Append unseen aliases per place id; the newest canonical name wins.
 
-    Both inputs: ``(place_id, canonical_name, alias, pos)`` with numeric
-    ``pos``.  Old aliases keep their place, new ones follow."""
+    Both inputs and the result: ``(place_id, canonical_name, alias, pos)`` with
+    numeric ``pos``.  Old aliases keep their order, new ones follow."""
     rows = existing.select("place_id", "canonical_name", "alias", F.lit(0).alias("run"), "pos").unionByName(
         fresh.select("place_id", "canonical_name", "alias", F.lit(1).alias("run"), "pos")
     )
     names = rows.groupBy("place_id").agg(F.max_by("canonical_name", "run").alias("canonical_name"))
     aliases = rows.groupBy("place_id", "alias").agg(F.min(F.struct("run", "pos")).alias("at"))
-    return aliases.join(names, "place_id").select("place_id", "canonical_name", "alias", "at")
+    merged = aliases.join(names, "place_id").select("place_id", "canonical_name", "alias", "at.run", F.col("at.pos").alias("found"))
+    return _numbered(merged, ["run", "found", "place_id", "alias"]).select(*ALIAS_COLUMNS)

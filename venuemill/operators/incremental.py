@@ -18,11 +18,10 @@ def append_unseen(known: DataFrame, candidates: DataFrame, key: str = "url") ->
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key, by a combining ``min`` over the whole row."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, F.struct(*rest).alias("_rest"))
-    first = df.groupBy(*keys).agg(F.min(row).alias("_row"))
-    return first.select(*keys, *[F.col(f"_row.{c}") for c in order], "_row._rest.*").select(*df.columns)
+    """First row per key; only ``order`` is compared, so rows may hold maps."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return first.select(*keys, "_row.*").select(*df.columns)
 
 
 def carry_body_text(fresh: DataFrame, previous: DataFrame) -> DataFrame:

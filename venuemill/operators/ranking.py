@@ -1,4 +1,4 @@
-"""Row numbers inside groups, also inside very large groups."""
+"""Running sums and row numbers inside groups of any size."""
 
 from __future__ import annotations
 
@@ -8,77 +8,54 @@ from pyspark.sql import functions as F
 from venuemill import fixed_values as V
 from venuemill.session import cut_lineage
 
-# A window sorts one group in one task; larger groups take the sorted path.
-WINDOW_ROWS = 5_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
 
-def row_number_in_groups(
-    df: DataFrame, groups: list[str], order: list[Column], out: str,
-    window_rows: int = WINDOW_ROWS, rows: int | None = None,
-) -> DataFrame:
-    """``row_number() over (partition by groups order by order)`` that scales.
+def running_sum_in_groups(df: DataFrame, groups: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """``sum(value) over (partition by groups order by order rows up to this one)``, whatever the groups' sizes.
 
-    ``order`` must be total within a group.  Groups of up to ``window_rows``
-    rows use a plain window.  Larger ones are sorted over the whole cluster by
-    (groups, order); a row number is then the position in its partition plus
-    the group's rows in earlier partitions.  Only the first group of a sorted
-    partition can have such rows, and large groups number at most
-    ``rows / window_rows``, so the offset table is small by construction.
-    ``rows`` is the row count when the caller knows it; counting a costly
-    ``df`` would compute it once more.
+    ``order`` must be total within a group.  The rows are sorted over the whole
+    cluster by (groups, order) and stored.  A running sum is then one inside the row's sorted
+    partition, plus the group's sums in earlier partitions; the window over
+    those has at most one row per partition and group.
     """
-    plain = Window.partitionBy(*groups).orderBy(*order)
-    if (df.count() if rows is None else rows) <= window_rows:
-        return df.withColumn(out, F.row_number().over(plain))
-    sizes = df.groupBy(*groups).count()
-    large = sizes.where(F.col("count") > window_rows).select(*groups)
-    if large.isEmpty():
-        return df.withColumn(out, F.row_number().over(plain))
-
-    same = [df[g].eqNullSafe(large[g]) for g in groups]
-    small_rows = df.join(F.broadcast(large), same, "left_anti")
-    large_rows = df.join(F.broadcast(large), same, "left_semi")
-
-    ordered = large_rows.sort(*groups, *order).withColumn("_at", F.monotonically_increasing_id())
+    at = F.col("_at")
+    ordered = df.withColumn("_v", value).sort(*groups, *order).withColumn("_at", F.monotonically_increasing_id())
     ordered = cut_lineage(ordered)  # the positions must not be recomputed
-    ordered = ordered.withColumns({
-        "_part": F.shiftright("_at", _LOCAL_BITS),
-        "_local": F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)),
-    })
-    runs = ordered.groupBy(*groups, "_part").agg(
-        F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    ordered = ordered.withColumn("_part", F.shiftright(at, _LOCAL_BITS))
+    # NULL is a group, also for the join below
+    keyed = ordered.withColumn("_group", F.struct(F.lit(0), *[F.col(g) for g in groups]))
+    local = Window.partitionBy("_group", "_part").orderBy("_at")
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = keyed.groupBy("_group", "_part").agg(F.sum("_v").alias("_sum")).select(
+        "_group", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead")
     )
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
-    runs = runs.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_part").alias("_run"), "_offset")
-    at_run = (ordered["_part"] == runs["_run"])
-    for g in groups:
-        at_run = at_run & ordered[g].eqNullSafe(runs[f"_g_{g}"])
-    numbered = ordered.join(F.broadcast(runs), at_run).withColumn(
-        out, (F.col("_local") + F.col("_offset") + 1).cast("int")
+    summed = keyed.withColumn("_local", F.sum("_v").over(local))
+    joined = summed.alias("s").join(
+        runs.alias("r"), F.col("s._group").eqNullSafe(F.col("r._group")) & (F.col("s._part") == F.col("r._part"))
     )
-    numbered = numbered.select(*df.columns, out)
-    return small_rows.withColumn(out, F.row_number().over(plain)).unionByName(numbered)
+    return joined.select("s.*", "r._ahead").withColumn(out, F.col("_local") + F.col("_ahead")).select(*df.columns, out)
+
+
+def row_number_in_groups(df: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
+    """``row_number() over (partition by groups order by order)`` as a running count."""
+    return running_sum_in_groups(df, groups, order, F.lit(1), out).withColumn(out, F.col(out).cast("int"))
 
 
-def assign_ranks(
-    df: DataFrame, idx: str = "idx", window_rows: int = WINDOW_ROWS, rows: int | None = None
-) -> DataFrame:
+def assign_ranks(df: DataFrame, idx: str = "idx") -> DataFrame:
     """National rank per category and rank per metro region.
 
     Only scored rows of the four public categories get a rank; the others get
-    0 nationally and NULL regionally.  Ties keep the order of ``idx``.
+    0 nationally and NULL regionally.  Ties keep the order of ``idx``, which is unique.
+    ``df`` is stored once; only the ranked rows' keys are sorted.
     """
+    stored = cut_lineage(df)
     ranked = F.col("category").isin(V.RANKED_CATEGORIES) & (F.col("composite_score") > 0)
     metro = F.col("metro_region").isin([m[0] for m in V.METRO_CENTRES])
     order = [F.desc("composite_score_raw"), F.asc(idx)]
-    # a flag instead of a split: one pass over the scored rows, and the
-    # regional window reuses the partitioning of the national one
-    flagged = df.withColumn("_ranked", F.coalesce(ranked, F.lit(False)))
-    national = row_number_in_groups(flagged, ["category", "_ranked"], order, "_n", window_rows, rows)
-    both = row_number_in_groups(national, ["category", "_ranked", "metro_region"], order, "_m", window_rows, rows)
-    return both.withColumns({
-        "rank_national": F.when(F.col("_ranked"), F.col("_n")).otherwise(F.lit(0)),
-        "rank_region": F.when(F.col("_ranked") & metro, F.col("_m")),
-    }).drop("_ranked", "_n", "_m")
+    slim = stored.where(ranked).select(idx, "category", "metro_region", "composite_score_raw")
+    national = row_number_in_groups(slim, ["category"], order, "rank_national").select(idx, "rank_national")
+    region = row_number_in_groups(slim.where(metro), ["category", "metro_region"], order, "rank_region").select(idx, "rank_region")
+    return stored.join(national, idx, "left").join(region, idx, "left").withColumn(
+        "rank_national", F.coalesce("rank_national", F.lit(0))
+    ).select(*df.columns, "rank_national", "rank_region")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from venuemill import fixed_values as V
 from venuemill.functions import geo, hours
 from venuemill.functions.text import blank_to_null, lookup, present, present_number, round_half_up, split_list, strip
+from venuemill.operators.ranking import row_number_in_groups
 
 NUMERIC_SERVED = ["krogguiden", "svd", "dn", "di", "falstaff", "thatsup"]
 
@@ -218,6 +219,12 @@ def sort_by_name(serving: DataFrame, collation: str = "sv") -> DataFrame:
     return serving.orderBy(F.collate(F.col("name"), collation), "idx")
 
 
+def name_positions(serving: DataFrame, collation: str = "sv") -> DataFrame:
+    """Every row with its place in the name order, counted over the whole cluster."""
+    keyed = serving.withColumn("_name", F.collate(F.col("name"), collation))
+    return row_number_in_groups(keyed, [], [F.asc("_name"), F.asc("idx")], "position").drop("_name")
+
+
 def sort_by_rank(serving: DataFrame) -> DataFrame:
     return serving.orderBy(F.asc_nulls_last("rank"), "idx")
 

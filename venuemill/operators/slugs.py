@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuemill.functions.text import present, slugify
-from venuemill.operators.ranking import WINDOW_ROWS, row_number_in_groups
+from venuemill.operators.ranking import row_number_in_groups, running_sum_in_groups
 from venuemill.session import cut_lineage
 
 
 def unique_slugs(
     venues: DataFrame, order: str = "venue_ord", out: str = "id",
-    default_city: str = "sweden", window_rows: int = WINDOW_ROWS,
+    default_city: str = "sweden",
 ) -> DataFrame:
     """``base``, ``base-2``, ``base-3`` ... by order within the base.
 
@@ -24,7 +24,7 @@ def unique_slugs(
     """
     text = F.concat_ws(" ", F.col("name"), F.when(present(F.col("city")), F.col("city")).otherwise(F.lit(default_city)))
     based = venues.withColumn("_base", slugify(text))
-    numbered = row_number_in_groups(based, ["_base"], [F.asc(order)], "_n", window_rows)
+    numbered = row_number_in_groups(based, ["_base"], [F.asc(order)], "_n")
 
     bases = based.groupBy("_base").agg(F.min(order).alias("first_ord"))
     suffix = r"^(.+)-([2-9]|[1-9][0-9]+)\z"
@@ -46,9 +46,10 @@ def unique_slugs(
     while True:
         slots = contested.join(held, "literal")
         own = slots.select(F.col("literal").alias("root"), (~F.col("held")).alias("lost"))
-        below = F.coalesce(F.sum(F.col("held").cast("long")).over(_slots_before()), F.lit(0))
+        taken = F.col("held").cast("long")
         judged = (
-            slots.withColumn("skips", below)
+            running_sum_in_groups(slots, ["root"], [F.asc("slot")], taken, "skips")
+            .withColumn("skips", F.col("skips") - taken)
             .join(own, "root", "left")
             # a base that lost its bare slug starts one slot later
             .withColumn("n", F.col("slot") - F.col("skips") - F.when(F.coalesce("lost", F.lit(False)), 1).otherwise(0))
@@ -67,26 +68,24 @@ def unique_slugs(
     touched = blocked.select("_base").unionByName(lost.select("_base")).distinct()
     plain = _with_slug(numbered.join(touched, "_base", "left_anti"), F.col("_n"), out)
 
-    by_slot = Window.partitionBy("_base").orderBy("slot")
-    # the j-th blocked slot shifts every arrival from slot - j + 1 on
+    # the j-th blocked slot shifts every arrival from slot - j + 1 on: in one
+    # order of arrivals and steps, an arrival's place counts the steps up to it
+    late = F.coalesce("_lost", F.lit(0))
     steps = (
-        blocked.withColumn("j", F.row_number().over(by_slot))
-        .groupBy("_base")
-        .agg(F.collect_list(F.col("slot") - F.col("j") + 1).alias("_steps"))
-    )
-    moved = (
-        numbered.join(touched, "_base", "left_semi")
+        row_number_in_groups(blocked, ["_base"], [F.asc("slot")], "_j")
         .join(lost, "_base", "left")
-        .join(steps, "_base", "left")
-        .withColumn("_late", F.coalesce("_lost", F.lit(0)))
+        .select("_base", (F.col("slot") - F.col("_j") + 1 - late).alias("_spot"), F.lit(0).alias("_kind"), "slot", F.lit(None).alias("_row"))
     )
-    passed = F.size(F.filter("_steps", lambda at: at - F.col("_late") <= F.col("_n")))
-    counter = F.col("_n") + F.col("_late") + F.when(F.col("_steps").isNull(), 0).otherwise(passed)
-    return plain.unionByName(_with_slug(moved, counter, out).select(*plain.columns))
-
-
-def _slots_before():
-    return Window.partitionBy("root").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    moved = numbered.join(touched, "_base", "left_semi").join(lost, "_base", "left").withColumn("_late", late).drop("_lost")
+    arrivals = moved.select(
+        "_base", F.col("_n").cast("long").alias("_spot"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("slot"),
+        F.struct(*moved.columns).alias("_row"),
+    )
+    events = steps.withColumn("_row", F.lit(None).cast(arrivals.schema["_row"].dataType)).unionByName(arrivals)
+    placed = row_number_in_groups(events, ["_base"], [F.asc("_spot"), F.asc("_kind"), F.asc("slot")], "_place")
+    shifted = placed.where("_kind = 1").select("_row.*", "_place")
+    counter = F.col("_place") + F.col("_late")
+    return plain.unionByName(_with_slug(shifted, counter, out).select(*plain.columns))
 
 
 def _with_slug(df: DataFrame, counter, out: str) -> DataFrame:

@@ -267,7 +267,7 @@ FROM a JOIN e2 USING (g) LEFT JOIN q2 USING (g)"""
 
 
 def known_merges(spark, d):
-    return dedup.known_merges(_placed(spark, d)).select("place_id", "canonical_name", "alias", F.col("ord.idx").alias("idx"))
+    return dedup.known_merges(_placed(spark, d)).select("place_id", "canonical_name", "alias", "pos")
 
 
 def upsert_known_merges(spark, d):
@@ -275,8 +275,7 @@ def upsert_known_merges(spark, d):
     p = table(spark, d, "part")
     old = p.where("p_size > 20").select(F.col("p_type").alias("place_id"), F.lit("old").alias("canonical_name"), F.col("p_name").alias("alias"), F.col("p_partkey").alias("pos"))
     new = p.where("p_size <= 30").select(F.col("p_type").alias("place_id"), F.lit("new").alias("canonical_name"), F.concat("p_name", F.lit(" "), "p_brand").alias("alias"), F.col("p_partkey").alias("pos"))
-    out = dedup.upsert_known_merges(old, new.unionByName(old.limit(0)))
-    return out.select("place_id", "canonical_name", "alias", F.col("at.run").alias("run"), F.col("at.pos").alias("pos"))
+    return dedup.upsert_known_merges(old, new)
 
 
 def guide_articles_of(spark, d):
@@ -394,11 +393,13 @@ QUERIES = {
       WHEN 5 THEN 'dn-review' WHEN 6 THEN 'svd-review' ELSE 'falstaff' END AS source_id, count(DISTINCT l_orderkey) AS articles FROM lineitem GROUP BY 1, 2"""),
     "dedup_keeper": (dedup_keeper, DEDUP_SQL),
     "known_merges": (known_merges, f"""WITH {_PLACED_SQL}
-      SELECT k.place_id, b.name AS canonical_name, k.name AS alias, k.idx FROM k JOIN k b ON b.g = k.g AND b.rn = 1 WHERE k.rn > 1 AND k.place_id IS NOT NULL"""),
+      SELECT k.place_id, b.name AS canonical_name, k.name AS alias, row_number() OVER (ORDER BY k.sc DESC, k.idx) AS pos
+      FROM k JOIN k b ON b.g = k.g AND b.rn = 1 WHERE k.rn > 1 AND k.place_id IS NOT NULL"""),
     "upsert_known_merges": (upsert_known_merges, """WITH r AS (
         SELECT p_type AS place_id, p_name AS alias, 0 AS run, p_partkey AS pos FROM part WHERE p_size > 20
         UNION ALL SELECT p_type, p_name || ' ' || p_brand, 1, p_partkey FROM part WHERE p_size <= 30)
-      SELECT place_id, 'new' AS canonical_name, alias, min(run) AS run, first(pos ORDER BY run, pos) AS pos FROM r GROUP BY place_id, alias"""),
+      SELECT place_id, 'new' AS canonical_name, alias, row_number() OVER (ORDER BY run, pos, place_id, alias) AS pos FROM (
+        SELECT place_id, alias, min(run) AS run, first(pos ORDER BY run, pos) AS pos FROM r GROUP BY place_id, alias)"""),
     "resolve_mentions": (resolve_mentions, RESOLVE_SQL),
     "merged_venues": (merged_venues, MERGED_SQL),
 }

@@ -268,10 +268,10 @@ def top_counts(spark, d):
 
 
 def sort_name(spark, d):
-    """First fifty names in Swedish order: å, ä, ö follow z."""
+    """All names with their place in Swedish order: å, ä, ö follow z."""
     first = pick(["z", "å", "ä", "ö", "a"], F.col("p_partkey") % 5)
     p = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(first, "p_name").alias("name"))
-    return serve.sort_by_name(p).limit(1200).select("idx", "name")
+    return serve.name_positions(p).select("idx", "name", F.col("position").cast("bigint").alias("position"))
 
 
 def sort_rank(spark, d):
@@ -354,7 +354,7 @@ QUERIES = {
     "cuisine_breakdown": (cuisine_breakdown, f"WITH {SERVING_SQL} SELECT coalesce(c1, 'Övrigt') AS cuisine, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15"),
     "top_counts": (top_counts, "SELECT CASE WHEN p_size % 9 > 0 THEN p_brand ELSE '(none)' END AS city, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15"),
     "sort_name": (sort_name, """WITH n AS (SELECT p_partkey AS idx, ['z', 'å', 'ä', 'ö', 'a'][p_partkey % 5 + 1] || p_name AS name FROM part)
-      SELECT idx, name FROM n ORDER BY replace(replace(replace(name, 'å', '{'), 'ä', '|'), 'ö', '}'), idx LIMIT 1200"""),
+      SELECT idx, name, row_number() OVER (ORDER BY replace(replace(replace(name, 'å', '{'), 'ä', '|'), 'ö', '}'), idx) AS position FROM n"""),
     "sort_rank": (sort_rank, f"WITH {SERVING_SQL} SELECT idx, rank FROM s ORDER BY rank ASC NULLS LAST, idx LIMIT 50"),
     "serving_rows": (serving_rows, SERVE_SQL),
     "category_tables": (category_tables, f"""WITH {SCORED_SQL} SELECT CASE category WHEN 'exclude' THEN 'excluded' ELSE category END AS part, count(*) AS n

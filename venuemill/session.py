@@ -17,7 +17,9 @@ def build_session(master: str, app_name: str = "venuemill", partitions: int = 8)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # matching expands small inputs a lot, so small partitions are worth keeping
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.maxPartitionBytes", "8m")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -25,18 +27,22 @@ def build_session(master: str, app_name: str = "venuemill", partitions: int = 8)
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    A temporary one is set only where nobody named one and all of Spark runs in this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so
-    the cut survives lost executors.  A temporary folder is set only when
-    neither the setting nor the context has one, as in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Write ``df`` to the shared checkpoint folder and read it back, so the cut survives lost executors."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
