@@ -47,11 +47,11 @@ def enrich(venues: DataFrame, places: DataFrame) -> DataFrame:
     cols = [c for c in places.columns if c not in ("venue_id", "attempt", "position")]
     top = (
         places.groupBy("venue_id", "attempt")
-        .agg(F.min(F.struct("position", F.struct(*cols).alias("place"))).alias("t"))
+        .agg(F.min_by(F.struct(*cols), "position").alias("place"))
         .groupBy("venue_id")
         .agg(
-            F.min(F.when(F.col("attempt") == "first", F.col("t.place"))).alias("first"),
-            F.min(F.when(F.col("attempt") == "retry", F.col("t.place"))).alias("retry"),
+            F.any_value(F.when(F.col("attempt") == "first", F.col("place")), F.lit(True)).alias("first"),
+            F.any_value(F.when(F.col("attempt") == "retry", F.col("place")), F.lit(True)).alias("retry"),
         )
     )
     use_retry = ~geo.is_food_type(F.col("first.primary_type")) & geo.is_food_type(F.col("retry.primary_type"))

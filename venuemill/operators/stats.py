@@ -15,6 +15,12 @@ def counts_by(df: DataFrame, key: Column, name: str, top: int | None = None) ->
     return out.limit(top) if top else out
 
 
+def counts_of(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``(what, name, n)``: rows by each of several columns, in one pass and one shuffle."""
+    cells = F.array(*[F.struct(F.lit(what).alias("what"), c.cast("string").alias("name")) for what, c in columns.items()])
+    return df.select(F.inline(cells)).groupBy("what", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def or_none(c: Column, label: str = "(none)") -> Column:
     return F.when(present(c), c).otherwise(F.lit(label))
 
@@ -67,7 +73,8 @@ def top_scored(scored: DataFrame, k: int = 20, idx: str = "idx") -> DataFrame:
 
 
 def cuisine_breakdown(serving: DataFrame, top: int = 15, other: str = "Övrigt") -> DataFrame:
-    return counts_by(serving, or_none(F.col("cuisine"), other), "cuisine", top)
+    """By a row's first cuisine."""
+    return counts_by(serving, or_none(F.element_at(F.split("cuisine", ", "), 1), other), "cuisine", top)
 
 
 def collector_stats(articles: DataFrame) -> DataFrame:
@@ -79,6 +86,14 @@ def collector_stats(articles: DataFrame) -> DataFrame:
     )
 
 
+def collector_report(articles: DataFrame) -> DataFrame:
+    """Articles by city, price, type and distinction (the first tag)."""
+    return counts_of(articles, {
+        "city": or_none(F.col("venue_city")), "price": or_none(F.col("price_range")), "type": or_none(F.col("venue_type")),
+        "distinction": or_none(F.try_element_at("tags", F.lit(1))),
+    })
+
+
 def lookup_cost(todo: DataFrame, retry_factor: float = 1.3, per_call: float = 0.032) -> DataFrame:
     calls = F.ceil(F.count(F.lit(1)) * F.lit(retry_factor))
     return todo.agg(calls.alias("calls"), F.round(calls * F.lit(per_call), 2).alias("cost"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from venuemill import schemas
 from venuemill.functions.score import PIPELINE_POLICY, composite_score, inputs_from_nested
 from venuemill.functions.geo import venue_category
-from venuemill.operators import dedup, enrich, ranking, resolve, serve
+from venuemill.operators import dedup, enrich, incremental, ranking, resolve, serve
 from venuemill.operators.consolidate import consolidate
 from venuemill.operators.slugs import unique_slugs
 from venuemill.session import cut_lineage
@@ -41,6 +41,33 @@ def refine(venues: DataFrame, places: DataFrame, keep_unplaced: bool = False) ->
     return finish_refine(cut_lineage(enriched), keep_unplaced)
 
 
+def refine_again(
+    venues: DataFrame, places: DataFrame, previous: DataFrame | None = None, lookups: DataFrame | None = None,
+    fingerprint: str | None = None, mode: str = "default", keep_unplaced: bool = False, queried_at: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(refined venues, alias rows, rejected rows, lookup cache) of an incremental run.
+
+    ``previous`` are the refined venues of the last run.  While the merged ``venues`` still have the ``fingerprint`` that was
+    stored then, they are taken as they are; otherwise new venues get their place columns by id.
+    Only what ``mode`` asks for is looked up among ``places``; hits and misses enter ``lookups``.
+    """
+    now = F.lit(queried_at) if queried_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    blank = with_place_columns(venues)
+    if previous is not None and fingerprint is not None and not incremental.is_stale(venues, fingerprint):
+        start = previous.select(*blank.columns)
+    else:
+        start = enrich.carry_over(blank, previous).drop("carried") if previous is not None else blank
+    start = cut_lineage(start)  # read for the lookups, the looked up and the others
+    if lookups is None:
+        lookups = venues.sparkSession.createDataFrame([], "id string, place_id string, queried_at string")
+    todo = enrich.needs_enrichment(start, lookups, mode).select("id")
+    asked = enrich.enrich(start.join(todo, "id", "left_semi"), places)
+    asked = cut_lineage(asked.select(*start.columns))
+    cache = incremental.update_lookups(lookups, asked.select("id", "place_id", now.alias("queried_at")))
+    rest = start.join(todo, "id", "left_anti").select(*start.columns)
+    return (*finish_refine(cut_lineage(rest.unionByName(asked)), keep_unplaced), cache)
+
+
 def finish_refine(enriched: DataFrame, keep_unplaced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     aliases = dedup.known_merges(enriched)
     kept, rejected = enrich.cleanup(dedup.dedup_by_place(enriched), keep_unplaced)

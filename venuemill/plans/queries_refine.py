@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuemill import schemas
 from venuemill.operators import enrich, incremental, stats
 from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
+from venuemill.session import cut_lineage
 from venuemill.sources import articles as A
 
 
@@ -97,7 +101,7 @@ FROM e WHERE place_id IS NOT NULL AND business_status = 'OPERATIONAL' GROUP BY 1
 
 def needs_lookup(spark, d):
     """Rows to look up in each mode; users with purchases are the cache."""
-    e = enrich.enrich(_venues(spark, d), _candidates(spark, d))
+    e = cut_lineage(enrich.enrich(_venues(spark, d), _candidates(spark, d)))  # read once for each mode
     seen = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("id")).distinct()
     parts = [enrich.needs_enrichment(e, seen, "default").withColumn("mode", F.lit("default")), enrich.needs_enrichment(e, seen, "backfill").withColumn("mode", F.lit("backfill")),
              enrich.needs_enrichment(e, seen, "force", limit=25).withColumn("mode", F.lit("limit")), enrich.needs_enrichment(e, seen, target_id="7").withColumn("mode", F.lit("target"))]
@@ -180,10 +184,17 @@ def until_cutoff(spark, d):
 
 
 def fingerprint(spark, d):
-    """Orders in two layouts have one fingerprint."""
+    """Fingerprints of the orders in two layouts, without one row, and with one value changed."""
     o = table(spark, d, "orders")
-    prints = [incremental.table_fingerprint(x) for x in (o, o.repartition("o_custkey"))]
-    return prints[0].unionByName(prints[1]).agg(F.count_distinct("fingerprint").alias("distinct_prints"))
+    last = F.col("o_orderkey") == o.agg(F.max("o_orderkey")).scalar()
+    variants = {
+        "same": o, "moved": o.repartition("o_custkey"), "shorter": o.where(~last),
+        "changed": o.withColumn("o_orderpriority", F.when(last, F.lit("none")).otherwise(F.col("o_orderpriority"))),
+    }
+    prints = reduce(DataFrame.unionByName, [incremental.table_fingerprint(x).withColumn("variant", F.lit(v)) for v, x in variants.items()])
+    first = prints.where("variant = 'same'").select("fingerprint").scalar()
+    hexes = F.col("fingerprint").rlike("^[0-9a-f]{16}$")
+    return prints.select("variant", hexes.alias("well_formed"), (F.col("fingerprint") == first).alias("as_before"))
 
 
 def renormalized(spark, d):
@@ -222,7 +233,8 @@ QUERIES = {
     "lookup_cache": (lookup_cache, """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error' THEN 'p' || event_id END AS place_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '-' || printf('%09d', event_id) AS queried_at FROM events)
       SELECT id, place_id, queried_at FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY queried_at DESC) = 1"""),
     "until_cutoff": (until_cutoff, "SELECT event_id FROM events WHERE event_id < coalesce((SELECT min(event_id) FROM events WHERE printf('%06.2f', 999 - value) < '620.00'), 9223372036854775807)"),
-    "fingerprint": (fingerprint, "SELECT CAST(count(*) > 0 AS BIGINT) AS distinct_prints FROM orders"),
+    "fingerprint": (fingerprint, """SELECT v AS variant, (SELECT count(*) > 0 FROM orders) AS well_formed, v IN ('same', 'moved') AS as_before
+      FROM (VALUES ('same'), ('moved'), ('shorter'), ('changed')) t(v)"""),
     "renormalized": (renormalized, "SELECT count(*) AS rows, count(*) FILTER (p_partkey % 4 IN (1, 2) OR p_partkey % 5 = 0) AS changed FROM part"),
     "collector_stats": (collector_stats, "SELECT o_orderpriority AS source_id, count(*) AS articles, count(*) FILTER (o_orderkey % 3 > 0 AND o_orderkey % 26 > 0) AS with_score, min(CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 26 AS DOUBLE) END) AS min_score, max(CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 26 AS DOUBLE) END) AS max_score FROM orders GROUP BY 1"),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuemill.functions import display, geo, hours
@@ -259,7 +262,7 @@ def facet_list(spark, d):
 
 
 def cuisine_breakdown(spark, d):
-    return stats.counts_by(P.serving_parts(spark, d), stats.or_none(F.element_at(F.split("cuisine", ", "), 1), "Övrigt"), "cuisine", 15)
+    return stats.cuisine_breakdown(P.serving_parts(spark, d))
 
 
 def top_counts(spark, d):
@@ -306,8 +309,9 @@ WHERE r.p_size % 10 <= 6 OR r.n % 6 <= 3 OR f.mx >= 48 OR f.mn <= 2 OR r.p_size
 
 def category_tables(spark, d):
     """Rows of the public tables, counted per table."""
-    s = serve.serving_rows(ranked(spark, d))
-    return s.groupBy(F.when(F.col("category").isin("restaurant", "bar", "fika", "hotel"), F.col("category")).otherwise(F.lit("excluded")).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    tables = serve.split_categories(serve.serving_rows(ranked(spark, d)))
+    named = [rows.select(F.lit(name).alias("part")) for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, named).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sitemap_rows(spark, d):

@@ -1,6 +1,7 @@
 """All registered queries: name -> (query, SQL or None)."""
 
 from venuemill.plans import (
+    queries_loop,
     queries_match,
     queries_pages,
     queries_refine,
@@ -16,4 +17,5 @@ ALL = {
     **queries_serve.QUERIES,
     **queries_pages.QUERIES,
     **queries_refine.QUERIES,
+    **queries_loop.QUERIES,
 }
