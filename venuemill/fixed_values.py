@@ -135,6 +135,18 @@ ENTITIES_GUIDE = [
     ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Aring;", "Å"), ("&ndash;", "–"),
     ("&mdash;", "—"), ("&nbsp;", " "),
 ]
+# names of character references that pages of these guides use, by the HTML standard
+ENTITY_NAMES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0",
+    "auml": "ä", "ouml": "ö", "aring": "å", "Auml": "Ä", "Ouml": "Ö", "Aring": "Å",
+    "eacute": "é", "Eacute": "É", "egrave": "è", "Egrave": "È", "ecirc": "ê", "euml": "ë",
+    "agrave": "à", "Agrave": "À", "aacute": "á", "acirc": "â", "aelig": "æ", "AElig": "Æ",
+    "oslash": "ø", "Oslash": "Ø", "oacute": "ó", "ocirc": "ô", "uuml": "ü", "Uuml": "Ü",
+    "uacute": "ú", "ugrave": "ù", "iacute": "í", "icirc": "î", "iuml": "ï", "ccedil": "ç",
+    "Ccedil": "Ç", "ntilde": "ñ", "szlig": "ß", "ndash": "–", "mdash": "—", "hellip": "…",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
+    "bull": "•", "middot": "·", "copy": "©", "reg": "®", "deg": "°", "frac12": "½", "euro": "€",
+}
 PAYWALL_PHRASES = ["Redan prenumerant", "Logga in för"]
 NON_VENUE_TITLE_PREFIXES = [
     r"krogkommissionen", r"elin\s+peters", r"studio\s+dn", r"kk\s+tipsar",

@@ -34,15 +34,31 @@ def page_links(spark, d):
 
 
 def article_text(spark, d):
-    t = X.article_text(F.col("html"))
+    """Article paragraphs of all pages, in the three kinds of elements that hold them, with planted references."""
+    k = F.col("page_id") % 3
+    opening = F.when(k == 1, F.lit('<section class="main article__body">')).when(k == 2, F.lit("<section class='news-article wide'>")).otherwise(F.lit("<article>"))
+    html = F.replace(F.replace("html", F.lit("<article>"), opening), F.lit("</article>"), F.when(k > 0, F.lit("</section>")).otherwise(F.lit("</article>")))
+    t = X.article_text(F.concat(html, F.lit("<article class='x'><p>Plant&#233; caf&eacute; &amp; th&#xE9; &unknown; as it is.</p></article>")))
     return table(spark, d, "pages").select("page_id", F.md5(t).alias("digest"), F.length(t).alias("chars"))
 
 
-ARTICLE_SQL = r"""
-WITH a AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<article[^>]*>(.*?)</article>', 1), ' ') AS body FROM pages),
+def _decoded_sql(x):
+    for name, char in (("&#233;", "é"), ("&eacute;", "é"), ("&#xE9;", "é"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+_PARAGRAPHS_SQL = r"""
+a AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<article\b[^>]*>.*?</article>|<section\b[^>]*\sclass=["''][^"'']*article[^"'']*["''][^>]*>.*?</section>', 0), ' ') AS body FROM h),
 s AS (SELECT page_id, string_split_regex(body, '(?i)<p(?:\s[^>]*)?>')[2:] AS parts FROM a),
-p AS (SELECT page_id, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '(?is)</p>.*', ''), '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')) AS ps FROM s),
-t AS (SELECT page_id, coalesce(array_to_string(list_filter(ps, lambda x: length(x) > 20 AND NOT contains(x, 'Redan prenumerant') AND NOT contains(x, 'Logga in för')), chr(10) || chr(10)), '') AS t FROM p)
+p AS (SELECT page_id, list_transform(parts, lambda x: regexp_replace(""" + _decoded_sql(r"""regexp_replace(regexp_replace(x, '(?is)</p>.*', ''), '<[^>]*>', '', 'g')""") + r""", '^\s+|\s+$', '', 'g')) AS ps FROM s),
+t AS (SELECT page_id, coalesce(array_to_string(list_filter(ps, lambda x: length(x) > 20 AND NOT contains(x, 'Redan prenumerant') AND NOT contains(x, 'Logga in för')), chr(10) || chr(10)), '') AS t FROM p)"""
+
+ARTICLE_SQL = r"""
+WITH h AS (
+  SELECT page_id, replace(replace(html, '<article>', CASE page_id % 3 WHEN 1 THEN '<section class="main article__body">' WHEN 2 THEN '<section class=''news-article wide''>' ELSE '<article>' END),
+    '</article>', CASE page_id % 3 WHEN 0 THEN '</article>' ELSE '</section>' END) || '<article class=''x''><p>Plant&#233; caf&eacute; &amp; th&#xE9; &unknown; as it is.</p></article>' AS html FROM pages
+),""" + _PARAGRAPHS_SQL + """
 SELECT page_id, md5(t) AS digest, CAST(length(t) AS INT) AS chars FROM t"""
 
 
@@ -50,7 +66,7 @@ def page_meta(spark, d):
     """Meta tags added to every page, read back in either attribute order."""
     html = F.concat(
         F.lit('<head><meta property="og:title" content="'), "url", F.lit("\"><meta content='2024-01-02' property='article:published_time' />"),
-        F.lit('<META property="og:description" name="d" content="it\'s '), F.col("page_id").cast("string"), F.lit('"></head>'), F.col("html"))
+        F.lit('<META property="og:description" name="d" content="it&#39;s Mat &amp; Vin &#x26;amp; '), F.col("page_id").cast("string"), F.lit('"></head>'), F.col("html"))
     return X.page_metadata(table(spark, d, "pages").withColumn("html", html))
 
 
@@ -311,16 +327,16 @@ def review_page_articles(spark, d):
     return X.review_articles(table(spark, d, "pages"), STAMP).select("id", "url", "title", "content_type", "venue_name", F.length("body_text").alias("chars"))
 
 
-REVIEW_PAGES_SQL = ARTICLE_SQL.replace("SELECT page_id, md5(t) AS digest, CAST(length(t) AS INT) AS chars FROM t", """
+REVIEW_PAGES_SQL = "WITH h AS (SELECT page_id, html FROM pages)," + _PARAGRAPHS_SQL + """
 SELECT sha256('svd-review:' || url)[1:16] AS id, url, replace(string_split(url, '/')[-1], '-', ' ') AS title,
-  CASE WHEN contains(url, 'recension') THEN 'review' ELSE 'listing' END AS content_type, '' AS venue_name, CAST(length(t) AS INT) AS chars FROM t JOIN pages USING (page_id)""")
+  CASE WHEN contains(url, 'recension') THEN 'review' ELSE 'listing' END AS content_type, '' AS venue_name, CAST(length(t) AS INT) AS chars FROM t JOIN pages USING (page_id)"""
 
 QUERIES = {
     "html_text": (html_text, f"SELECT page_id, md5({_STRIP_SQL}) AS digest, CAST(length({_STRIP_SQL}) AS INT) AS chars FROM pages"),
     "page_links": (page_links, """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)href=["'']([^"''<>\\s]+)["'']', 1) AS hs FROM pages)
       SELECT page_id, CAST(unnest(range(len(hs))) AS INT) AS pos, unnest(hs) AS href FROM l"""),
     "article_text": (article_text, ARTICLE_SQL),
-    "page_meta": (page_meta, "SELECT url, url AS og_title, 'it''s ' || page_id AS og_description, '2024-01-02' AS published_at FROM pages"),
+    "page_meta": (page_meta, "SELECT url, url AS og_title, 'it''s Mat & Vin &amp; ' || page_id AS og_description, '2024-01-02' AS published_at FROM pages"),
     "discovered": (discovered, """SELECT DISTINCT 'https://www.svd.se/a/x' || (page_id % 40) || CASE page_id % 3 WHEN 0 THEN '/recension-a' ELSE '/krogen' END AS found FROM pages WHERE page_id % 3 < 2
       UNION ALL SELECT DISTINCT 'slug-' || (page_id % 25) FROM pages"""),
     "ld_reviews": (ld_reviews, """SELECT 'https://p.example/' || p_partkey || '-recension' AS url, p_name AS name, 'Gatan ' || p_size AS address, 'mellan' AS price_range,

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
 from venuemill.functions import text
+from venuemill.functions.entities import decode_entities
 from venuemill.functions.text import blank_to_null, present
 
+# an article element, or one whose class holds "article", up to its closing tag
+_ARTICLE = r"""(?is)<(article)\b[^>]*>.*?</article>|<(\w+)\b[^>]*\sclass=(?:"[^"]*article[^"]*"|'[^']*article[^']*')[^>]*>.*?</\2>"""
 _LD_BLOCK = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
@@ -163,7 +166,7 @@ def list_articles(nodes: DataFrame, collected_at: str, fallback: str = "restaura
 def meta_content(html: Column, prop: str) -> Column:
     """Content of the first meta tag with this property; empty when absent."""
     tag = F.regexp_extract(html, rf"""(?is)(<meta[^>]*property=["']{prop}["'][^>]*>)""", 1)
-    return F.regexp_extract(tag, r"""(?is)content=(["'])(.*?)\1""", 2)
+    return decode_entities(F.regexp_extract(tag, r"""(?is)content=(["'])(.*?)\1""", 2))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -176,12 +179,17 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def _plain(fragment: Column) -> Column:
-    return text.strip(F.regexp_replace(fragment, "<[^>]*>", ""))
+    return text.strip(decode_entities(F.regexp_replace(fragment, "<[^>]*>", "")))
 
 
 def article_text(html: Column) -> Column:
-    """Paragraphs of the article over 20 characters, without paywall lines."""
-    body = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<article[^>]*>(.*?)</article>"), 1), " ")
+    """Paragraphs of the article over 20 characters, without paywall lines.
+
+    A paragraph belongs to it inside an ``article`` element or any element whose class
+    holds "article" (so also "article__body"); the outermost such element counts.
+    """
+    inside = F.regexp_extract_all(html, F.lit(_ARTICLE), 0)
+    body = F.array_join(inside, " ")
     paragraphs = F.transform(
         # a paragraph ends where the next one starts, closed or not
         F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"), 1), _plain
@@ -242,7 +250,7 @@ def review_articles(pages: DataFrame, collected_at: str) -> DataFrame:
 
 
 def _attr(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?is)\s{name}=["']([^"']*)["']""", 1)
+    return decode_entities(F.regexp_extract(tag, rf"""(?is)\s{name}=["']([^"']*)["']""", 1))
 
 
 def _by_class(fragment: Column, cls: str) -> Column:
