@@ -31,13 +31,13 @@ def names(rng, n):
     return [typo(rng, " ".join(rng.sample(WORDS, rng.choice([1, 2, 2, 3, 4])))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("threshold,hot_floor", [(0.85, 16), (0.85, 1), (0.90, 1), (0.6, 3)])
-def test_similarity_join_is_lossless(spark, threshold, hot_floor):
-    rng = random.Random(hot_floor)
+@pytest.mark.parametrize("threshold,seed", [(0.85, 16), (0.85, 1), (0.90, 1), (0.6, 3)])
+def test_similarity_join_is_lossless(spark, threshold, seed):
+    rng = random.Random(seed)
     left = sorted(set(names(rng, 220) + ["pizza " + w for w in WORDS] + ["aa", "ab", "a", "abcdef", "abcdeg"]))
     right = sorted(set(names(rng, 220) + left[::2]))
     frame = lambda ks: spark.createDataFrame([(k,) for k in ks + ks[:9]], "key string")
-    got = fuzzy.similar_name_keys(frame(left), frame(right), threshold, hot_floor=hot_floor).collect()
+    got = fuzzy.similar_name_keys(frame(left), frame(right), threshold).collect()
     want = {(a, b): sequential.ratio(a, b) for a in left for b in right if a and b and a != b}
     want = {k: v for k, v in want.items() if v >= threshold}
     assert {(r.left_key, r.right_key): r.name_similarity for r in got} == want

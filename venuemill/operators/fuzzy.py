@@ -1,29 +1,19 @@
 """Lossless similarity join of name keys, without comparing all pairs.
 
 ``1 - d / longer >= t`` bounds the edit distance ``d``.  Names on the indexed
-side are cut into ``k + 3`` segments, where ``k`` is the largest distance any
+side are cut into ``k + 1`` segments, where ``k`` is the largest distance any
 partner may have; ``k`` edits can spoil at most ``k`` segments, so every match
-keeps at least three (the PassJoin partition scheme, Li et al., PVLDB 5(3),
-2011, with two spare segments).  A kept segment shifts by some ``s`` with
-``|s| + |length difference - s| <= k``, as the edits left and right of it add
-up.
+keeps one (the PassJoin partition scheme, Li et al., PVLDB 5(3), 2011).  A kept
+segment shifts by some ``s`` with ``|s| + |length difference - s| <= k``, as the
+edits left and right of it add up.
 
-The spare segments cope with skew.  A segment held by very many names
-("pizzeria ...") is *hot* and is never joined on alone:
-
-* a match that keeps a cold segment is found through that segment;
-* a match that keeps only hot ones keeps three, and is found through those
-  three together;
-* three that are hot together (one common word may span them) need in addition
-  a piece of the text outside them.
-
-Nothing is lost, and a common word alone never brings its names together.
+Candidates are never stored: the join on segments computes the bounded distance
+and what is wanted of it (the best venue, whether any founder matches) is aggregated on the spot, so
+names that nearly all resemble each other cost comparisons but no table of pairs.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +24,10 @@ from venuemill.functions.similarity import (
     similarity_ratio,
 )
 from venuemill.functions.text import street_number
+from venuemill.operators.ranking import row_number_in_groups
 from venuemill.session import cut_lineage
 
-# share of the indexed names that makes a segment hot; at most
-# ``segments / HOT_SHARE`` of them can exist, which bounds the broadcast
-HOT_SHARE = 1e-5
-HOT_FLOOR = 16
 _EPS = 1e-9
-_SPARE = 3
 
 
 def _max_edits(length: Column, threshold: float) -> Column:
@@ -55,6 +41,10 @@ def _segment_start(i: Column, length: Column, parts: Column) -> Column:
     return (F.floor(i * length / parts) + 1).cast("int")
 
 
+def _signature(no: Column, text: Column) -> Column:
+    return F.concat_ws(":", no.cast("string"), text)
+
+
 def _shifts(threshold: float) -> dict[str, Column]:
     """Edit bound and shift bounds of a query key of length ``own`` against
     indexed keys of length ``len``."""
@@ -66,21 +56,19 @@ def _shifts(threshold: float) -> dict[str, Column]:
 
 
 def _segments(keys: DataFrame, threshold: float) -> DataFrame:
-    """One row per indexed key and segment: (key, len, no, text, pos)."""
+    """One row per indexed name and segment: (key, right, len, sig)."""
     n = F.length("key")
-    base = keys.select("key", n.alias("len"), (_max_edits(n, threshold) + _SPARE).alias("parts"))
-    base = base.where(F.col("parts") > _SPARE)  # shorter names only match when equal
+    base = keys.select("key", "right", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
+    base = base.where("parts > 1")  # shorter names only match when equal
 
     def cut(i: Column) -> Column:
         start = _segment_start(i, F.col("len"), F.col("parts"))
         end = _segment_start(i + 1, F.col("len"), F.col("parts"))
-        return F.struct(
-            i.alias("no"), F.substring(F.col("key"), start, end - start).alias("text"), start.alias("pos")
-        )
+        return _signature(i, F.substring(F.col("key"), start, end - start))
 
     return base.select(
-        "key", "len",
-        F.inline(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)),
+        F.col("key").alias("right_key"), "right", "len",
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)).alias("sig"),
     )
 
 
@@ -88,12 +76,12 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
     """Substrings of each query key that could be a segment of a partner."""
     n = F.length("key")
     base = (
-        keys.select("key", n.alias("own"))
+        keys.select("key", "left", n.alias("own"))
         .withColumn("shortest", F.ceil(F.col("own") * F.lit(threshold) - F.lit(_EPS)).cast("int"))
         .withColumn("longest", F.floor(F.col("own") / F.lit(threshold) + F.lit(_EPS)).cast("int"))
         .where("own > 0")
-        .select("key", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
-        .withColumn("parts", _max_edits(F.col("len"), threshold) + _SPARE)
+        .select("key", "left", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
+        .withColumn("parts", _max_edits(F.col("len"), threshold) + 1)
         .withColumns(_shifts(threshold))
         .where("k > 0")
     )
@@ -104,197 +92,96 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         first = F.greatest(F.lit(1), start - F.col("back"))
         last = F.least(F.col("own") - width + 1, start + F.col("ahead"))
         spots = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            spots,
-            lambda p: F.struct(i.alias("no"), F.substring(F.col("key"), p, width).alias("text"), p.alias("pos")),
-        )
-
-    spots = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), windows))
-    return base.select("key", "len", F.inline(spots))
+        return F.transform(spots, lambda p: _signature(i, F.substring(F.col("key"), p, width)))
 
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), windows))
+    return base.select(F.col("key").alias("left_key"), "left", "len", F.explode(F.array_distinct(found)).alias("sig"))
 
-def _part(no: Column, piece: Column) -> Column:
-    return F.concat_ws(":", no.cast("string"), piece)
 
+def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:
+    """Rows of both sides whose *different* keys have a similarity of at least ``threshold``.
 
-def _cold(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Cold segments, each a signature of its own."""
-    return rows.join(F.broadcast(hot), ["len", "no", "text"], "left_anti").select(
-        "key", "len", _part(F.col("no"), F.col("text")).alias("sig")
-    )
-
-
-def _threes(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Hot segments in ordered threes, with the text outside them."""
-    held = (
-        rows.join(F.broadcast(hot), ["len", "no", "text"], "left_semi")
-        .groupBy("key", "len")
-        .agg(F.array_sort(F.collect_list(F.struct("no", "pos", "text"))).alias("held"))
-    )
-
-    def end(x: Column) -> Column:
-        return x["pos"] + F.length(x["text"])
-
-    # a key has few segments and windows, so these lists are short by nature
-    def after(x: Column) -> Column:
-        return F.filter(F.col("held"), lambda y: (y["no"] > x["no"]) & (y["pos"] >= end(x)))
-
-    def three(a: Column, b: Column, c: Column) -> Column:
-        key = F.col("key")
-        rest = F.concat(
-            F.substring(key, F.lit(1), a["pos"] - 1),
-            F.substring(key, end(a), b["pos"] - end(a)),
-            F.substring(key, end(b), c["pos"] - end(b)),
-            F.substring(key, end(c), F.length(key)),
-        )
-        sig = F.concat_ws(":", *[_part(x["no"], x["text"]) for x in (a, b, c)])
-        return F.struct(sig.alias("sig"), rest.alias("rest"))
-
-    def threes(a: Column) -> Column:
-        return F.flatten(F.transform(after(a), lambda b: F.transform(after(b), lambda c: three(a, b, c))))
-
-    return held.select("key", "len", F.inline(F.flatten(F.transform("held", threes))))
-
-
-def _refined(threes: DataFrame, threshold: float, query: bool) -> DataFrame:
-    """Threes that are hot themselves, each with one piece of the rest.
-
-    Outside three kept segments the two names still differ by at most ``k``
-    edits, so of ``k + 1`` pieces of the indexed rest one is kept, with the
-    same shift bounds as before."""
-    own = F.length("key") if query else F.col("len")
-    base = threes.withColumn("own", own).withColumns(_shifts(threshold)).withColumns({
-        "size": F.length("rest") - F.col("diff"),
-        "pieces": _max_edits(F.col("len"), threshold) + 1,
-    })
-
-    def piece(i: Column) -> Column:
-        start = _segment_start(i, F.col("size"), F.col("pieces"))
-        width = _segment_start(i + 1, F.col("size"), F.col("pieces")) - start
-        if not query:
-            return F.array(_part(i, F.substring(F.col("rest"), start, width)))
-        first = F.greatest(F.lit(1), start - F.col("back"))
-        last = F.least(F.length("rest") - width + 1, start + F.col("ahead"))
-        spots = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda p: _part(i, F.substring(F.col("rest"), p, width)))
-
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), piece))
-    return base.select("key", "len", "sig", F.explode(F.array_distinct(parts)).alias("piece")).select(
-        "key", "len", F.concat_ws("#", "sig", "piece").alias("sig")
-    )
-
-
-def similar_name_keys(
-    left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD,
-    hot_share: float = HOT_SHARE, hot_floor: int = HOT_FLOOR,
-) -> DataFrame:
-    """Pairs of *different* keys with name similarity of at least ``threshold``.
-
-    ``left`` and ``right`` have one string column ``key``; copies are removed
-    first, so a name that fills a third of the rows is compared once.
-    Returns ``(left_key, right_key, name_similarity)``.
+    ``left`` has (key, left), ``right`` has (key, right); the second columns are
+    whatever the caller wants to keep of a row.  Returns (left_key, left, right_key, right,
+    name_similarity).  A pair comes once for each segment that it shares, so
+    the caller aggregates.
     """
-    queries = left.select("key").where("key <> ''").distinct()
-    indexed = right.select("key").where("key <> ''").distinct()
-    segments = _segments(indexed, threshold)
-    limit = max(hot_floor, math.ceil(indexed.count() * hot_share))
-    hot = (
-        segments.groupBy("len", "no", "text").count()
-        .where(F.col("count") > limit)
-        .select("len", "no", "text")
-    )
-    probes = _probes(queries, threshold)
-    # both are read twice below
-    l_threes, r_threes = cut_lineage(_threes(probes, hot)), cut_lineage(_threes(segments, hot))
-    hot_threes = (
-        r_threes.groupBy("len", "sig").count().where(F.col("count") > limit).select("len", "sig")
-    )
-
-    def signatures(rows: DataFrame, threes: DataFrame, query: bool) -> DataFrame:
-        crowded = F.broadcast(hot_threes)
-        plain = threes.join(crowded, ["len", "sig"], "left_anti").select("key", "len", "sig")
-        fine = _refined(threes.join(crowded, ["len", "sig"], "left_semi"), threshold, query)
-        return _cold(rows, hot).unionByName(plain).unionByName(fine)
-
-    l = signatures(probes, l_threes, True).withColumnRenamed("key", "left_key")
-    r = signatures(segments, r_threes, False).withColumnRenamed("key", "right_key")
+    l = _probes(left.where("key <> ''"), threshold)
+    r = _segments(right.where("key <> ''"), threshold)
     longest = F.greatest(F.length("left_key"), F.length("right_key"))
     bound = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
+    # the bounded distance stops early and is -1 beyond the bound
+    edits = F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), bound)
+    similarity = F.lit(1.0) - edits / longest
     return (
         l.join(r, ["len", "sig"])
-        .where("left_key <> right_key")
-        # the bounded distance stops early and is -1 beyond the bound
-        .where(F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), bound) >= 0)
-        .where(similarity_ratio(F.col("left_key"), F.col("right_key")) >= F.lit(threshold))
-        .select("left_key", "right_key")
-        .distinct()
-        .withColumn("name_similarity", similarity_ratio(F.col("left_key"), F.col("right_key")))
+        .where((F.col("left_key") != F.col("right_key")) & (edits >= 0))
+        .select("left_key", "left", "right_key", "right", similarity.alias("name_similarity"))
+        .where(F.col("name_similarity") >= F.lit(threshold))
     )
 
 
-def best_fuzzy_match(
-    rows: DataFrame, venues: DataFrame, pairs: DataFrame, earlier_only: bool = False
-) -> DataFrame:
+def similar_name_keys(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:
+    """Distinct pairs ``(left_key, right_key, name_similarity)`` of different keys.
+
+    For inspection and small sides: the result has a row for every similar pair."""
+    one = left.select("key").distinct().withColumn("left", F.lit(0))
+    two = right.select("key").distinct().withColumn("right", F.lit(0))
+    return near_names(one, two, threshold).select("left_key", "right_key", "name_similarity").distinct()
+
+
+_RANK_STEP = 10**13  # above any number of venues
+
+
+def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = False) -> DataFrame:
     """Best fuzzy partner of each row.
 
     ``rows``: row_id, key, address, city, threshold (and ``ord`` when
     ``earlier_only``).  ``venues``: venue_ord, key, address, city.  Venues in
-    the row's city go first; any venue is tried only for rows that found none
+    the row's city go first; any venue counts only for rows that found none
     there.  Highest combined score wins, then the earliest venue.
 
-    The winner is kept by a ``min`` over a struct, which combines on the map
-    side, so a row with many candidates never gathers them.
+    Score and venue number make one decimal, so both minima (in the city, anywhere) are kept by one
+    hash aggregation that combines on the map side, straight from the join.
     """
     r = rows.withColumns({
         "row_place": F.when(F.coalesce(F.col("address") != "", F.lit(False)), street_number(F.col("address"))),
         "row_city": F.lower("city"),
     }).drop("address", "city")
     v = venues.select(
-        F.col("venue_ord"), F.col("key").alias("right_key"), F.lower("city").alias("venue_city"),
+        F.col("venue_ord"), "key", F.lower("city").alias("venue_city"),
         F.when(F.coalesce(F.col("address") != "", F.lit(False)), street_number(F.col("address"))).alias("venue_place"),
     )
     if not earlier_only:
         # copies of a venue (same key, city, place) can only win by being
         # first, and copies of a row get the same answer
-        v = v.groupBy("right_key", "venue_city", "venue_place").agg(F.min("venue_ord").alias("venue_ord"))
+        v = v.groupBy("key", "venue_city", "venue_place").agg(F.min("venue_ord").alias("venue_ord"))
         alike = F.to_json(F.struct("key", "row_place", "row_city", "threshold"))
         members = r.select("row_id", alike.alias("alike"))
         r = r.select(alike.alias("row_id"), "key", "row_place", "row_city", "threshold").dropDuplicates(["row_id"])
-
-    near = r.join(pairs.withColumnRenamed("left_key", "key"), "key").where("name_similarity >= threshold")
-    address_sim = F.coalesce(address_similarity(F.col("row_place"), F.col("venue_place")), F.lit(0.0))
-
-    def winners(candidates: DataFrame) -> DataFrame:
-        if earlier_only:
-            candidates = candidates.where("venue_ord < ord")
-        scored = candidates.withColumn("address_similarity", address_sim)
-        combined = combined_score(F.col("name_similarity"), F.col("address_similarity"))
-        return (
-            scored.select(
-                "row_id", "venue_ord",
-                F.struct(
-                    (-combined).alias("minus_combined"), "venue_ord", "name_similarity",
-                    "address_similarity",
-                ).alias("rank"),
-            )
-            .groupBy("row_id")
-            .agg(F.min("rank").alias("best"))
-        )
-
-    in_city = winners(
-        near.where("coalesce(row_city, '') <> ''").join(
-            v, (near["right_key"] == v["right_key"]) & (near["row_city"] == v["venue_city"])
-        )
+    v = cut_lineage(row_number_in_groups(v, [], [F.asc("venue_ord")], "venue_no").withColumn("venue_no", F.col("venue_no").cast("long")))
+
+    met = near_names(
+        r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left")),
+        v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right")),
+    ).where("name_similarity >= left.threshold")
+    if earlier_only:
+        met = met.where("right.venue_ord < left.ord")
+    place_sim = F.coalesce(address_similarity(F.col("left.row_place"), F.col("right.venue_place")), F.lit(0.0))
+    worse = F.floor((F.lit(2.0) - combined_score(F.col("name_similarity"), place_sim)) * F.lit(1e12)).cast("decimal(38,0)")
+    in_city = F.coalesce((F.col("left.row_city") != "") & (F.col("left.row_city") == F.col("right.venue_city")), F.lit(False))
+    ranked = met.select(
+        F.col("left.row_id").alias("row_id"), in_city.alias("near"),
+        (worse * F.lit(_RANK_STEP).cast("decimal(38,0)") + F.col("right.venue_no")).cast("decimal(38,0)").alias("rank"),
     )
-    in_city = cut_lineage(in_city)  # used for the result and to exclude its rows
-    anywhere = winners(near.join(in_city.select("row_id"), "row_id", "left_anti").join(v, "right_key"))
-    best = in_city.unionByName(anywhere)
+    best = ranked.groupBy("row_id").agg(F.min(F.when(F.col("near"), F.col("rank"))).alias("here"), F.min("rank").alias("any"))
+    winners = best.select("row_id", (F.coalesce("here", "any") % F.lit(_RANK_STEP).cast("decimal(38,0)")).cast("long").alias("venue_no"))
+
+    full = winners.join(r.withColumnRenamed("key", "left_key"), "row_id").join(v.withColumnRenamed("key", "right_key"), "venue_no")
+    scored = full.withColumns({
+        "name_similarity": similarity_ratio(F.col("left_key"), F.col("right_key")),
+        "address_similarity": F.coalesce(address_similarity(F.col("row_place"), F.col("venue_place")), F.lit(0.0)),
+    }).withColumn("combined_score", combined_score(F.col("name_similarity"), F.col("address_similarity")))
     if not earlier_only:
-        best = members.join(best.withColumnRenamed("row_id", "alike"), "alike").drop("alike")
-    return best.select(
-        "row_id",
-        F.col("best.venue_ord").alias("venue_ord"),
-        F.col("best.name_similarity").alias("name_similarity"),
-        F.col("best.address_similarity").alias("address_similarity"),
-        (-F.col("best.minus_combined")).alias("combined_score"),
-    )
+        scored = members.join(scored.withColumnRenamed("row_id", "alike"), "alike").drop("alike")
+    return scored.select("row_id", "venue_ord", "name_similarity", "address_similarity", "combined_score")

@@ -6,9 +6,11 @@ in that sequence (same key, alias, or similar name) or founds one.
 
 A row founds exactly when it may found and no earlier *founder* matches it, so
 the founders are the lexicographically first maximal independent set of the
-"matches" graph.  Parallel rounds find the same set: whatever has no earlier
-open neighbour founds, its neighbours are matched, repeat.  Copies of a name
-need one node each, so hot names cost nothing here.
+"matches" graph.  It is found in stretches of the order that grow fourfold.  Within a stretch,
+parallel rounds: whatever has no earlier open neighbour founds, its neighbours
+are matched, repeat.  The new founders then strike out all later nodes they match, before the next
+stretch looks at its own edges; so edges exist only among the nodes still open in one
+stretch, however dense the whole graph is.  Copies of a name need one node each.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
 from venuemill.functions.text import lookup, name_key, present
-from venuemill.operators.fuzzy import best_fuzzy_match, similar_name_keys
+from venuemill.operators.fuzzy import best_fuzzy_match, near_names
+from venuemill.operators.ranking import row_number_in_groups
 from venuemill.session import cut_lineage
 
 
@@ -120,6 +123,43 @@ def _founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return founders
 
 
+FIRST_STRETCH, GROWTH = 1024, 4
+
+
+def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Edges ``(src, dst)``: nodes of ``later`` that match an earlier node by key, alias or similar name.
+
+    Both have (no, key, threshold).  An edge may come more than once."""
+    dst = later.select(F.col("key").alias("dst_key"), F.col("no").alias("dst"))
+    src = earlier.select(F.col("key").alias("src_key"), F.col("no").alias("src"))
+    same = dst.join(src, F.col("dst_key") == F.col("src_key"))
+    via = dst.join(aliases, F.col("dst_key") == aliases["key"]).join(src, F.col("canonical_key") == F.col("src_key"))
+    near = near_names(
+        later.select("key", F.struct("no", "threshold").alias("left")), earlier.select("key", F.struct("no").alias("right"))
+    ).where("name_similarity >= left.threshold").select(F.col("right.no").alias("src"), F.col("left.no").alias("dst"))
+    return same.select("src", "dst").unionByName(via.select("src", "dst")).unionByName(near).where("src < dst")
+
+
+def found(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The nodes ``(key, threshold, node)`` that found a venue; ``node`` gives the order."""
+    numbered = row_number_in_groups(nodes, [], [F.asc("node"), F.asc("key"), F.asc("threshold")], "no")
+    open_ = numbered = cut_lineage(numbered.withColumn("no", F.col("no").cast("long")))
+    founders = None
+    last = FIRST_STRETCH
+    while True:
+        stretch = open_.where(F.col("no") <= last)
+        edges = _matches(stretch, stretch, aliases).distinct()
+        new = cut_lineage(_founders(stretch.select(F.col("no").alias("node")), edges).withColumnRenamed("node", "no"))
+        founders = new if founders is None else founders.unionByName(new)
+        later = open_.where(F.col("no") > last)
+        if later.isEmpty():
+            break
+        struck = _matches(later, numbered.join(new, "no", "left_semi"), aliases).select(F.col("dst").alias("no")).distinct()
+        open_ = cut_lineage(later.join(struck, "no", "left_anti"))
+        last *= GROWTH
+    return numbered.join(founders, "no", "left_semi").select("node")
+
+
 def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(
         edges.select(F.col("dst").alias("node"))
@@ -138,38 +178,18 @@ def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     # only these columns decide; texts and ratings join back once at the end
     deciding = ["ord", "key", "address", "match_city", "threshold", "can_found"]
     slim = cut_lineage(mentions.select(*deciding))
-    keys = cut_lineage(slim.select("key").distinct())
-    pairs = cut_lineage(similar_name_keys(keys, keys, V.NAME_THRESHOLD))
-
-    nodes = cut_lineage(
-        slim.where("can_found").groupBy("key", "threshold").agg(F.min("ord").alias("node"))
-    )
-    later = nodes.select(F.col("key").alias("dst_key"), F.col("threshold"), F.col("node").alias("dst"))
-    earlier = nodes.select(F.col("key").alias("src_key"), F.col("node").alias("src"))
-    same = later.join(earlier, F.col("dst_key") == F.col("src_key"))
-    via_alias = later.join(aliases, F.col("dst_key") == aliases["key"]).join(
-        earlier, F.col("canonical_key") == F.col("src_key")
-    )
-    similar = (
-        later.join(pairs, F.col("dst_key") == F.col("left_key"))
-        .where("name_similarity >= threshold")
-        .join(earlier, F.col("right_key") == F.col("src_key"))
-    )
-    edges = same.select("src", "dst").unionByName(via_alias.select("src", "dst")).unionByName(
-        similar.select("src", "dst")
-    ).where("src < dst").distinct()
-    founders = _founders(nodes, edges)
-
+    nodes = slim.where("can_found").groupBy("key", "threshold").agg(F.min("ord").alias("node"))
+    founders = found(nodes, aliases)
     venues = cut_lineage(
         slim.join(founders.withColumnRenamed("node", "ord"), "ord", "left_semi").select(
             F.col("ord").alias("venue_ord"), "key", "address", F.col("match_city").alias("city")
         )
     )
-    matches = match_to_venues(slim, venues, pairs, aliases)
+    matches = match_to_venues(slim, venues, aliases)
     return mentions.join(matches.select("ord", "venue_ord", "match_kind"), "ord")
 
 
-def match_to_venues(mentions: DataFrame, venues: DataFrame, pairs: DataFrame, aliases: DataFrame) -> DataFrame:
+def match_to_venues(mentions: DataFrame, venues: DataFrame, aliases: DataFrame) -> DataFrame:
     """Final choice per mention among venues founded up to it.
 
     Founded keys are unique, because a row never founds when its key exists.
@@ -186,7 +206,7 @@ def match_to_venues(mentions: DataFrame, venues: DataFrame, pairs: DataFrame, al
     open_rows = staged.where("exact_ord is null").select(
         F.col("ord").alias("row_id"), "ord", "key", "address", F.col("match_city").alias("city"), "threshold"
     )
-    fuzzy = best_fuzzy_match(open_rows, venues, pairs, earlier_only=True).select(
+    fuzzy = best_fuzzy_match(open_rows, venues, earlier_only=True).select(
         F.col("row_id").alias("fuzzy_row"), F.col("venue_ord").alias("fuzzy_ord"), "name_similarity"
     )
     kind = (

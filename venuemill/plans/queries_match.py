@@ -9,7 +9,6 @@ from venuemill.functions import text
 from venuemill.operators import consolidate, dedup, fuzzy, resolve, slugs
 from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
-from venuemill.session import cut_lineage
 
 
 def exact_alias_match(spark, d):
@@ -60,8 +59,7 @@ def fuzzy_match_best(spark, d):
         F.when(F.col("p_size") % 5 > 0, F.lit(0.85)).otherwise(F.lit(0.90)).alias("threshold"),
     )
     venues = p.select(F.col("p_partkey").alias("venue_ord"), F.col("full").alias("key"), address.alias("address"), F.col("p_brand").alias("city"))
-    pairs = cut_lineage(fuzzy.similar_name_keys(rows.select("key"), venues.select("key")))
-    out = fuzzy.best_fuzzy_match(rows, venues, pairs)
+    out = fuzzy.best_fuzzy_match(rows, venues)
     return out.select("row_id", "venue_ord", F.round("name_similarity", 9).alias("name_similarity"),
                       F.round("address_similarity", 9).alias("address_similarity"), F.round("combined_score", 9).alias("combined_score"))
 
@@ -303,6 +301,37 @@ def resolve_mentions(spark, d):
     return out.select("article_id", "match_kind", F.concat_ws(":", "venue_ord.pass", "venue_ord.pos").alias("venue"))
 
 
+def fuzzy_customers(spark, d):
+    """All customer names resolved in order; most resemble very many others."""
+    mentions = table(spark, d, "customer").select(
+        F.struct(F.lit(1).alias("pass"), F.col("c_custkey").alias("pos"), F.lit(0).alias("sub")).alias("ord"), F.lower("c_name").alias("key"),
+        F.lit(None).cast("string").alias("address"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("match_city"),
+        F.lit(0.85).alias("threshold"), F.lit(True).alias("can_found"))
+    out = resolve.resolve(mentions)
+    return out.select(F.col("ord.pos").alias("custkey"), F.col("venue_ord.pos").alias("founder"), "match_kind")
+
+
+FUZZY_CUSTOMERS_SQL = """
+WITH RECURSIVE m AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, lower(c_name) AS key, c_nationkey AS city FROM customer),
+sim AS (
+  SELECT a.i, b.i AS j, 1e0 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE) AS s
+  FROM m a JOIN m b ON b.i < a.i WHERE 1e0 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE) >= 0.85e0
+),
+pred AS (SELECT i, list(j) AS js FROM sim GROUP BY i),
+walk(i, f) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT w.i + 1, CASE WHEN list_has_any(w.f, coalesce(js, [])) THEN w.f ELSE list_append(w.f, w.i + 1) END
+  FROM walk w LEFT JOIN pred ON pred.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM m)
+),
+fl AS (SELECT unnest(f) AS i FROM (SELECT f FROM walk ORDER BY i DESC LIMIT 1)),
+fz AS (
+  SELECT sim.i, sim.j FROM sim JOIN fl ON fl.i = sim.j JOIN m ON m.i = sim.i JOIN m v ON v.i = sim.j WHERE sim.i NOT IN (SELECT i FROM fl)
+  QUALIFY row_number() OVER (PARTITION BY sim.i ORDER BY m.city = v.city DESC, s DESC, sim.j) = 1
+)
+SELECT c_custkey AS custkey, c_custkey AS founder, 'founded' AS match_kind FROM fl JOIN m USING (i)
+UNION ALL SELECT m.c_custkey, v.c_custkey, 'fuzzy' FROM fz JOIN m USING (i) JOIN m v ON v.i = fz.j"""
+
+
 def merged_venues(spark, d):
     """The whole merge: mentions, venues, slugs."""
     v = pipeline.merge(guide_articles_of(spark, d))
@@ -402,4 +431,5 @@ QUERIES = {
         SELECT place_id, alias, min(run) AS run, first(pos ORDER BY run, pos) AS pos FROM r GROUP BY place_id, alias)"""),
     "resolve_mentions": (resolve_mentions, RESOLVE_SQL),
     "merged_venues": (merged_venues, MERGED_SQL),
+    "fuzzy_customers": (fuzzy_customers, FUZZY_CUSTOMERS_SQL),
 }
