@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import decontaminate, lines, neardup, packing, ppm, pretokens, quality, repeats, secrets, substrings
+from venuemill.llm import decontaminate, lines, neardup, oracles, packing, ppm, pretokens, quality, repeats, secrets, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +95,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_repeated_windows": (op1_repeated_windows, None),
+    "op1_repeated_windows": (op1_repeated_windows, oracles.REPEATED_WINDOWS),
     "op2_quality_divergence": (op2_quality_divergence, None),
-    "op3_benchmark_hits": (op3_benchmark_hits, None),
+    "op3_benchmark_hits": (op3_benchmark_hits, oracles.BENCHMARK_HITS),
     "op4_secret_ledger": (op4_secret_ledger, None),
     "op5_packed_sequences": (op5_packed_sequences, None),
     "op6_earlier_strings": (op6_earlier_strings, None),
     "op7_ppm_scores": (op7_ppm_scores, None),
-    "op8_common_lines": (op8_common_lines, None),
-    "op9_near_duplicates": (op9_near_duplicates, None),
+    "op8_common_lines": (op8_common_lines, oracles.COMMON_LINES),
+    "op9_near_duplicates": (op9_near_duplicates, oracles.NEAR_DUPLICATES),
     "op10_token_counts": (op10_token_counts, None),
 }
