@@ -132,6 +132,11 @@ def test_load_and_save(spark, tmp_path):
     assert [(r.id, r.pos) for r in df.orderBy("pos").collect()] == [("1", 0), ("2", 1)]
     tables.save_articles(df, str(tmp_path / "out"))
     assert tables.load_articles(spark, str(tmp_path / "out"), multi_line=False).count() == 2
+    (tmp_path / "many").mkdir()
+    for name in "cab":
+        (tmp_path / "many" / f"{name}.json").write_text(json.dumps([{"id": f"{name}{i}"} for i in range(3)]))
+    many = tables.load_articles(spark, str(tmp_path / "many")).orderBy("pos").collect()
+    assert [(r.id, r.pos) for r in many] == [(f"{name}{i}", k * 3 + i) for k, name in enumerate("abc") for i in range(3)]
     tables.save_stage(df, str(tmp_path / "stage"))
     assert tables.load_stage(spark, str(tmp_path / "stage")).count() == 2
     serving = spark.createDataFrame([(1, "bar", 2), (2, "bar", 1), (3, "fika", 1)], "idx int, category string, rank int")
@@ -155,11 +160,20 @@ def test_streams(spark, tmp_path):
     df.write.parquet(source)
     spark.createDataFrame([("u2", 0)], df.schema).write.parquet(out)
     stream = spark.readStream.schema(df.schema).parquet(source)
-    ingest.append_new(stream, lambda: spark.read.schema(df.schema).parquet(out), out, str(tmp_path / "c1")).awaitTermination()
-    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
+    ingest.append_new(stream, lambda: spark.read.schema(df.schema).parquet(out), out, str(tmp_path / "c1"), order="n").awaitTermination()
+    assert sorted((r.url, r.n) for r in spark.read.parquet(out).collect()) == [("u1", 1), ("u2", 0)]
+    # a second batch that repeats known rows, then a replay of everything from the start
+    spark.createDataFrame([("u3", 9), ("u3", 4), ("u1", 0)], df.schema).write.mode("append").parquet(source)
+    for checkpoint in ("c1", "again"):
+        ingest.append_new(stream, lambda: spark.read.schema(df.schema).parquet(out), out, str(tmp_path / checkpoint), order="n").awaitTermination()
+        assert sorted((r.url, r.n) for r in spark.read.parquet(out).collect()) == [("u1", 1), ("u2", 0), ("u3", 4)]
     q = ingest.first_seen(stream).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(r.url for r in spark.table("seen").collect()) == ["u1", "u2"]
+    assert sorted(r.url for r in spark.table("seen").collect()) == ["u1", "u2", "u3"]
+    timed = stream.withColumn("at", F.timestamp_seconds(F.col("n")))
+    q = ingest.first_seen(timed, event_time="at", delay="1 day").writeStream.format("memory").queryName("bounded").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.url for r in spark.table("bounded").collect()) == ["u1", "u2", "u3"]
     looked = spark.createDataFrame([("1", None, "b"), ("2", "p", "a")], "id string, place_id string, queried_at string")
     looked.write.parquet(str(tmp_path / "l"))
     cache, kept = looked.where("id = '1'").withColumn("queried_at", F.lit("a")), {}

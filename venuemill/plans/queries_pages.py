@@ -179,6 +179,25 @@ def guide_cards(spark, d):
     return X.card_entries(_part_pages(spark, d, html)).select("pos", "name", "address", "city", "distinction", "cuisine", "price_range", "url", "venue_type")
 
 
+def cards_first(spark, d):
+    """Pages that link the same venues: the first card of each counts."""
+    k = F.col("p_partkey")
+    link = F.concat(F.lit('<h3 class="card__menu-content--title"><a href="/se/'), (k % 97).cast("string"), F.lit('">'), "p_name", F.lit("</a></h3>"))
+    pages = table(spark, d, "part").select(F.lpad(k.cast("string"), 10, "0").alias("url"), _card(link, F.lit("")).alias("html"))
+    return X.first_cards(X.card_entries(pages)).select("url", "name", "page")
+
+
+def lists_first(spark, d):
+    """List pages that name the same venues: the first node counts, also when it is rejected."""
+    k = F.col("p_partkey")
+    node = F.to_json(F.struct(
+        F.concat(F.lit("#"), (k % 97).cast("string")).alias("@id"), F.lit("Restaurant").alias("@type"), F.when(k % 3 > 0, F.col("p_name")).alias("name"),
+        F.struct(F.lit(4.5).alias("ratingValue")).alias("aggregateRating")))
+    html = _script(F.concat(F.lit('{"@graph":['), node, F.lit("]}")))
+    pages = table(spark, d, "part").select(F.lpad(k.cast("string"), 10, "0").alias("url"), html.alias("html"))
+    return X.list_articles(X.first_nodes(X.list_page(pages)), STAMP).select("url", "title")
+
+
 def hotel_cards(spark, d):
     k = F.col("s_suppkey")
     keys = F.expr("repeat('<img src=\"/key.svg\">', cast(s_suppkey % 5 as int))")
@@ -336,6 +355,10 @@ QUERIES = {
     "page_links": (page_links, """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)href=["'']([^"''<>\\s]+)["'']', 1) AS hs FROM pages)
       SELECT page_id, CAST(unnest(range(len(hs))) AS INT) AS pos, unnest(hs) AS href FROM l"""),
     "article_text": (article_text, ARTICLE_SQL),
+    "cards_first": (cards_first, """SELECT 'https://guide.michelin.com/se/' || (p_partkey % 97) AS url, first(p_name ORDER BY p_partkey) AS name, lpad(CAST(min(p_partkey) AS VARCHAR), 10, '0') AS page
+      FROM part GROUP BY p_partkey % 97"""),
+    "lists_first": (lists_first, """SELECT '#' || (p_partkey % 97) AS url, p_name AS title FROM part
+      QUALIFY row_number() OVER (PARTITION BY p_partkey % 97 ORDER BY p_partkey) = 1 AND p_partkey % 3 > 0"""),
     "page_meta": (page_meta, "SELECT url, url AS og_title, 'it''s Mat & Vin &amp; ' || page_id AS og_description, '2024-01-02' AS published_at FROM pages"),
     "discovered": (discovered, """SELECT DISTINCT 'https://www.svd.se/a/x' || (page_id % 40) || CASE page_id % 3 WHEN 0 THEN '/recension-a' ELSE '/krogen' END AS found FROM pages WHERE page_id % 3 < 2
       UNION ALL SELECT DISTINCT 'slug-' || (page_id % 25) FROM pages"""),

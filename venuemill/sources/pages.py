@@ -16,6 +16,7 @@ from venuemill import fixed_values as V
 from venuemill.functions import text
 from venuemill.functions.entities import decode_entities
 from venuemill.functions.text import blank_to_null, present
+from venuemill.operators.incremental import keep_first
 
 # an article element, or one whose class holds "article", up to its closing tag
 _ARTICLE = r"""(?is)<(article)\b[^>]*>.*?</article>|<(\w+)\b[^>]*\sclass=(?:"[^"]*article[^"]*"|'[^']*article[^']*')[^>]*>.*?</\2>"""
@@ -134,12 +135,22 @@ def list_page(pages: DataFrame) -> DataFrame:
     )
 
 
+def _node_url(node: Column) -> Column:
+    return F.coalesce(blank_to_null(_get(node, "$.url", "string")), blank_to_null(_get(node, '$["@id"]', "string")))
+
+
+def first_nodes(nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """First list node of each address; one that is rejected later has still used it up."""
+    keyed = nodes.withColumn("_address", _node_url(F.col("node"))).where("_address is not null")
+    return keep_first(keyed, ["_address"], order or ["url", "pos"]).drop("_address")
+
+
 def list_articles(nodes: DataFrame, collected_at: str, fallback: str = "restaurant") -> DataFrame:
     """List nodes to articles; needs a name, a url and a rating."""
     from venuemill.sources.articles import _article
 
     n = F.col("node")
-    url = F.coalesce(blank_to_null(_get(n, "$.url", "string")), blank_to_null(_get(n, '$["@id"]', "string")))
+    url = _node_url(n)
     name = _get(n, "$.name", "string")
     score = _get(n, "$.aggregateRating.ratingValue", "double")
     city = _get(n, "$.address.addressLocality", "string")
@@ -336,6 +347,11 @@ def card_entries(pages: DataFrame, venue_type: str = "restaurant") -> DataFrame:
     ).where("name <> ''")
 
 
+def first_cards(entries: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """First entry of each venue address, in the order of pages and cards."""
+    return keep_first(entries, ["url"], order or ["page", "pos"])
+
+
 def enrich_entries(entries: DataFrame, details: DataFrame) -> DataFrame:
     """Entries with the data of their detail pages ``(url, html)``.
 

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venuemill import schemas
+from venuemill.operators.ranking import row_number_in_groups
 
 
 def load_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Article arrays as JSON with the fixed schema; a missing path is empty.
 
-    ``pos`` is the row's place in its file, taken at the scan before anything
-    moves rows.  Store the result as a stage table before heavy use."""
-    return _load(spark, path, schemas.ARTICLE, multi_line).withColumn("pos", F.monotonically_increasing_id())
+    ``pos`` counts the rows by file path and place in the file, also over several files.
+    ``multi_line`` reads a file that is one JSON array as one task; it is
+    meant for imports, larger inputs have one record a line."""
+    rows = _load(spark, path, schemas.ARTICLE, multi_line)
+    if rows.isEmpty():
+        return rows.withColumn("pos", F.lit(0).cast("long"))
+    placed = rows.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")
+    )
+    counted = row_number_in_groups(placed, [], [F.asc("_file"), F.asc("_block"), F.asc("_row")], "pos")
+    return counted.withColumn("pos", F.col("pos").cast("long") - 1).drop("_file", "_block", "_row")
 
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:

@@ -7,27 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from venuemill.operators.incremental import unseen, update_lookups
+from venuemill.operators.incremental import keep_first, unseen, update_lookups
 
 
-def first_seen(articles: DataFrame, key: str = "url") -> DataFrame:
+def first_seen(articles: DataFrame, key: str = "url", event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """Streamed articles whose key was not seen before.
 
-    The state is one entry per key, hash-partitioned; it has to keep every
-    key, as a url may come back after any time."""
-    return articles.dropDuplicates([key])
+    With ``event_time`` and ``delay`` a key is remembered for that long, which bounds the
+    state.  Without, every key is kept (one entry each, hash-partitioned), as a
+    url may come back after any time."""
+    if event_time is None:
+        return articles.dropDuplicates([key])
+    return articles.withWatermark(event_time, delay or "7 days").dropDuplicatesWithinWatermark([key])
 
 
 def append_new(
     articles: DataFrame, read_known: Callable[[], DataFrame], path: str, checkpoint: str, key: str = "url",
+    order: str = "pos",
 ) -> StreamingQuery:
     """Append unseen articles to a Parquet table, batch by batch.
 
-    Each batch is one anti-join against the table, so a replayed batch adds
-    nothing and no state grows."""
+    Within a batch the first row of a key by ``order`` counts.  Each batch is
+    one anti-join against the table's keys (no other column is read), so a
+    replayed batch adds nothing and no state grows."""
 
     def write(batch: DataFrame, _: int) -> None:
-        unseen(batch.dropDuplicates([key]), read_known(), key).write.mode("append").parquet(path)
+        unseen(keep_first(batch, [key], [order]), read_known(), key).write.mode("append").parquet(path)
 
     return (
         articles.writeStream.foreachBatch(write)
