@@ -1,7 +1,7 @@
 """Token counts by distinct pre-token, for a sentencepiece BPE model.
 
 No piece of such a model holds a word mark after another character, so merges never
-cross the start of a run of spaces: a text is cut there, and its count is
+cross the start of a run of spaces, nor a line break, which is no piece: a text is cut there, and its count is
 the sum over its pre-tokens.  Each distinct pre-token is counted once in the
 whole corpus, ids are never kept.
 """
@@ -23,7 +23,7 @@ from venuemill.llm.blocks import as_array
 from venuemill.llm.store import stored
 
 #: Pre-tokens with at least about this share of all occurrences are frequent; there are at most 2 / FREQUENT of them.
-FREQUENT = 2e-6
+FREQUENT = 1e-6
 #: Longer pre-tokens never count as frequent, so the list of frequent ones has a fixed bound in bytes as well.
 FREQUENT_LENGTH = 48
 SLICE_BYTES, SHARD_BYTES = 8 << 20, 24 << 20
@@ -33,13 +33,18 @@ _RUNS = re.compile(" +[^ ]*")
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of a text, each without the one word mark that the model puts in front."""
+    """The pre-tokens of a text: each begins at a word mark, which is left out, or at a line break."""
     if not text:
         return []
     text = text.replace("▁", " ")
-    if "  " in text or text[0] == " ":
-        return [x[1:] for x in _RUNS.findall(" " + text)]
-    return text.split(" ")
+    if "  " in text or " \n" in text or text[0] in " \n":
+        out = []
+        for run in _RUNS.findall(" " + text):
+            first, *others = run[1:].split("\n")
+            out.append(first)
+            out += ["\n" + x for x in others]
+        return out
+    return text.replace("\n", " \n").split(" ")
 
 
 class Counts(dict):
@@ -49,15 +54,16 @@ class Counts(dict):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self.model.encode(key)) if key else 1  # empty: the word mark alone
-        return n
+        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        if any("\n" in p or "▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("the model has pieces that cross word marks or line breaks")
+        self[""] = 1  # the word mark alone
 
     def count(self, keys: list[str]) -> list[int]:
-        """Like a lookup of each, with one call of the model for all new ones."""
-        new = [k for k in dict.fromkeys(keys) if k and k not in self]
-        self.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
+        """The count of each, with one call of the model for all new ones."""
+        new = [k for k in dict.fromkeys(keys) if k not in self]
+        # the model puts a word mark in front, which a line break does not have
+        self.update((k, len(ids) - (k[0] == "\n")) for k, ids in zip(new, self.model.encode(new, num_threads=1)))
         return [self[k] for k in keys]
 
 
@@ -117,6 +123,7 @@ def count_tokens(
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_pre_tokens(docs, model, text, share))
     n_shards = blocks.parts_for(docs, blocks.text_bytes(docs, text), SHARD_BYTES)
+    sent_schema = "shard int, slice long, head binary, keys binary, sizes binary, often binary, owner binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value.get
@@ -128,69 +135,62 @@ def count_tokens(
                 start += len(some)
 
     def pack(ids: list, texts: list, known) -> pa.RecordBatch:
-        # of each shard: pre-tokens, their byte lengths and frequencies; documents and their numbers of pre-tokens
-        keys, often, owner = defaultdict(list), defaultdict(list), defaultdict(list)
-        head = defaultdict(list)
+        keys, often, owner, head, mark = defaultdict(list), defaultdict(list), defaultdict(list), [], xxhash.xxh3_64()
         for d, (i, text_) in enumerate(zip(ids, texts)):
             body = (text_ or "").encode()
-            mark = xxhash.xxh3_64_intdigest(body) >> 1
-            total, rest = 0, Counter()
+            mark.update(f"{i} {len(body)} ".encode() + body)
+            total = 0
             for k, n in Counter(pre_tokens(text_ or "")).items():
                 pieces = known(k)
-                if pieces is None:
-                    rest[k] = n
-                else:
+                if pieces is not None:
                     total += n * pieces
-            head[mark % n_shards].append((i, mark, len(body), total))
-            for k, n in rest.items():
+                    continue
                 b = k.encode()
                 s = xxhash.xxh32_intdigest(b) % n_shards
                 keys[s].append(b)
                 often[s].append(n)
-                owner[s].append((d, mark))
+                owner[s].append(d)
+            head.append((i is not None, i or 0, len(body), total))
+        name = mark.intdigest() >> 1
         rows = []
-        for s in sorted(head.keys() | keys.keys()):
-            own = owner[s]
-            runs = [j for j in range(len(own)) if not j or own[j] != own[j - 1]]
-            rows.append((
-                s, [(i, m, b, t) for i, m, b, t in head[s]], b"".join(keys[s]), np.array([len(k) for k in keys[s]], np.uint32).tobytes(),
-                np.array(often[s], np.uint32).tobytes(), [(ids[own[j][0]], own[j][1]) for j in runs],
-                np.diff([*runs, len(own)]).astype(np.uint32).tobytes(),
-            ))
-        pair = pa.struct([("id", pa.int64()), ("mark", pa.int64())])
-        full = pa.struct([("id", pa.int64()), ("mark", pa.int64()), ("bytes", pa.int64()), ("tokens", pa.int64())])
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        types = [pa.int32(), pa.list_(full), pa.binary(), pa.binary(), pa.binary(), pa.list_(pair), pa.binary()]
-        as_rows = lambda c, t: [[dict(zip([f.name for f in t.value_type], x)) for x in cell] for cell in c] if pa.types.is_list(t) else c
-        return pa.RecordBatch.from_arrays([pa.array(as_rows(c, t), t) for c, t in zip(columns, types)], ["shard", "head", "keys", "sizes", "often", "docs", "runs"])
+        for s in sorted(keys.keys() | {name % n_shards}):
+            packed = np.array(head, np.int64).tobytes() if s == name % n_shards else None
+            rows.append((s, name, packed, b"".join(keys[s]), narrow([len(k) for k in keys[s]]), narrow(often[s]), narrow(np.diff(owner[s], prepend=0))))
+        types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in sent_schema.split(", ")])
 
     def count(table: pa.Table) -> pa.Table:
         counts = Counts(model)
-        heads, parts = [], []
+        rows = []
         for row in table.to_pylist():
-            heads += row["head"]
-            ends = np.cumsum(as_array(row["sizes"], np.uint32), dtype=np.int64)
+            ends = np.cumsum(wide(row["sizes"]))
             keys = [row["keys"][a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            sums = np.array(counts.count(keys), np.int64) * as_array(row["often"], np.uint32)
-            runs = as_array(row["runs"], np.uint32).astype(np.int64)
-            if len(runs):
-                parts += [(d["id"], d["mark"], int(n)) for d, n in zip(row["docs"], np.add.reduceat(sums, np.cumsum(runs) - runs))]
-        return pa.table({
-            "doc_id": pa.array([h["id"] for h in heads] + [p[0] for p in parts], pa.int64()),
-            "mark": pa.array([h["mark"] for h in heads] + [p[1] for p in parts], pa.int64()),
-            "n_bytes": pa.array([h["bytes"] for h in heads] + [None] * len(parts), pa.int64()),
-            "n": pa.array([h["tokens"] for h in heads] + [p[2] for p in parts], pa.int64()),
-        })
-
-    sent = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        send, "shard int, head array<struct<id:long,mark:long,bytes:long,tokens:long>>, keys binary, sizes binary, often binary, "
-        "docs array<struct<id:long,mark:long>>, runs binary",
-    )
-    sums = sent.groupBy("shard").applyInArrow(count, "doc_id long, mark long, n_bytes long, n long")
-    # rows alike in id and text share a group: each has the same counts
-    return (
-        sums.groupBy("doc_id", "mark")
-        .agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("rows"))
-        .select("doc_id", "n_bytes", F.expr("n div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"))
-        .drop("row")
-    )
+            sums = np.array(counts.count(keys), np.int64) * wide(row["often"])
+            owner = np.cumsum(wide(row["owner"]))
+            rows.append((row["slice"], row["head"], narrow(np.bincount(owner, sums) if len(owner) else [])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.binary()])], ["slice", "head", "sums"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        heads = [as_array(h, np.int64).reshape(-1, 4) for h in table["head"].to_pylist() if h is not None]
+        there, ids, sizes, tokens = heads[0].T.copy()
+        rest = np.zeros(len(ids), np.int64)
+        for sums in map(wide, table["sums"].to_pylist()):
+            rest[: len(sums)] += sums
+        tokens = tokens + rest // len(heads)  # slices alike in all texts have one name, and each sent its own
+        one = pa.table({"doc_id": pa.array(ids, mask=there == 0), "n_bytes": pa.array(sizes), "n_tokens": pa.array(tokens)})
+        return pa.concat_tables([one] * len(heads))
+
+    sent = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(send, sent_schema)
+    sums = sent.groupBy("shard").applyInArrow(count, "slice long, head binary, sums binary")
+    return sums.groupBy("slice").applyInArrow(finish, "doc_id long, n_bytes long, n_tokens long")
+
+
+def narrow(values) -> bytes:
+    """Numbers from 0 in the fewest bytes each that hold them all, after a byte with that width."""
+    values = np.asarray(values, np.int64)
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or w == 8 or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
