@@ -86,14 +86,6 @@ METRO_CENTRES = [
 ]
 DEFAULT_METRO = "sweden"
 
-# (id, label, short label, latitude, longitude, zoom)
-REGION_CONFIGS = [
-    ("all", "Sverige", "Sverige", 62.0, 15.0, 5),
-    ("stockholm", "Stockholm", "Sthlm", 59.33, 18.07, 12),
-    ("gothenburg", "Göteborg", "Gbg", 57.71, 11.97, 12),
-    ("malmo", "Malmö", "Malmö", 55.6, 13.0, 12),
-]
-
 FOREIGN_KEYWORDS = [
     "københavn", "copenhagen", "danmark", "denmark", "oslo", "norge", "norway",
 ]
