@@ -8,13 +8,16 @@ A row founds exactly when it may found and no earlier *founder* matches it, so
 the founders are the lexicographically first maximal independent set of the
 "matches" graph.  It is found in stretches of the order that grow fourfold.  Within a stretch,
 parallel rounds: whatever has no earlier open neighbour founds, its neighbours
-are matched, repeat.  The new founders then strike out all later nodes they match, before the next
+are matched; what a few rounds leave is decided in order.  The new founders then strike out all later nodes they match, before the next
 stretch looks at its own edges; so edges exist only among the nodes still open in one
 stretch, however dense the whole graph is.  Copies of a name need one node each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,15 +98,22 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
     )
 
 
+# rounds that settle all but dense clusters of a stretch
+ROUNDS = 3
+
+
 def _founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lexicographically first maximal independent set.
 
     ``nodes(node)``; ``edges(src, dst)`` with ``src`` earlier than ``dst``.
-    Rounds touch only nodes that still have open edges.
+    Rounds touch only nodes that still have open edges.  In a dense cluster one node
+    founds in a round, so what a few rounds leave is decided in order.
     """
     edges = cut_lineage(edges)
     founders = nodes.join(_ends(edges), "node", "left_anti").select("node")
-    while not edges.isEmpty():
+    for _ in range(ROUNDS):
+        if edges.isEmpty():
+            return founders
         sources = edges.select(F.col("src").alias("node")).distinct().join(
             edges.select(F.col("dst").alias("node")), "node", "left_anti"
         )
@@ -118,9 +128,29 @@ def _founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest = cut_lineage(rest)
         # neither matched nor blocked any more
         freed = _ends(edges).join(matched, "node", "left_anti").join(_ends(rest), "node", "left_anti")
-        founders = founders.unionByName(freed)
+        founders = cut_lineage(founders.unionByName(freed))
         edges = rest
-    return founders
+    return founders.unionByName(_ends(edges).join(_matched_in_order(edges), "node", "left_anti"))
+
+
+def _matched_in_order(edges: DataFrame) -> DataFrame:
+    """The nodes that an earlier founder matches, by one pass over the edges in order.
+
+    The pass keeps only the numbers of matched nodes; edges stream through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matched: set[int] = set()
+        for batch in batches:
+            new = []
+            for dst, src in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # sources come before their targets, so their fate is known
+                if dst not in matched and src not in matched:
+                    matched.add(dst)
+                    new.append(dst)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], ["node"])
+
+    ordered = edges.select(F.col("dst").cast("long"), F.col("src").cast("long")).repartition(1).sortWithinPartitions("dst", "src")
+    return ordered.mapInArrow(run, "node long")
 
 
 FIRST_STRETCH, GROWTH = 1024, 4
