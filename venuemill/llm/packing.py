@@ -24,6 +24,7 @@ from venuemill.llm.store import stored
 
 CAPACITY = 2048
 END_ID = 0
+#: Parts whose ids a process keeps (about 200 MB); beyond that it starts anew.
 MOST_CACHED = 1_200_000
 _SPACE_AHEAD, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
