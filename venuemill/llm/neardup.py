@@ -27,11 +27,16 @@ SHINGLE = 5
 PERCENT = 75
 #: A pair of similarity 0.75 shares no band with a probability below 1e-5; links of its group find it all the same.
 BANDS, ROWS = 32, 4
-SAMPLES, BITS = BANDS * ROWS, 512
-#: A pair is dismissed where the bitmaps put its similarity below this: six standard deviations under 0.75.
-DISMISS = 0.5
+#: Samples in a bitmap (the first BANDS * ROWS make the bands) and its bits.
+SAMPLES, BITS = 256, 1024
+#: A pair is dismissed where the bitmaps put its similarity below this, over four standard deviations under 0.75.
+DISMISS = 0.62
+#: Rounds of stars over pairs of bands, before what is left is compared in full.
+ROUNDS = 1
 MOST_DIFFERENT = int(BITS / 2 * (1 - np.exp(-(1 - DISMISS) * 4 * SAMPLES / BITS)))
 SHARD_ENTRIES = 1_000_000
+#: Bits of the bitmap of ids whose sets are wanted.
+MARKS = 1 << 26
 
 _WORDS = symbol_codes(21)
 _FACTORS = symbol_codes(22, SAMPLES)
@@ -67,7 +72,7 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    rows = samples.reshape(-1, BANDS, ROWS)
+    rows = samples[: BANDS * ROWS].reshape(-1, BANDS, ROWS)
     key = np.broadcast_to(_PLACES[:BANDS], rows.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key + rows[:, :, r])
@@ -76,7 +81,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parity bitmap of the samples, as longs."""
-    flips = np.bincount((mix(samples ^ _PLACES) >> np.uint64(64 - 9)).astype(np.int64), minlength=BITS) & 1
+    flips = np.bincount((mix(samples ^ _PLACES) >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
@@ -155,42 +160,6 @@ def star_candidates(nodes: DataFrame, n_shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
-def open_buckets(nodes: DataFrame, n_shards: int) -> DataFrame:
-    """(key, main): buckets whose members are in several components, with the component of most of them."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            pairs, n = np.unique(np.stack([keys, np.repeat(own, BANDS)], 1), axis=0, return_counts=True)
-            shard = (np.ascontiguousarray(pairs[:, 0]).view(np.uint64) >> np.uint64(20)) % np.uint64(n_shards)
-            for s in range(n_shards):
-                mine = shard == s
-                if mine.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (pairs[mine, 0], pairs[mine, 1], n[mine]))],
-                        ["shard", "keys", "components", "n"],
-                    )
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys, owner, n = (np.concatenate([as_array(x, np.int64) for x in table[c].to_pylist()]) for c in ("keys", "components", "n"))
-        order = np.lexsort((owner, keys))
-        keys, owner, n = keys[order], owner[order], n[order]
-        first = first_of_runs(keys) | first_of_runs(owner)
-        at = np.flatnonzero(first)
-        keys, owner, n = keys[at], owner[at], np.add.reduceat(n, at)
-        order = np.lexsort((-n, keys))
-        keys, owner = keys[order], owner[order]
-        heads = np.flatnonzero(first_of_runs(keys))
-        several = np.diff(np.append(heads, len(keys))) > 1
-        return pa.table({"key": pa.array(keys[heads][several]), "main": pa.array(owner[heads][several])})
-
-    sent = nodes.select("component", "bands").mapInArrow(local, "shard int, keys binary, components binary, n binary")
-    return sent.groupBy("shard").applyInArrow(meet, "key long, main long")
-
-
 def _plausible(x: str, y: str) -> Column:
     """Sizes and bitmaps do not rule the pair out."""
     differing = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
@@ -205,32 +174,73 @@ def plausible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(_plausible("x", "y")).select("a", "b")
 
 
-def cross_candidates(nodes: DataFrame, n_shards: int) -> DataFrame:
-    """Plausible pairs (a, b) of different components in one bucket; ``nodes`` have their component.
+def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component, main) of the buckets that hold several components; main is the one of most members.
+
+    ``members`` has (key, node); ``found`` the component of linked nodes.
+    """
+    placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    return placed.join(several.filter("parts > 1").select("key", "main"), "key").select("key", "node", "component", "main")
+
+
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node) of the buckets with two nodes at least."""
+    entries = nodes.select(F.explode("bands").alias("key"), "node")
+    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return entries.join(crowded, "key")
+
+
+def finer(nodes: DataFrame, r: int) -> DataFrame:
+    """The nodes with band keys that each stand for two bands, ``r`` apart."""
+    other = lambda i: F.element_at("bands", ((i + r) % BANDS + 1).cast("int"))
+    return nodes.select("node", F.transform("bands", lambda x, i: F.xxhash64(x, other(i), i)).alias("bands"))
+
+
+def cross_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of different components in one bucket.
 
     In each open bucket the members outside its main component meet all members.
     """
-    opened = stored(open_buckets(nodes, n_shards), "open-buckets")
-    entries = nodes.select(F.explode("bands").alias("key"), F.struct("node", "component", "n", "bits").alias("m"))
-    members = entries.join(opened, "key")
-    x = members.filter("m.component != main").select("key", F.col("m").alias("x"))
-    y = members.select("key", F.col("m").alias("y"))
+    with_bits = members.join(nodes.select("node", "n", "bits"), "node")
+    whole = F.struct("node", "component", "n", "bits")
+    x = with_bits.filter("component != main").select("key", whole.alias("x"))
+    y = with_bits.select("key", whole.alias("y"))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") != F.col("y.component")) & _plausible("x", "y"))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _marked(ids: DataFrame) -> bytes:
+    """A bitmap of MARKS bits (fixed size) in which the hashes of ``ids`` are set."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    chunks = ids.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = bytearray(MARKS // 8)
+    for r in chunks.collect():
+        out[r["chunk"] * 4096 : (r["chunk"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity; a and b are ids of ``docs``."""
+    """The pairs (a, b) whose full shingle sets reach the similarity; a and b are ids of ``docs``.
+
+    A bitmap of fixed size keeps most other documents from being cut into shingles; the joins decide.
+    """
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("body")).join(needed, "id")
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, bits = Powers(), np.frombuffer(marks.value, np.uint8)
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), powers)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    sets = rows.mapInArrow(run, "id long, shingles array<long>")
+            place = batch.column(2).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
+            for at in range(0, some.num_rows, 500):
+                part = some.slice(at, 500)
+                sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), powers)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("body")).filter("id IS NOT NULL")
+    sets = keyed.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(MARKS))).mapInArrow(run, "id long, shingles array<long>")
     with_b = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     both = with_b.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -242,12 +252,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_shingles, component_id) of every row.
 
     Rows of one shingle set are folded into the least id that has it.  Stars of the band buckets
-    are confirmed first; where that leaves several components in one bucket, the members outside the
-    main one are compared with all others, so no link between components is missed.
+    are confirmed first, then stars of the nodes that share two bands.  Where that leaves
+    several components in one bucket, the members outside the main one are compared with
+    all others, so no link between components is missed.
 
     Texts without words (null, empty) have no shingles and are alone.  Rows that
     share an id are one document.  Sets of rows without an id are not compared; their ``component_id`` is null.
     """
+    blocks.small_batches(docs)
     rows = stored(signatures(docs, doc_id, text), "signatures")
     sets = rows.filter("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL")
     sets = stored(sets, "sets")
@@ -255,15 +267,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = stored(own.select(F.col("doc_id").alias("node"), "n", "bands", "bits").dropDuplicates(["node", "n", "bands"]), "nodes")
     n_shards = max(-(-nodes.count() * BANDS // SHARD_ENTRIES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    stars = stored(plausible_pairs(star_candidates(nodes, n_shards), nodes), "pairs")
-    links = stored(confirmed(stars, docs, doc_id, text), "links")
-    found = components(links)
-    placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = stored(placed, "placed")
-    more = cross_candidates(placed, n_shards).join(stars, ["a", "b"], "left_anti")
-    more = stored(more, "pairs")
-    if not more.isEmpty():
-        found = components(links.unionByName(confirmed(more, docs, doc_id, text)))
+    tested = stored(plausible_pairs(star_candidates(nodes, n_shards), nodes), "pairs")
+    found = components(confirmed(tested, docs, doc_id, text))
+    members = shared_buckets(nodes)
+    for r in range(1, ROUNDS + 2):
+        members = stored(open_members(members, found), "members")
+        if r > ROUNDS:
+            pairs = cross_candidates(members, nodes)
+        else:
+            left = nodes.join(members.select("node").distinct(), "node")
+            pairs = plausible_pairs(star_candidates(finer(left, r), n_shards), left)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = components(known.unionByName(confirmed(pairs, docs, doc_id, text)))
     labels = sets.join(found, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "n", "high", "low").join(labels, ["high", "low"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
