@@ -45,8 +45,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    """Pieces of all documents with their place in sequences of 2048 tokens.
+
+    Workers that served the stages before hold little else than their caches, so this one is small."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), cached=100_000)
 
 
 STAGES = [

@@ -25,8 +25,21 @@ from pyspark.sql import functions as F
 from venuemill.llm.rolling import ASCII_SPACE, Powers, PrefixHash, mix
 
 
+#: Rows of an Arrow batch, at most: whole texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``; plans read it when they run, so it stays."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts (one scan of one column)."""
+    small_batches(docs)
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0]
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from venuemill.llm.blocks import small_batches
+
 WINDOW = 10
 #: Words of test items in one automaton; more items are scanned for in further passes.
 AUTOMATON_WORDS = 1_000_000
@@ -151,6 +153,7 @@ _built: dict[str, Automaton] = {}
 
 def _automata(benchmark: DataFrame, window: int, most_words: int):
     """Functions that give an automaton in a task, each of at most ``most_words`` words (or one longer item)."""
+    small_batches(benchmark)
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )

@@ -38,9 +38,10 @@ class Encoder:
     them, which it takes out before it splits.  A text with an added token in it goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = MOST_CACHED):
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.library = Tokenizer.from_file(path)
         added = self.library.get_added_tokens_decoder()
         self.added = [t.content for t in added.values()]
@@ -74,9 +75,9 @@ class Encoder:
         return first, others
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > MOST_CACHED:
+        if len(self.later) > self.cached:
             self.later.clear()
-        if len(self.first) > MOST_CACHED // 10:
+        if len(self.first) > self.cached // 10:
             self.first.clear()
         odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         skip = set(odd)
@@ -96,26 +97,27 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached: int = MOST_CACHED) -> Encoder:
     """One per process, so that ids stay known over batches."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
+    if path not in _encoders or _encoders[path].cached != cached:
+        _encoders[path] = Encoder(path, cached)
     return _encoders[path]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, cached: int = MOST_CACHED) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     A document is its ids and ``END_ID``; a null text is empty, so every row has at least
     one piece.  Only longer documents are cut, into pieces of ``capacity`` with the shorter one first.
     """
+    blocks.small_batches(docs)
     schema = PIECES + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cached).encode
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -222,9 +224,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return shaped.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", cached: int = MOST_CACHED) -> DataFrame:
     """Pieces of all documents with their sequence and place; tokenised once, into a stored table."""
-    return pack(stored(token_pieces(docs, tokenizer, capacity, doc_id, text), "token-pieces"), capacity)
+    return pack(stored(token_pieces(docs, tokenizer, capacity, doc_id, text, cached=cached), "token-pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
