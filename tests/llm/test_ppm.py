@@ -98,3 +98,33 @@ def test_no_rows_and_nothing_to_learn_from(spark, nothing):
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = ppm.score(docs, F.lit(True)).first()
     assert (r["n_known"], r["train_tokens"]) == (0, 0) and r["score"] == pytest.approx(-2 * math.log10(256))
+
+
+def test_more_training_text_predicts_better(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bits = []
+    for taught in (docs.filter("doc_id % 4 = 0"), docs):
+        r = ppm.score(taught.unionByName(docs.filter(ppm.is_held_out(F.col("doc_id")))).dropDuplicates(["doc_id"])).filter("held_out")
+        r = r.agg(F.sum("score"), F.sum("base_score"), F.sum("n_bytes")).first()
+        bits.append([-x / r[2] / math.log10(2) for x in r[:2]])
+    (few, _), (many, base) = bits
+    assert many < few - 0.05 and many < base
+
+
+def test_shards_with_the_runs_below_them_equal_one_trie():
+    bodies = [b"abracadabra abrakadabra", b"the cat sat on the mat, the bat", b"\0\0ab\0"]
+    keys, counts = ppm._counted(bodies, np.array([True, True, False]))
+    runs, count = ppm._counted(bodies, np.array([True, True, False]), ppm.SUFFIX - 1)
+    ends, seen = np.append(runs, np.uint64(0)), count > 0
+    runs, count = runs[seen], count[seen]
+    short = ppm._summed(runs & np.uint64(0xFFFFFF), count)
+    whole = ppm.Trie(keys, counts, ppm.byte_pairs(*short)).log10(keys)
+    shards, owners = ppm.shard_of_contexts(keys >> np.uint64(8), 5), ppm.shard_of_contexts(ends, 5)
+    for s in range(5):
+        own = shards == s
+        needed = np.isin(runs >> np.uint64(8), ends[owners == s] & np.uint64(0xFFFFFF))
+        part = ppm.Trie(keys[own], counts[own], ppm.byte_pairs(*short), {3: (runs[needed], count[needed]), 2: short})
+        assert np.allclose(part.log10(keys[own]), whole[own], rtol=1e-12)
+    assert (ppm._turned(ppm._turned(keys)) == keys).all() and (ppm._unpacked(ppm._packed(keys), np.uint64) == keys).all()

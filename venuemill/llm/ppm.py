@@ -1,14 +1,14 @@
 """Scores of texts by prediction by partial matching over bytes, beside a word unigram base.
 
 The byte-context trie of the training texts is held by shards, each with all contexts that end in some
-pairs of bytes, so a shard can follow a context down to its two last bytes; the tables of the
-orders below are of bounded size and go to all.  A block asks for the code length of each distinct
-run of bytes once, and sends its training counts along.
+runs of ``SUFFIX`` bytes, so a shard can follow a context down to these.  Counts of the shorter contexts
+are summed in a table of their own, and each shard gets the part below its contexts; only runs of
+three bytes go to all.  A block asks for the code length of each distinct run of bytes once, and sends its
+training counts along.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill.llm import blocks
-from venuemill.llm.blocks import as_array
 from venuemill.llm.rolling import Powers, first_of_runs, mix, symbol_codes
-
-#: Longest context, in bytes.  Texts begin with as many zero bytes, which are context only.
-ORDER = 4
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 24 << 20
+from venuemill.llm.store import stored
+
+#: Longest context, in bytes (7 at most, for a key of 64 bits).  Texts begin with as many zero bytes, which are context only.
+ORDER = 6
+#: Last bytes of a context that name its shard.
+SUFFIX = 4
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+#: Distinct runs that a task holds before it passes them on.
+HELD_RUNS = 1 << 20
 SMOOTHING = 0.1
 _WORDS = symbol_codes(31)
 _END = np.uint64(0)
@@ -33,19 +37,19 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _grams(bodies: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Of each byte the number made of its context and itself, and the bytes of each text."""
-    pad = bytes(ORDER)
+    pad = bytes(order)
     data = np.frombuffer(b"".join(x for b in bodies for x in (pad, b)), np.uint8).astype(np.uint64)
     sizes = np.array([len(b) for b in bodies], np.int64)
-    key = np.zeros(max(0, len(data) - ORDER), np.uint64)
-    for k in range(ORDER + 1):
-        key = key << np.uint64(8) | data[k : len(data) - ORDER + k]
+    key = np.zeros(max(0, len(data) - order), np.uint64)
+    for k in range(order + 1):
+        key = key << np.uint64(8) | data[k : len(data) - order + k]
     inside = np.ones(len(data), bool)
-    heads = np.cumsum(sizes + ORDER) - sizes - ORDER
-    for k in range(ORDER):
+    heads = np.cumsum(sizes + order) - sizes - order
+    for k in range(order):
         inside[heads + k] = False
-    return key[inside[ORDER:]], sizes
+    return key[inside[order:]], sizes
 
 
 def _lower(table: pa.Table) -> list[bytes]:
@@ -59,49 +63,112 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (keys[at], np.add.reduceat(counts, at)) if len(at) else (keys, counts)
 
 
-def _counted(bodies: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of ORDER + 1 bytes of a block, with their counts in training texts."""
+def _counted(bodies: list[bytes], train: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of ``order`` + 1 bytes of a block, with their counts in training texts."""
     keys, counts, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for some in blocks.slices(bodies):
-        key, sizes = _grams(some)
+        key, sizes = _grams(some, order)
         taught = np.repeat(train[start : start + len(some)], sizes)
         start += len(some)
-        u, n = np.unique(key, return_counts=True)
-        v, m = np.unique(key[taught], return_counts=True)
-        n = np.zeros(len(u), np.int64)
-        n[np.searchsorted(u, v)] = m
-        keys.append(u)
-        counts.append(n)
+        for part, weight in ((key[taught], 1), (key[~taught], 0)):
+            u, n = np.unique(part, return_counts=True)
+            keys.append(u)
+            counts.append(n * weight)
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def low_orders(docs: DataFrame, learn: Column, text: str = "text") -> np.ndarray:
-    """Counts of (byte before, byte) in the training texts: 256 by 256, summed in the cluster."""
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with the bytes of their contexts in reverse, so that contexts of one shard lie close together; its own inverse."""
+    return (keys >> np.uint64(8)).byteswap() >> np.uint64(8 * (8 - ORDER)) << np.uint64(8) | keys & np.uint64(0xFF)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array by byte planes, compressed."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unpacked(cell: bytes | None, kind) -> np.ndarray:
+    if not cell:
+        return np.zeros(0, kind)
+    n, size = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(cell[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(size, n).T.copy().view(kind).reshape(n)
+
+
+def shard_of_contexts(ends: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of each context, by its last ``SUFFIX`` bytes."""
+    return (mix(ends & np.uint64((1 << 8 * SUFFIX) - 1)) % np.uint64(n_shards)).astype(np.int64)
+
+
+def short_runs(docs: DataFrame, learn: Column, n_shards: int, text: str = "text") -> DataFrame:
+    """(run, shard, n): runs of ``SUFFIX`` bytes of all texts, their counts in training texts, and the shard of contexts that end so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65536, np.int64)
+        held, size = [(np.zeros(1, np.uint64), np.zeros(1, np.int64))], 1  # every text begins after zero bytes
+
+        def out() -> pa.RecordBatch:
+            keys, counts = held[0]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys.astype(np.int64)), pa.array(shard_of_contexts(keys, n_shards).astype(np.int32)), pa.array(counts)], ["run", "shard", "n"]
+            )
+
         for batch in batches:
-            for some in blocks.slices(batch.column(0).to_pylist()):
-                key, _ = _grams([(b or b"").lower() for b in some])
-                total += np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), minlength=65536)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+            bodies = [(b or b"").lower() for b in batch.column(0).to_pylist()]
+            held.append(_counted(bodies, np.array(batch.column(1).to_pylist(), bool), SUFFIX - 1))
+            size += len(held[-1][0])
+            if size > 2 * HELD_RUNS:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size > HELD_RUNS:
+                    yield out()
+                    held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        held = [_summed(*map(np.concatenate, zip(*held)))]
+        yield out()
+
+    bodies = docs.select(F.col(text).cast("string").cast("binary").alias("body"), learn.alias("learn"))
+    return bodies.mapInArrow(run, "run long, shard int, n long").groupBy("run", "shard").agg(F.sum("n").alias("n"))
+
+
+def below_shards(runs: DataFrame) -> DataFrame:
+    """(shard, runs, counts): of each context one byte shorter than the shards' suffixes, the seen runs, for every shard that can fall back to it.
+
+    A context has at most 256 symbols and 256 bytes before it, so no group grows with the input.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    begins = F.struct(F.shiftright("run", 8).alias("context"), none("int").alias("shard"), F.col("run"), F.col("n"))
+    ends = F.struct(F.col("run").bitwiseAND((1 << 8 * (SUFFIX - 1)) - 1).alias("context"), F.col("shard"), none("long").alias("run"), none("long").alias("n"))
+    by_context = runs.select(F.inline(F.array(begins, ends))).groupBy("context").agg(
+        F.collect_set("shard").alias("shards"), F.collect_list(F.when(F.col("n") > 0, F.struct("run", "n"))).alias("seen")
+    )
+    return by_context.filter(F.size("seen") > 0).select(F.explode("shards").alias("shard"), F.col("seen.run").alias("runs"), F.col("seen.n").alias("counts"))
+
 
-    taught = docs.filter(learn).select(F.col(text).cast("string").cast("binary").alias("body"))
+def triples(runs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of three bytes in the training texts and their counts, summed in the cluster; at most 2^24 whatever the input."""
+    table = runs.filter("n > 0").groupBy(F.col("run").bitwiseAND(0xFFFFFF).alias("run")).agg(F.sum("n").alias("n")).toArrow()
+    return _summed(table["run"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(np.int64))
+
+
+def byte_pairs(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of (byte before, byte), 256 by 256, from those of longer runs."""
     out = np.zeros(65536, np.int64)
-    for r in taught.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
+    np.add.at(out, (keys & np.uint64(0xFFFF)).astype(np.int64), counts)
     return out.reshape(256, 256)
 
 
 class Trie:
-    """Context counts of orders 0 to ORDER; keys are the bytes of a context and of a symbol as one number."""
+    """Context counts of orders 0 to ORDER; keys are the bytes of a context and of a symbol as one number.
+
+    ``below`` holds the keys and counts of orders 2 and up that ``keys`` do not cover, as they are those of one shard only.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, below: dict[int, tuple] | None = None):
         seen = counts > 0
         keys, counts = keys[seen], counts[seen]
         self.levels: dict[int, tuple] = {}
         for order in range(ORDER, -1, -1):
+            if below and order in below:
+                keys, counts = below[order]
             if order >= 2:
                 keys, counts = _summed(keys & np.uint64((1 << 8 * (order + 1)) - 1), counts)
                 level = keys, counts
@@ -115,8 +182,8 @@ class Trie:
         for order, (keys, counts) in self.levels.items():
             context = keys >> np.uint64(8)
             at = np.flatnonzero(first_of_runs(context))
-            below = self.count(order - 1, keys) if order else np.zeros(len(keys), np.int64)
-            sums = [np.add.reduceat(x, at) if len(at) else x for x in (counts, np.ones(len(keys), np.int64), below)]
+            shorter = self.count(order - 1, keys) if order else np.zeros(len(keys), np.int64)
+            sums = [np.add.reduceat(x, at) if len(at) else x for x in (counts, np.ones(len(keys), np.int64), shorter)]
             self.contexts[order] = (context[at], *sums)
 
     @staticmethod
@@ -156,7 +223,7 @@ class Trie:
 
 
 ASKS = "shard int, block int, words binary, taught binary, grams binary, counts binary"
-ANSWERS = "block int, shard int, n long, v long, words binary, logs binary"
+ANSWERS = "block int, shard int, n long, v long, words binary, logs binary, places binary"
 
 
 def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,13 +234,14 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
     so ``-score * log2(10)`` is its code length in bits.  A null text is empty: one end token, score 0.
     Repeated rows count as often as they stand; a null id is held out by default.
 
-    Contexts never leave ``ORDER`` bytes, so distinct entries of a shard are bounded by the bytes' alphabet;
-    what is gathered grows with the blocks of the input.
+    Distinct entries grow with the training text: the number of shards follows its bytes, and a shard holds
+    the contexts that end in its runs of ``SUFFIX`` bytes.
     """
     held_out = is_held_out(F.col(doc_id)) if held_out is None else held_out
     total = blocks.text_bytes(docs, text)
     n_blocks, n_shards = blocks.parts_for(docs, total, BLOCK_BYTES), blocks.parts_for(docs, total, SHARD_BYTES)
-    pairs = docs.sparkSession.sparkContext.broadcast(low_orders(docs, ~held_out, text))
+    runs = stored(short_runs(docs, ~held_out, n_shards, text), "short-runs")
+    short = docs.sparkSession.sparkContext.broadcast(triples(runs))
     blocked = docs.select(
         blocks.block_number(F.col(doc_id), n_blocks).alias("block"), F.col(doc_id).cast("long").alias("id"),
         F.col(text).cast("string").cast("binary").alias("body"), held_out.alias("out"),
@@ -182,8 +250,12 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
     def shard_of_words(words: np.ndarray) -> np.ndarray:
         return ((words >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64)
 
-    def shard_of_grams(grams: np.ndarray) -> np.ndarray:
-        return (mix((grams >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_shards)).astype(np.int64)
+    def by_shard(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of runs by shard, then turned; and where each shard begins in it."""
+        shards = shard_of_contexts(grams >> np.uint64(8), n_shards)
+        order = np.argsort(_turned(grams))
+        order = order[np.argsort(shards[order], kind="stable")]
+        return order, np.searchsorted(shards[order], np.arange(n_shards + 1))
 
     def words_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         (codes,), counts = blocks.word_codes(bodies, (_WORDS,), Powers())
@@ -204,26 +276,30 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
         block = table["block"][0].as_py()
         _, bodies, train, _, _, words, taught = asked(table)
         grams, counts = _counted(bodies, train)
-        by_word, by_gram = shard_of_words(words), shard_of_grams(grams)
+        by_word, (order, first) = shard_of_words(words), by_shard(grams)
+        turned, counts = _turned(grams)[order], counts[order].astype(np.uint32)
         rows = []
         for s in range(n_shards):  # every shard hears of every block and tells it its part of the totals
-            w, g = by_word == s, by_gram == s
-            steps = np.diff(grams[g], prepend=np.uint64(0))
-            rows.append((s, block, words[w].tobytes(), taught[w].astype(np.uint32).tobytes(), steps.tobytes(), counts[g].astype(np.uint32).tobytes()))
+            w, g = by_word == s, slice(first[s], first[s + 1])
+            steps = np.diff(turned[g], prepend=np.uint64(0))
+            rows.append((s, block, _packed(np.diff(words[w], prepend=np.uint64(0))), _packed(taught[w].astype(np.uint32)), _packed(steps), _packed(counts[g])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 4)], [c.split()[0] for c in ASKS.split(", ")])
 
-    def answer(table: pa.Table) -> pa.Table:
-        cells = {c: [as_array(x, k) for x in table[c].to_pylist()] for c, k in (("words", np.uint64), ("taught", np.uint32), ("grams", np.uint64), ("counts", np.uint32))}
-        words, n = _summed(np.concatenate(cells["words"]), np.concatenate(cells["taught"]).astype(np.int64))
-        asked_grams = [np.cumsum(x, dtype=np.uint64) for x in cells["grams"]]
-        grams, counts = _summed(np.concatenate(asked_grams), np.concatenate(cells["counts"]).astype(np.int64))
-        logs = Trie(grams, counts, pairs.value).log10(grams)
-        shard = table["shard"][0].as_py()
-        rows = [
-            (b, shard, int(n.sum()), int((n > 0).sum()), n[np.searchsorted(words, w)].tobytes(), logs[np.searchsorted(grams, g)].tobytes())
-            for b, w, g in zip(table["block"].to_pylist(), cells["words"], asked_grams)
-        ]
-        types = [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()] * 2
+    def answer(key: tuple, table: pa.Table, below: pa.Table) -> pa.Table:
+        asked_words = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table["words"].to_pylist()]
+        taught = np.concatenate([_unpacked(x, np.uint32) for x in table["taught"].to_pylist()]).astype(np.int64)
+        words, n = _summed(np.concatenate(asked_words), taught)
+        asked_grams = [_turned(np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64)) for x in table["grams"].to_pylist()]
+        counts = np.concatenate([_unpacked(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+        grams, counts = _summed(np.concatenate(asked_grams), counts)
+        flat = [below[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("runs", "counts")]
+        lower = {SUFFIX - 1: (flat[0].astype(np.uint64), flat[1].astype(np.int64)), SUFFIX - 2: short.value}
+        logs = Trie(grams, counts, byte_pairs(*short.value), lower).log10(grams)
+        shard, rows = table["shard"][0].as_py(), []
+        for b, w, g in zip(table["block"].to_pylist(), asked_words, asked_grams):
+            values, places = np.unique(logs[np.searchsorted(grams, g)], return_inverse=True)
+            rows.append((b, shard, int(n.sum()), int((n > 0).sum()), _packed(n[np.searchsorted(words, w)]), _packed(values), _packed(places.astype(np.uint32))))
+        types = [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in ANSWERS.split(", ")])
 
     def apply(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -233,11 +309,11 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
         known = np.zeros(len(words), np.int64)
         by_word = shard_of_words(words)
         for s, r in found.items():
-            known[by_word == s] = as_array(r["words"], np.int64)
+            known[by_word == s] = _unpacked(r["words"], np.int64)
         grams, _ = _counted(bodies, train)
-        logs, by_gram = np.zeros(len(grams)), shard_of_grams(grams)
+        logs, (order, first) = np.zeros(len(grams)), by_shard(grams)
         for s, r in found.items():
-            logs[by_gram == s] = as_array(r["logs"], np.float64)
+            logs[order[first[s] : first[s + 1]]] = _unpacked(r["logs"], np.float64)[_unpacked(r["places"], np.uint32)]
         # words: each text's own, then one end
         per_word, end = known[inverse[:-1]], int(known[inverse[-1]])
         ends = np.cumsum(counts)
@@ -260,7 +336,8 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
             "base_score": pa.array(base), "score": pa.array(scores), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()),
         })
 
-    answers = blocked.groupBy("block").applyInArrow(ask, ASKS).groupBy("shard").applyInArrow(answer, ANSWERS)
+    asks = blocked.groupBy("block").applyInArrow(ask, ASKS)
+    answers = asks.groupBy("shard").cogroup(below_shards(runs).groupBy("shard")).applyInArrow(answer, ANSWERS)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, n_bytes long"
     )
