@@ -111,6 +111,19 @@ def test_article_text_drops_short_and_walled(spark):
     assert apply(spark, X.article_text, [html, ""]) == ["This one is long enough to stay.", ""]
 
 
+def test_article_text_follows_nested_elements(spark):
+    a, b, c = (f"Paragraph {x} is long enough to stay." for x in "abc")
+    cases = {
+        f'<div class="article__body"><div class="ad">x</div><p>{a}</p><div><div><p>{b}</p></div></div><p>{c}</p></div><p>Outside of it, but long enough.</p>': f"{a}\n\n{b}\n\n{c}",
+        f'<p class="article-promo">A promotion that is long enough.</p><img class="article-img"><p>{a}</p>': "",
+        f"<!-- <article> --><script class='article-data'>'<article>'</script><p>Outside of it, but long enough.</p><article><!-- </article> --><p>{a}</p></article>": a,
+        f"<ARTICLE><article><p>{a}</p></article><p>{b}</p></ARTICLE><div class='x'><p>Outside of it, but long enough.</p></div><section class='x article'><p>{c}</section>": f"{a}\n\n{b}\n\n{c}",
+        f"text <div class='news-article'><p>{a}</p>": a,
+    }
+    assert apply(spark, X.article_text, list(cases)) == list(cases.values())
+    assert apply(spark, X.article_text, [None]) == [None]
+
+
 def test_rss(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         "<rss><channel>" + "".join(

@@ -18,8 +18,12 @@ from venuemill.functions.entities import decode_entities
 from venuemill.functions.text import blank_to_null, present
 from venuemill.operators.incremental import keep_first
 
-# an article element, or one whose class holds "article", up to its closing tag
-_ARTICLE = r"""(?is)<(article)\b[^>]*>.*?</article>|<(\w+)\b[^>]*\sclass=(?:"[^"]*article[^"]*"|'[^']*article[^']*')[^>]*>.*?</\2>"""
+# a page in pieces that each begin with a tag; comments, scripts and styles are one piece
+_PIECE = r"""(?is)(?:<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)|<[^>]*>|<)[^<]*|\A[^<]+"""
+# an article element, or one whose class holds "article"
+_ARTICLE = r"""(?is)\A<(?:article\b|\w[^>]*\sclass=(?:"[^">]*article|'[^'>]*article|[^\s"'>]*article))"""
+# elements that hold no paragraphs, or no elements at all
+_NO_HOLDERS = ["p", "script", "style", "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 _LD_BLOCK = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
@@ -193,18 +197,43 @@ def _plain(fragment: Column) -> Column:
     return text.strip(decode_entities(F.regexp_replace(fragment, "<[^>]*>", "")))
 
 
+def _articles(html: Column) -> Column:
+    """Outermost article elements of a page, by the depth of elements of the same name; one without an end reaches to the page's."""
+    def piece(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"(?is)\A</?([a-z][^\s/>]*)", 1))
+        return F.struct(
+            name.alias("name"), F.startswith(t, F.lit("</")).alias("ends"),
+            (t.rlike(_ARTICLE) & ~name.isin(_NO_HOLDERS)).alias("holds"), F.length(t).alias("size"),
+        )
+
+    def step(at: Column, t: Column) -> Column:
+        inside, same = at["depth"] > 0, t["name"] == at["name"]
+        opens = ~inside & t["holds"]
+        depth = F.when(opens, 1).when(inside & same, at["depth"] + F.when(t["ends"], -1).otherwise(1)).otherwise(at["depth"])
+        span = F.struct((at["start"]).alias("start"), (at["pos"] - at["start"]).alias("size"))
+        return F.struct(
+            (at["pos"] + t["size"]).alias("pos"), depth.cast("int").alias("depth"),
+            F.when(opens, t["name"]).otherwise(at["name"]).alias("name"), F.when(opens, at["pos"]).otherwise(at["start"]).alias("start"),
+            F.when(inside & (depth == 0), F.concat(at["spans"], F.array(span))).otherwise(at["spans"]).alias("spans"),
+        )
+
+    none = F.from_json(F.lit('{"pos":1,"depth":0,"name":"","start":1,"spans":[]}'), "pos int, depth int, name string, start int, spans array<struct<start:int,size:int>>")
+    spans = F.aggregate(
+        F.transform(F.regexp_extract_all(html, F.lit(_PIECE), 0), piece), none, step,
+        lambda at: F.when(at["depth"] > 0, F.concat(at["spans"], F.array(F.struct(at["start"].alias("start"), (at["pos"] - at["start"]).alias("size"))))).otherwise(at["spans"]),
+    )
+    return F.transform(spans, lambda x: F.substring(html, x["start"], x["size"]))
+
+
 def article_text(html: Column) -> Column:
     """Paragraphs of the article over 20 characters, without paywall lines.
 
     A paragraph belongs to it inside an ``article`` element or any element whose class
     holds "article" (so also "article__body"); the outermost such element counts.
     """
-    inside = F.regexp_extract_all(html, F.lit(_ARTICLE), 0)
-    body = F.array_join(inside, " ")
-    paragraphs = F.transform(
-        # a paragraph ends where the next one starts, closed or not
-        F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"), 1), _plain
-    )
+    # a paragraph ends where the next one starts, closed or not
+    inside = F.transform(_articles(html), lambda x: F.regexp_extract_all(x, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"), 1))
+    paragraphs = F.transform(F.flatten(inside), _plain)
     walled = lambda p: reduce(lambda a, b: a | b, [F.contains(p, F.lit(w)) for w in V.PAYWALL_PHRASES])
     return F.array_join(F.filter(paragraphs, lambda p: (F.length(p) > 20) & ~walled(p)), "\n\n")
 
