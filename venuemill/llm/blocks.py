@@ -14,15 +14,20 @@ mean the same in every pass, also for repeated rows and null ids (first).
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuemill.llm.rolling import ASCII_SPACE, Powers, PrefixHash, mix
+from venuemill.llm.rolling import ASCII_SPACE
 
 
 #: Rows of an Arrow batch, at most: whole texts can be long, and a worker holds a batch several times over.
@@ -30,6 +35,58 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable):
+    """A large object that a worker keeps between tasks; it keeps one at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on, and what they hold adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def frugal(function: Callable, holds: bool = False) -> Callable:
+    """A function for Arrow batches or groups that leaves no memory behind; ``holds``: it uses what ``held`` keeps."""
+
+    def start() -> None:
+        if not holds and _held:
+            _held.clear()
+            _give_back()
+
+    if inspect.isgeneratorfunction(function):
+
+        @functools.wraps(function)
+        def stream(batches):
+            start()
+            try:
+                yield from function(batches)
+            finally:
+                _give_back()
+
+        return stream
+
+    @functools.wraps(function)
+    def group(*tables):
+        start()
+        try:
+            return function(*tables)
+        finally:
+            _give_back()
+
+    group.__signature__ = inspect.signature(function)
+    return group
+
+
 def small_batches(docs: DataFrame) -> None:
     """Lower the session's Arrow batch size to ``BATCH_ROWS``; plans read it when they run, so it stays."""
     conf = docs.sparkSession.conf
@@ -110,16 +167,17 @@ def slices(bodies: list[bytes | None], limit: int = 1 << 20):
         yield bodies[first:]
 
 
-def word_codes(bodies: list[bytes | None], tables: tuple[np.ndarray, ...], powers: Powers) -> tuple[list[np.ndarray], np.ndarray]:
-    """A 64-bit code of each word under each table of byte codes, and the number of words of each text."""
-    parts, counts = [[np.zeros(0, np.uint64)] for _ in tables], [np.zeros(0, np.int64)]
-    for some in slices(bodies):
-        text = Text.of(some)
-        starts, ends, n = text.words()
-        counts.append(n)
-        for table, part in zip(tables, parts):
-            part.append(mix(PrefixHash(table[text.data], powers).ranges(starts, ends)))
-    return [np.concatenate(p) for p in parts], np.concatenate(counts)
+def word_codes(bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit codes of each word (the halves of a 128-bit hash of its bytes), and the number of words of each text."""
+    digest = xxhash.xxh3_128_digest
+    parts, counts = [np.zeros((0, 2), np.uint64)], []
+    for body in bodies:
+        words = (body or b"").split()
+        counts.append(len(words))
+        if words:
+            parts.append(np.frombuffer(b"".join(map(digest, words)), np.uint64).reshape(-1, 2))
+    both = np.concatenate(parts)
+    return both[:, 0].copy(), both[:, 1].copy(), np.array(counts, np.int64)
 
 
 def as_array(cell: bytes | None, kind) -> np.ndarray:

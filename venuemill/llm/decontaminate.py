@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from venuemill.llm.blocks import small_batches
+from venuemill.llm.blocks import frugal, held, small_batches
 
 WINDOW = 10
 #: Words of test items in one automaton; more items are scanned for in further passes.
@@ -148,9 +148,6 @@ class Automaton:
                 spans.append((start, at))
 
 
-_built: dict[str, Automaton] = {}
-
-
 def _automata(benchmark: DataFrame, window: int, most_words: int):
     """Functions that give an automaton in a task, each of at most ``most_words`` words (or one longer item)."""
     small_batches(benchmark)
@@ -166,10 +163,7 @@ def _automata(benchmark: DataFrame, window: int, most_words: int):
         name = uuid.uuid4().hex
 
         def automaton(shared=shared, name=name) -> Automaton:
-            if name not in _built:
-                _built.clear()
-                _built[name] = Automaton([(i, words_of(t.encode())) for i, t in shared.value], window)
-            return _built[name]
+            return held(f"automaton {name}", lambda: Automaton([(i, words_of(t.encode())) for i, t in shared.value], window))
 
         out.append(automaton)
     return out
@@ -198,7 +192,7 @@ def _hits(shaped: DataFrame, automata) -> DataFrame:
                 )
 
         schema = shaped.select("row", "body").schema.add("n_words", "long").add("spans", SPANS).add("items", ArrayType(StringType()))
-        shaped = shaped.mapInArrow(run, schema)
+        shaped = shaped.mapInArrow(frugal(run, holds=True), schema)
     return shaped
 
 
@@ -253,5 +247,5 @@ def remove_contamination(
                 cleaned.append(None if body is None else body.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(cleaned, pa.string())], ["row", "clean"])
 
-    out = hits.mapInArrow(cut, hits.select("row").schema.add("clean", "string"))
+    out = hits.mapInArrow(frugal(cut), hits.select("row").schema.add("clean", "string"))
     return out.select(*[F.col("clean").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

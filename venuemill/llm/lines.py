@@ -77,7 +77,7 @@ def line_references(blocked: DataFrame, n_shards: int, min_chars: int = MIN_CHAR
         types = [pa.int32()] * 2 + [pa.binary()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in ASKS.split(", ")])
 
-    return blocked.groupBy("block").applyInArrow(ask, ASKS)
+    return blocked.groupBy("block").applyInArrow(blocks.frugal(ask), ASKS)
 
 
 def _merged(asks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def changed(shards: DataFrame, references: DataFrame, sign: int = 1) -> DataFram
         shard.change(high, low, sign * n)
         return shard.row(key[0].as_py())
 
-    return shards.groupBy("shard").cogroup(references.groupBy("shard")).applyInArrow(change, SHARDS)
+    return shards.groupBy("shard").cogroup(references.groupBy("shard")).applyInArrow(blocks.frugal(change), SHARDS)
 
 
 def empty_index(docs: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def remove_common_lines(
         columns = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 3)], ["block", "high", "low", "last"])
 
-    answers = index.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(decide, "block int, high binary, low binary, last binary")
+    answers = index.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(blocks.frugal(decide), "block int, high binary, low binary, last binary")
 
     def apply(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         table, keys, number, _, _ = _of_block(table, min_chars)
@@ -230,4 +230,4 @@ def remove_common_lines(
     schema = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
     if rest:
         schema = schema.add("rest", blocked.schema["rest"].dataType)
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
+    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(blocks.frugal(apply), schema)

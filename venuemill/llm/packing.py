@@ -94,14 +94,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str, cached: int = MOST_CACHED) -> Encoder:
     """One per process, so that ids stay known over batches."""
-    if path not in _encoders or _encoders[path].cached != cached:
-        _encoders[path] = Encoder(path, cached)
-    return _encoders[path]
+    return blocks.held(f"encoder {cached} {path}", lambda: Encoder(path, cached))
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -137,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(blocks.frugal(run, holds=True), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -221,7 +216,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row")
     shaped = ranked.select(row, F.col("length").cast("long").alias("n"), (F.col("ahead") + F.col("rank") - 1).alias("r"))
     schema = shaped.select("row").schema.add("sequence_id", "long").add("offset", "long")
-    return shaped.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
+    return shaped.mapInArrow(blocks.frugal(place), schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", cached: int = MOST_CACHED) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill.llm import blocks
-from venuemill.llm.rolling import Powers, first_of_runs, mix, symbol_codes
+from venuemill.llm.rolling import first_of_runs, mix
 from venuemill.llm.store import stored
 
 #: Longest context, in bytes (7 at most, for a key of 64 bits).  Texts begin with as many zero bytes, which are context only.
@@ -28,7 +28,6 @@ BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 #: Distinct runs that a task holds before it passes them on.
 HELD_RUNS = 1 << 20
 SMOOTHING = 0.1
-_WORDS = symbol_codes(31)
 _END = np.uint64(0)
 
 
@@ -126,7 +125,7 @@ def short_runs(docs: DataFrame, learn: Column, n_shards: int, text: str = "text"
         yield out()
 
     bodies = docs.select(F.col(text).cast("string").cast("binary").alias("body"), learn.alias("learn"))
-    return bodies.mapInArrow(run, "run long, shard int, n long").groupBy("run", "shard").agg(F.sum("n").alias("n"))
+    return bodies.mapInArrow(blocks.frugal(run), "run long, shard int, n long").groupBy("run", "shard").agg(F.sum("n").alias("n"))
 
 
 def below_shards(runs: DataFrame) -> DataFrame:
@@ -258,7 +257,7 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
         return order, np.searchsorted(shards[order], np.arange(n_shards + 1))
 
     def words_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        (codes,), counts = blocks.word_codes(bodies, (_WORDS,), Powers())
+        codes, _, counts = blocks.word_codes(bodies)
         return codes, counts
 
     def asked(table: pa.Table):
@@ -336,8 +335,8 @@ def score(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id
             "base_score": pa.array(base), "score": pa.array(scores), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()),
         })
 
-    asks = blocked.groupBy("block").applyInArrow(ask, ASKS)
-    answers = asks.groupBy("shard").cogroup(below_shards(runs).groupBy("shard")).applyInArrow(answer, ANSWERS)
+    asks = blocked.groupBy("block").applyInArrow(blocks.frugal(ask), ASKS)
+    answers = asks.groupBy("shard").cogroup(below_shards(runs).groupBy("shard")).applyInArrow(blocks.frugal(answer), ANSWERS)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, n_bytes long"
+        blocks.frugal(apply), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, n_bytes long"
     )

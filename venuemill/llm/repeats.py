@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from venuemill.llm import blocks
 from venuemill.llm.blocks import as_array
 from venuemill.llm.rolling import (
-    Powers, PrefixHash, covered, first_of_runs, mix, sliding_argmin, starts_inside, symbol_codes,
+    Powers, PrefixHash, covered, first_of_runs, mix, sliding_argmin, starts_inside,
 )
 
 WINDOW = 35
@@ -32,12 +32,11 @@ class Windows:
 
     def __init__(self, window: int):
         self.window, self.gram = window, (window + 1) // 2
-        self.codes = symbol_codes(11), symbol_codes(12)
         self.powers = Powers()
 
     def of(self, bodies: list[bytes | None]):
         """(window starts, anchor hashes, window hashes, places of anchors): all by window, in word positions."""
-        (one, two), counts = blocks.word_codes(bodies, self.codes, self.powers)
+        one, two, counts = blocks.word_codes(bodies)
         grams = mix(PrefixHash(one, self.powers).windows(self.gram))
         anchor = sliding_argmin(grams, self.window - self.gram + 1)
         at = np.flatnonzero(starts_inside(counts, self.window)[: len(anchor)])
@@ -92,8 +91,8 @@ def sketch(docs: DataFrame, window: int = WINDOW, text: str = "text", width_bits
             counts[as_array(many.as_py(), np.uint32)] = 2
         return pa.table({"piece": pa.array([piece], pa.int32()), "bits": [np.packbits(counts > 1).tobytes()]})
 
-    counted = docs.select(F.col(text).cast("string").cast("binary").alias("body")).mapInArrow(count, "piece int, steps binary, many binary")
-    return counted.groupBy("piece").applyInArrow(add, "piece int, bits binary")
+    counted = docs.select(F.col(text).cast("string").cast("binary").alias("body")).mapInArrow(blocks.frugal(count), "piece int, steps binary, many binary")
+    return counted.groupBy("piece").applyInArrow(blocks.frugal(add), "piece int, bits binary")
 
 
 def remove_repeated_windows(
@@ -191,8 +190,8 @@ def remove_repeated_windows(
         })
 
     blocked = blocks.in_blocks(docs, n_blocks, doc_id, text)
-    asked = blocked.groupBy("block").applyInArrow(ask, schema)
-    answers = asked.groupBy("shard").applyInArrow(answer, "block int, places binary")
+    asked = blocked.groupBy("block").applyInArrow(blocks.frugal(ask), schema)
+    answers = asked.groupBy("shard").applyInArrow(blocks.frugal(answer), "block int, places binary")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        apply, "doc_id long, n_words long, n_removed long, kept_text string"
+        blocks.frugal(apply), "doc_id long, n_words long, n_removed long, kept_text string"
     )

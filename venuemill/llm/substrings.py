@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from venuemill.llm import blocks
@@ -21,7 +22,7 @@ from venuemill.llm.suffixes import SuffixOrder
 LENGTH = 100
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 NO_ID = np.iinfo(np.int64).min
-_ANCHOR, _CHUNK = symbol_codes(51), symbol_codes(52)
+_ANCHOR = symbol_codes(51)
 
 ASKS = "shard int, block int, anchor binary, chunk binary, id binary, at binary, n binary, off binary, known binary"
 FOUND = "block int, gone binary, wanted binary"
@@ -55,7 +56,9 @@ def anchors(bodies: list[bytes], length: int, powers: Powers):
             at = np.flatnonzero(first)
             low, n = starts[at], np.diff(np.append(at, len(starts)))
             spot = place[at]
-            chunk = mix(PrefixHash(_CHUNK[data], powers).ranges(low, low + n - 1 + length)) ^ mix(((spot - low) * 4096 + n).astype(np.uint64))
+            joined = data.tobytes()
+            names = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(low.tolist(), (low + n - 1 + length).tolist())]
+            chunk = np.array(names, np.uint64) ^ mix(((spot - low) * 4096 + n).astype(np.uint64))
             parts.append((grams[spot], chunk, low + base, n, spot - low))
         base += len(data)
     if not parts:
@@ -232,11 +235,11 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, doc_id: str =
             "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()),
         })
 
-    asked = blocked.groupBy("block").applyInArrow(ask, ASKS)
-    found = asked.groupBy("shard").applyInArrow(first_pass, FOUND)
-    contexts = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(send, CONTEXTS)
-    more = contexts.groupBy("shard").applyInArrow(second_pass, GONE)
+    asked = blocked.groupBy("block").applyInArrow(blocks.frugal(ask), ASKS)
+    found = asked.groupBy("shard").applyInArrow(blocks.frugal(first_pass), FOUND)
+    contexts = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(blocks.frugal(send), CONTEXTS)
+    more = contexts.groupBy("shard").applyInArrow(blocks.frugal(second_pass), GONE)
     gone = found.select("block", "gone").unionByName(more)
     return blocked.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(
-        apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+        blocks.frugal(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
