@@ -3,7 +3,8 @@
 A document's MinHash samples are folded into a parity bitmap, in which each sample flips one
 bit.  Equal samples cancel in the XOR of two bitmaps, so its population count tells how
 many samples differ, most exactly where similarity is high.  Band buckets
-propose pairs, the bitmaps dismiss most of the wrong ones, full sets decide.
+propose pairs, the bitmaps dismiss most of the wrong ones, full sets decide.  A second parity bitmap, of
+the whole set, bounds from below how many shingles differ, and so rules out without error.
 """
 
 from __future__ import annotations
@@ -29,16 +30,17 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Samples in a bitmap (the first BANDS * ROWS make the bands) and its bits.
 SAMPLES, BITS = 256, 1024
+#: Bits of the parity bitmap of a whole set.
+SET_BITS = 2048
 #: A pair is dismissed where the bitmaps put its similarity below this, over four standard deviations under 0.75.
 DISMISS = 0.62
-#: Rounds of stars over pairs of bands, before what is left is compared in full.
-ROUNDS = 1
+#: Rounds in which members outside a bucket's main component are put to a representative of it, before what is left is compared in full.
+ROUNDS = 2
 MOST_DIFFERENT = int(BITS / 2 * (1 - np.exp(-(1 - DISMISS) * 4 * SAMPLES / BITS)))
 SHARD_ENTRIES = 1_000_000
 #: Bits of the bitmap of ids whose sets are wanted.
 MARKS = 1 << 26
 
-_WORDS = symbol_codes(21)
 _FACTORS = symbol_codes(22, SAMPLES)
 _SHIFTS = symbol_codes(23, SAMPLES)
 _PLACES = symbol_codes(24, SAMPLES)
@@ -48,7 +50,7 @@ def shingle_sets(bodies: list[bytes | None], powers: Powers, size: int = SHINGLE
     """Of each text the sorted distinct 64-bit shingles; a shorter text is one shingle, one without words none."""
     out = []
     for some in blocks.slices(bodies):
-        (codes,), counts = blocks.word_codes([(b or b"").lower() for b in some], (_WORDS,), powers)
+        codes, _, counts = blocks.word_codes([(b or b"").lower() for b in some])
         sums = PrefixHash(codes, powers)
         windows = mix(sums.windows(size))
         start = 0
@@ -81,18 +83,22 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parity bitmap of the samples, as longs."""
-    flips = np.bincount((mix(samples ^ _PLACES) >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
+    return _parity(mix(samples ^ _PLACES), BITS)
+
+
+def _parity(values: np.ndarray, bits: int) -> np.ndarray:
+    flips = np.bincount((values >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, high, low, bands, bits): size, 128-bit name, band keys and bitmap of each row's shingle set."""
+    """(doc_id, n, high, low, bands, bits, whole): size, 128-bit name, band keys, bitmap of the samples and of the whole of each row's shingle set."""
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            names, n, bands, bits = [], [], [], []
+            names, n, bands, bits, whole = [], [], [], [], []
             for shingles in shingle_sets(batch.column(1).to_pylist(), powers):
                 n.append(len(shingles))
                 names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
@@ -100,17 +106,19 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     samples = min_hashes(shingles)
                     bands.append(band_keys(samples)[0])
                     bits.append(odd_sketch(samples))
+                    whole.append(_parity(mix(shingles), SET_BITS))
                 else:
                     bands.append(None)
                     bits.append(None)
+                    whole.append(None)
             name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(bands, longs), pa.array(bits, longs)],
-                ["doc_id", "n", "high", "low", "bands", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(bands, longs), pa.array(bits, longs), pa.array(whole, longs)],
+                ["doc_id", "n", "high", "low", "bands", "bits", "whole"],
             )
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(
-        run, "doc_id long, n long, high long, low long, bands array<long>, bits array<long>"
+        blocks.frugal(run), "doc_id long, n long, high long, low long, bands array<long>, bits array<long>, whole array<long>"
     )
 
 
@@ -156,21 +164,28 @@ def star_candidates(nodes: DataFrame, n_shards: int) -> DataFrame:
         pairs = np.unique(np.stack([np.append(a, cells["a"]), np.append(b, cells["b"])], 1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    sent = nodes.select("node", "bands").mapInArrow(local, "shard int, keys binary, nodes binary, a binary, b binary")
-    return sent.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    sent = nodes.select("node", "bands").mapInArrow(blocks.frugal(local), "shard int, keys binary, nodes binary, a binary, b binary")
+    return sent.groupBy("shard").applyInArrow(blocks.frugal(meet), "a long, b long").distinct()
 
 
 def _plausible(x: str, y: str) -> Column:
-    """Sizes and bitmaps do not rule the pair out."""
+    """Sizes and bitmaps do not rule the pair out.
+
+    Sets of n and m shingles are similar enough where at most (n + m) * (100 - PERCENT) / (100 + PERCENT) differ."""
+
     differing = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    # a loop, as that many more terms would make a method too long to be compiled; few pairs come this far
+    flips = F.zip_with(f"{x}.whole", f"{y}.whole", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(flips, F.lit(0), lambda total, n: total + n)
+    few = apart * (100 + PERCENT) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - PERCENT)
     low, high = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return (low * 100 >= high * PERCENT) & (differing <= MOST_DIFFERENT)
+    return (low * 100 >= high * PERCENT) & (differing <= MOST_DIFFERENT) & few
 
 
 def plausible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps leave."""
-    one = nodes.select(F.col("node").alias("a"), F.struct("n", "bits").alias("x"))
-    two = nodes.select(F.col("node").alias("b"), F.struct("n", "bits").alias("y"))
+    one = nodes.select(F.col("node").alias("a"), F.struct("n", "bits", "whole").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.struct("n", "bits", "whole").alias("y"))
     return pairs.join(one, "a").join(two, "b").filter(_plausible("x", "y")).select("a", "b")
 
 
@@ -192,10 +207,20 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return entries.join(crowded, "key")
 
 
-def finer(nodes: DataFrame, r: int) -> DataFrame:
-    """The nodes with band keys that each stand for two bands, ``r`` apart."""
-    other = lambda i: F.element_at("bands", ((i + r) % BANDS + 1).cast("int"))
-    return nodes.select("node", F.transform("bands", lambda x, i: F.xxhash64(x, other(i), i)).alias("bands"))
+def representatives(members: DataFrame, judged: DataFrame) -> DataFrame:
+    """(key, node) of each open bucket: the member of its main component whose tested pairs were links most often."""
+    tries = judged.select(F.explode(F.array("a", "b")).alias("node"), "linked").groupBy("node").agg(
+        ((F.count_if("linked") + 1) / (F.count(F.lit(1)) + 2)).alias("share")
+    )
+    main = members.filter("component = main").join(tries, "node", "left")
+    return main.groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("share", F.lit(0.0)), "node")).alias("node"))
+
+
+def asked_candidates(members: DataFrame, judged: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): in each open bucket the members outside the main component with its representative."""
+    x = members.filter("component != main").select("key", F.col("node").alias("x"))
+    met = x.join(representatives(members, judged), "key")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def cross_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -203,8 +228,8 @@ def cross_candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
     In each open bucket the members outside its main component meet all members.
     """
-    with_bits = members.join(nodes.select("node", "n", "bits"), "node")
-    whole = F.struct("node", "component", "n", "bits")
+    with_bits = members.join(nodes.select("node", "n", "bits", "whole"), "node")
+    whole = F.struct("node", "component", "n", "bits", "whole")
     x = with_bits.filter("component != main").select("key", whole.alias("x"))
     y = with_bits.select("key", whole.alias("y"))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") != F.col("y.component")) & _plausible("x", "y"))
@@ -221,8 +246,8 @@ def _marked(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity; a and b are ids of ``docs``.
+def judged_pairs(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, linked): whether full shingle sets of the pair reach the similarity; a and b are ids of ``docs``.
 
     A bitmap of fixed size keeps most other documents from being cut into shingles; the joins decide.
     """
@@ -240,21 +265,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("body")).filter("id IS NOT NULL")
-    sets = keyed.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(MARKS))).mapInArrow(run, "id long, shingles array<long>")
+    sets = keyed.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(MARKS))).mapInArrow(blocks.frugal(run), "id long, shingles array<long>")
     with_b = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     both = with_b.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     common = F.size(F.array_intersect("x", "y"))
     counted = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("either"))
-    return counted.filter(F.col("common") * 100 >= F.col("either") * PERCENT).select("a", "b").distinct()
+    return counted.groupBy("a", "b").agg(F.bool_or(F.col("common") * 100 >= F.col("either") * PERCENT).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Rows of one shingle set are folded into the least id that has it.  Stars of the band buckets
-    are confirmed first, then stars of the nodes that share two bands.  Where that leaves
-    several components in one bucket, the members outside the main one are compared with
-    all others, so no link between components is missed.
+    are confirmed first.  Where that leaves several components in one bucket, the members outside the main one are
+    put to a representative of it, one that most of its tested partners link with, for some rounds.  Members that are still
+    outside are then compared with all others, so no link between components is missed.
 
     Texts without words (null, empty) have no shingles and are alone.  Rows that
     share an id are one document.  Sets of rows without an id are not compared; their ``component_id`` is null.
@@ -264,24 +289,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = rows.filter("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL")
     sets = stored(sets, "sets")
     own = rows.join(sets.withColumnRenamed("node", "doc_id"), ["high", "low", "doc_id"])
-    nodes = stored(own.select(F.col("doc_id").alias("node"), "n", "bands", "bits").dropDuplicates(["node", "n", "bands"]), "nodes")
+    nodes = stored(own.select(F.col("doc_id").alias("node"), "n", "bands", "bits", "whole").dropDuplicates(["node", "n", "bands"]), "nodes")
     n_shards = max(-(-nodes.count() * BANDS // SHARD_ENTRIES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    tested = stored(plausible_pairs(star_candidates(nodes, n_shards), nodes), "pairs")
-    found = components(confirmed(tested, docs, doc_id, text))
-    members = shared_buckets(nodes)
-    for r in range(1, ROUNDS + 2):
-        members = stored(open_members(members, found), "members")
-        if r > ROUNDS:
+    links = lambda judged: judged.filter("linked").select("a", "b")
+    judged = stored(judged_pairs(stored(plausible_pairs(star_candidates(nodes, n_shards), nodes), "pairs"), docs, doc_id, text), "judged")
+    found = components(links(judged))
+    buckets = stored(shared_buckets(nodes), "buckets")
+    for r in range(ROUNDS + 1):
+        members = stored(open_members(buckets, found), "members")
+        if members.isEmpty():
+            break
+        if r == ROUNDS:
             pairs = cross_candidates(members, nodes)
         else:
-            left = nodes.join(members.select("node").distinct(), "node")
-            pairs = plausible_pairs(star_candidates(finer(left, r), n_shards), left)
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
+            pairs = plausible_pairs(asked_candidates(members, judged), nodes)
+        pairs = stored(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        new = stored(judged_pairs(pairs, docs, doc_id, text), "judged")
+        judged = judged.unionByName(new)
+        if not links(new).isEmpty():
             known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = components(known.unionByName(confirmed(pairs, docs, doc_id, text)))
+            found = components(known.unionByName(links(new)))
     labels = sets.join(found, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "n", "high", "low").join(labels, ["high", "low"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
