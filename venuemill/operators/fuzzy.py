@@ -1,19 +1,28 @@
 """Lossless similarity join of name keys, without comparing all pairs.
 
-``1 - d / longer >= t`` bounds the edit distance ``d``.  Names on the indexed
-side are cut into ``k + 1`` segments, where ``k`` is the largest distance any
-partner may have; ``k`` edits can spoil at most ``k`` segments, so every match
-keeps one (the PassJoin partition scheme, Li et al., PVLDB 5(3), 2011).  A kept
-segment shifts by some ``s`` with ``|s| + |length difference - s| <= k``, as the
-edits left and right of it add up.
-
-Candidates are never stored: the join on segments computes the bounded distance
+``1 - d / longer >= t`` bounds the edit distance ``d``, so the lengths of two names tell how many edits they may have.
+
+* Up to ``FEW_EDITS`` edits, both names share a variant: what is left of either after deleting at most as many
+  letters.  All variants of the whole name are keys (Bocek et al., Fast Similarity Search in Large Dictionaries,
+  2007), so text that all names share makes no key hot by itself.
+* Longer names are cut on the indexed side into ``k + 1`` segments, where ``k`` is the largest distance any
+  partner may have; ``k`` edits can spoil at most ``k`` segments, so every match
+  keeps one (the PassJoin partition scheme, Li et al., PVLDB 5(3), 2011).  A kept
+  segment shifts by some ``s`` with ``|s| + |length difference - s| <= k``, as the
+  edits left and right of it add up.
+
+Two parity bitmaps, of a name's letters and of its pairs of letters, rule out most candidates before a distance is
+computed: an edit flips at most two bits of the one and four of the other.
+
+Candidates are never stored: the join on keys computes the bounded distance
 and what is wanted of it (the best venue, whether any founder matches) is aggregated on the spot, so
 names that nearly all resemble each other cost comparisons but no table of pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +37,8 @@ from venuemill.operators.ranking import row_number_in_groups
 from venuemill.session import cut_lineage
 
 _EPS = 1e-9
+#: Edits up to which names meet by the variants of the whole name (172 for 18 letters and two edits).
+FEW_EDITS = 2
 
 
 def _max_edits(length: Column, threshold: float) -> Column:
@@ -42,7 +53,45 @@ def _segment_start(i: Column, length: Column, parts: Column) -> Column:
 
 
 def _signature(no: Column, text: Column) -> Column:
-    return F.concat_ws(":", no.cast("string"), text)
+    return F.xxhash64(no, text)
+
+
+def _few_edits_length(threshold: float) -> int:
+    """The longest name that has at most ``FEW_EDITS`` edits to any partner that is not longer."""
+    n = 1
+    while math.floor((1.0 - threshold) * (n + 1) + _EPS) <= FEW_EDITS:
+        n += 1
+    return n
+
+
+def _parity(letters: Column) -> Column:
+    """A bitmap in which each element flips one of 64 bits."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
+def _with_bitmaps(names: DataFrame) -> DataFrame:
+    """Each name's two bitmaps, computed once and then carried as plain columns."""
+    letters = F.split("key", "")
+    pairs = F.zip_with(letters, F.slice(letters, 2, F.greatest(F.length("key"), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return names.withColumn("bits", F.struct(_parity(letters).alias("one"), _parity(pairs).alias("two")))
+
+
+def _variants(names: DataFrame, threshold: float) -> DataFrame:
+    """The names with one row for each distinct variant, by its hash."""
+    n = F.length("key")
+    without = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), without(F.col("key"), i).alias("text")))
+    # the second letter deleted stands at or after the place of the first
+    two = F.flatten(F.transform(F.col("once"), lambda x: F.when(
+        x["at"] <= F.length(x["text"]), F.transform(F.sequence(x["at"], F.length(x["text"])), lambda j: without(x["text"], j))
+    ).otherwise(F.array().cast("array<string>"))))
+    once = F.transform("once", lambda x: x["text"])
+    edits = _max_edits(n, threshold)
+    texts = F.when(edits >= 2, F.concat(F.array("key"), once, two)).otherwise(F.concat(F.array("key"), once))
+    return names.where(edits >= 1).withColumn("once", one).withColumn(
+        "variant", F.explode(F.array_distinct(F.transform(texts, lambda x: F.xxhash64(x))))
+    ).drop("once")
 
 
 def _shifts(threshold: float) -> dict[str, Column]:
@@ -58,8 +107,8 @@ def _shifts(threshold: float) -> dict[str, Column]:
 def _segments(keys: DataFrame, threshold: float) -> DataFrame:
     """One row per indexed name and segment: (key, right, len, sig)."""
     n = F.length("key")
-    base = keys.select("key", "right", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
-    base = base.where("parts > 1")  # shorter names only match when equal
+    base = keys.select("key", "right", "bits", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
+    base = base.where(F.col("parts") > FEW_EDITS + 1)  # others only have partners that meet by variants
 
     def cut(i: Column) -> Column:
         start = _segment_start(i, F.col("len"), F.col("parts"))
@@ -67,7 +116,7 @@ def _segments(keys: DataFrame, threshold: float) -> DataFrame:
         return _signature(i, F.substring(F.col("key"), start, end - start))
 
     return base.select(
-        F.col("key").alias("right_key"), "right", "len",
+        F.col("key").alias("right_key"), "right", F.col("bits").alias("right_bits"), "len",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)).alias("sig"),
     )
 
@@ -76,14 +125,14 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
     """Substrings of each query key that could be a segment of a partner."""
     n = F.length("key")
     base = (
-        keys.select("key", "left", n.alias("own"))
+        keys.select("key", "left", "bits", n.alias("own"))
         .withColumn("shortest", F.ceil(F.col("own") * F.lit(threshold) - F.lit(_EPS)).cast("int"))
         .withColumn("longest", F.floor(F.col("own") / F.lit(threshold) + F.lit(_EPS)).cast("int"))
         .where("own > 0")
-        .select("key", "left", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
+        .select("key", "left", "bits", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
         .withColumn("parts", _max_edits(F.col("len"), threshold) + 1)
         .withColumns(_shifts(threshold))
-        .where("k > 0")
+        .where(F.col("k") > FEW_EDITS)
     )
 
     def windows(i: Column) -> Column:
@@ -95,7 +144,7 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         return F.transform(spots, lambda p: _signature(i, F.substring(F.col("key"), p, width)))
 
     found = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), windows))
-    return base.select(F.col("key").alias("left_key"), "left", "len", F.explode(F.array_distinct(found)).alias("sig"))
+    return base.select(F.col("key").alias("left_key"), "left", F.col("bits").alias("left_bits"), "len", F.explode(F.array_distinct(found)).alias("sig"))
 
 
 def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:
@@ -103,22 +152,32 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRE
 
     ``left`` has (key, left), ``right`` has (key, right); the second columns are
     whatever the caller wants to keep of a row.  Returns (left_key, left, right_key, right,
-    name_similarity).  A pair comes once for each segment that it shares, so
+    name_similarity).  A pair comes once for each key that it shares, so
     the caller aggregates.
     """
-    l = _probes(left.where("key <> ''"), threshold)
-    r = _segments(right.where("key <> ''"), threshold)
+    left, right = (_with_bitmaps(side.where("key <> ''")) for side in (left, right))
+    short = F.length("key") <= _few_edits_length(threshold)
+    sides = ["left_key", "left", "left_bits", "right_key", "right", "right_bits"]
+    name = lambda side, df: df.withColumnsRenamed({"key": f"{side}_key", "bits": f"{side}_bits"})
+    by_variant = name("left", _variants(left.where(short), threshold)).join(name("right", _variants(right.where(short), threshold)), "variant")
+    by_segment = _probes(left, threshold).join(_segments(right, threshold), ["len", "sig"])
+
     longest = F.greatest(F.length("left_key"), F.length("right_key"))
     bound = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
+    flips = lambda c: F.bit_count(F.col(f"left_bits.{c}").bitwiseXOR(F.col(f"right_bits.{c}")))
     # the bounded distance stops early and is -1 beyond the bound
     edits = F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), bound)
     similarity = F.lit(1.0) - edits / longest
-    return (
-        l.join(r, ["len", "sig"])
-        .where((F.col("left_key") != F.col("right_key")) & (edits >= 0))
-        .select("left_key", "left", "right_key", "right", similarity.alias("name_similarity"))
-        .where(F.col("name_similarity") >= F.lit(threshold))
-    )
+
+    def matches(met: DataFrame) -> DataFrame:
+        plausible = (F.abs(F.length("left_key") - F.length("right_key")) <= bound) & (flips("one") <= bound * 2) & (flips("two") <= bound * 4)
+        return (
+            met.select(*sides).where((F.col("left_key") != F.col("right_key")) & plausible & (edits >= 0))
+            .select("left_key", "left", "right_key", "right", similarity.alias("name_similarity"))
+            .where(F.col("name_similarity") >= F.lit(threshold))
+        )
+
+    return matches(by_variant).unionByName(matches(by_segment))
 
 
 def similar_name_keys(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:

@@ -6,16 +6,15 @@ in that sequence (same key, alias, or similar name) or founds one.
 
 A row founds exactly when it may found and no earlier *founder* matches it, so
 the founders are the lexicographically first maximal independent set of the
-"matches" graph.  It is found in stretches of the order that grow fourfold.  Within a stretch,
-parallel rounds: whatever has no earlier open neighbour founds, its neighbours
-are matched; what a few rounds leave is decided in order.  The new founders then strike out all later nodes they match, before the next
-stretch looks at its own edges; so edges exist only among the nodes still open in one
-stretch, however dense the whole graph is.  Copies of a name need one node each.
+"matches" graph.  It is found in stretches of the order that grow eightfold.  The founders of a stretch strike out all later nodes
+they match before the next stretch is looked at, so of a dense cluster few nodes are left.  Within a
+stretch there are parallel rounds, and what they leave is halved by order.  Edges are stored for
+``SMALL`` nodes at most.  Copies of a name need one node each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -98,62 +97,12 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
     )
 
 
-# rounds that settle all but dense clusters of a stretch
+#: Nodes whose edges are stored and decided in order at once; a fixed number, whatever the input.
+SMALL = 2048
+#: Rounds over a larger stretch before it is cut by order.
 ROUNDS = 3
-
-
-def _founders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lexicographically first maximal independent set.
-
-    ``nodes(node)``; ``edges(src, dst)`` with ``src`` earlier than ``dst``.
-    Rounds touch only nodes that still have open edges.  In a dense cluster one node
-    founds in a round, so what a few rounds leave is decided in order.
-    """
-    edges = cut_lineage(edges)
-    founders = nodes.join(_ends(edges), "node", "left_anti").select("node")
-    for _ in range(ROUNDS):
-        if edges.isEmpty():
-            return founders
-        sources = edges.select(F.col("src").alias("node")).distinct().join(
-            edges.select(F.col("dst").alias("node")), "node", "left_anti"
-        )
-        matched = edges.join(sources.withColumnRenamed("node", "src"), "src", "left_semi").select(
-            F.col("dst").alias("node")
-        ).distinct()
-        rest = (
-            edges.join(matched.withColumnRenamed("node", "dst"), "dst", "left_anti")
-            .join(matched.withColumnRenamed("node", "src"), "src", "left_anti")
-            .select("src", "dst")
-        )
-        rest = cut_lineage(rest)
-        # neither matched nor blocked any more
-        freed = _ends(edges).join(matched, "node", "left_anti").join(_ends(rest), "node", "left_anti")
-        founders = cut_lineage(founders.unionByName(freed))
-        edges = rest
-    return founders.unionByName(_ends(edges).join(_matched_in_order(edges), "node", "left_anti"))
-
-
-def _matched_in_order(edges: DataFrame) -> DataFrame:
-    """The nodes that an earlier founder matches, by one pass over the edges in order.
-
-    The pass keeps only the numbers of matched nodes; edges stream through it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matched: set[int] = set()
-        for batch in batches:
-            new = []
-            for dst, src in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                # sources come before their targets, so their fate is known
-                if dst not in matched and src not in matched:
-                    matched.add(dst)
-                    new.append(dst)
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], ["node"])
-
-    ordered = edges.select(F.col("dst").cast("long"), F.col("src").cast("long")).repartition(1).sortWithinPartitions("dst", "src")
-    return ordered.mapInArrow(run, "node long")
-
-
-FIRST_STRETCH, GROWTH = 1024, 4
+#: How much longer each stretch of the order is than the one before.
+GROWTH = 8
 
 
 def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -170,30 +119,66 @@ def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFr
     return same.select("src", "dst").unionByName(via.select("src", "dst")).unionByName(near).where("src < dst")
 
 
+def _struck(later: DataFrame, founders: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The numbers of the nodes of ``later`` that one of ``founders`` matches: one row a node leaves each task of the join."""
+    return _matches(later, founders, aliases).select(F.col("dst").alias("no")).distinct()
+
+
+def _in_order(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The founders among at most ``SMALL`` nodes, taken one after the other over their edges."""
+
+    def decide(table: pa.Table) -> pa.Table:
+        matched: set[int] = set()
+        pairs = sorted(zip(table["dst"].to_pylist(), table["src"].to_pylist()))
+        for dst, src in pairs:  # sources come before their targets, so their fate is known
+            if src not in matched:
+                matched.add(dst)
+        return pa.table({"no": pa.array(sorted(matched), pa.int64())})
+
+    edges = _matches(nodes, nodes, aliases).distinct()
+    matched = edges.groupBy((F.col("src") * 0).alias("stretch")).applyInArrow(decide, "no long")
+    return nodes.join(matched, "no", "left_anti").select("no")
+
+
+def _settled(open_: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The founders among ``open_`` (no, key, threshold): the lexicographically first maximal independent set.
+
+    In a round, all nodes without an earlier open neighbour found, and strike out what they match; edges are only
+    counted for that, never stored.  What some rounds leave is cut in two by order: the founders of the first
+    half strike out nodes of the second by the same join, before it is looked at.
+    """
+    founders = open_.where("false").select("no")
+    for _ in range(ROUNDS):
+        n = open_.count()
+        if n <= SMALL:
+            return cut_lineage(founders.unionByName(_in_order(open_, aliases)))
+        new = cut_lineage(open_.join(_struck(open_, open_, aliases), "no", "left_anti"))
+        founders = founders.unionByName(new.select("no"))
+        rest = open_.join(new, "no", "left_anti")
+        open_ = cut_lineage(rest.join(_struck(rest, new, aliases), "no", "left_anti"))
+    middle = open_.agg(F.percentile_approx("no", 0.5)).first()[0]
+    if middle is None:
+        return cut_lineage(founders)
+    early, late = open_.where(F.col("no") <= middle), open_.where(F.col("no") > middle)
+    first = _settled(cut_lineage(early), aliases)
+    late = cut_lineage(late.join(_struck(late, open_.join(first, "no", "left_semi"), aliases), "no", "left_anti"))
+    return cut_lineage(founders.unionByName(first).unionByName(_settled(late, aliases)))
+
+
 def found(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """The nodes ``(key, threshold, node)`` that found a venue; ``node`` gives the order."""
     numbered = row_number_in_groups(nodes, [], [F.asc("node"), F.asc("key"), F.asc("threshold")], "no")
     open_ = numbered = cut_lineage(numbered.withColumn("no", F.col("no").cast("long")))
-    founders = None
-    last = FIRST_STRETCH
+    founders, last = [], SMALL
     while True:
-        stretch = open_.where(F.col("no") <= last)
-        edges = _matches(stretch, stretch, aliases).distinct()
-        new = cut_lineage(_founders(stretch.select(F.col("no").alias("node")), edges).withColumnRenamed("node", "no"))
-        founders = new if founders is None else founders.unionByName(new)
+        new = _settled(open_.where(F.col("no") <= last), aliases)
+        founders.append(new)
         later = open_.where(F.col("no") > last)
         if later.isEmpty():
             break
-        struck = _matches(later, numbered.join(new, "no", "left_semi"), aliases).select(F.col("dst").alias("no")).distinct()
-        open_ = cut_lineage(later.join(struck, "no", "left_anti"))
+        open_ = cut_lineage(later.join(_struck(later, numbered.join(new, "no", "left_semi"), aliases), "no", "left_anti"))
         last *= GROWTH
-    return numbered.join(founders, "no", "left_semi").select("node")
-
-
-def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).unionByName(
-        edges.select(F.col("dst").alias("node"))
-    ).distinct()
+    return numbered.join(functools.reduce(DataFrame.unionByName, founders), "no", "left_semi").select("node")
 
 
 def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
