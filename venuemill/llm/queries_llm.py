@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuemill.llm import decontaminate, lines, neardup, oracles, packing, ppm, pretokens, quality, repeats, secrets, substrings
+from venuemill.llm import (
+    alignment, decontaminate, lines, neardup, oracles, packing, ppm, pretokens, quality, repair, repeats, secrets, substrings, wavelet,
+)
+from venuemill.session import shared_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +99,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    wavelet.write_shards(documents(spark, sf_dir), folder, vocabulary("word_bpe_49k.json"))
+    return wavelet.read_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    made = repair.repair_conversations(repair.damaged(rows))
+    found = made.summary.withColumnRenamed("conv_id", "s")
+    texts = repair.digests(made.messages).withColumnRenamed("conv_id", "t")
+    every = rows.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("s")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("t")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 QUERIES = {
     "op1_repeated_windows": (op1_repeated_windows, oracles.REPEATED_WINDOWS),
     "op2_quality_divergence": (op2_quality_divergence, None),
@@ -105,4 +133,7 @@ QUERIES = {
     "op8_common_lines": (op8_common_lines, oracles.COMMON_LINES),
     "op9_near_duplicates": (op9_near_duplicates, oracles.NEAR_DUPLICATES),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_token_alignment": (op11_token_alignment, None),
+    "op12_wavelet_shards": (op12_wavelet_shards, None),
+    "op13_conversation_repair": (op13_conversation_repair, None),
 }
