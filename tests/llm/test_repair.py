@@ -23,7 +23,7 @@ def cheapest(rows):
         nonlocal best
         if cost > most or (best and cost > best[0]):
             return
-        if i == len(rows) and re.fullmatch(r"(s?(ua)+)?", "".join(r[:1] for r, _ in made)):
+        if i == len(rows) and re.fullmatch(r"(s?(ua)+)?", "".join(r[:1] or "?" for r, _ in made)):
             if best is None or (cost, audit) < best[:2]:
                 best = (cost, audit, made)
         if audit[-3:] != "III":

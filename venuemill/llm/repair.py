@@ -245,7 +245,8 @@ def repair_conversations(rows: DataFrame) -> Repairs:
     """The cheapest repair of each conversation to an optional system row and then pairs of user and assistant.
 
     ``rows`` has (conv_id, turn, role, text).  They are taken by turn (nulls first), then role, then SHA-256 of the text.
-    A null role or text is one space; rows without a conv_id are one conversation.  The first fault
+    A null role or text is one space; a row whose role begins with none of s, u and a cannot be kept as it is; rows without a
+    conv_id are one conversation.  The first fault
     counts: blank (no character besides white space), duplicate (role and text seen earlier; repeated rows are), truncated
     (the last such character is none of ``.!?``).  Costs: the constants of this module.
 
