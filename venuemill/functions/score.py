@@ -65,8 +65,15 @@ LEGACY_POLICY = ScorePolicy(
 
 
 def time_decay(published_at: Column, as_of: Column) -> Column:
-    """Weight factor by review age; 1 for young, undated or unreadable dates."""
-    published = F.try_to_timestamp(published_at)
+    """Weight factor by review age; 1 for young, undated or unreadable dates.
+
+    Dates without a zone are in UTC, whatever zone the session has."""
+    text = F.trim(published_at)
+    day = F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01"))).when(text.rlike(r"^\d{4}-\d{1,2}$"), F.concat(text, F.lit("-01"))).otherwise(text)
+    zoned = F.when(day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(day, F.lit("T00:00:00Z"))).when(
+        day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ][\d:.]+$"), F.concat(day, F.lit("Z"))
+    ).otherwise(day)
+    published = F.try_to_timestamp(zoned)
     millis = F.unix_millis(as_of) - F.unix_millis(published)
     years = millis / F.lit(V.MILLIS_PER_YEAR)
     over = F.lit(1.0) - (years - F.lit(V.DECAY_START_YEARS)) * F.lit(V.DECAY_PER_YEAR)

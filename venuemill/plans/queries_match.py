@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from venuemill import fixed_values as V
 from venuemill import schemas
 from venuemill.functions import text
 from venuemill.operators import consolidate, dedup, fuzzy, resolve, slugs
@@ -338,6 +339,121 @@ def merged_venues(spark, d):
     return v.select("id", "name", "address", "city", "source_count", F.col("ratings.krogguiden.score").alias("krogguiden"))
 
 
+def nine_passes_of(spark, d):
+    """(articles, known merges): every part in three or so of the nine passes, with misspellings, nicknames, listings and news,
+    sub-articles, and rows without address and city."""
+    p, k, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    full = F.concat("p_name", F.lit(" "), F.lower("p_type"))
+    address = F.when(size % 5 > 0, F.concat("p_brand", F.lit(" street "), size.cast("string")))
+    passes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(source).alias("source")) for n, source, *_ in V.SOURCE_PASSES])
+    rows = p.withColumn("full", full).select("*", F.explode(passes).alias("at")).where((k + F.col("at.n")) % 3 == 0)
+    n, source = F.col("at.n"), F.col("at.source")
+    name = F.when(n.isin(2, 4, 8), _typo(F.col("full"))).when((n == 9) & (k % 5 == 0), F.concat(F.lit("Nick "), "full")).otherwise(F.col("full"))
+    part = schemas.SUB_ARTICLE
+
+    def sub(**given):
+        return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in part.fields])
+
+    subs = F.array(sub(venue_name=F.col("full")), sub(venue_name=_typo(F.col("full")), venue_address=address, venue_city=F.when(size % 2 == 0, F.col("p_brand"))))
+    given = {
+        "id": F.concat(source, k.cast("string")), "source_id": source, "url": F.concat(source, F.lit("/"), k.cast("string")), "title": name,
+        "published_at": F.lit(""), "content_type": F.when((k + n) % 7 > 0, "review").when(k % 2 == 0, "listing").otherwise("news"),
+        "body_text": F.lit(""), "venue_type": F.lit("restaurant"), "venue_name": name, "venue_address": address,
+        "venue_city": F.when(size % 10 > 0, F.col("p_brand")), "score": (size % 6).cast("double"),
+        "sub_articles": F.when((n == 5) & (k % 4 < 2), subs),
+    }
+    articles = rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.ARTICLE.fields], k.alias("pos"))
+    known = p.select(full.alias("canonical_name"), F.concat(F.lit("nick "), full).alias("alias"), k.alias("pos"))
+    return articles, known
+
+
+def merged_all_passes(spark, d):
+    """The whole merge over nine passes, fed with known merges."""
+    v = pipeline.merge(*nine_passes_of(spark, d))
+    return v.select(
+        "id", "name", "address", "city", "source_count", F.array_join(F.transform("sources", lambda s: s["source_id"]), ",").alias("source_ids"),
+        F.concat_ws(":", "idx.pass", "idx.pos", "idx.sub").alias("founder"), F.col("ratings.dn.score").alias("dn"))
+
+
+MERGED_ALL_SQL = """
+WITH RECURSIVE p AS (
+  SELECT *, p_name || ' ' || lower(p_type) AS nm, nm[1:p_partkey % length(nm)] || nm[p_partkey % length(nm) + 2:] AS typo,
+    CASE WHEN p_size % 5 > 0 THEN p_size END AS num, CASE WHEN p_size % 10 > 0 THEN p_brand END AS city FROM part
+),
+s(i, src) AS (VALUES (1, 'whiteguide-review'), (2, 'krogguiden'), (3, 'michelin'), (4, 'di'), (5, 'dn-review'), (7, 'svd-review'), (8, 'falstaff'), (9, 'thatsup')),
+art AS (
+  SELECT p.*, i, src, CASE WHEN i IN (2, 4, 8) THEN typo WHEN i = 9 AND p_partkey % 5 = 0 THEN 'Nick ' || nm ELSE nm END AS name
+  FROM p, s WHERE (p_partkey + i) % 3 = 0
+),
+m0 AS (
+  SELECT i AS pass, p_partkey AS pos, 0 AS sub, name, city, city AS fill, num, p_brand, p_size, src,
+    CASE WHEN i NOT IN (1, 3) AND (i = 7 OR num IS NULL) THEN 0.9e0 ELSE 0.85e0 END AS t, i IN (1, 3) OR num IS NOT NULL OR city IS NOT NULL AS can
+  FROM art WHERE i IN (1, 3) OR (p_partkey + i) % 7 > 0
+  UNION ALL
+  SELECT 6, p_partkey, u, CASE u WHEN 0 THEN nm ELSE typo END, coalesce(CASE WHEN u = 1 AND p_size % 2 = 0 THEN p_brand END, city),
+    CASE WHEN u = 1 AND p_size % 2 = 0 THEN p_brand END, CASE u WHEN 1 THEN num END, p_brand, p_size, src, 0.85e0, (u = 1 AND num IS NOT NULL) OR (u = 1 AND p_size % 2 = 0) OR city IS NOT NULL
+  FROM art, (VALUES (0), (1)) x(u) WHERE i = 5 AND p_partkey % 4 < 2
+),
+m AS (SELECT *, lower(name) AS key, (pass, pos, sub) AS ord, lower(p_brand) || ' street' AS street FROM m0),
+al AS (SELECT DISTINCT 'nick ' || nm AS key, nm AS canon FROM p),
+n0 AS (SELECT key, t, min(ord) AS ord FROM m WHERE can GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (ORDER BY ord, key, t) AS i FROM n0),
+k AS (SELECT DISTINCT key FROM m),
+sim AS (
+  SELECT a.key AS key, b.key AS other, 1e0 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE) AS s
+  FROM k a, k b WHERE a.key <> b.key AND abs(length(a.key) - length(b.key)) <= 6
+    AND 1e0 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE) >= 0.85e0
+),
+pred AS (
+  SELECT i, list(j) AS js FROM (
+    SELECT d.i, e.i AS j FROM n d JOIN n e ON e.key = d.key AND e.i < d.i
+    UNION ALL SELECT d.i, e.i FROM n d JOIN al ON al.key = d.key JOIN n e ON e.key = al.canon AND e.i < d.i
+    UNION ALL SELECT d.i, e.i FROM n d JOIN sim ON sim.key = d.key AND s >= d.t JOIN n e ON e.key = sim.other AND e.i < d.i
+  ) GROUP BY i
+),
+walk(i, f) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT w.i + 1, CASE WHEN list_has_any(w.f, coalesce(js, [])) THEN w.f ELSE list_append(w.f, w.i + 1) END
+  FROM walk w LEFT JOIN pred ON pred.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM n)
+),
+fl AS (SELECT unnest(f) AS i FROM (SELECT f FROM walk ORDER BY i DESC LIMIT 1)),
+v AS (SELECT m.* FROM fl JOIN n USING (i) JOIN m USING (ord)),
+ex AS (
+  SELECT m.ord, coalesce(a.ord, b.ord) AS vo FROM m LEFT JOIN v a ON a.key = m.key AND a.ord <= m.ord
+  LEFT JOIN al ON al.key = m.key LEFT JOIN v b ON b.key = al.canon AND b.ord < m.ord WHERE coalesce(a.ord, b.ord) IS NOT NULL
+),
+fz AS (
+  SELECT m.ord, v.ord AS vo FROM m JOIN sim ON sim.key = m.key AND s >= m.t JOIN v ON v.key = sim.other AND v.ord < m.ord
+  WHERE m.ord NOT IN (SELECT ord FROM ex)
+  QUALIFY row_number() OVER (PARTITION BY m.ord ORDER BY coalesce(v.city = m.city, false) DESC, s * 0.8e0 + CASE WHEN m.num IS NULL OR v.num IS NULL THEN 0e0 ELSE
+    CASE WHEN m.street = v.street THEN 1e0 ELSE 1e0 - levenshtein(m.street, v.street) / CAST(greatest(length(m.street), length(v.street)) AS DOUBLE) END * 0.7e0
+    + CASE WHEN m.num = v.num THEN 1e0 ELSE 0e0 END * 0.3e0 END * 0.2e0 DESC, v.ord) = 1
+),
+h AS (SELECT m.*, vo FROM m JOIN (SELECT * FROM ex UNION ALL SELECT * FROM fz) USING (ord)),
+src AS (
+  SELECT vo, src, min(ord) AS first, last(name ORDER BY ord) FILTER (pass <> 6) AS last_name, min(ord) FILTER (pass <> 6) AS named FROM h GROUP BY 1, 2
+),
+g AS (
+  SELECT vo, coalesce(
+      max(last_name) FILTER (src = 'michelin'), max(last_name) FILTER (src = 'whiteguide-review'), max(last_name) FILTER (src = 'dn-review'),
+      max(last_name) FILTER (src = 'svd-review'), max(last_name) FILTER (src = 'di'), max(last_name) FILTER (src = 'krogguiden'),
+      first(last_name ORDER BY named) FILTER (named IS NOT NULL)) AS name, string_agg(src, ',' ORDER BY first) AS source_ids, CAST(count(*) AS INT) AS source_count
+  FROM src GROUP BY vo
+),
+f AS (
+  SELECT vo, first(p_brand || ' street ' || p_size ORDER BY ord) FILTER (num IS NOT NULL) AS address,
+    first(CASE WHEN ord = vo THEN city ELSE fill END ORDER BY ord) FILTER (CASE WHEN ord = vo THEN city ELSE fill END IS NOT NULL) AS city,
+    first(name ORDER BY ord) AS founder_name, CAST(first(p_size % 6 ORDER BY ord) FILTER (pass = 5 AND p_size % 6 > 0) AS DOUBLE) AS dn
+  FROM h GROUP BY vo
+),
+b AS (SELECT *, coalesce(name, founder_name) AS nm FROM g JOIN f USING (vo)),
+r AS (
+  SELECT *, replace(lower(nm), ' ', '-') || '-' || CASE WHEN city IS NULL THEN 'sweden' ELSE replace(lower(city), '#', '-') END AS base FROM b
+)
+SELECT CASE WHEN row_number() OVER w = 1 THEN base ELSE base || '-' || row_number() OVER w END AS id, nm AS name, coalesce(address, '') AS address, coalesce(city, '') AS city,
+  source_count, source_ids, vo[1] || ':' || vo[2] || ':' || vo[3] AS founder, dn FROM r WINDOW w AS (PARTITION BY base ORDER BY vo)"""
+
+
 # walks each name's venues in order; slugs of different names never meet
 CONTESTED_SQL = """
 WITH RECURSIVE b AS (
@@ -431,5 +547,6 @@ QUERIES = {
         SELECT place_id, alias, min(run) AS run, first(pos ORDER BY run, pos) AS pos FROM r GROUP BY place_id, alias)"""),
     "resolve_mentions": (resolve_mentions, RESOLVE_SQL),
     "merged_venues": (merged_venues, MERGED_SQL),
+    "merged_all_passes": (merged_all_passes, MERGED_ALL_SQL),
     "fuzzy_customers": (fuzzy_customers, FUZZY_CUSTOMERS_SQL),
 }

@@ -341,6 +341,27 @@ LISTING_SQL = """SELECT sha256('krogguiden:s-' || p_partkey)[1:12] AS id, CASE W
   'lyx' AS price_range, 'Thai|Sushi' AS cuisine, CASE p_partkey % 2 WHEN 0 THEN 'Norr' END AS tag FROM part WHERE p_partkey % 10 > 0 AND p_partkey % 3 <> 1"""
 
 
+def guide_import_records(spark, d):
+    """Older raw guide list: every row is a restaurant, with or without an address."""
+    k = F.col("p_partkey")
+    raw = table(spark, d, "part").select(
+        F.concat(F.lit(" "), F.col("p_name"), F.lit(" .")).alias("name"),
+        pick(["Gatan 1, Lund, 222 22, Sweden", "Torget 2, Östermalm, Stockholm, Sweden", "", None], k % 4).alias("address"),
+        pick(["Lund", "södermalm", ""], k % 3).alias("city"), pick(["bib_gourmand", "2_star", "selected"], k % 3).alias("distinction"),
+        pick(["Modern, , Nordic", ""], k % 2).alias("cuisine"), pick(["€", "€€", "€€€€", ""], k % 4).alias("price_range"),
+        F.concat(F.lit("https://guide/"), k.cast("string")).alias("url"))
+    return A.import_guide(raw, STAMP).select(
+        "id", "url", "venue_type", "venue_name", "venue_address", "venue_city", "score", "price_range", F.array_join("cuisine", "|").alias("cuisine"),
+        F.try_element_at("tags", F.lit(1)).alias("tag"), F.col("lat").isNull().alias("unplaced"))
+
+
+GUIDE_IMPORT_SQL = """SELECT sha256('michelin:https://guide/' || p_partkey)[1:16] AS id, 'https://guide/' || p_partkey AS url, 'restaurant' AS venue_type, p_name || ' ' AS venue_name,
+  CASE p_partkey % 4 WHEN 0 THEN 'Gatan 1' WHEN 1 THEN 'Torget 2, Östermalm' END AS venue_address,
+  CASE p_partkey % 4 WHEN 0 THEN 'Lund' WHEN 1 THEN 'Stockholm' ELSE CASE p_partkey % 3 WHEN 0 THEN 'Lund' WHEN 1 THEN 'Stockholm' END END AS venue_city,
+  CASE p_partkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 2e0 ELSE 0e0 END AS score, CASE p_partkey % 4 WHEN 0 THEN 'budget' WHEN 1 THEN 'mellan' WHEN 2 THEN 'lyx' END AS price_range,
+  CASE WHEN p_partkey % 2 = 0 THEN 'Modern|Nordic' END AS cuisine, CASE p_partkey % 3 WHEN 0 THEN 'bib_gourmand' WHEN 1 THEN '2_star' ELSE 'selected' END AS tag, true AS unplaced FROM part"""
+
+
 def review_page_articles(spark, d):
     """All pages as articles: no review data, so titled by meta tag or url."""
     return X.review_articles(table(spark, d, "pages"), STAMP).select("id", "url", "title", "content_type", "venue_name", F.length("body_text").alias("chars"))
@@ -378,5 +399,6 @@ QUERIES = {
     "news_records": (news_records, NEWS_SQL),
     "points_records": (points_records, POINTS_SQL),
     "listing_records": (listing_records, LISTING_SQL),
+    "guide_import_records": (guide_import_records, GUIDE_IMPORT_SQL),
     "review_page_articles": (review_page_articles, REVIEW_PAGES_SQL),
 }

@@ -216,6 +216,13 @@ def distinction_articles(entries: DataFrame, collected_at: str) -> DataFrame:
     )
 
 
+def import_guide(raw: DataFrame, collected_at: str) -> DataFrame:
+    """Older raw guide entries (name, address, city, distinction, cuisine, price_range, url): all are restaurants, and all stay."""
+    absent = {"lat": "double", "lng": "double", "body_text": "string"}
+    whole = raw.withColumns({"venue_type": F.lit("restaurant")} | {c: F.lit(None).cast(t) for c, t in absent.items()})
+    return distinction_articles(whole, collected_at)
+
+
 # --- feeds and review pages -----------------------------------------------
 
 
