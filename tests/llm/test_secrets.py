@@ -51,10 +51,91 @@ def test_query_digest(spark):
 def test_ledger_scans_unseen_only(spark, awkward, given, nothing):
     ledger = secrets.scan_unseen(awkward).cache()
     assert secrets.scan_unseen(awkward, ledger).count() == 0
-    assert secrets.scan_unseen(awkward, ledger, version="3").count() == ledger.count()
+    assert secrets.scan_unseen(awkward, ledger, version="next").count() == ledger.count()
     more = secrets.scan_unseen(awkward.unionByName(given, allowMissingColumns=True), ledger)
     both = secrets.update_ledger(ledger, more)
     assert both.groupBy("blob", "version").count().filter("count > 1").count() == 0
     assert secrets.findings_of_paths(given, both).filter("size(findings) > 0").count() == secrets.findings_of_paths(
         given, secrets.scan_unseen(given)).filter("size(findings) > 0").count()
     assert secrets.scan_unseen(nothing).count() == 0
+
+
+def added(text):
+    """The added spans, character by character."""
+    out = []
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    plain = lambda c: c.isascii() and c.isalnum()
+    web = lambda c: word(c) or c == "-"
+
+    def run(at, ok):
+        end = at
+        while end < len(text) and ok(text[end]):
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        end, fresh = None, at == 0 or not word(text[at - 1])
+        if fresh and text[at : at + 2] == "gh" and text[at + 2 : at + 3] in set("pousr") and text[at + 3 : at + 4] == "_":
+            stop = run(at + 4, plain)
+            end = stop if stop - at - 4 >= 36 else None
+        elif fresh and text[at : at + 3] == "xox" and text[at + 3 : at + 4] in set("abprs") and text[at + 4 : at + 5] == "-":
+            stop = run(at + 5, lambda c: plain(c) or c == "-")
+            end = stop if stop - at - 5 >= 10 else None
+        elif text[at : at + 3] == "eyJ" and (at == 0 or not web(text[at - 1])):
+            one = run(at + 3, web)
+            if one - at - 3 >= 8 and text[one : one + 4] == ".eyJ":
+                two = run(one + 4, web)
+                if two - one - 4 >= 8 and text[two : two + 1] == ".":
+                    three = run(two + 1, web)
+                    end = three if three - two - 1 >= 8 else None
+        if end:
+            out.append((at, 3, f"token:{at}:{end}"))
+        at = end or at + 1
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        stop = run(at + 11, lambda c: c == " " or "A" <= c <= "Z")
+        if text[at + 11 : stop].endswith("PRIVATE KEY") and text[stop : stop + 5] == "-----":
+            out.append((at, 4, f"key:{at}:{stop + 5}"))
+            at = stop + 4
+        at = text.find("-----BEGIN ", at + 1)
+    white = set(" \t\n\r\x0b\f")
+    at = text.find("://")
+    while at >= 0:
+        user = run(at + 3, lambda c: c not in white and c not in "/:@")
+        if user > at + 3 and text[user : user + 1] == ":":
+            secret = run(user + 1, lambda c: c not in white and c not in "/@")
+            if secret > user + 1 and text[secret : secret + 1] == "@":
+                low = at
+                while low and (text[low - 1] in "+.-" or text[low - 1].isascii() and (text[low - 1].isdigit() or text[low - 1].islower())):
+                    low -= 1
+                while low < at and not ("a" <= text[low] <= "z"):
+                    low += 1
+                if at - low >= 2:
+                    out.append((low, 5, f"url:{low}:{secret + 1}"))
+        at = text.find("://", at + 1)
+    return [x[2] for x in sorted(out)]
+
+
+LONG = "x" * 500
+ADDED = [
+    *TRICKY, f"https://oauth2:{LONG}@host", f"{'a' * 90}+b.c-d://{LONG}:{LONG}@h 1http://u:p@h ...ftp://u:p@h a://u:p@h ://u:p@h", "http://a:b@c:d@e https://x:y/z@w",
+    f"-----BEGIN {'VERY ' * 60}LONG PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN rsa PRIVATE KEY-----", "-----BEGIN PRIVATE KEY----",
+    "eyJabcdefgh.eyJabcdefgh.abcdefgh", "-eyJabcdefgh.eyJabcdefgh.abcdefgh xeyJabcdefgh.eyJabcdefgh.abcdefgh", "eyJabcdefgh-eyJabcdefgh.eyJabcdefgh.abcdefgh",
+    f"ghp_{LONG} ghx_{LONG} xoxb-{LONG}-a xoxz-{LONG} aghp_{LONG} éghp_{LONG}",
+]
+
+
+def test_added_spans():
+    for text in ADDED:
+        got = [f"{f['kind']}:{f['start']}:{f['end']}" for f in secrets.scan(text) if f["kind"] not in secrets.KINDS[:3]]
+        assert got == added(text), text[:80]
+
+
+def test_long_runs_take_no_longer_for_their_length():
+    import time
+
+    for piece in ("eyJaaaaaaaa-", "eyJaaaaaaaa.", "-----BEGIN A ", "a.", "a://b:c", "xoxb-a", "password ", "http://a:", "AKIA", "-----BEGIN "):
+        start = time.perf_counter()
+        secrets.scan(piece * (2_000_000 // len(piece)))
+        assert time.perf_counter() - start < 20, piece

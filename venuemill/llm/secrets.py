@@ -16,19 +16,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 KINDS = ["assign", "access", "hex", "token", "key", "url"]
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
 )
-#: kind -> pattern.  The first three are fixed; the others add well-known shapes.
+#: kind -> pattern.  The first three are fixed; the others add well-known shapes.  None has an upper bound, and each looks at a run of
+#: its characters once: a run is entered at its first character, or its end does not depend on what follows.
 _RULES = {
     "access": re.compile(r"AKIA[A-Z0-9]{12,}"),
     "hex": re.compile(r"[0-9a-f]{32,}"),
-    "token": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", re.ASCII),
-    "key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    "url": re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:[^\s/@]{1,80}@", re.ASCII),
+    "token": re.compile(
+        r"\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII
+    ),
+    "key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 }
+#: What follows the scheme of a url with user and password; the scheme is read backwards from here.
+_LOGIN = re.compile(r"://[^\s/:@]+:[^\s/@]+@", re.ASCII)
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+
+
+def _urls(text: str) -> list[tuple[str, int, int]]:
+    """Urls with user and password, from the first letter of the run of scheme characters; a scheme has two at least."""
+    found = []
+    for m in _LOGIN.finditer(text):
+        at = m.start()
+        while at and text[at - 1] in _SCHEME:
+            at -= 1
+        while at < m.start() and not "a" <= text[at] <= "z":
+            at += 1
+        if m.start() - at >= 2:
+            found.append(("url", at, m.end()))
+    return found
 
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 _FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -39,6 +58,7 @@ def scan(text: str) -> list[dict]:
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 8]
     for kind, pattern in _RULES.items():
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    found += _urls(text)
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return [dict(zip(("kind", "start", "end"), x)) for x in found]
 
