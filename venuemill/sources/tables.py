@@ -9,14 +9,18 @@ from pyspark.sql import types as T
 
 from venuemill import schemas
 from venuemill.operators.ranking import row_number_in_groups
+from venuemill.sources import json_arrays
 
 
 def load_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Article arrays as JSON with the fixed schema; a missing path is empty.
 
     ``pos`` counts the rows by file path and place in the file, also over several files.
-    ``multi_line`` reads a file that is one JSON array as one task; it is
-    meant for imports, larger inputs have one record a line."""
+    ``multi_line`` reads files that are JSON arrays, by byte ranges; otherwise they have one record a line."""
+    if multi_line and json_arrays.reachable(path):
+        placed = json_arrays.read_json_arrays(spark, path, schemas.ARTICLE)
+        counted = row_number_in_groups(placed, [], [F.asc("_file"), F.asc("_place")], "pos")
+        return counted.withColumn("pos", F.col("pos").cast("long") - 1).drop("_file", "_place")
     rows = _load(spark, path, schemas.ARTICLE, multi_line)
     if rows.isEmpty():
         return rows.withColumn("pos", F.lit(0).cast("long"))
@@ -28,6 +32,8 @@ def load_articles(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    if multi_line and json_arrays.reachable(path):
+        return json_arrays.read_json_arrays(spark, path, schema).drop("_file", "_place")
     return _load(spark, path, schema, multi_line)
 
 
