@@ -30,7 +30,8 @@ SHARD_IDS = 2_000_000
 TASK_BYTES = 16 << 20
 #: Words whose ids a process keeps.
 MOST_CACHED = 800_000
-_ENDS_WORD = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,;:!?])(?=[\x20\x09-\x0d]|\Z)")
+#: A word whose last character is a mark after a letter or digit.
+_ENDS_WORD = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,;:!?]\Z")
 #: Writing tasks whose sizes are summed before they come to the driver.
 PARTS_SUMMED = 1024
 NO_ID = np.iinfo(np.int64).min
@@ -173,35 +174,58 @@ class Shard:
 class WordEncoder:
     """Ids of texts by a tokenizer that looks at nothing beyond ASCII white space, as little-endian bytes.
 
-    So a text is cut there, and the ids of words are kept for the next texts.  If the tokenizer lower-cases, words are kept
-    in lower case; a mark after a letter or digit and before white space is then a word of its own, as no piece spans the two."""
+    So a text is cut there, and the ids of words are kept for the next texts.  With a tokenizer that lower-cases and ends a
+    piece where letters or digits end, words are kept in lower case, a word with a mark behind it has the ids of
+    both, and words of letters go to the library side by side, as each has exactly one last piece.
+    """
 
     def __init__(self, path: str, cached: int):
         from tokenizers import Tokenizer
 
         self.library, self.cached, self.known = Tokenizer.from_file(path), cached, {}
-        self.lower = '"Lowercase"' in self.library.normalizer.__getstate__().decode() if self.library.normalizer else False
         added = self.library.get_added_tokens_decoder()
         self.added = [t.content.encode() for t in added.values()]
         self.mark_id, self.mark = next((i, t.content.encode()) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.lower = self.library.normalizer is not None and b'"Lowercase"' in self.library.normalizer.__getstate__()
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add words to those known, many in one text."""
+        odd, letters, rest = [], [], []
+        for w in new:
+            text = w.decode()
+            plain = self.lower and self.ends.any() and text.isalpha() and text == text.lower()
+            (odd if any(a in w for a in self.added) else letters if plain else rest).append(w)
+        for w in odd:
+            self.known[w] = self._ids(w.decode()).tobytes()
+        for words, between in ((letters, b" "), (rest, self.mark)):
+            for at in range(0, len(words), 2000):
+                some = words[at : at + 2000]
+                ids = self._ids(between.join(some).decode())
+                data = ids.tobytes()
+                if between == b" ":
+                    cuts = np.flatnonzero(self.ends[ids]) + 1
+                    first, stop = [0, *cuts[:-1].tolist()], cuts.tolist()
+                else:  # an added token, which the library takes out before it looks at the words
+                    cuts = np.flatnonzero(ids == self.mark_id).tolist()
+                    first, stop = [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]
+                self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(some, first, stop, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.cached:
-            self.known.clear()
-        split = [_ENDS_WORD.sub(rb" \1", t.encode().lower()).split() for t in texts] if self.lower else [t.encode().split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        odd = [w for w in new if any(a in w for a in self.added)]
-        known.update(zip(odd, (np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in odd)))
-        plain = [w for w in new if w not in known]
-        for at in range(0, len(plain), 2000):
-            # one text with an added token between the words, which the library takes out before it looks at them
-            some = plain[at : at + 2000]
-            found = self.library.encode_batch_fast([self.mark.join(some).decode()], add_special_tokens=False)[0].ids
-            ids = np.array(found, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            data = ids.tobytes()
-            known.update(zip(some, (data[4 * x + 4 : 4 * y] for x, y in zip(cuts, cuts[1:]))))
+        if len(known) > self.cached:
+            known.clear()
+        split = [t.encode().lower().split() for t in texts] if self.lower else [t.encode().split() for t in texts]
+        new = {w for words in split for w in words if w not in known}
+        marked = {w for w in new if self.lower and _ENDS_WORD.search(w) and not any(a in w for a in self.added)}
+        self._learn([w for w in (new - marked) | {x for w in marked for x in (w[:-1], w[-1:])} if w not in known])
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in marked])
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
