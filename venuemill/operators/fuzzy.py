@@ -14,9 +14,8 @@
 Two parity bitmaps, of a name's letters and of its pairs of letters, rule out most candidates before a distance is
 computed: an edit flips at most two bits of the one and four of the other.
 
-Candidates are never stored: the join on keys computes the bounded distance
-and what is wanted of it (the best venue, whether any founder matches) is aggregated on the spot, so
-names that nearly all resemble each other cost comparisons but no table of pairs.
+Distinct names are compared, and candidates are never stored: the join on keys computes the bounded distance, and only pairs
+that are similar enough leave it.
 """
 
 from __future__ import annotations
@@ -74,7 +73,7 @@ def _with_bitmaps(names: DataFrame) -> DataFrame:
     """Each name's two bitmaps, computed once and then carried as plain columns."""
     letters = F.split("key", "")
     pairs = F.zip_with(letters, F.slice(letters, 2, F.greatest(F.length("key"), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return names.withColumn("bits", F.struct(_parity(letters).alias("one"), _parity(pairs).alias("two")))
+    return names.withColumn("bits", F.struct(_parity(letters).alias("one"), _parity(pairs).alias("two"), F.length("key").alias("n")))
 
 
 def _variants(names: DataFrame, threshold: float) -> DataFrame:
@@ -107,7 +106,7 @@ def _shifts(threshold: float) -> dict[str, Column]:
 def _segments(keys: DataFrame, threshold: float) -> DataFrame:
     """One row per indexed name and segment: (key, right, len, sig)."""
     n = F.length("key")
-    base = keys.select("key", "right", "bits", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
+    base = keys.select("key", "bits", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
     base = base.where(F.col("parts") > FEW_EDITS + 1)  # others only have partners that meet by variants
 
     def cut(i: Column) -> Column:
@@ -116,7 +115,7 @@ def _segments(keys: DataFrame, threshold: float) -> DataFrame:
         return _signature(i, F.substring(F.col("key"), start, end - start))
 
     return base.select(
-        F.col("key").alias("right_key"), "right", F.col("bits").alias("right_bits"), "len",
+        F.col("key").alias("right_key"), F.col("bits").alias("right_bits"), "len",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)).alias("sig"),
     )
 
@@ -125,11 +124,11 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
     """Substrings of each query key that could be a segment of a partner."""
     n = F.length("key")
     base = (
-        keys.select("key", "left", "bits", n.alias("own"))
+        keys.select("key", "bits", n.alias("own"))
         .withColumn("shortest", F.ceil(F.col("own") * F.lit(threshold) - F.lit(_EPS)).cast("int"))
         .withColumn("longest", F.floor(F.col("own") / F.lit(threshold) + F.lit(_EPS)).cast("int"))
         .where("own > 0")
-        .select("key", "left", "bits", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
+        .select("key", "bits", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
         .withColumn("parts", _max_edits(F.col("len"), threshold) + 1)
         .withColumns(_shifts(threshold))
         .where(F.col("k") > FEW_EDITS)
@@ -144,7 +143,7 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         return F.transform(spots, lambda p: _signature(i, F.substring(F.col("key"), p, width)))
 
     found = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), windows))
-    return base.select(F.col("key").alias("left_key"), "left", F.col("bits").alias("left_bits"), "len", F.explode(F.array_distinct(found)).alias("sig"))
+    return base.select(F.col("key").alias("left_key"), F.col("bits").alias("left_bits"), "len", F.explode(F.array_distinct(found)).alias("sig"))
 
 
 def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:
@@ -152,32 +151,34 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRE
 
     ``left`` has (key, left), ``right`` has (key, right); the second columns are
     whatever the caller wants to keep of a row.  Returns (left_key, left, right_key, right,
-    name_similarity).  A pair comes once for each key that it shares, so
-    the caller aggregates.
+    name_similarity).  Distinct names are compared, each pair that is similar enough is kept once, and then meets its rows.
     """
-    left, right = (_with_bitmaps(side.where("key <> ''")) for side in (left, right))
+    rows = left, right
+    left, right = (_with_bitmaps(side.select("key").where("key <> ''").distinct()) for side in rows)
     short = F.length("key") <= _few_edits_length(threshold)
-    sides = ["left_key", "left", "left_bits", "right_key", "right", "right_bits"]
+    sides = ["left_key", "left_bits", "right_key", "right_bits"]
     name = lambda side, df: df.withColumnsRenamed({"key": f"{side}_key", "bits": f"{side}_bits"})
     by_variant = name("left", _variants(left.where(short), threshold)).join(name("right", _variants(right.where(short), threshold)), "variant")
     by_segment = _probes(left, threshold).join(_segments(right, threshold), ["len", "sig"])
 
-    longest = F.greatest(F.length("left_key"), F.length("right_key"))
+    longest = F.greatest("left_bits.n", "right_bits.n")
     bound = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
     flips = lambda c: F.bit_count(F.col(f"left_bits.{c}").bitwiseXOR(F.col(f"right_bits.{c}")))
     # the bounded distance stops early and is -1 beyond the bound
     edits = F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), bound)
-    similarity = F.lit(1.0) - edits / longest
 
     def matches(met: DataFrame) -> DataFrame:
-        plausible = (F.abs(F.length("left_key") - F.length("right_key")) <= bound) & (flips("one") <= bound * 2) & (flips("two") <= bound * 4)
-        return (
-            met.select(*sides).where((F.col("left_key") != F.col("right_key")) & plausible & (edits >= 0))
-            .select("left_key", "left", "right_key", "right", similarity.alias("name_similarity"))
-            .where(F.col("name_similarity") >= F.lit(threshold))
-        )
-
-    return matches(by_variant).unionByName(matches(by_segment))
+        plausible = (flips("two") <= bound * 4) & (flips("one") <= bound * 2) & (F.abs(F.col("left_bits.n") - F.col("right_bits.n")) <= bound)
+        return met.select(*sides).where(plausible & (F.col("left_key") != F.col("right_key")) & (edits >= 0)).select("left_key", "right_key")
+
+    longest = F.greatest(F.length("left_key"), F.length("right_key"))
+    similarity = F.lit(1.0) - F.levenshtein("left_key", "right_key") / longest
+    pairs = matches(by_variant).unionByName(matches(by_segment)).distinct().withColumn("name_similarity", similarity)
+    one, two = (side.withColumnRenamed("key", f"{name}_key") for side, name in zip(rows, ("left", "right")))
+    return (
+        pairs.where(F.col("name_similarity") >= F.lit(threshold)).join(one, "left_key").join(two, "right_key")
+        .select("left_key", "left", "right_key", "right", "name_similarity")
+    )
 
 
 def similar_name_keys(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:

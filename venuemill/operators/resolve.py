@@ -6,10 +6,9 @@ in that sequence (same key, alias, or similar name) or founds one.
 
 A row founds exactly when it may found and no earlier *founder* matches it, so
 the founders are the lexicographically first maximal independent set of the
-"matches" graph.  It is found in stretches of the order that grow eightfold.  The founders of a stretch strike out all later nodes
-they match before the next stretch is looked at, so of a dense cluster few nodes are left.  Within a
-stretch there are parallel rounds, and what they leave is halved by order.  Edges are stored for
-``SMALL`` nodes at most.  Copies of a name need one node each.
+"matches" graph.  The first nodes of the order are decided in a stretch of fixed length, whose founders strike out all later nodes
+they match before the next stretch is looked at, so of a dense cluster few nodes are left; parallel rounds settle
+sparse names.  Edges are stored for ``SMALL`` nodes at most.  Copies of a name need one node each.
 """
 
 from __future__ import annotations
@@ -99,10 +98,8 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
 
 #: Nodes whose edges are stored and decided in order at once; a fixed number, whatever the input.
 SMALL = 2048
-#: Rounds over a larger stretch before it is cut by order.
-ROUNDS = 3
-#: How much longer each stretch of the order is than the one before.
-GROWTH = 8
+#: Share of the later nodes that such a stretch must strike out; otherwise a round over all open nodes follows.
+DENSE = 0.1
 
 
 def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -140,45 +137,36 @@ def _in_order(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     return nodes.join(matched, "no", "left_anti").select("no")
 
 
-def _settled(open_: DataFrame, aliases: DataFrame) -> DataFrame:
+def _settled(open_: DataFrame, aliases: DataFrame) -> list[DataFrame]:
     """The founders among ``open_`` (no, key, threshold): the lexicographically first maximal independent set.
 
-    In a round, all nodes without an earlier open neighbour found, and strike out what they match; edges are only
-    counted for that, never stored.  What some rounds leave is cut in two by order: the founders of the first
-    half strike out nodes of the second by the same join, before it is looked at.
+    The first ``SMALL`` open nodes are decided in order and their founders strike out later nodes.  Where names are dense,
+    that leaves less each time.  Where it strikes few, names are sparse, and a round over all open nodes settles most: those without
+    an earlier open neighbour found and strike out what they match.  For that edges are only counted, never stored.
     """
-    founders = open_.where("false").select("no")
-    for _ in range(ROUNDS):
+    founders: list[DataFrame] = []
+    while True:
         n = open_.count()
         if n <= SMALL:
-            return cut_lineage(founders.unionByName(_in_order(open_, aliases)))
-        new = cut_lineage(open_.join(_struck(open_, open_, aliases), "no", "left_anti"))
-        founders = founders.unionByName(new.select("no"))
-        rest = open_.join(new, "no", "left_anti")
-        open_ = cut_lineage(rest.join(_struck(rest, new, aliases), "no", "left_anti"))
-    middle = open_.agg(F.percentile_approx("no", 0.5)).first()[0]
-    if middle is None:
-        return cut_lineage(founders)
-    early, late = open_.where(F.col("no") <= middle), open_.where(F.col("no") > middle)
-    first = _settled(cut_lineage(early), aliases)
-    late = cut_lineage(late.join(_struck(late, open_.join(first, "no", "left_semi"), aliases), "no", "left_anti"))
-    return cut_lineage(founders.unionByName(first).unionByName(_settled(late, aliases)))
+            return [*founders, cut_lineage(_in_order(open_, aliases))]
+        last = open_.select("no").orderBy("no").limit(SMALL).agg(F.max("no")).first()[0]
+        first, later = open_.where(F.col("no") <= last), open_.where(F.col("no") > last)
+        new = cut_lineage(_in_order(first, aliases))
+        founders.append(new)
+        open_ = cut_lineage(later.join(_struck(later, first.join(new, "no", "left_semi"), aliases), "no", "left_anti"))
+        if open_.count() > (1 - DENSE) * (n - SMALL):
+            new = cut_lineage(open_.join(_struck(open_, open_, aliases), "no", "left_anti"))
+            founders.append(new.select("no"))
+            rest = open_.join(new, "no", "left_anti")
+            open_ = cut_lineage(rest.join(_struck(rest, new, aliases), "no", "left_anti"))
 
 
 def found(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """The nodes ``(key, threshold, node)`` that found a venue; ``node`` gives the order."""
     numbered = row_number_in_groups(nodes, [], [F.asc("node"), F.asc("key"), F.asc("threshold")], "no")
-    open_ = numbered = cut_lineage(numbered.withColumn("no", F.col("no").cast("long")))
-    founders, last = [], SMALL
-    while True:
-        new = _settled(open_.where(F.col("no") <= last), aliases)
-        founders.append(new)
-        later = open_.where(F.col("no") > last)
-        if later.isEmpty():
-            break
-        open_ = cut_lineage(later.join(_struck(later, numbered.join(new, "no", "left_semi"), aliases), "no", "left_anti"))
-        last *= GROWTH
-    return numbered.join(functools.reduce(DataFrame.unionByName, founders), "no", "left_semi").select("node")
+    numbered = cut_lineage(numbered.withColumn("no", F.col("no").cast("long")))
+    founders = functools.reduce(DataFrame.unionByName, _settled(numbered, aliases))
+    return numbered.join(founders, "no", "left_semi").select("node")
 
 
 def resolve(mentions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
