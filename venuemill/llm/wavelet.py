@@ -8,6 +8,7 @@ decoding the file.  Planes are compressed apart and opened when they are first a
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -180,6 +181,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, cached: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.cached, self.known = Tokenizer.from_file(path), cached, {}
@@ -217,17 +219,22 @@ class WordEncoder:
                     first, stop = [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]
                 self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(some, first, stop, strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, bodies: list[bytes]) -> list[bytes]:
+        """The ids of each text, given as UTF-8."""
         known = self.known
         if len(known) > self.cached:
             known.clear()
-        split = [t.encode().lower().split() for t in texts] if self.lower else [t.encode().split() for t in texts]
-        new = {w for words in split for w in words if w not in known}
+        split = [b.lower().split() for b in bodies] if self.lower else [b.split() for b in bodies]
+        found = [list(map(known.get, words)) for words in split]
+        open_ = [[i for i, f in enumerate(ids) if f is None] if None in ids else [] for ids in found]
+        new = {words[i] for words, places in zip(split, open_) for i in places}
         marked = {w for w in new if self.lower and _ENDS_WORD.search(w) and not any(a in w for a in self.added)}
         self._learn([w for w in (new - marked) | {x for w in marked for x in (w[:-1], w[-1:])} if w not in known])
         known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in marked])
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for words, ids, places in zip(split, found, open_):
+            for i in places:
+                ids[i] = known[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
@@ -257,7 +264,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     key = [F.col("id").asc_nulls_first(), F.col("name").asc_nulls_first(), F.col("row").asc()]
     own = docs.select(
         F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("name"), F.monotonically_increasing_id().alias("row"),
-        F.col(text).cast("string").alias("body"),
+        F.col(text).cast("string").cast("binary").alias("body"),
     )
     ordered = own.repartitionByRange(blocks.parts_for(docs, total, task_bytes), *key).sortWithinPartitions(*key)
 
@@ -279,10 +286,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            start = 0
-            for some in blocks.slices([t.encode() for t in texts], 1 << 20):
-                for name, found in zip(ids[start : start + len(some)], encode(texts[start : start + len(some)])):
+            ids, start = batch.column(0).to_pylist(), 0
+            for some in blocks.slices(batch.column(1).to_pylist(), 1 << 20):
+                for name, found in zip(ids[start : start + len(some)], encode([b or b"" for b in some])):
                     if size and size + len(found) // 4 + 1 > shard_ids:
                         yield flush()
                     names.append(NO_ID if name is None else name)
