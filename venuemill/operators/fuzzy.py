@@ -106,7 +106,7 @@ def _shifts(threshold: float) -> dict[str, Column]:
 def _segments(keys: DataFrame, threshold: float) -> DataFrame:
     """One row per indexed name and segment: (key, right, len, sig)."""
     n = F.length("key")
-    base = keys.select("key", "bits", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
+    base = keys.select("key", "at", "bits", n.alias("len"), (_max_edits(n, threshold) + 1).alias("parts"))
     base = base.where(F.col("parts") > FEW_EDITS + 1)  # others only have partners that meet by variants
 
     def cut(i: Column) -> Column:
@@ -115,7 +115,7 @@ def _segments(keys: DataFrame, threshold: float) -> DataFrame:
         return _signature(i, F.substring(F.col("key"), start, end - start))
 
     return base.select(
-        F.col("key").alias("right_key"), F.col("bits").alias("right_bits"), "len",
+        F.col("key").alias("right_key"), F.col("at").alias("right_at"), F.col("bits").alias("right_bits"), "len",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)).alias("sig"),
     )
 
@@ -124,11 +124,11 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
     """Substrings of each query key that could be a segment of a partner."""
     n = F.length("key")
     base = (
-        keys.select("key", "bits", n.alias("own"))
+        keys.select("key", "at", "bits", n.alias("own"))
         .withColumn("shortest", F.ceil(F.col("own") * F.lit(threshold) - F.lit(_EPS)).cast("int"))
         .withColumn("longest", F.floor(F.col("own") / F.lit(threshold) + F.lit(_EPS)).cast("int"))
         .where("own > 0")
-        .select("key", "bits", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
+        .select("key", "at", "bits", "own", F.explode(F.sequence("shortest", "longest")).alias("len"))
         .withColumn("parts", _max_edits(F.col("len"), threshold) + 1)
         .withColumns(_shifts(threshold))
         .where(F.col("k") > FEW_EDITS)
@@ -143,42 +143,51 @@ def _probes(keys: DataFrame, threshold: float) -> DataFrame:
         return F.transform(spots, lambda p: _signature(i, F.substring(F.col("key"), p, width)))
 
     found = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), windows))
-    return base.select(F.col("key").alias("left_key"), F.col("bits").alias("left_bits"), "len", F.explode(F.array_distinct(found)).alias("sig"))
+    return base.select(F.col("key").alias("left_key"), F.col("at").alias("left_at"), F.col("bits").alias("left_bits"), "len", F.explode(F.array_distinct(found)).alias("sig"))
 
 
-def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:
+def _most_edits(longest: Column, threshold: float) -> Column:
+    """The largest ``d`` for which ``1 - d / longest >= threshold`` holds in doubles."""
+    near = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
+    return F.when(F.lit(1.0) - near / longest >= F.lit(threshold), near).otherwise(near - 1)
+
+
+def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD, earlier: bool = False) -> DataFrame:
     """Rows of both sides whose *different* keys have a similarity of at least ``threshold``.
 
     ``left`` has (key, left), ``right`` has (key, right); the second columns are
     whatever the caller wants to keep of a row.  Returns (left_key, left, right_key, right,
     name_similarity).  Distinct names are compared, each pair that is similar enough is kept once, and then meets its rows.
+
+    With ``earlier`` both sides have an ``at`` too, and only right rows with a smaller one than the left row count; names
+    none of whose rows can are not compared.
     """
     rows = left, right
-    left, right = (_with_bitmaps(side.select("key").where("key <> ''").distinct()) for side in rows)
+    last, first = (F.max("at"), F.min("at")) if earlier else (F.lit(1), F.lit(0))
+    left, right = (_with_bitmaps(side.where("key <> ''").groupBy("key").agg(at.alias("at"))) for side, at in zip(rows, (last, first)))
     short = F.length("key") <= _few_edits_length(threshold)
-    sides = ["left_key", "left_bits", "right_key", "right_bits"]
-    name = lambda side, df: df.withColumnsRenamed({"key": f"{side}_key", "bits": f"{side}_bits"})
+    sides = [f"{side}_{c}" for side in ("left", "right") for c in ("key", "at", "bits")]
+    name = lambda side, df: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("key", "at", "bits")})
     by_variant = name("left", _variants(left.where(short), threshold)).join(name("right", _variants(right.where(short), threshold)), "variant")
     by_segment = _probes(left, threshold).join(_segments(right, threshold), ["len", "sig"])
 
-    longest = F.greatest("left_bits.n", "right_bits.n")
-    bound = F.floor(F.lit(1.0 - threshold) * longest + F.lit(_EPS)).cast("int")
+    bound = _most_edits(F.greatest("left_bits.n", "right_bits.n"), threshold)
     flips = lambda c: F.bit_count(F.col(f"left_bits.{c}").bitwiseXOR(F.col(f"right_bits.{c}")))
     # the bounded distance stops early and is -1 beyond the bound
     edits = F.call_function("levenshtein", F.col("left_key"), F.col("right_key"), bound)
 
     def matches(met: DataFrame) -> DataFrame:
         plausible = (flips("two") <= bound * 4) & (flips("one") <= bound * 2) & (F.abs(F.col("left_bits.n") - F.col("right_bits.n")) <= bound)
-        return met.select(*sides).where(plausible & (F.col("left_key") != F.col("right_key")) & (edits >= 0)).select("left_key", "right_key")
-
-    longest = F.greatest(F.length("left_key"), F.length("right_key"))
-    similarity = F.lit(1.0) - F.levenshtein("left_key", "right_key") / longest
-    pairs = matches(by_variant).unionByName(matches(by_segment)).distinct().withColumn("name_similarity", similarity)
-    one, two = (side.withColumnRenamed("key", f"{name}_key") for side, name in zip(rows, ("left", "right")))
-    return (
-        pairs.where(F.col("name_similarity") >= F.lit(threshold)).join(one, "left_key").join(two, "right_key")
-        .select("left_key", "left", "right_key", "right", "name_similarity")
-    )
+        order = F.col("right_at") < F.col("left_at")
+        return met.select(*sides).where(order & plausible & (F.col("left_key") != F.col("right_key")) & (edits >= 0)).select("left_key", "right_key")
+
+    pairs = matches(by_variant).unionByName(matches(by_segment)).distinct()
+    similarity = F.lit(1.0) - F.levenshtein("left_key", "right_key") / F.greatest(F.length("left_key"), F.length("right_key"))
+    one, two = (side.withColumnsRenamed({"key": f"{name}_key", "at": f"{name}_at"}) for side, name in zip(rows, ("left", "right")))
+    met = pairs.withColumn("name_similarity", similarity).join(one, "left_key").join(two, "right_key")
+    if earlier:
+        met = met.where(F.col("right_at") < F.col("left_at"))
+    return met.select("left_key", "left", "right_key", "right", "name_similarity")
 
 
 def similar_name_keys(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD) -> DataFrame:
@@ -221,12 +230,12 @@ def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = Fa
         r = r.select(alike.alias("row_id"), "key", "row_place", "row_city", "threshold").dropDuplicates(["row_id"])
     v = cut_lineage(row_number_in_groups(v, [], [F.asc("venue_ord")], "venue_no").withColumn("venue_no", F.col("venue_no").cast("long")))
 
+    row_at, venue_at = (F.col("ord"), F.col("venue_ord")) if earlier_only else (F.lit(1), F.lit(0))
     met = near_names(
-        r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left")),
-        v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right")),
+        r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left"), row_at.alias("at")),
+        v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right"), venue_at.alias("at")),
+        earlier=earlier_only,
     ).where("name_similarity >= left.threshold")
-    if earlier_only:
-        met = met.where("right.venue_ord < left.ord")
     place_sim = F.coalesce(address_similarity(F.col("left.row_place"), F.col("right.venue_place")), F.lit(0.0))
     worse = F.floor((F.lit(2.0) - combined_score(F.col("name_similarity"), place_sim)) * F.lit(1e12)).cast("decimal(38,0)")
     in_city = F.coalesce((F.col("left.row_city") != "") & (F.col("left.row_city") == F.col("right.venue_city")), F.lit(False))

@@ -97,7 +97,7 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
 
 
 #: Nodes whose edges are stored and decided in order at once; a fixed number, whatever the input.
-SMALL = 2048
+SMALL = 512
 #: Share of the later nodes that such a stretch must strike out; otherwise a round over all open nodes follows.
 DENSE = 0.1
 
@@ -111,7 +111,8 @@ def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFr
     same = dst.join(src, F.col("dst_key") == F.col("src_key"))
     via = dst.join(aliases, F.col("dst_key") == aliases["key"]).join(src, F.col("canonical_key") == F.col("src_key"))
     near = near_names(
-        later.select("key", F.struct("no", "threshold").alias("left")), earlier.select("key", F.struct("no").alias("right"))
+        later.select("key", F.struct("no", "threshold").alias("left"), F.col("no").alias("at")),
+        earlier.select("key", F.struct("no").alias("right"), F.col("no").alias("at")), earlier=True,
     ).where("name_similarity >= left.threshold").select(F.col("right.no").alias("src"), F.col("left.no").alias("dst"))
     return same.select("src", "dst").unionByName(via.select("src", "dst")).unionByName(near).where("src < dst")
 
