@@ -80,12 +80,17 @@ class Powers:
 
 
 class PrefixHash:
-    """Hashes of ranges of a sequence of 64-bit codes, below 2**61."""
+    """Hashes of ranges of a sequence of 64-bit codes, below 2**61.
 
-    def __init__(self, codes: np.ndarray, powers: Powers):
-        up, self.down = powers.of(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        self.sums[1:] = _running(_product(_reduced(codes), up[:-1]))
+    With ``table``, the symbols are numbers of its codes, which then never stand in full beside the sums."""
+
+    def __init__(self, symbols: np.ndarray, powers: Powers, table: np.ndarray | None = None):
+        up, self.down = powers.of(len(symbols) + 1)
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        for at in range(0, len(symbols), _AT_ONCE):
+            part = symbols[at : at + _AT_ONCE]
+            terms = _product(_reduced(part if table is None else table[part]), up[at : at + len(part)])
+            self.sums[at + 1 : at + 1 + len(part)] = _reduced(_running(terms) + self.sums[at])
 
     def _between(self, low: np.ndarray, high: np.ndarray, down: np.ndarray) -> np.ndarray:
         return _product(_reduced(high + (_P - low)), down)

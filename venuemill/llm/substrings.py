@@ -40,7 +40,7 @@ def anchors(bodies: list[bytes], length: int, powers: Powers):
     for some in blocks.slices(bodies, 2 << 20):
         sizes = np.array([len(b) for b in some], np.int64)
         data = np.frombuffer(b"".join(some), np.uint8)
-        sums = PrefixHash(_ANCHOR[data], powers)
+        sums = PrefixHash(data, powers, _ANCHOR)
         grams = mix(sums.windows(gram))
         least = sliding_argmin(grams, length - gram + 1)
         ends = np.cumsum(sizes)
@@ -184,7 +184,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = LENGTH, doc_id: str =
         ids = np.array(_ids(table), np.int64)[np.searchsorted(np.cumsum([len(b) for b in bodies]), low, "right")]
         grams = [data[a : a + gram_of(length)] for a in (low + off).tolist()]
         flat = np.frombuffer(b"".join(grams), np.uint8)
-        anchor = mix(PrefixHash(_ANCHOR[flat], Powers()).windows(gram_of(length))[:: gram_of(length)]) if grams else np.zeros(0, np.uint64)
+        anchor = mix(PrefixHash(flat, Powers(), _ANCHOR).windows(gram_of(length))[:: gram_of(length)]) if grams else np.zeros(0, np.uint64)
         shard = (anchor % np.uint64(n_shards)).astype(np.int64)
         columns = [anchor, ids, low.astype(np.uint32), n.astype(np.uint16), off.astype(np.uint16)]
 

@@ -21,7 +21,7 @@ class SuffixOrder:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: np.ndarray):
         self.data, self.starts, self.lengths = data, starts, lengths
-        self.sums = PrefixHash(_CODES[data], Powers())
+        self.sums = PrefixHash(data, Powers(), _CODES)
         self.top = int(lengths.max(initial=0))
         self.order = np.argsort(groups, kind="stable")
         self.groups = groups[self.order]
