@@ -23,29 +23,33 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: null, empty and short texts among them.  Each repeated row is judged by itself; no rows give none."""
     return quality.rejected_rows_removed(docs, references_of(spark, docs, sf_dir))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least five documents stay in one of them."""
+    """Lines of at least five documents stay in one of them.  A null text stays null; ids and other columns are as they were."""
     return _with_text(lines.remove_common_lines(docs, rest=True), docs.columns, "kept_text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one of the least id.
+
+    Rows that share an id stay or go together; rows without an id, and texts without words, stay."""
     return neardup.keep_one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items go; documents that are mostly such passages go whole."""
+    """Passages of benchmark items go; documents that are mostly such passages go whole.
+
+    Null and empty texts stay as they are; each repeated row is treated alike."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.remove_contamination(docs, benchmark)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 2048 tokens.
+    """Pieces of all documents with their place in sequences of 2048 tokens; a null or empty text is one piece of the end id, repeated rows are packed each.
 
     Workers that served the stages before hold little else than their caches, so this one is small."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), cached=100_000)
