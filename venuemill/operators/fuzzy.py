@@ -69,6 +69,12 @@ def _parity(letters: Column) -> Column:
     return F.aggregate(letters, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
 
+def _spread(names: DataFrame) -> DataFrame:
+    """The names over as many tasks as a shuffle has: each is going to be a hundred rows or more, which their bytes don't tell."""
+    spark = names.sparkSession
+    return names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "key")
+
+
 def _with_bitmaps(names: DataFrame) -> DataFrame:
     """Each name's two bitmaps, computed once and then carried as plain columns."""
     letters = F.split("key", "")
@@ -152,7 +158,7 @@ def _most_edits(longest: Column, threshold: float) -> Column:
     return F.when(F.lit(1.0) - near / longest >= F.lit(threshold), near).otherwise(near - 1)
 
 
-def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD, earlier: bool = False) -> DataFrame:
+def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRESHOLD, earlier: bool = False, few: bool = False) -> DataFrame:
     """Rows of both sides whose *different* keys have a similarity of at least ``threshold``.
 
     ``left`` has (key, left), ``right`` has (key, right); the second columns are
@@ -160,16 +166,18 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRE
     name_similarity).  Distinct names are compared, each pair that is similar enough is kept once, and then meets its rows.
 
     With ``earlier`` both sides have an ``at`` too, and only right rows with a smaller one than the left row count; names
-    none of whose rows can are not compared.
+    none of whose rows can are not compared.  ``few`` is the caller's word that the right side has some hundreds of rows at
+    most: its variants and segments (at most 211 and some dozens a name) are broadcast, so the left side stays where it is.
     """
+    small = F.broadcast if few else lambda df: df
     rows = left, right
     last, first = (F.max("at"), F.min("at")) if earlier else (F.lit(1), F.lit(0))
-    left, right = (_with_bitmaps(side.where("key <> ''").groupBy("key").agg(at.alias("at"))) for side, at in zip(rows, (last, first)))
+    left, right = (_with_bitmaps(_spread(side.where("key <> ''").groupBy("key").agg(at.alias("at")))) for side, at in zip(rows, (last, first)))
     short = F.length("key") <= _few_edits_length(threshold)
     sides = [f"{side}_{c}" for side in ("left", "right") for c in ("key", "at", "bits")]
     name = lambda side, df: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("key", "at", "bits")})
-    by_variant = name("left", _variants(left.where(short), threshold)).join(name("right", _variants(right.where(short), threshold)), "variant")
-    by_segment = _probes(left, threshold).join(_segments(right, threshold), ["len", "sig"])
+    by_variant = name("left", _variants(left.where(short), threshold)).join(small(name("right", _variants(right.where(short), threshold))), "variant")
+    by_segment = _probes(left, threshold).join(small(_segments(right, threshold)), ["len", "sig"])
 
     bound = _most_edits(F.greatest("left_bits.n", "right_bits.n"), threshold)
     flips = lambda c: F.bit_count(F.col(f"left_bits.{c}").bitwiseXOR(F.col(f"right_bits.{c}")))

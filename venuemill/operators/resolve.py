@@ -6,9 +6,9 @@ in that sequence (same key, alias, or similar name) or founds one.
 
 A row founds exactly when it may found and no earlier *founder* matches it, so
 the founders are the lexicographically first maximal independent set of the
-"matches" graph.  The first nodes of the order are decided in a stretch of fixed length, whose founders strike out all later nodes
-they match before the next stretch is looked at, so of a dense cluster few nodes are left; parallel rounds settle
-sparse names.  Edges are stored for ``SMALL`` nodes at most.  Copies of a name need one node each.
+"matches" graph.  The first nodes of the order are decided, and their founders strike out all later nodes
+they match before the next ones are looked at, so of a dense cluster few nodes are left; where names are sparse, parallel rounds
+over longer prefixes settle them.  No edge is stored.  Copies of a name need one node each.
 """
 
 from __future__ import annotations
@@ -96,70 +96,108 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
     )
 
 
-#: Nodes whose edges are stored and decided in order at once; a fixed number, whatever the input.
-SMALL = 512
-#: Share of the later nodes that such a stretch must strike out; otherwise a round over all open nodes follows.
-DENSE = 0.1
+#: Nodes that one task decides in order; a fixed number, whatever the input.
+SMALL = 2048
+#: A prefix with at most so many edges a node is followed by a longer one, by this factor; others by a shorter one.
+SPARSE, GROWTH = 0.2, 8
 
 
-def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFrame:
+def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame, few: bool = False) -> DataFrame:
     """Edges ``(src, dst)``: nodes of ``later`` that match an earlier node by key, alias or similar name.
 
-    Both have (no, key, threshold).  An edge may come more than once."""
+    Both have (no, key, threshold).  An edge may come more than once.  ``few``: ``earlier`` has at most ``SMALL`` nodes."""
     dst = later.select(F.col("key").alias("dst_key"), F.col("no").alias("dst"))
     src = earlier.select(F.col("key").alias("src_key"), F.col("no").alias("src"))
     same = dst.join(src, F.col("dst_key") == F.col("src_key"))
     via = dst.join(aliases, F.col("dst_key") == aliases["key"]).join(src, F.col("canonical_key") == F.col("src_key"))
     near = near_names(
         later.select("key", F.struct("no", "threshold").alias("left"), F.col("no").alias("at")),
-        earlier.select("key", F.struct("no").alias("right"), F.col("no").alias("at")), earlier=True,
+        earlier.select("key", F.struct("no").alias("right"), F.col("no").alias("at")), earlier=True, few=few,
     ).where("name_similarity >= left.threshold").select(F.col("right.no").alias("src"), F.col("left.no").alias("dst"))
     return same.select("src", "dst").unionByName(via.select("src", "dst")).unionByName(near).where("src < dst")
 
 
-def _struck(later: DataFrame, founders: DataFrame, aliases: DataFrame) -> DataFrame:
+def _struck(later: DataFrame, founders: DataFrame, aliases: DataFrame, few: bool = False) -> DataFrame:
     """The numbers of the nodes of ``later`` that one of ``founders`` matches: one row a node leaves each task of the join."""
-    return _matches(later, founders, aliases).select(F.col("dst").alias("no")).distinct()
+    return _matches(later, founders, aliases, few).select(F.col("dst").alias("no")).distinct()
+
+
+def _alike(one: str, two: str, threshold: float) -> bool:
+    """Whether two different names have a similarity of at least ``threshold``, by the cells that so few edits can reach."""
+    longer = max(len(one), len(two))
+    most = int((1.0 - threshold) * longer + 1e-9)
+    if not one or not two or abs(len(one) - len(two)) > most:
+        return False
+    row = {j: j for j in range(min(most, len(two)) + 1)}
+    for i, letter in enumerate(one, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(two), i + most) + 1):
+            cell = row.get(j, longer) + 1
+            if j:
+                cell = min(cell, new.get(j - 1, longer) + 1, row.get(j - 1, longer) + (letter != two[j - 1]))
+            new[j] = cell
+        if min(new.values()) > most:
+            return False
+        row = new
+    return 1.0 - row[len(two)] / longer >= threshold
 
 
 def _in_order(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The founders among at most ``SMALL`` nodes, taken one after the other over their edges."""
+    """The numbers of those of at most ``SMALL`` nodes that an earlier founder matches, taken one after the other in one task."""
 
     def decide(table: pa.Table) -> pa.Table:
-        matched: set[int] = set()
-        pairs = sorted(zip(table["dst"].to_pylist(), table["src"].to_pylist()))
-        for dst, src in pairs:  # sources come before their targets, so their fate is known
-            if src not in matched:
-                matched.add(dst)
-        return pa.table({"no": pa.array(sorted(matched), pa.int64())})
+        by_length: dict[int, list[str]] = {}
+        founded: set[str] = set()
+        matched: list[int] = []
+        for no, key, threshold, alias in sorted(zip(*(table[c].to_pylist() for c in ("no", "key", "threshold", "canonical_key")))):
+            least = max(threshold, V.NAME_THRESHOLD)
+            near = range(int(len(key) * least - 1e-9), int(len(key) / least + 1e-9) + 1) if key else ()
+            if key in founded or alias in founded or any(_alike(key, other, least) for n in near for other in by_length.get(n, ())):
+                matched.append(no)
+            else:
+                founded.add(key)
+                by_length.setdefault(len(key), []).append(key)
+        return pa.table({"no": pa.array(matched, pa.int64())})
 
-    edges = _matches(nodes, nodes, aliases).distinct()
-    matched = edges.groupBy((F.col("src") * 0).alias("stretch")).applyInArrow(decide, "no long")
-    return nodes.join(matched, "no", "left_anti").select("no")
+    named = nodes.join(aliases, "key", "left").select("no", "key", "threshold", F.coalesce("canonical_key", F.lit("")).alias("canonical_key"))
+    return named.groupBy((F.col("no") * 0).alias("prefix")).applyInArrow(decide, "no long").withColumn("edges", F.lit(1).cast("long"))
+
+
+def _in_round(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The numbers of the nodes with an earlier neighbour, for any number of nodes; edges are counted, never stored."""
+    return _matches(nodes, nodes, aliases).groupBy(F.col("dst").alias("no")).agg(F.count("*").alias("edges"))
 
 
 def _settled(open_: DataFrame, aliases: DataFrame) -> list[DataFrame]:
     """The founders among ``open_`` (no, key, threshold): the lexicographically first maximal independent set.
 
-    The first ``SMALL`` open nodes are decided in order and their founders strike out later nodes.  Where names are dense,
-    that leaves less each time.  Where it strikes few, names are sparse, and a round over all open nodes settles most: those without
-    an earlier open neighbour found and strike out what they match.  For that edges are only counted, never stored.
+    The first open nodes of the order are decided, and their founders strike out later nodes: greedy sets by prefixes
+    (Blelloch, Fineman, Shun, SPAA 2012).  A prefix of ``SMALL`` nodes is decided in order.  While nodes have few
+    neighbours in their prefix, the next one is ``GROWTH`` times as long and is settled by rounds, in which nodes without an earlier
+    neighbour found; where they have many, prefixes shrink, so that names of a dense cluster are struck out by its first
+    founders before they are compared with one another.
     """
     founders: list[DataFrame] = []
-    while True:
+    length = SMALL
+    n = open_.count()
+    while n:
+        whole = n <= length
+        last = None if whole else open_.select("no").orderBy("no").limit(length).agg(F.max("no")).first()[0]
+        first = open_ if whole else open_.where(F.col("no") <= last)
+        few = min(n, length) <= SMALL
+        seen = cut_lineage(_in_order(first, aliases) if few else _in_round(first, aliases))
+        edges = seen.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
+        new = first.join(seen, "no", "left_anti")
+        founders.append(new.select("no"))
+        if whole and few:
+            break
+        # what a round leaves open in its prefix stays open, unless a new founder strikes it out
+        rest = open_.where(F.col("no") > last) if few else open_.join(new.select("no"), "no", "left_anti")
+        open_ = cut_lineage(rest.join(_struck(rest, new, aliases, few), "no", "left_anti"))
+        sparse = edges <= SPARSE * min(n, length)
+        length = length * GROWTH if sparse else max(SMALL, length // GROWTH)
         n = open_.count()
-        if n <= SMALL:
-            return [*founders, cut_lineage(_in_order(open_, aliases))]
-        last = open_.select("no").orderBy("no").limit(SMALL).agg(F.max("no")).first()[0]
-        first, later = open_.where(F.col("no") <= last), open_.where(F.col("no") > last)
-        new = cut_lineage(_in_order(first, aliases))
-        founders.append(new)
-        open_ = cut_lineage(later.join(_struck(later, first.join(new, "no", "left_semi"), aliases), "no", "left_anti"))
-        if open_.count() > (1 - DENSE) * (n - SMALL):
-            new = cut_lineage(open_.join(_struck(open_, open_, aliases), "no", "left_anti"))
-            founders.append(new.select("no"))
-            rest = open_.join(new, "no", "left_anti")
-            open_ = cut_lineage(rest.join(_struck(rest, new, aliases), "no", "left_anti"))
+    return founders or [open_.select("no")]
 
 
 def found(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
