@@ -186,18 +186,16 @@ def _comma_parts(c: Column) -> Column:
 
 def city_before_postcode(address: Column) -> Column:
     """``Street, City, 111 22, Sweden``: the part before the post code."""
-    a = strip(F.regexp_replace(address, rf"(?i),{WS}*Sweden{WS}*\z", ""))
-    parts = F.split(a, ",")
-    last = _last_comma_part(a)
-    n = F.size(parts)
-    return (
-        F.when(n < 2, F.lit(""))
-        .when(
-            last.rlike(rf"^\d{{3}}{WS}*\d{{2}}\z") & (n >= 3),
-            strip(F.try_element_at(parts, n - F.lit(1))),
-        )
-        .otherwise(last)
-    )
+    def city(parts: Column) -> Column:
+        n = F.size(parts)
+        return F.when(n < 2, F.lit("")).otherwise(let(
+            strip(F.element_at(parts, -1)),
+            lambda last: F.when(
+                last.rlike(rf"^\d{{3}}{WS}*\d{{2}}\z") & (n >= 3), strip(F.try_element_at(parts, n - F.lit(1)))
+            ).otherwise(last),
+        ))
+
+    return let(F.split(strip(F.regexp_replace(address, rf"(?i),{WS}*Sweden{WS}*\z", "")), ","), city)
 
 
 def city_after_postcode(address: Column) -> Column:

@@ -33,7 +33,7 @@ from venuemill.functions.similarity import (
 )
 from venuemill.functions.text import street_number
 from venuemill.operators.ranking import row_number_in_groups
-from venuemill.session import cut_lineage
+from venuemill.session import cut_lineage, spread
 
 _EPS = 1e-9
 #: Edits up to which names meet by the variants of the whole name (172 for 18 letters and two edits).
@@ -69,12 +69,6 @@ def _parity(letters: Column) -> Column:
     return F.aggregate(letters, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
 
-def _spread(names: DataFrame) -> DataFrame:
-    """The names over as many tasks as a shuffle has: each is going to be a hundred rows or more, which their bytes don't tell."""
-    spark = names.sparkSession
-    return names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "key")
-
-
 def _with_bitmaps(names: DataFrame) -> DataFrame:
     """Each name's two bitmaps, computed once and then carried as plain columns."""
     letters = F.split("key", "")
@@ -172,7 +166,7 @@ def near_names(left: DataFrame, right: DataFrame, threshold: float = V.NAME_THRE
     small = F.broadcast if few else lambda df: df
     rows = left, right
     last, first = (F.max("at"), F.min("at")) if earlier else (F.lit(1), F.lit(0))
-    left, right = (_with_bitmaps(_spread(side.where("key <> ''").groupBy("key").agg(at.alias("at")))) for side, at in zip(rows, (last, first)))
+    left, right = (_with_bitmaps(spread(side.where("key <> ''").groupBy("key").agg(at.alias("at")), "key")) for side, at in zip(rows, (last, first)))
     short = F.length("key") <= _few_edits_length(threshold)
     sides = [f"{side}_{c}" for side in ("left", "right") for c in ("key", "at", "bits")]
     name = lambda side, df: df.withColumnsRenamed({c: f"{side}_{c}" for c in ("key", "at", "bits")})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill.functions import text
-from venuemill.plans.proxies import pick, table
+from venuemill.plans.proxies import pick, spread_table, table
 from venuemill.sources import articles as A
 from venuemill.sources import pages as X
 
@@ -88,7 +88,7 @@ def _script(json: Column) -> Column:
 
 
 def _part_pages(spark, d, html: Column) -> DataFrame:
-    return table(spark, d, "part").select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string"), F.lit("-recension")).alias("url"), html.alias("html"))
+    return spread_table(spark, d, "part").select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string"), F.lit("-recension")).alias("url"), html.alias("html"))
 
 
 def _review_json(name: Column, kind: str = "Restaurant") -> Column:
@@ -183,7 +183,7 @@ def cards_first(spark, d):
     """Pages that link the same venues: the first card of each counts."""
     k = F.col("p_partkey")
     link = F.concat(F.lit('<h3 class="card__menu-content--title"><a href="/se/'), (k % 97).cast("string"), F.lit('">'), "p_name", F.lit("</a></h3>"))
-    pages = table(spark, d, "part").select(F.lpad(k.cast("string"), 10, "0").alias("url"), _card(link, F.lit("")).alias("html"))
+    pages = spread_table(spark, d, "part").select(F.lpad(k.cast("string"), 10, "0").alias("url"), _card(link, F.lit("")).alias("html"))
     return X.first_cards(X.card_entries(pages)).select("url", "name", "page")
 
 
@@ -194,7 +194,7 @@ def lists_first(spark, d):
         F.concat(F.lit("#"), (k % 97).cast("string")).alias("@id"), F.lit("Restaurant").alias("@type"), F.when(k % 3 > 0, F.col("p_name")).alias("name"),
         F.struct(F.lit(4.5).alias("ratingValue")).alias("aggregateRating")))
     html = _script(F.concat(F.lit('{"@graph":['), node, F.lit("]}")))
-    pages = table(spark, d, "part").select(F.lpad(k.cast("string"), 10, "0").alias("url"), html.alias("html"))
+    pages = spread_table(spark, d, "part").select(F.lpad(k.cast("string"), 10, "0").alias("url"), html.alias("html"))
     return X.list_articles(X.first_nodes(X.list_page(pages)), STAMP).select("url", "title")
 
 
@@ -204,7 +204,7 @@ def hotel_cards(spark, d):
     title = F.concat(F.lit('<h3 class="card__menu-content--title"><a href="https://h.example/'), k.cast("string"), F.lit('">'), "s_name", F.lit("</a></h3>"))
     body = F.concat(keys, title, F.lit('<span class="card__menu-footer--score">Score 8.5/10</span>'))
     card = _card(body, F.concat(F.lit('data-dtm-city="Visby" data-lat="57.5" data-lng="'), (k % 3 * 18).cast("string"), F.lit('"')))
-    pages = table(spark, d, "supplier").select(F.lit("u").alias("url"), card.alias("html"))
+    pages = spread_table(spark, d, "supplier").select(F.lit("u").alias("url"), card.alias("html"))
     return X.card_entries(pages, "hotel").select("name", "city", "distinction", "url", "lat", "lng", "guest_score")
 
 
@@ -212,7 +212,7 @@ def detail_pages(spark, d):
     """Entries enriched by their detail pages, then mapped to articles."""
     k, size = F.col("p_partkey"), F.col("p_size")
     url = F.concat(F.lit("https://g.example/"), k.cast("string"))
-    entries = table(spark, d, "part").select(
+    entries = spread_table(spark, d, "part").select(
         F.col("p_name").alias("name"), F.lit("").alias("address"), F.when(k % 7 > 0, F.lit("Lund")).otherwise(F.lit("")).alias("city"),
         pick(["1_star", "selected", "2_key"], k % 3).alias("distinction"), F.lit("old").alias("cuisine"), F.lit("€").alias("price_range"),
         url.alias("url"), F.when(k % 2 == 0, F.lit("hotel")).otherwise(F.lit("restaurant")).alias("venue_type"),
@@ -222,7 +222,7 @@ def detail_pages(spark, d):
         F.when(k % 5 > 0, block(F.concat(F.lit("Gatan "), size.cast("string"), F.lit(", Umeå, 901 10, Sweden")))).otherwise(F.lit("")),
         block(F.concat(F.lit("€€€ · "), "p_type", F.lit(", Nordic"))),
         F.lit('<div class="data-sheet__description">A long description of '), "p_name", F.lit("</div>"))
-    details = table(spark, d, "part").select(url.alias("url"), html.alias("html"))
+    details = spread_table(spark, d, "part").select(url.alias("url"), html.alias("html"))
     out = A.distinction_articles(X.enrich_entries(entries, details), STAMP)
     return out.select("id", "url", "venue_name", "venue_address", "venue_city", "score", "body_text", "price_range",
                       F.array_join("cuisine", "|").alias("cuisine"), F.col("tags")[0].alias("tag"))
@@ -249,7 +249,7 @@ def matrix_records(spark, d):
         (size % 16).cast("string"), (size % 6).cast("string"), F.lit(""), F.when(k % 3 > 0, F.concat(F.lit("59.5, "), (size % 7).cast("string"), F.lit(".25"))),
         F.when(k % 4 == 0, F.concat(F.lit("http://re/"), k.cast("string"))).otherwise(F.lit("")), F.when(k % 5 > 0, F.concat(F.lit("http://o/"), k.cast("string"))),
         F.lit(None).cast("string"), F.lit("2020-01-02"), F.lit(" Gatan 1."), F.lit("malmo"), F.lit("Högt"))
-    payload = table(spark, d, "part").select(F.array(*[F.lit(c) for c in cols]).alias("cols"), F.array(row).alias("rows"))
+    payload = spread_table(spark, d, "part").select(F.array(*[F.lit(c) for c in cols]).alias("cols"), F.array(row).alias("rows"))
     out = A.matrix_articles(A.decode_matrix(payload), STAMP)
     return out.select("id", "url", "published_at", "venue_name", "venue_address", "venue_city", "score", "price_range", "lat", "lng",
                       F.col("explicit_sub_scores.food").alias("food"), F.col("explicit_sub_scores.ambiance").alias("ambiance"), F.col("explicit_sub_scores.service").alias("service"))
@@ -266,7 +266,7 @@ FROM m"""
 def guide_records(spark, d):
     """API records with repeated places; the first per type and place counts."""
     size = F.col("p_size")
-    items = table(spark, d, "part").select(
+    items = spread_table(spark, d, "part").select(
         F.lower("p_type").alias("venue_type"), (F.col("p_partkey") % 300).alias("place_id"), F.col("p_partkey").alias("pos"),
         F.concat("p_name", F.lit(". ")).alias("place_title"), F.lit("t").alias("title"), F.concat(F.lit("Gatan "), size.cast("string"), F.lit(", 123 45 Gothenburg")).alias("address"),
         pick(["God klass", ""], size % 3).alias("classification"),
@@ -287,7 +287,7 @@ SELECT sha256('whiteguide-review:https://whiteguide.com/se/sv/' || lower(p_type)
 
 def news_records(spark, d):
     """News up to the first one before the cutoff, newest first."""
-    o = table(spark, d, "orders")
+    o = spread_table(spark, d, "orders")
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     late = F.unix_date(F.to_date(F.lit("2001-08-01"))) - F.unix_date(F.to_date("o_orderdate"))
     items = o.select(
@@ -311,7 +311,7 @@ def points_records(spark, d):
     part = lambda x, m: F.struct(x.cast("double").alias("score"), F.lit(m).alias("max"))
     subs = F.create_map(F.lit("food"), part(size, 50.0), F.lit("drinks"), part(size % 20, 50.0), F.lit("style"), part(size % 10, 10.0))
     subs = F.when(k % 3 == 0, F.map_concat(subs, F.create_map(F.lit("wine"), part(size % 20, 20.0)))).when(k % 3 == 1, subs)
-    raw = table(spark, d, "part").select(
+    raw = spread_table(spark, d, "part").select(
         F.col("p_name").alias("name"), F.concat(F.lit("https://f.example"), pick(["/bars/", "/r/"], k % 2), k.cast("string")).alias("url"), (size + 60).cast("double").alias("score"),
         F.concat(F.lit("Gatan "), size.cast("string"), pick([", 11122, Malmo", ", 114 46 Lund, Sweden"], k % 2)).alias("address"), F.array("p_type").alias("cuisine"), subs.alias("sub_scores"), F.lit(None).cast("string").alias("body_text"))
     s = F.col("explicit_sub_scores")
@@ -329,7 +329,7 @@ SELECT sha256('falstaff:' || url)[1:16] AS id, CASE k % 2 WHEN 0 THEN 'bar' ELSE
 def listing_records(spark, d):
     """Older raw list; rows without name or address drop out."""
     k = F.col("p_partkey")
-    raw = table(spark, d, "part").select(
+    raw = spread_table(spark, d, "part").select(
         F.concat(F.lit("s-"), k.cast("string")).alias("slug"), F.when(k % 10 > 0, F.col("p_name")).alias("name"), pick(["Gatan 1", "", "Vägen 2."], k % 3).alias("address"),
         F.lit("södermalm").alias("city"), pick(["Norr", ""], k % 2).alias("region"), F.lit("$$$").alias("price_range"), F.lit("Thai, , Sushi").alias("cuisine"),
         (F.col("p_size") % 5).cast("double").alias("rating"), F.when(k % 4 == 0, F.lit("http://own")).alias("url"))
@@ -344,7 +344,7 @@ LISTING_SQL = """SELECT sha256('krogguiden:s-' || p_partkey)[1:12] AS id, CASE W
 def guide_import_records(spark, d):
     """Older raw guide list: every row is a restaurant, with or without an address."""
     k = F.col("p_partkey")
-    raw = table(spark, d, "part").select(
+    raw = spread_table(spark, d, "part").select(
         F.concat(F.lit(" "), F.col("p_name"), F.lit(" .")).alias("name"),
         pick(["Gatan 1, Lund, 222 22, Sweden", "Torget 2, Östermalm, Stockholm, Sweden", "", None], k % 4).alias("address"),
         pick(["Lund", "södermalm", ""], k % 3).alias("city"), pick(["bib_gourmand", "2_star", "selected"], k % 3).alias("distinction"),

@@ -27,6 +27,12 @@ def build_session(master: str, app_name: str = "venuemill", partitions: int = 8)
     )
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has: for rows whose work is far more than their bytes tell, such as those of a file of one row group."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 

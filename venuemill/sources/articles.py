@@ -198,16 +198,19 @@ def distinction_articles(entries: DataFrame, collected_at: str) -> DataFrame:
     local = entries.where(
         ~((F.col("venue_type") == "hotel") & ~present(F.col("address")) & ~present(F.col("city")))
     )
-    address = F.coalesce("address", F.lit(""))
-    raw_city = F.coalesce(blank_to_null(text.city_before_postcode(address)), F.col("city"), F.lit(""))
-    cleaned = F.when(present(address), text.clean_guide_address(address, raw_city))
+    address, raw_city = F.col("_address"), F.col("_city")
+    # each step is a column of its own, so that the patterns behind it run once a row
+    local = local.withColumn("_address", F.coalesce("address", F.lit(""))).withColumn("_found", text.city_before_postcode(address))
+    local = local.withColumn("_city", F.coalesce(blank_to_null(F.col("_found")), F.col("city"), F.lit("")))
+    local = local.withColumns({
+        "_cleaned": F.when(present(address), text.clean_guide_address(address, raw_city)), "_city": text.normalize_city(raw_city)})
     return _article(
         local,
         id=text.record_id(F.lit("michelin"), F.col("url")), source_id=F.lit("michelin"), url=F.col("url"),
         title=F.col("name"), published_at=F.lit(""), content_type=F.lit("review"),
         body_text=F.coalesce("body_text", F.lit("")), venue_type=F.col("venue_type"),
-        venue_name=text.normalize_venue_name(F.col("name")), venue_address=blank_to_null(cleaned),
-        venue_city=blank_to_null(text.normalize_city(raw_city)),
+        venue_name=text.normalize_venue_name(F.col("name")), venue_address=blank_to_null(F.col("_cleaned")),
+        venue_city=blank_to_null(raw_city),
         score=text.lookup(V.DISTINCTION_LEVELS, F.col("distinction")),
         cuisine=F.when(present(F.col("cuisine")), text.split_list(F.col("cuisine"))),
         price_range=F.when(present(F.col("price_range")), text.euro_price_tier(F.col("price_range"))),
