@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
+from venuemill.functions.text import let
 
 
 def to_minutes(hhmm: Column) -> Column:
@@ -143,19 +144,22 @@ def hours_from_periods(periods: Column) -> Column:
         return F.struct(p["open"]["day"].alias("day"), opened.alias("open"), closed.alias("close"))
 
     usable = F.filter(periods, lambda p: p["open"]["day"].isNotNull() & p["open"]["hour"].isNotNull())
-    entries = F.transform(usable, entry)
-    pairs = F.array_distinct(
-        F.transform(entries, lambda e: F.struct(e["open"].alias("open"), e["close"].alias("close")))
-    )
-
-    def with_days(pair: Column) -> Column:
-        same = F.filter(
-            entries, lambda e: (e["open"] == pair["open"]) & (e["close"] == pair["close"])
-        )
-        return F.struct(
-            F.array_sort(F.transform(same, lambda e: e["day"])).alias("days"),
-            pair["open"].alias("open"),
-            pair["close"].alias("close"),
+
+    def compact(entries: Column) -> Column:
+        pairs = F.array_distinct(
+            F.transform(entries, lambda e: F.struct(e["open"].alias("open"), e["close"].alias("close")))
         )
 
-    return F.coalesce(F.transform(pairs, with_days), F.array().cast("array<struct<days:array<int>,open:string,close:string>>"))
+        def with_days(pair: Column) -> Column:
+            same = F.filter(
+                entries, lambda e: (e["open"] == pair["open"]) & (e["close"] == pair["close"])
+            )
+            return F.struct(
+                F.array_sort(F.transform(same, lambda e: e["day"])).alias("days"),
+                pair["open"].alias("open"),
+                pair["close"].alias("close"),
+            )
+
+        return F.transform(pairs, with_days)
+
+    return F.coalesce(let(F.transform(usable, entry), compact), F.array().cast("array<struct<days:array<int>,open:string,close:string>>"))

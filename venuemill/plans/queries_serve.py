@@ -11,7 +11,7 @@ from venuemill.functions import display, geo, hours
 from venuemill.operators import serve, stats
 from venuemill.operators.serve import FilterState, Range
 from venuemill.plans import proxies as P
-from venuemill.plans.proxies import pick, table
+from venuemill.plans.proxies import pick, spread_table, table
 from venuemill.plans.queries_score import CATEGORY_SQL, REGION_SQL, SCORED_SQL, ranked
 
 # --- hours of users as SQL: (user_id, pos, days, open, close) --------------
@@ -100,7 +100,7 @@ def parsed_hours(spark, d):
                         F.when(all_day, midnight).when(k % 11 == day, null_moment).otherwise(closed).alias("close"))
 
     periods = F.array(*[period(i) for i in (6, 0, 1, 2, 3, 4, 5)])
-    c = table(spark, d, "customer").withColumn("h", hours.hours_from_periods(periods))
+    c = spread_table(spark, d, "customer").withColumn("h", hours.hours_from_periods(periods))
     return c.select("c_custkey", F.posexplode("h").alias("pos", "e")).select(
         "c_custkey", "pos", F.array_join(F.transform("e.days", lambda x: x.cast("string")), ",").alias("days"), "e.open", "e.close")
 
