@@ -132,8 +132,8 @@ def list_page(pages: DataFrame) -> DataFrame:
         & ((F.size("_ids") == 0) | F.array_contains("_ids", _get(n, '$["@id"]', "string"))),
     )
     return (
+        # a page without a graph explodes into nothing; a filter for it would read the page's blocks once more
         pages.withColumn("_graph", F.try_element_at(graphs, F.lit(1)))
-        .where(F.col("_graph").isNotNull())
         .withColumn("_ids", ids)
         .select("url", F.size("_ids").alias("listed"), F.posexplode(listed).alias("pos", "node"))
     )
