@@ -61,3 +61,32 @@ def test_no_names(spark):
 def test_alike(one, two, threshold):
     want = bool(one and two) and 1.0 - distance(one, two) / max(len(one), len(two)) >= threshold
     assert resolve._alike(one, two, threshold) == want
+
+
+@pytest.mark.parametrize("lots", [2, 100])
+def test_founders_by_lots_and_by_join(spark, monkeypatch, lots):
+    """Later names meet the founders of a first half in lots of four, or in a join where there are more than two lots."""
+    for name, value in {"SMALL": 12, "GROWTH": 2, "LOT": 4, "LOTS": lots}.items():
+        monkeypatch.setattr(resolve, name, value)
+    names = [(n, 0.85) for n in list(dict.fromkeys(mixed(random.Random(8))))[:40]] + [("", 0.85), ("q" * 40, 0.85), ("q" * 36 + "abcd", 0.85)]
+    nodes = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(names)], "key string, threshold double, node long")
+    none = spark.createDataFrame([], "key string, canonical_key string")
+    got = {r["key"] for r in resolve.found(nodes, none).join(nodes, "node").select("key").collect()}
+    assert got == in_sequence(names, {})
+
+
+def test_a_name_meets_founders_as_often_as_the_order_is_halved(spark, monkeypatch):
+    """Not once for each stretch: 16 names that resemble none meet them three times at most."""
+    met = []
+    real = resolve._not_struck
+
+    def counted(later, founders, aliases):
+        met.append(later.count())
+        return real(later, founders, aliases)
+
+    monkeypatch.setattr(resolve, "_not_struck", counted)
+    for name, value in {"SMALL": 2, "GROWTH": 1}.items():
+        monkeypatch.setattr(resolve, name, value)
+    nodes = spark.createDataFrame([(chr(97 + i % 26) * (3 + i // 26), 0.85, i) for i in range(16)], "key string, threshold double, node long")
+    found = resolve.found(nodes, spark.createDataFrame([], "key string, canonical_key string"))
+    assert found.count() == 16 and sum(met) <= 16 * 3

@@ -14,6 +14,7 @@ over longer prefixes settle them.  No edge is stored.  Copies of a name need one
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
 from venuemill.functions.text import lookup, name_key, present
-from venuemill.operators.fuzzy import best_fuzzy_match, near_names
+from venuemill.operators.fuzzy import FEW_EDITS, best_fuzzy_match, near_names
 from venuemill.operators.ranking import row_number_in_groups
-from venuemill.session import cut_lineage
+from venuemill.session import cut_lineage, spread
 
 
 def articles_to_mentions(articles: DataFrame) -> DataFrame:
@@ -97,29 +98,49 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
 
 
 #: Nodes that one task decides in order; a fixed number, whatever the input.
-SMALL = 2048
+SMALL = 16384
+#: Founders that tasks look names up among at a time, and such lots at most: more of them meet later names in a join.
+LOT, LOTS = 4096, 4
 #: A prefix with at most so many edges a node is followed by a longer one, by this factor; others by a shorter one.
 SPARSE, GROWTH = 0.2, 8
 
 
-def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame, few: bool = False) -> DataFrame:
+def _matches(later: DataFrame, earlier: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges ``(src, dst)``: nodes of ``later`` that match an earlier node by key, alias or similar name.
 
-    Both have (no, key, threshold).  An edge may come more than once.  ``few``: ``earlier`` has at most ``SMALL`` nodes."""
+    ``later`` has (no, key, threshold), ``earlier`` (no, key).  An edge may come more than once."""
     dst = later.select(F.col("key").alias("dst_key"), F.col("no").alias("dst"))
     src = earlier.select(F.col("key").alias("src_key"), F.col("no").alias("src"))
     same = dst.join(src, F.col("dst_key") == F.col("src_key"))
     via = dst.join(aliases, F.col("dst_key") == aliases["key"]).join(src, F.col("canonical_key") == F.col("src_key"))
     near = near_names(
         later.select("key", F.struct("no", "threshold").alias("left"), F.col("no").alias("at")),
-        earlier.select("key", F.struct("no").alias("right"), F.col("no").alias("at")), earlier=True, few=few,
+        earlier.select("key", F.struct("no").alias("right"), F.col("no").alias("at")), earlier=True,
     ).where("name_similarity >= left.threshold").select(F.col("right.no").alias("src"), F.col("left.no").alias("dst"))
     return same.select("src", "dst").unionByName(via.select("src", "dst")).unionByName(near).where("src < dst")
 
 
-def _struck(later: DataFrame, founders: DataFrame, aliases: DataFrame, few: bool = False) -> DataFrame:
-    """The numbers of the nodes of ``later`` that one of ``founders`` matches: one row a node leaves each task of the join."""
-    return _matches(later, founders, aliases, few).select(F.col("dst").alias("no")).distinct()
+def _not_struck(later: DataFrame, founders: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The nodes of ``later`` that none of ``founders`` matches.
+
+    Up to ``LOT * LOTS`` founders go to the tasks, a fixed number, and later names stay where they are."""
+    first = founders.select("no", "key").orderBy("no").limit(LOT * LOTS + 1).collect()
+    if len(first) > LOT * LOTS:
+        struck = _matches(later, founders, aliases).select(F.col("dst").alias("no")).distinct()
+        return later.join(struck, "no", "left_anti")
+    for at in range(0, len(first), LOT):
+        lot = [r["key"] for r in first[at : at + LOT]]
+
+        def keep(batches: Iterator[pa.RecordBatch], lot: list[str] = lot) -> Iterator[pa.RecordBatch]:
+            names = _Names()
+            for batch in batches:
+                for key in lot if not names.keys else ():
+                    names.add(key)
+                rows = zip(*(batch[c].to_pylist() for c in ("key", "canonical_key", "threshold")))
+                yield batch.filter(pa.array([not names.match(*row) for row in rows], pa.bool_()))
+
+        later = later.mapInArrow(keep, later.schema)
+    return later
 
 
 def _alike(one: str, two: str, threshold: float) -> bool:
@@ -128,6 +149,8 @@ def _alike(one: str, two: str, threshold: float) -> bool:
     most = int((1.0 - threshold) * longer + 1e-9)
     if not one or not two or abs(len(one) - len(two)) > most:
         return False
+    if most <= 2:
+        return _within(one, two, most if 1.0 - most / longer >= threshold else most - 1)
     row = {j: j for j in range(min(most, len(two)) + 1)}
     for i, letter in enumerate(one, 1):
         new = {}
@@ -142,25 +165,93 @@ def _alike(one: str, two: str, threshold: float) -> bool:
     return 1.0 - row[len(two)] / longer >= threshold
 
 
-def _in_order(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+def _within(one: str, two: str, edits: int) -> bool:
+    """Whether so few edits, two at most, lead from one text to the other: what both begin with stays, then one of three edits."""
+    at, n = 0, min(len(one), len(two))
+    while at < n and one[at] == two[at]:
+        at += 1
+    if at == n:
+        return len(one) + len(two) - 2 * n <= edits
+    if not edits:
+        return False
+    left, right = one[at + 1 :], two[at + 1 :]
+    return _within(left, right, edits - 1) or _within(left, two[at:], edits - 1) or _within(one[at:], right, edits - 1)
+
+
+def _variants(name: str) -> set[str]:
+    """What is left of a name after deleting at most ``FEW_EDITS`` letters."""
+    found = last = {name}
+    for _ in range(FEW_EDITS):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return found
+
+
+#: The longest name with at most ``FEW_EDITS`` edits to any partner of its length or less, and the shortest with a longer partner than that.
+_FEW = next(n for n in range(1, 1000) if int((1.0 - V.NAME_THRESHOLD) * (n + 1) + 1e-9) > FEW_EDITS)
+_LONG = next(n for n in range(1, 1000) if int(n / V.NAME_THRESHOLD + 1e-9) > _FEW)
+
+
+class _Names:
+    """Founders to look names up among: those that few edits may lead to by shared variants, longer ones by length and parity of letter pairs."""
+
+    def __init__(self) -> None:
+        self.keys: set[str] = set()
+        self.by_variant: dict[str, list[str]] = {}
+        self.by_length: dict[int, list[tuple[int, str]]] = {}
+
+    @staticmethod
+    def _parity(name: str) -> int:
+        bits = 0
+        for pair in zip(name, name[1:]):
+            bits ^= 1 << (hash(pair) & 63)
+        return bits
+
+    def add(self, key: str) -> None:
+        if key in self.keys:
+            return
+        self.keys.add(key)
+        if 0 < len(key) <= _FEW:
+            for v in _variants(key):
+                self.by_variant.setdefault(v, []).append(key)
+        if len(key) >= _LONG:
+            self.by_length.setdefault(len(key), []).append((self._parity(key), key))
+
+    def match(self, key: str, alias: str, threshold: float) -> bool:
+        """Whether one of the names has this key, is what the alias stands for, or is similar enough."""
+        if key in self.keys or (alias and alias in self.keys):
+            return True
+        least = max(threshold, V.NAME_THRESHOLD)
+        if 0 < len(key) <= _FEW and self.by_variant:
+            tried: set[str] = set()
+            for v in _variants(key):
+                for other in self.by_variant.get(v, ()):
+                    if other not in tried:
+                        tried.add(other)
+                        if _alike(key, other, least):
+                            return True
+        if len(key) >= _LONG and self.by_length:
+            bits = self._parity(key)
+            for n in range(int(len(key) * least - 1e-9), int(len(key) / least + 1e-9) + 1):
+                flips = 4 * int((1.0 - least) * max(n, len(key)) + 1e-9)
+                if any((bits ^ b).bit_count() <= flips and _alike(key, other, least) for b, other in self.by_length.get(n, ())):
+                    return True
+        return False
+
+
+def _in_order(nodes: DataFrame) -> DataFrame:
     """The numbers of those of at most ``SMALL`` nodes that an earlier founder matches, taken one after the other in one task."""
 
     def decide(table: pa.Table) -> pa.Table:
-        by_length: dict[int, list[str]] = {}
-        founded: set[str] = set()
-        matched: list[int] = []
-        for no, key, threshold, alias in sorted(zip(*(table[c].to_pylist() for c in ("no", "key", "threshold", "canonical_key")))):
-            least = max(threshold, V.NAME_THRESHOLD)
-            near = range(int(len(key) * least - 1e-9), int(len(key) / least + 1e-9) + 1) if key else ()
-            if key in founded or alias in founded or any(_alike(key, other, least) for n in near for other in by_length.get(n, ())):
+        names, matched = _Names(), []
+        for no, *row in sorted(zip(*(table[c].to_pylist() for c in ("no", "key", "canonical_key", "threshold")))):
+            if names.match(*row):
                 matched.append(no)
             else:
-                founded.add(key)
-                by_length.setdefault(len(key), []).append(key)
+                names.add(row[0])
         return pa.table({"no": pa.array(matched, pa.int64())})
 
-    named = nodes.join(aliases, "key", "left").select("no", "key", "threshold", F.coalesce("canonical_key", F.lit("")).alias("canonical_key"))
-    return named.groupBy((F.col("no") * 0).alias("prefix")).applyInArrow(decide, "no long").withColumn("edges", F.lit(1).cast("long"))
+    return nodes.groupBy((F.col("no") * 0).alias("prefix")).applyInArrow(decide, "no long").withColumn("edges", F.lit(1).cast("long"))
 
 
 def _in_round(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -168,43 +259,56 @@ def _in_round(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     return _matches(nodes, nodes, aliases).groupBy(F.col("dst").alias("no")).agg(F.count("*").alias("edges"))
 
 
-def _settled(open_: DataFrame, aliases: DataFrame) -> list[DataFrame]:
-    """The founders among ``open_`` (no, key, threshold): the lexicographically first maximal independent set.
+def _settled(nodes: DataFrame, aliases: DataFrame) -> list[DataFrame]:
+    """The founders (no, key) among ``n`` open nodes (no, key, threshold, canonical_key): the lexicographically first maximal independent set.
 
-    The first open nodes of the order are decided, and their founders strike out later nodes: greedy sets by prefixes
-    (Blelloch, Fineman, Shun, SPAA 2012).  A prefix of ``SMALL`` nodes is decided in order.  While nodes have few
-    neighbours in their prefix, the next one is ``GROWTH`` times as long and is settled by rounds, in which nodes without an earlier
-    neighbour found; where they have many, prefixes shrink, so that names of a dense cluster are struck out by its first
+    The order is halved until a stretch can be decided; the founders of a first half strike out nodes of the second one
+    before that is looked at (greedy sets by prefixes, Blelloch, Fineman, Shun, SPAA 2012), so a name meets founders as often as the order
+    is halved, not once for each stretch.  ``SMALL`` nodes are decided in order by one task.  While nodes have few
+    neighbours in their stretch, the next one may be ``GROWTH`` times as long and is settled by rounds, in which nodes without an earlier
+    neighbour found; where they have many, stretches shrink, so that names of a dense cluster are struck out by its first
     founders before they are compared with one another.
     """
-    founders: list[DataFrame] = []
     length = SMALL
-    n = open_.count()
-    while n:
-        whole = n <= length
-        last = None if whole else open_.select("no").orderBy("no").limit(length).agg(F.max("no")).first()[0]
-        first = open_ if whole else open_.where(F.col("no") <= last)
-        few = min(n, length) <= SMALL
-        seen = cut_lineage(_in_order(first, aliases) if few else _in_round(first, aliases))
+
+    def decided(part: DataFrame, n: int) -> list[DataFrame]:
+        nonlocal length
+        few = n <= SMALL
+        seen = cut_lineage(_in_order(part) if few else _in_round(part, aliases))
         edges = seen.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
-        new = first.join(seen, "no", "left_anti")
-        founders.append(new.select("no"))
-        if whole and few:
-            break
-        # what a round leaves open in its prefix stays open, unless a new founder strikes it out
-        rest = open_.where(F.col("no") > last) if few else open_.join(new.select("no"), "no", "left_anti")
-        open_ = cut_lineage(rest.join(_struck(rest, new, aliases, few), "no", "left_anti"))
-        sparse = edges <= SPARSE * min(n, length)
-        length = length * GROWTH if sparse else max(SMALL, length // GROWTH)
-        n = open_.count()
-    return founders or [open_.select("no")]
+        length = length * GROWTH if edges <= SPARSE * n else max(SMALL, length // GROWTH)
+        new = cut_lineage(part.join(seen, "no", "left_anti").select("no", "key"))
+        if few:
+            return [new]
+        # what a round leaves open stays open, unless a new founder strikes it out
+        rest = cut_lineage(_not_struck(part.join(new, "no", "left_anti"), new, aliases))
+        return [new, *settle(rest)]
+
+    def settle(part: DataFrame) -> list[DataFrame]:
+        n, low, high = part.agg(F.count("*"), F.min("no"), F.max("no")).first()
+        if n == 0:
+            return []
+        if n <= length:
+            return decided(part, n)
+        middle = (low + high) // 2
+        # tasks of some thousand names, as each prepares the founders
+        part = part.coalesce(-(-n // LOT))
+        founders = settle(part.where(F.col("no") <= middle))
+        rest = part.where(F.col("no") > middle)
+        if founders:
+            rest = cut_lineage(_not_struck(rest, functools.reduce(DataFrame.unionByName, founders), aliases))
+        return founders + settle(rest)
+
+    return settle(nodes) or [nodes.select("no", "key")]
 
 
 def found(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """The nodes ``(key, threshold, node)`` that found a venue; ``node`` gives the order."""
     numbered = row_number_in_groups(nodes, [], [F.asc("node"), F.asc("key"), F.asc("threshold")], "no")
     numbered = cut_lineage(numbered.withColumn("no", F.col("no").cast("long")))
-    founders = functools.reduce(DataFrame.unionByName, _settled(numbered, aliases))
+    # an empty name stands for no alias, as no canonical key is empty
+    named = numbered.join(aliases, "key", "left").select("no", "key", "threshold", F.coalesce("canonical_key", F.lit("")).alias("canonical_key"))
+    founders = functools.reduce(DataFrame.unionByName, _settled(cut_lineage(spread(named, "no")), aliases))
     return numbered.join(founders, "no", "left_semi").select("node")
 
 
