@@ -133,3 +133,13 @@ def test_verdict_equals_model(spark):
             assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9), i
         assert got[i]["kept"] == kept, i
     assert sum(w is not None for _, w, _ in want.values()) > 50
+
+
+def test_all_labelled_documents_make_the_reference(spark):
+    """1,500 labelled documents of one language: their words are all counted, near copies once."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    texts = [" ".join(f"{name(i)}{x}" for x in "pqr") + " common" for i in range(1500)] + [" ".join(f"{name(3)}{x}" for x in "pqr") + " common"]
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    (chars, common, counts), = quality.language_references(docs, docs.select("doc_id")).values()
+    assert counts.sum() == 1500 * 4 and counts[common[b"common"]] == 1500
+    assert chars[0] == sum(len(t.replace(" ", "")) for t in texts[:1500])

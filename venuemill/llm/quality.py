@@ -2,7 +2,7 @@
 
 A document's histogram of character classes and of common words is compared with
 its language's reference by the Jensen-Shannon distance.  References come from
-a bounded number of documents labelled good.
+all documents labelled good.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuemill.llm.blocks import frugal, small_batches
+from venuemill.llm.store import stored
 
-#: Labelled documents of each language that its reference is made from, at most.
-REFERENCE_DOCS = 1000
+#: Labelled documents of each language that its reference is made from, at most: no bound.
+REFERENCE_DOCS = math.inf
 #: Common words that a reference holds.
 COMMON_WORDS = 100
 #: Shortest text that is judged by its characters and by its words.
@@ -81,45 +82,55 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 def language_references(docs: DataFrame, good: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """lang -> (character classes, common words, their counts and the count of the rest).
 
-    ``good`` holds the doc_id of documents labelled good.  Of each language the ``REFERENCE_DOCS``
-    with the least hash of their id are used, each text once, so the sample,
-    and what comes to the driver (counts of its words), is bounded by the number of languages.  Every language with a labelled
+    ``good`` holds the doc_id of documents labelled good.  All of them count, each text once, and of texts that begin
+    with the same passage in the order of hashes, near copies mostly, the least.  Words are counted over the cluster; the driver gets ``COMMON_WORDS``
+    of them for each language.  Every language with a labelled
     word has a reference; a small one is held to less, as its noise is allowed for.
     """
     small_batches(docs)
-    wanted = good.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    spoken = docs.select(F.col("doc_id").cast("long").alias("id"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = spoken.join(wanted, "id", "left_semi").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= REFERENCE_DOCS).select("id").distinct()
+    wanted = good.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL")
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("id"), "lang", F.col("text").cast("string").alias("text"))
         .filter("lang IS NOT NULL AND text IS NOT NULL")
-        .join(F.broadcast(ids), "id")
-        .groupBy("lang", F.xxhash64("text").alias("copy")).agg(F.min("text").alias("text"))
+        .join(wanted, "id", "left_semi").select("lang", "text")
     )
 
-    def count(table: pa.Table) -> pa.Table:
-        words, chars, lead = Counter(), np.zeros(CLASSES), set()
-        for text in sorted(table["text"].to_pylist()):
-            own = plain_words(text.encode())
-            key = tuple(sorted(set(zip(own, own[1:], own[2:])), key=hash_of)[:1])  # one of near copies, mostly
-            if key in lead:
-                continue
-            lead.add(key)
-            words.update(own)
-            chars += char_histogram(text.encode())
-        total = sum(words.values())
-        top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]
-        return pa.table({
-            "lang": [table["lang"][0].as_py()], "total": pa.array([total], pa.int64()), "chars": [chars.tolist()],
-            "words": pa.array([[w for w, _ in top]], pa.list_(pa.binary())), "counts": pa.array([[n for _, n in top]], pa.list_(pa.int64())),
-        })
-
-    found = rows.groupBy("lang").applyInArrow(count, "lang string, total long, chars array<double>, words array<binary>, counts array<long>")
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = []
+            for text in batch.column(1).to_pylist():
+                own = plain_words(text.encode())
+                leads.append(b" ".join(min(set(zip(own, own[1:], own[2:])), key=lambda g: (hash_of(g), g), default=())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leads, pa.binary())], ["lang", "text", "lead"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = text.encode()
+                counts.update((lang, -1, word) for word in plain_words(body))
+                for i, n in enumerate(char_histogram(body).astype(int).tolist()):
+                    counts[lang, i, b""] += n
+            columns = list(zip(*counts)) or [[]] * 3
+            types = pa.string(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, t) for c, t in zip(columns, types)], pa.array(counts.values(), pa.int64())], ["lang", "kind", "word", "n"])
+
+    one_of_each = rows.mapInArrow(lead, "lang string, text string, lead binary").groupBy("lang", "lead").agg(F.min("text").alias("text"))
+    counted = one_of_each.select("lang", "text").mapInArrow(count, "lang string, kind int, word binary, n long")
+    counts = stored(counted.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "language_counts")
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counts.filter("kind = -1").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= COMMON_WORDS)
+    chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
+    words: dict[str, list] = defaultdict(list)
+    for r in counts.filter("kind >= 0").select("lang", "kind", "n").collect():
+        chars[r["lang"]][r["kind"]] = r["n"]
+    for r in top.orderBy("lang", "at").collect():
+        words[r["lang"]].append((bytes(r["word"]), r["n"]))
     out = {}
-    for r in found.filter("total > 0").collect():
-        counts = np.array([*r["counts"], r["total"] - sum(r["counts"])], float)
-        out[r["lang"]] = np.array(r["chars"]), {bytes(w): i for i, w in enumerate(r["words"])}, counts
+    for lang, total in counts.filter("kind = -1").groupBy("lang").agg(F.sum("n")).collect():
+        common = [n for _, n in words[lang]]
+        out[lang] = chars[lang], {w: i for i, (w, _) in enumerate(words[lang])}, np.array([*common, total - sum(common)], float)
     return out
 
 
