@@ -143,3 +143,29 @@ def test_all_labelled_documents_make_the_reference(spark):
     (chars, common, counts), = quality.language_references(docs, docs.select("doc_id")).values()
     assert counts.sum() == 1500 * 4 and counts[common[b"common"]] == 1500
     assert chars[0] == sum(len(t.replace(" ", "")) for t in texts[:1500])
+
+
+def test_few_texts_move(spark, tmp_path):
+    """Only texts of labelled documents, and the few others that the sieve lets through, leave their task; the references stay the same."""
+    noise = lambda i: " ".join(f"{(i * 7919 + k * 104729) % 1000003:x}" for k in range(300))
+    spark.createDataFrame([(i, noise(i), "aa") for i in range(2000)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    good = docs.filter("doc_id % 100 = 0").select("doc_id")
+    counter = spark.sparkContext.statusTracker()
+    seen = set()
+    spark.sparkContext.setJobGroup("references", "")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with many labels
+    try:
+        some = quality.language_references(docs, good)
+        for job in counter.getJobIdsForGroup("references"):
+            seen |= set(counter.getJobInfo(job).stageIds)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sparkContext._jsc.clearJobGroup()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in seen)
+    assert written < 1_000_000  # the texts have 4 million bytes
+    few = good.join(docs, "doc_id")
+    again = quality.language_references(few, good)
+    assert some["aa"][1] == again["aa"][1] and (some["aa"][2] == again["aa"][2]).all() and (some["aa"][0] == again["aa"][0]).all()

@@ -8,12 +8,13 @@ all documents labelled good.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuemill.llm.blocks import frugal, small_batches
@@ -21,6 +22,8 @@ from venuemill.llm.store import stored
 
 #: Labelled documents of each language that its reference is made from, at most: no bound.
 REFERENCE_DOCS = math.inf
+#: Bits of the sieve of labelled ids that goes to all tasks, whatever the input, and those of a piece of it.
+SIEVE_BITS, SIEVE_PIECE = 1 << 26, 1 << 15
 #: Common words that a reference holds.
 COMMON_WORDS = 100
 #: Shortest text that is judged by its characters and by its words.
@@ -79,29 +82,51 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, sum(parts) / 2))
 
 
+def _sieve(ids: DataFrame) -> dict[int, bytes]:
+    """A bit for each hash of an id, as compressed pieces by their number; a piece without ids is left out."""
+
+    def piece(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(SIEVE_PIECE, bool)
+        bits[table["bit"].to_numpy() % SIEVE_PIECE] = True
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes())], pa.binary())})
+
+    bits = ids.select(_sieve_bit(F.col("id")).alias("bit")).withColumn("piece", F.floor(F.col("bit") / SIEVE_PIECE))
+    return {r["piece"]: bytes(r["bits"]) for r in bits.groupBy("piece").applyInArrow(frugal(piece), "piece long, bits binary").collect()}
+
+
+def _sieve_bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SIEVE_BITS))
+
+
 def language_references(docs: DataFrame, good: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """lang -> (character classes, common words, their counts and the count of the rest).
 
     ``good`` holds the doc_id of documents labelled good.  All of them count, each text once, and of texts that begin
-    with the same passage in the order of hashes, near copies mostly, the least.  Words are counted over the cluster; the driver gets ``COMMON_WORDS``
+    with the same passage in the order of hashes, near copies mostly, the least.  A sieve of fixed size keeps back most other texts where they
+    are read, a join by id the rest.  Words are counted over the cluster; the driver gets ``COMMON_WORDS``
     of them for each language.  Every language with a labelled
     word has a reference; a small one is held to less, as its noise is allowed for.
     """
     small_batches(docs)
     wanted = good.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL")
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), "lang", F.col("text").cast("string").alias("text"))
-        .filter("lang IS NOT NULL AND text IS NOT NULL")
-        .join(wanted, "id", "left_semi").select("lang", "text")
+    sieve = _sieve(wanted)
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(doc.alias("id"), "lang", F.col("text").cast("string").alias("text"), _sieve_bit(doc).alias("bit")).filter(
+        "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"
     )
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        for k, piece in sieve.items():
+            bits[k * SIEVE_PIECE // 8 : (k + 1) * SIEVE_PIECE // 8] = np.frombuffer(zlib.decompress(piece), np.uint8)
         for batch in batches:
+            at = batch.column(3).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             leads = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = plain_words(text.encode())
                 leads.append(b" ".join(min(set(zip(own, own[1:], own[2:])), key=lambda g: (hash_of(g), g), default=())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leads, pa.binary())], ["lang", "text", "lead"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leads, pa.binary())], ["id", "lang", "text", "lead"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +141,10 @@ def language_references(docs: DataFrame, good: DataFrame) -> dict[str, tuple[np.
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, t) for c, t in zip(columns, types)], pa.array(counts.values(), pa.int64())], ["lang", "kind", "word", "n"])
 
-    one_of_each = rows.mapInArrow(lead, "lang string, text string, lead binary").groupBy("lang", "lead").agg(F.min("text").alias("text"))
-    counted = one_of_each.select("lang", "text").mapInArrow(count, "lang string, kind int, word binary, n long")
+    led = rows.mapInArrow(frugal(lead), "id long, lang string, text string, lead binary")
+    labelled = led.join(wanted.hint("merge"), "id", "left_semi")  # labels may be many: no broadcast at any size
+    one_of_each = labelled.groupBy("lang", "lead").agg(F.min("text").alias("text"))
+    counted = one_of_each.select("lang", "text").mapInArrow(frugal(count), "lang string, kind int, word binary, n long")
     counts = stored(counted.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "language_counts")
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.filter("kind = -1").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= COMMON_WORDS)
