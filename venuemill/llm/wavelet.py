@@ -361,7 +361,8 @@ def read_documents(spark: SparkSession, folder: str, keep_ids: bool = False) ->
 
 
 def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
-    """(token, n) over all files, from ranks alone."""
+    """(token, n) over all files, from ranks alone; a token that is asked for twice has one row."""
+    tokens = list(dict.fromkeys(tokens))
     if _empty(spark, folder):
         return spark.createDataFrame([(t, 0) for t in tokens], "token long, n long")
 
