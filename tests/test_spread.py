@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from venuemill.operators import consolidate
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +22,12 @@ def test_one_row_group_is_read_by_several_tasks(spark, name):
 def test_patterns_are_not_repeated(spark, name, call, most):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(call) <= most
+
+
+def test_article_refs_tasks_grow_with_rows(spark):
+    """A task tells a bounded number of rows apart, also of one venue and source."""
+    rows = spark.range(20_000).selectExpr("id div 100000 AS venue_ord", "concat('s', id div 100000) AS source_id", "concat('a', id % 10000) AS article_id", "id AS ord")
+    refs = consolidate.article_refs(rows, task_rows=500)
+    sizes = [r["n"] for r in refs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 10_000 and len(sizes) == 40 and max(sizes) <= 500
+    assert refs.agg(F.sum("ord")).first()[0] == sum(range(10_000))

@@ -8,6 +8,8 @@ meets in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,15 @@ def consolidate(resolved: DataFrame) -> DataFrame:
     )
 
 
-def article_refs(resolved: DataFrame) -> DataFrame:
+#: Rows that a task tells apart, about.
+TASK_ROWS = 500_000
+
+
+def article_refs(resolved: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Long table of the articles behind each venue and source.
 
-    Kept long on purpose: the list of one venue has no bound."""
-    return resolved.groupBy("venue_ord", "source_id", "article_id").agg(F.min("ord").alias("ord"))
+    Kept long on purpose: the list of one venue has no bound.  The rows, read once more to be counted, are
+    dealt by article too, to tasks whose number grows with them."""
+    keys = ["venue_ord", "source_id", "article_id"]
+    tasks = max(math.ceil(resolved.count() / task_rows), int(resolved.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return resolved.repartition(tasks, *keys).groupBy(*keys).agg(F.min("ord").alias("ord"))

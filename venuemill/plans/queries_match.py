@@ -107,14 +107,14 @@ PASS_SOURCES = ["", "whiteguide-review", "krogguiden", "michelin", "di", "dn-rev
 RATING_KEYS = ["", "whiteguide", "krogguiden", "michelin", "di", "dn", "svd", "falstaff"]
 
 
-def _line_mentions(spark, d):
-    """Line items as mentions of their part: the line number is the pass."""
+def _line_rows(spark, d):
+    """Line items as rows about their part: the line number is the pass."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
     x = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     ln, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int")
     order = F.struct(ln.alias("pass"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_partkey").cast("int").alias("sub"))
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    rows = x.select(
+    return x.select(
         "l_partkey", order.alias("ord"), pick(PASS_SOURCES, ln).alias("source_id"), pick(RATING_KEYS, ln).alias("rating_key"),
         F.lit(0.0).alias("scale_min"), F.lit(100.0).alias("scale_max"), F.lit(False).alias("is_sub"),
         F.concat("p_name", F.lit(" "), ln.cast("string"), F.lit("-"), (qty % 3).cast("string")).alias("name"),
@@ -131,6 +131,11 @@ def _line_mentions(spark, d):
         F.when(qty % 2 == 0, F.array(F.concat(F.lit("tag"), qty.cast("string")))).alias("tags"),
         F.lit(None).cast(schemas.SUB_SCORES).alias("explicit_sub_scores"), qty.alias("review_count"),
     )
+
+
+def _line_mentions(spark, d):
+    """Line items as mentions of their part, which the first of them founds."""
+    rows = _line_rows(spark, d)
     founders = rows.groupBy("l_partkey").agg(F.min("ord").alias("venue_ord"))
     return rows.join(founders, "l_partkey")
 
@@ -192,7 +197,7 @@ FROM a JOIN fs USING (l_partkey) LEFT JOIN zs USING (l_partkey)"""
 
 def article_refs(spark, d):
     """Distinct articles behind each part and source, counted."""
-    refs = consolidate.article_refs(_line_mentions(spark, d).withColumn("venue_ord", F.col("l_partkey")))
+    refs = consolidate.article_refs(_line_rows(spark, d).withColumn("venue_ord", F.col("l_partkey")))
     return refs.groupBy(F.col("venue_ord").alias("part"), "source_id").agg(F.count(F.lit(1)).alias("articles"))
 
 
