@@ -20,6 +20,7 @@ that are similar enough leave it.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -202,6 +203,41 @@ def similar_name_keys(left: DataFrame, right: DataFrame, threshold: float = V.NA
 _RANK_STEP = 10**13  # above any number of venues
 
 
+def _rank(name_similarity: Column, place_sim: Column, venue_no: Column) -> Column:
+    """Score and venue number as one decimal, the best first."""
+    worse = F.floor((F.lit(2.0) - combined_score(name_similarity, place_sim)) * F.lit(1e12)).cast("decimal(38,0)")
+    return (worse * F.lit(_RANK_STEP).cast("decimal(38,0)") + venue_no).cast("decimal(38,0)")
+
+
+def _best_apart(rows: DataFrame, venues: DataFrame) -> DataFrame:
+    """(row_id, here, any): the least ranks in the row's city and anywhere, for rows and venues that are all different.
+
+    A place counts by its street and by whether numbers are equal, so a row asks for the first venue of each street, once with its
+    own number and once with any, for which an equal number is not counted: what that ranks too low, the first question ranks
+    right.  So a row meets the streets of a name and not its venues, and without city and number rows of one name and street ask together.
+    """
+    names = cut_lineage(similar_name_keys(rows, venues)).withColumnRenamed("left_key", "key")
+    v = venues.select(F.col("key").alias("right_key"), "venue_city", F.col("venue_place.street").alias("venue_street"), F.col("venue_place.number").alias("number"), "venue_no")
+    r = rows.select("row_id", "key", "threshold", F.col("row_city").alias("venue_city"), F.col("row_place.street").alias("street"), F.col("row_place.number").alias("number"))
+
+    def asked(who: DataFrame, by: list[str], here: bool, own: bool) -> DataFrame:
+        first = v.groupBy("right_key", *by, "venue_street").agg(F.min("venue_no").alias("venue_no"))
+        met = who.join(names, "key").where("name_similarity >= threshold").join(first, ["right_key", *by])
+        place = similarity_ratio(F.col("street"), F.col("venue_street")) * F.lit(V.STREET_WEIGHT) + F.lit(float(own)) * F.lit(V.NUMBER_WEIGHT)
+        rank = _rank(F.col("name_similarity"), F.coalesce(place, F.lit(0.0)), F.col("venue_no"))
+        none = F.lit(None).cast("decimal(38,0)")
+        return met.select(*[c for c in who.columns if c not in by], (rank if here else none).alias("here"), rank.alias("any"))
+
+    shared = ["key", "threshold", "street"]
+    anywhere = asked(spread(r.select(*shared).distinct(), *shared), [], False, False).groupBy(*shared).agg(F.min("any").alias("any"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in shared]
+    answers = [r.alias("r").join(anywhere.alias("a"), same).select("row_id", F.lit(None).cast("decimal(38,0)").alias("here"), "any")]
+    local = r.where("venue_city <> ''")
+    for who, by, here in ((r, ["number"], False), (local, ["venue_city", "number"], True), (local, ["venue_city"], True)):
+        answers.append(asked(who, by, here, "number" in by).select("row_id", "here", "any"))
+    return functools.reduce(DataFrame.unionByName, answers).groupBy("row_id").agg(F.min("here").alias("here"), F.min("any").alias("any"))
+
+
 def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = False) -> DataFrame:
     """Best fuzzy partner of each row.
 
@@ -211,7 +247,8 @@ def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = Fa
     there.  Highest combined score wins, then the earliest venue.
 
     Score and venue number make one decimal, so both minima (in the city, anywhere) are kept by one
-    hash aggregation that combines on the map side, straight from the join.
+    hash aggregation that combines on the map side, straight from the join.  Unless ``earlier_only``, a name may have any number
+    of venues; rows then ask for street, number and city apart.
     """
     r = rows.withColumns({
         "row_place": F.when(F.coalesce(F.col("address") != "", F.lit(False)), street_number(F.col("address"))),
@@ -227,23 +264,22 @@ def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = Fa
         v = v.groupBy("key", "venue_city", "venue_place").agg(F.min("venue_ord").alias("venue_ord"))
         alike = F.to_json(F.struct("key", "row_place", "row_city", "threshold"))
         members = r.select("row_id", alike.alias("alike"))
-        r = r.select(alike.alias("row_id"), "key", "row_place", "row_city", "threshold").dropDuplicates(["row_id"])
+        r = r.select(alike.alias("alike"), "key", "row_place", "row_city", "threshold").dropDuplicates(["alike"])
+        r = cut_lineage(spread(r, "alike").withColumn("row_id", F.monotonically_increasing_id()))
     v = cut_lineage(row_number_in_groups(v, [], [F.asc("venue_ord")], "venue_no").withColumn("venue_no", F.col("venue_no").cast("long")))
 
-    row_at, venue_at = (F.col("ord"), F.col("venue_ord")) if earlier_only else (F.lit(1), F.lit(0))
-    met = near_names(
-        r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left"), row_at.alias("at")),
-        v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right"), venue_at.alias("at")),
-        earlier=earlier_only,
-    ).where("name_similarity >= left.threshold")
-    place_sim = F.coalesce(address_similarity(F.col("left.row_place"), F.col("right.venue_place")), F.lit(0.0))
-    worse = F.floor((F.lit(2.0) - combined_score(F.col("name_similarity"), place_sim)) * F.lit(1e12)).cast("decimal(38,0)")
-    in_city = F.coalesce((F.col("left.row_city") != "") & (F.col("left.row_city") == F.col("right.venue_city")), F.lit(False))
-    ranked = met.select(
-        F.col("left.row_id").alias("row_id"), in_city.alias("near"),
-        (worse * F.lit(_RANK_STEP).cast("decimal(38,0)") + F.col("right.venue_no")).cast("decimal(38,0)").alias("rank"),
-    )
-    best = ranked.groupBy("row_id").agg(F.min(F.when(F.col("near"), F.col("rank"))).alias("here"), F.min("rank").alias("any"))
+    if earlier_only:
+        met = near_names(
+            r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left"), F.col("ord").alias("at")),
+            v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right"), F.col("venue_ord").alias("at")),
+            earlier=True,
+        ).where("name_similarity >= left.threshold")
+        place_sim = F.coalesce(address_similarity(F.col("left.row_place"), F.col("right.venue_place")), F.lit(0.0))
+        in_city = F.coalesce((F.col("left.row_city") != "") & (F.col("left.row_city") == F.col("right.venue_city")), F.lit(False))
+        ranked = met.select(F.col("left.row_id").alias("row_id"), in_city.alias("near"), _rank(F.col("name_similarity"), place_sim, F.col("right.venue_no")).alias("rank"))
+        best = ranked.groupBy("row_id").agg(F.min(F.when(F.col("near"), F.col("rank"))).alias("here"), F.min("rank").alias("any"))
+    else:
+        best = _best_apart(r, v)
     winners = best.select("row_id", (F.coalesce("here", "any") % F.lit(_RANK_STEP).cast("decimal(38,0)")).cast("long").alias("venue_no"))
 
     full = winners.join(r.withColumnRenamed("key", "left_key"), "row_id").join(v.withColumnRenamed("key", "right_key"), "venue_no")
@@ -252,5 +288,5 @@ def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = Fa
         "address_similarity": F.coalesce(address_similarity(F.col("row_place"), F.col("venue_place")), F.lit(0.0)),
     }).withColumn("combined_score", combined_score(F.col("name_similarity"), F.col("address_similarity")))
     if not earlier_only:
-        scored = members.join(scored.withColumnRenamed("row_id", "alike"), "alike").drop("alike")
+        scored = members.join(scored.drop("row_id"), "alike").drop("alike")
     return scored.select("row_id", "venue_ord", "name_similarity", "address_similarity", "combined_score")
