@@ -107,12 +107,17 @@ PASS_SOURCES = ["", "whiteguide-review", "krogguiden", "michelin", "di", "dn-rev
 RATING_KEYS = ["", "whiteguide", "krogguiden", "michelin", "di", "dn", "svd", "falstaff"]
 
 
-def _line_rows(spark, d):
-    """Line items as rows about their part: the line number is the pass."""
+def _line_order():
+    return F.struct(F.col("l_linenumber").alias("pass"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_partkey").cast("int").alias("sub"))
+
+
+def _line_rows(spark, d, founders=None):
+    """Line items as rows about their part: the line number is the pass.  ``founders`` join the lines before texts are made of them."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    x = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem") if founders is None else table(spark, d, "lineitem").join(founders, "l_partkey")
+    x = lines.join(p, F.col("l_partkey") == F.col("p_partkey"))
     ln, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-    order = F.struct(ln.alias("pass"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_partkey").cast("int").alias("sub"))
+    order = _line_order()
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     return x.select(
         "l_partkey", order.alias("ord"), pick(PASS_SOURCES, ln).alias("source_id"), pick(RATING_KEYS, ln).alias("rating_key"),
@@ -129,15 +134,14 @@ def _line_rows(spark, d):
         F.lit("review").alias("content_type"), F.when(qty % 2 == 0, day).otherwise(F.lit("")).alias("published_at"),
         F.concat(F.lit("text "), F.expr("repeat('x', cast(l_quantity as int))")).alias("body_text"),
         F.when(qty % 2 == 0, F.array(F.concat(F.lit("tag"), qty.cast("string")))).alias("tags"),
-        F.lit(None).cast(schemas.SUB_SCORES).alias("explicit_sub_scores"), qty.alias("review_count"),
+        F.lit(None).cast(schemas.SUB_SCORES).alias("explicit_sub_scores"), qty.alias("review_count"), *([] if founders is None else ["venue_ord"]),
     )
 
 
 def _line_mentions(spark, d):
     """Line items as mentions of their part, which the first of them founds."""
-    rows = _line_rows(spark, d)
-    founders = rows.groupBy("l_partkey").agg(F.min("ord").alias("venue_ord"))
-    return rows.join(founders, "l_partkey")
+    founders = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min(_line_order()).alias("venue_ord"))
+    return _line_rows(spark, d, founders)
 
 
 def consolidate_first(spark, d):
