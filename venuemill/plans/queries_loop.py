@@ -11,11 +11,12 @@ from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
 from venuemill.plans.queries_match import _PLACED_SQL, _line_mentions, _placed
 from venuemill.plans.queries_refine import _ENRICHED_SQL, _candidates, _venues
+from venuemill.session import cut_lineage
 
 
 def refine_again(spark, d):
     """A second refine over the merge's own venues: carried, known as missing, and newly looked up ones."""
-    merged = consolidate.consolidate(_line_mentions(spark, d)).withColumnRenamed("venue_ord", "idx")
+    merged = cut_lineage(consolidate.consolidate(_line_mentions(spark, d))).withColumnRenamed("venue_ord", "idx")  # read by both runs and for their places
     part = F.concat_ws(":", "idx.pass", "idx.pos", "idx.sub")
     venues = merged.withColumns({"id": part, "n": F.col("idx.pos") % 6})
     fresh = venues.drop("n")
