@@ -84,9 +84,10 @@ def articles_to_mentions(articles: DataFrame) -> DataFrame:
 def alias_keys(known_merges: DataFrame) -> DataFrame:
     """Alias table ``(canonical_name, alias, pos)`` to ``(key, canonical_key)``.
 
-    The last entry of an alias wins; an empty canonical key is no alias."""
+    The last entry of an alias wins; an empty canonical key is no alias.  Copies of an entry fold before keys are made of the names."""
     return (
-        known_merges.select(
+        known_merges.groupBy("alias", "canonical_name").agg(F.max("pos").alias("pos"))
+        .select(
             name_key(F.col("alias")).alias("key"),
             F.struct("pos", name_key(F.col("canonical_name")).alias("canonical_key")).alias("entry"),
         )

@@ -19,7 +19,8 @@ def merge(articles: DataFrame, known_merges: DataFrame | None = None) -> DataFra
 
     ``idx`` is the founding order and stays the tie-breaker of later steps."""
     mentions = resolve.articles_to_mentions(articles)
-    aliases = resolve.alias_keys(known_merges) if known_merges is not None else None
+    # founding and matching read the aliases several times
+    aliases = cut_lineage(resolve.alias_keys(known_merges)) if known_merges is not None else None
     # one row per venue from here on; slugs read it several times
     venues = cut_lineage(consolidate(resolve.resolve(mentions, aliases)))
     return unique_slugs(venues).withColumnRenamed("venue_ord", "idx")

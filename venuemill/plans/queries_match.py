@@ -10,6 +10,7 @@ from venuemill.functions import text
 from venuemill.operators import consolidate, dedup, fuzzy, resolve, slugs
 from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
+from venuemill.session import spread
 
 
 def exact_alias_match(spark, d):
@@ -289,7 +290,7 @@ def upsert_known_merges(spark, d):
 def guide_articles_of(spark, d):
     """Articles of two guides about every part; the second one misspells."""
     full = F.concat("p_name", F.lit(" "), F.lower("p_type"))
-    p = table(spark, d, "part").withColumn("full", full)
+    p = spread(table(spark, d, "part"), "p_partkey").withColumn("full", full)
 
     def articles(source_id, name, address, score):
         given = {
@@ -351,7 +352,7 @@ def merged_venues(spark, d):
 def nine_passes_of(spark, d):
     """(articles, known merges): every part in three or so of the nine passes, with misspellings, nicknames, listings and news,
     sub-articles, and rows without address and city."""
-    p, k, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    p, k, size = spread(table(spark, d, "part"), "p_partkey"), F.col("p_partkey"), F.col("p_size")
     full = F.concat("p_name", F.lit(" "), F.lower("p_type"))
     address = F.when(size % 5 > 0, F.concat("p_brand", F.lit(" street "), size.cast("string")))
     passes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(source).alias("source")) for n, source, *_ in V.SOURCE_PASSES])
