@@ -83,3 +83,15 @@ def test_galloping():
         got = alignment.ranks(wanted, guess, np.zeros(40, int), np.full(40, len(table)), table)
         assert got.tolist() == np.searchsorted(table, wanted).tolist()
     assert len(alignment.ranks(*[np.zeros(0, int)] * 4, np.arange(3))) == 0
+
+
+def test_parts_are_encoded_once():
+    """Ids of A are the library's, and known parts are not asked for again."""
+    pair = alignment.Pair(A, B)
+    texts = [*ODD, "some words, and\nsome words again", ""]
+    for _ in range(2):
+        a, b = pair.encode(texts)
+        ids = [pair.a.encode(" " + t, add_special_tokens=False).ids if t and n else [] for t, n in zip(texts, a.counts)]
+        assert a.ids.tolist() == [i for x in ids for i in x] and a.counts.tolist() == [len(x) for x in ids]
+        assert len(a.counts) == len(b.counts) and (a.counts > 0).sum() >= len(texts) - 2
+    assert {"some", "words,", "again"} <= pair.encoder.later.keys()

@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from venuemill.llm import blocks
 from venuemill.llm.blocks import as_array
+from venuemill.llm.packing import Encoder, byte_letters
 from venuemill.llm.rolling import first_of_runs
 from venuemill.llm.store import stored
 
+#: Parts of texts whose ids of A a process keeps (about 100 MB).
+MOST_CACHED = 600_000
 #: Text that is aligned at a time, and text whose pairs of ids are asked for together.
 SLICE_BYTES, CHUNK_BYTES = 1 << 19, 8 << 20
 
@@ -98,25 +101,17 @@ def aligned(a: Tokens, b: Tokens) -> Aligned:
     return Aligned(common[0][order], common[1][order], *(np.concatenate(x) for x in zip(*links)))
 
 
-def _byte_of_letter() -> dict[str, int]:
-    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on in their order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Pair:
     """Both tokenizers, with the bytes and the decimal digits of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.encoder = Encoder(path_a, MOST_CACHED, plain=True)
+        self.a = self.encoder.library
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        letters, added = _byte_of_letter(), {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
+        letters, added = {c: b for b, c in byte_letters().items()}, {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         size_a = max(max(self.a.get_vocab().values()), max(added, default=0)) + 1
         self.bytes_a = [b""] * size_a
         for entry, i in self.a.get_vocab().items():
@@ -126,22 +121,33 @@ class Pair:
             for i, piece in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         ]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.table_a, self.table_b = (
+            (n, np.cumsum(n) - n, np.frombuffer(b"".join(t), np.uint8)) for n, t in ((self.size_a, self.bytes_a), (self.size_b, self.bytes_b))
+        )
         self.text_a, self.text_b = (np.array([[b"%d%c" % (i, mark) for mark in marks] for i in range(n)], object) for n, marks in ((size_a, b",|"), (len(self.bytes_b), b",;")))
 
-    def _tokens(self, ids: list[list[int]], sizes: np.ndarray) -> Tokens:
+    @staticmethod
+    def _spells(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, spelling: np.ndarray, whole: bytes) -> bool:
+        """Whether the bytes of the ids are those of the text; ``spelling`` has the bytes of all ids end to end."""
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        if not len(ids) or ends[-1] != len(whole):
+            return False
+        return spelling[np.repeat(starts[ids] - ends + n, n) + np.arange(len(whole))].tobytes() == whole
+
+    def _tokens(self, ids: list[np.ndarray], sizes: np.ndarray) -> Tokens:
         counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in ids)])
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
         return Tokens(flat, np.cumsum(sizes[flat]), counts)
 
     def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
         """Tokens of the texts; none where the tokens of either do not spell a space and the text."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
+        ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.encoder.encode([" " + t for t in texts])]
+        ids_b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
         for k, text in enumerate(texts):
             whole = b" " + text.encode()
-            spelled = text and all(b"".join(map(table.__getitem__, ids[k])) == whole for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-            if not spelled:
-                ids_a[k] = ids_b[k] = []
+            if not (text and self._spells(ids_a[k], *self.table_a, whole) and self._spells(ids_b[k], *self.table_b, whole)):
+                ids_a[k] = ids_b[k] = np.zeros(0, np.int64)
         return self._tokens(ids_a, self.size_a), self._tokens(ids_b, self.size_b)
 
     def groups(self, a: Tokens, b: Tokens, found: Aligned) -> tuple[np.ndarray, list[str]]:

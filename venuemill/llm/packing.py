@@ -29,30 +29,53 @@ MOST_CACHED = 1_200_000
 _SPACE_AHEAD, _CUTS = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on in their order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, as little-endian bytes.
 
     The split before the merges ends a token in front of every space that a
     non-space follows, so a text is cut there and the ids of the parts are
-    kept.  New parts go to the library in one text with an added token between
-    them, which it takes out before it splits.  A text with an added token in it goes to the library whole.
+    kept.  New parts without a space go to the library side by side, where only their first tokens begin with a space; others in one
+    text with an added token between them, which it takes out before it splits.  A text with an added token in it goes to the library whole.
+    With ``plain`` an added token that is special is text as any other.
     """
 
-    def __init__(self, path: str, cached: int = MOST_CACHED):
+    def __init__(self, path: str, cached: int = MOST_CACHED, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.cached = cached
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         added = self.library.get_added_tokens_decoder()
         self.added = [t.content for t in added.values()]
-        plain = [(t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark, self.mark_id = plain[0] if plain else (None, None)
+        marks = [(t.content, i) for i, t in added.items() if not (plain or t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = marks[0] if marks else (None, None)
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True  # how byte-level vocabularies write a space
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}  # by the part without its leading space
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _side_by_side(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that begin with their only space and go on with no white space."""
+        out = []
+        for at in range(0, len(parts), 500):
+            some = parts[at : at + 500]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for _, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)]
+        return out
+
     def _apart(self, parts: list[str]) -> list[bytes]:
         if self.mark is None:
             return self.whole(parts)
@@ -84,7 +107,11 @@ class Encoder:
         parts = [("", []) if i in skip else self.parts(t) for i, t in enumerate(texts)]
         later, first = self.later, self.first
         new = list({x for _, p in parts for x in p if x not in later})
-        later.update(zip(new, self._apart([" " + x for x in new])))
+        spaced = [x for x in new if not x or " " in x or x[0].isspace()]
+        skip = set(spaced)
+        new = [x for x in new if x not in skip]
+        later.update(zip(new, self._side_by_side([" " + x for x in new])))
+        later.update(zip(spaced, self._apart([" " + x for x in spaced])))
         new = list({x for x, _ in parts if x not in first})
         first.update(zip(new, self.whole(new)))
         get = later.__getitem__
