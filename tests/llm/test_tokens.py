@@ -91,3 +91,22 @@ def test_fullest_is_best():
         best = max(sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*[range(c + 1) for c in counts.values()]) if sum(n * k for n, k in zip(counts, ks)) <= room)
         got = packing.fullest(counts, room)
         assert sum(n * k for n, k in got.items()) == best and all(k <= counts[n] for n, k in got.items())
+
+
+def test_parts_go_to_the_library_side_by_side(monkeypatch):
+    """Only parts with white space of their own need a mark between them; ids are those of the whole text."""
+    encoder = packing.Encoder(BYTE)
+    apart = []
+    monkeypatch.setattr(encoder, "_apart", lambda parts, real=encoder._apart: apart.extend(parts) or real(parts))
+    texts = [*ODD, "plain words, and\nlines. Ünï cödé 漢字 x\xa0y \x85z it's", " ".join(f"w{i}x" for i in range(1200)), ""]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.later) > 1200 and len(apart) < 20
+
+
+def test_special_strings_as_plain_text():
+    encoder = packing.Encoder(BYTE, plain=True)
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(ODD)]
+    assert got == [encoder.library.encode(t, add_special_tokens=False).ids for t in ODD]
+    assert all(encoder.added[0] not in encoder.library.id_to_token(i) for x in got for i in x)

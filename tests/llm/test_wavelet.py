@@ -88,3 +88,16 @@ def test_long_text(spark, tmp_path):
 def test_not_a_token_file():
     with pytest.raises(ValueError):
         wavelet.Shard.from_bytes(b"x" * 100)
+
+
+def test_latin_words_go_to_the_model(monkeypatch):
+    """Words of Latin letters do not pass the library's normalizer one text after another; ids are the library's."""
+    encoder = wavelet.WordEncoder(WORDS, 1000)
+    words = ["hello", "Straße", "ñandú", "íos", "ªº", "ŉa", "ƀɏ", "naïveté", *(f"{a}{b}x" for a in "abcdé" for b in "äöüqz")]
+    monkeypatch.setattr(encoder, "_ids", None)
+    got = encoder.encode([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library_ids(w)[:-1] for w in words]
+    monkeypatch.undo()
+    odd = ["e\u0301a", "İx", "ǅa", "ΣΑΣ σας", "漢字", "ɐb", "x2y", "<|endoftext|>a", "don't"]
+    got = encoder.encode([w.encode() for w in odd])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library_ids(w)[:-1] for w in odd]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from venuemill.llm import blocks
+from venuemill.llm.packing import byte_letters
 
 MAGIC = b"WVM1"
 END_ID = 2
@@ -33,6 +34,8 @@ TASK_BYTES = 16 << 20
 MOST_CACHED = 800_000
 #: A word whose last character is a mark after a letter or digit.
 _ENDS_WORD = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,;:!?]\Z")
+#: Letters below are composed and of a settled category, so no normalizer or Unicode version changes what they are.
+_LATIN_ENDS = "\u0250"
 #: Writing tasks whose sizes are summed before they come to the driver.
 PARTS_SUMMED = 1024
 NO_ID = np.iinfo(np.int64).min
@@ -177,7 +180,8 @@ class WordEncoder:
 
     So a text is cut there, and the ids of words are kept for the next texts.  With a tokenizer that lower-cases and ends a
     piece where letters or digits end, words are kept in lower case, a word with a mark behind it has the ids of
-    both, and words of letters go to the library side by side, as each has exactly one last piece.
+    both, and words of letters go to the library side by side, as each has exactly one last piece.  Where its model takes bytes as
+    letters, words of Latin letters, which stay as they are until then, go to the model one by one.
     """
 
     def __init__(self, path: str, cached: int):
@@ -193,6 +197,8 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+        steps = self.library.pre_tokenizer
+        self.letters = byte_letters() if steps is not None and b'"ByteLevel","add_prefix_space":false' in steps.__getstate__().replace(b" ", b"") else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -200,9 +206,14 @@ class WordEncoder:
     def _learn(self, new: list[bytes]) -> None:
         """Add words to those known, many in one text."""
         odd, letters, rest = [], [], []
+        lowered = self.lower and bool(self.ends.any())
+        tokenize, known = self.library.model.tokenize, self.known
         for w in new:
             text = w.decode()
-            plain = self.lower and self.ends.any() and text.isalpha() and text == text.lower()
+            plain = lowered and text.isalpha() and text == text.lower()
+            if plain and self.letters is not None and max(text) < _LATIN_ENDS:
+                known[w] = np.array([t.id for t in tokenize(w.decode("latin-1").translate(self.letters))], "<u4").tobytes()
+                continue
             (odd if any(a in w for a in self.added) else letters if plain else rest).append(w)
         for w in odd:
             self.known[w] = self._ids(w.decode()).tobytes()
