@@ -22,9 +22,13 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venuemill import fixed_values as V
 from venuemill.functions.similarity import (
@@ -33,12 +37,13 @@ from venuemill.functions.similarity import (
     similarity_ratio,
 )
 from venuemill.functions.text import street_number
+from venuemill.operators.name_index import FEW_EDITS, NameIndex, ranges
 from venuemill.operators.ranking import row_number_in_groups
 from venuemill.session import cut_lineage, spread
 
 _EPS = 1e-9
-#: Edits up to which names meet by the variants of the whole name (172 for 18 letters and two edits).
-FEW_EDITS = 2
+#: Venues that every task may look names up among, some 90 MB; more of them meet the names in a join.
+IN_TASKS = 65536
 
 
 def _max_edits(length: Column, threshold: float) -> Column:
@@ -238,6 +243,34 @@ def _best_apart(rows: DataFrame, venues: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, answers).groupBy("row_id").agg(F.min("here").alias("here"), F.min("any").alias("any"))
 
 
+def _near_in_tasks(left: DataFrame, right: DataFrame, few: list[Row]) -> DataFrame:
+    """(left, right, name_similarity) as ``near_names`` gives them with ``earlier``, for few right rows: each task looks its names up among these.
+
+    Rows of one name lie together, so a name is looked up once a batch, and a row carries the venues it meets as numbers."""
+    numbers, keys = np.array([r["venue_no"] for r in few], np.int64), [r["key"] for r in few]
+    left = spread(left.where("key <> ''"), "key").sortWithinPartitions("key")
+    found = T.ArrayType(T.StructType([T.StructField("venue_no", T.LongType()), T.StructField("name_similarity", T.DoubleType())]))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = None
+        for batch in batches:
+            names = names or NameIndex(keys)
+            coded = batch["key"].dictionary_encode()
+            one, two, similarity = names.near(coded.dictionary.to_pylist())
+            bounds = np.searchsorted(one, np.arange(len(coded.dictionary) + 1))
+            name = coded.indices.to_numpy()
+            counts = np.diff(bounds)[name]
+            at = ranges(bounds[name], counts)
+            values = pa.StructArray.from_arrays([pa.array(numbers[two][at]), pa.array(similarity[at])], ["venue_no", "name_similarity"])
+            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*batch.schema.names, "found"])
+
+    met = left.mapInArrow(look_up, T.StructType([*left.schema.fields, T.StructField("found", found)]))
+    met = met.select("left", F.col("at").alias("left_at"), F.inline("found"))
+    venues = right.select(F.col("right.venue_no").alias("venue_no"), "right", F.col("at").alias("right_at"))
+    return met.join(F.broadcast(venues), "venue_no").where("right_at < left_at").select("left", "right", "name_similarity")
+
+
 def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = False) -> DataFrame:
     """Best fuzzy partner of each row.
 
@@ -269,11 +302,11 @@ def best_fuzzy_match(rows: DataFrame, venues: DataFrame, earlier_only: bool = Fa
     v = cut_lineage(row_number_in_groups(v, [], [F.asc("venue_ord")], "venue_no").withColumn("venue_no", F.col("venue_no").cast("long")))
 
     if earlier_only:
-        met = near_names(
-            r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left"), F.col("ord").alias("at")),
-            v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right"), F.col("venue_ord").alias("at")),
-            earlier=True,
-        ).where("name_similarity >= left.threshold")
+        left = r.select("key", F.struct(*[c for c in r.columns if c != "key"]).alias("left"), F.col("ord").alias("at"))
+        right = v.select("key", F.struct(*[c for c in v.columns if c != "key"]).alias("right"), F.col("venue_ord").alias("at"))
+        few = right.select("right.venue_no", "key").limit(IN_TASKS + 1).collect()
+        met = _near_in_tasks(left, right, few) if len(few) <= IN_TASKS else near_names(left, right, earlier=True)
+        met = met.where("name_similarity >= left.threshold")
         place_sim = F.coalesce(address_similarity(F.col("left.row_place"), F.col("right.venue_place")), F.lit(0.0))
         in_city = F.coalesce((F.col("left.row_city") != "") & (F.col("left.row_city") == F.col("right.venue_city")), F.lit(False))
         ranked = met.select(F.col("left.row_id").alias("row_id"), in_city.alias("near"), _rank(F.col("name_similarity"), place_sim, F.col("right.venue_no")).alias("rank"))

@@ -16,13 +16,15 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
 from venuemill.functions.text import lookup, name_key, present
-from venuemill.operators.fuzzy import FEW_EDITS, best_fuzzy_match, near_names
+from venuemill.operators.fuzzy import best_fuzzy_match, near_names
+from venuemill.operators.name_index import NameIndex, alike as _alike  # noqa: F401
 from venuemill.operators.ranking import row_number_in_groups
 from venuemill.session import cut_lineage, spread
 
@@ -101,7 +103,9 @@ def alias_keys(known_merges: DataFrame) -> DataFrame:
 #: Nodes that one task decides in order; a fixed number, whatever the input.
 SMALL = 16384
 #: Founders that tasks look names up among at a time, and such lots at most: more of them meet later names in a join.
-LOT, LOTS = 4096, 4
+LOT, LOTS = 32768, 2
+#: Names that a task looks up, about, as each prepares the founders.
+TASK_NAMES = 8192
 #: A prefix with at most so many edges a node is followed by a longer one, by this factor; others by a shorter one.
 SPARSE, GROWTH = 0.2, 8
 
@@ -133,126 +137,37 @@ def _not_struck(later: DataFrame, founders: DataFrame, aliases: DataFrame) -> Da
         lot = [r["key"] for r in first[at : at + LOT]]
 
         def keep(batches: Iterator[pa.RecordBatch], lot: list[str] = lot) -> Iterator[pa.RecordBatch]:
-            names = _Names()
+            names, known = None, set(lot)
             for batch in batches:
-                for key in lot if not names.keys else ():
-                    names.add(key)
-                rows = zip(*(batch[c].to_pylist() for c in ("key", "canonical_key", "threshold")))
-                yield batch.filter(pa.array([not names.match(*row) for row in rows], pa.bool_()))
+                names = names or NameIndex(lot)
+                keys, aliases = (batch[c].to_pylist() for c in ("key", "canonical_key"))
+                here, _, similarity = names.near(keys)
+                struck = np.array([key in known or (alias != "" and alias in known) for key, alias in zip(keys, aliases)], bool)
+                struck[here[similarity >= batch["threshold"].to_numpy()[here]]] = True
+                yield batch.filter(pa.array(~struck))
 
         later = later.mapInArrow(keep, later.schema)
     return later
 
 
-def _alike(one: str, two: str, threshold: float) -> bool:
-    """Whether two different names have a similarity of at least ``threshold``, by the cells that so few edits can reach."""
-    longer = max(len(one), len(two))
-    most = int((1.0 - threshold) * longer + 1e-9)
-    if not one or not two or abs(len(one) - len(two)) > most:
-        return False
-    if most <= 2:
-        return _within(one, two, most if 1.0 - most / longer >= threshold else most - 1)
-    row = {j: j for j in range(min(most, len(two)) + 1)}
-    for i, letter in enumerate(one, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(two), i + most) + 1):
-            cell = row.get(j, longer) + 1
-            if j:
-                cell = min(cell, new.get(j - 1, longer) + 1, row.get(j - 1, longer) + (letter != two[j - 1]))
-            new[j] = cell
-        if min(new.values()) > most:
-            return False
-        row = new
-    return 1.0 - row[len(two)] / longer >= threshold
-
-
-def _within(one: str, two: str, edits: int) -> bool:
-    """Whether so few edits, two at most, lead from one text to the other: what both begin with stays, then one of three edits."""
-    at, n = 0, min(len(one), len(two))
-    while at < n and one[at] == two[at]:
-        at += 1
-    if at == n:
-        return len(one) + len(two) - 2 * n <= edits
-    if not edits:
-        return False
-    left, right = one[at + 1 :], two[at + 1 :]
-    return _within(left, right, edits - 1) or _within(left, two[at:], edits - 1) or _within(one[at:], right, edits - 1)
-
-
-def _variants(name: str) -> set[str]:
-    """What is left of a name after deleting at most ``FEW_EDITS`` letters."""
-    found = last = {name}
-    for _ in range(FEW_EDITS):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
-        found = found | last
-    return found
-
-
-#: The longest name with at most ``FEW_EDITS`` edits to any partner of its length or less, and the shortest with a longer partner than that.
-_FEW = next(n for n in range(1, 1000) if int((1.0 - V.NAME_THRESHOLD) * (n + 1) + 1e-9) > FEW_EDITS)
-_LONG = next(n for n in range(1, 1000) if int(n / V.NAME_THRESHOLD + 1e-9) > _FEW)
-
-
-class _Names:
-    """Founders to look names up among: those that few edits may lead to by shared variants, longer ones by length and parity of letter pairs."""
-
-    def __init__(self) -> None:
-        self.keys: set[str] = set()
-        self.by_variant: dict[str, list[str]] = {}
-        self.by_length: dict[int, list[tuple[int, str]]] = {}
-
-    @staticmethod
-    def _parity(name: str) -> int:
-        bits = 0
-        for pair in zip(name, name[1:]):
-            bits ^= 1 << (hash(pair) & 63)
-        return bits
-
-    def add(self, key: str) -> None:
-        if key in self.keys:
-            return
-        self.keys.add(key)
-        if 0 < len(key) <= _FEW:
-            for v in _variants(key):
-                self.by_variant.setdefault(v, []).append(key)
-        if len(key) >= _LONG:
-            self.by_length.setdefault(len(key), []).append((self._parity(key), key))
-
-    def match(self, key: str, alias: str, threshold: float) -> bool:
-        """Whether one of the names has this key, is what the alias stands for, or is similar enough."""
-        if key in self.keys or (alias and alias in self.keys):
-            return True
-        least = max(threshold, V.NAME_THRESHOLD)
-        if 0 < len(key) <= _FEW and self.by_variant:
-            tried: set[str] = set()
-            for v in _variants(key):
-                for other in self.by_variant.get(v, ()):
-                    if other not in tried:
-                        tried.add(other)
-                        if _alike(key, other, least):
-                            return True
-        if len(key) >= _LONG and self.by_length:
-            bits = self._parity(key)
-            for n in range(int(len(key) * least - 1e-9), int(len(key) / least + 1e-9) + 1):
-                flips = 4 * int((1.0 - least) * max(n, len(key)) + 1e-9)
-                if any((bits ^ b).bit_count() <= flips and _alike(key, other, least) for b, other in self.by_length.get(n, ())):
-                    return True
-        return False
-
-
 def _in_order(nodes: DataFrame) -> DataFrame:
-    """The numbers of those of at most ``SMALL`` nodes that an earlier founder matches, taken one after the other in one task."""
+    """The founders (no, key) among at most ``SMALL`` nodes, taken one after the other in one task; each strikes out the names it resembles."""
 
     def decide(table: pa.Table) -> pa.Table:
-        names, matched = _Names(), []
-        for no, *row in sorted(zip(*(table[c].to_pylist() for c in ("no", "key", "canonical_key", "threshold")))):
-            if names.match(*row):
-                matched.append(no)
-            else:
-                names.add(row[0])
-        return pa.table({"no": pa.array(matched, pa.int64())})
-
-    return nodes.groupBy((F.col("no") * 0).alias("prefix")).applyInArrow(decide, "no long").withColumn("edges", F.lit(1).cast("long"))
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("no", "key", "canonical_key", "threshold"))))
+        names, known, founders = NameIndex([key for _, key, _, _ in rows]), set(), []
+        least = np.array([threshold for *_, threshold in rows])
+        struck = np.zeros(len(rows), bool)
+        for at, (no, key, alias, _) in enumerate(rows):
+            if struck[at] or key in known or (alias and alias in known):
+                continue
+            known.add(key)
+            founders.append((no, key))
+            _, others, similarity = names.near([key])
+            struck[others[similarity >= least[others]]] = True
+        return pa.table({"no": pa.array([no for no, _ in founders], pa.int64()), "key": pa.array([key for _, key in founders], pa.string())})
+
+    return nodes.groupBy((F.col("no") * 0).alias("prefix")).applyInArrow(decide, "no long, key string")
 
 
 def _in_round(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -275,12 +190,16 @@ def _settled(nodes: DataFrame, aliases: DataFrame) -> list[DataFrame]:
     def decided(part: DataFrame, n: int) -> list[DataFrame]:
         nonlocal length
         few = n <= SMALL
-        seen = cut_lineage(_in_order(part) if few else _in_round(part, aliases))
-        edges = seen.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
+        if few:
+            new = cut_lineage(_in_order(part))
+            edges = n - new.count()
+        else:
+            seen = cut_lineage(_in_round(part, aliases))
+            edges = seen.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
         length = length * GROWTH if edges <= SPARSE * n else max(SMALL, length // GROWTH)
-        new = cut_lineage(part.join(seen, "no", "left_anti").select("no", "key"))
         if few:
             return [new]
+        new = cut_lineage(part.join(seen, "no", "left_anti").select("no", "key"))
         # what a round leaves open stays open, unless a new founder strikes it out
         rest = cut_lineage(_not_struck(part.join(new, "no", "left_anti"), new, aliases))
         return [new, *settle(rest)]
@@ -292,8 +211,7 @@ def _settled(nodes: DataFrame, aliases: DataFrame) -> list[DataFrame]:
         if n <= length:
             return decided(part, n)
         middle = (low + high) // 2
-        # tasks of some thousand names, as each prepares the founders
-        part = part.coalesce(-(-n // LOT))
+        part = part.coalesce(-(-n // TASK_NAMES))
         founders = settle(part.where(F.col("no") <= middle))
         rest = part.where(F.col("no") > middle)
         if founders:
