@@ -56,6 +56,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+#: What ``strip`` may begin or end with, and what a pattern takes for the end of a line.
+_EDGES = [*" \t\n\x0b\f\r\x85", *_WIDE]
+
+
+def strip_plain(c: Column) -> Column:
+    """``strip`` of a plain column: the pattern, which tries every place of a text, only runs where an end may be stripped."""
+    ends = F.substring(c, 1, 1).isin(_EDGES) | F.substring(c, -1, 1).isin(_EDGES)
+    return F.when(ends, strip(c)).otherwise(c)
+
+
 def collapse_spaces(c: Column, at_least: int = 2) -> Column:
     return F.regexp_replace(c, f"{WS}{{{at_least},}}", " ")
 

@@ -2,15 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
+from venuemill.session import stored
 
-from pyspark.sql import DataFrame
-
-from venuemill.session import shared_folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["stored"]

@@ -8,13 +8,12 @@ meets in one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
-from venuemill.functions.text import present, present_number, strip
+from venuemill.functions.text import present, present_number, strip_plain
+from venuemill.session import TASK_ROWS, dealt
 
 NUMERIC_KEYS = ["svd", "dn", "di", "krogguiden", "falstaff", "thatsup"]
 
@@ -29,8 +28,11 @@ def _last(when: Column, **values: Column) -> Column:
     return F.max(F.when(when, F.struct(F.col("ord"), F.struct(*fields).alias("v"))))
 
 
-def consolidate(resolved: DataFrame) -> DataFrame:
-    """One row per ``venue_ord`` with fields, ratings, sources and quotes."""
+def consolidate(resolved: DataFrame, lie_by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per ``venue_ord`` with fields, ratings, sources and quotes.
+
+    ``lie_by`` names columns that are equal for all rows of a venue and by which the rows are dealt to tasks
+    already.  They are then folded where they lie and not sent again, so all rows of such a key pass one task, sorted."""
     founder = F.col("ord") == F.col("venue_ord")
     guide = F.col("source_id") == "whiteguide-review"
     michelin = F.col("source_id") == "michelin"
@@ -41,11 +43,11 @@ def consolidate(resolved: DataFrame) -> DataFrame:
     numeric = ~guide & ~michelin & F.coalesce(F.col("score") > 0, F.lit(False))
     pair = present_number(F.col("lat")) & present_number(F.col("lng"))
     no_count = F.lit(None).cast("int")
-    body = strip(F.col("body_text"))
+    body = strip_plain(F.col("body_text"))
     city = F.when(founder, F.col("match_city")).otherwise(F.col("fill_city"))
     typed = present(F.col("venue_type")) & (F.col("venue_type") != "restaurant")
 
-    per_source = resolved.groupBy("venue_ord", "source_id").agg(
+    per_source = resolved.groupBy(*lie_by, "venue_ord", "source_id").agg(
         _first(always, url=F.col("url"), content_type=F.col("content_type"),
                published_at=F.when(present(F.col("published_at")), F.col("published_at"))).alias("ref"),
         F.count(F.lit(1)).alias("mentions"),
@@ -103,7 +105,7 @@ def consolidate(resolved: DataFrame) -> DataFrame:
         F.min("founder_name")["v"]["name"],
     )
     geo, founder_geo = F.min("geo")["v"], F.min("founder_geo")["v"]
-    return per_source.groupBy("venue_ord").agg(
+    return per_source.groupBy(*lie_by, "venue_ord").agg(
         best_name.alias("name"),
         F.coalesce(merged("address")["value"], F.lit("")).alias("address"),
         F.coalesce(merged("city")["value"], F.lit("")).alias("city"),
@@ -116,11 +118,7 @@ def consolidate(resolved: DataFrame) -> DataFrame:
         F.transform(sources, lambda s: s.dropFields("ord")).alias("sources"),
         F.count(F.lit(1)).cast("int").alias("source_count"),
         F.transform(quotes, lambda q: q.dropFields("ord")).alias("quotes"),
-    )
-
-
-#: Rows that a task tells apart, about.
-TASK_ROWS = 500_000
+    ).drop(*lie_by)
 
 
 def article_refs(resolved: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -129,5 +127,4 @@ def article_refs(resolved: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     Kept long on purpose: the list of one venue has no bound.  The rows, read once more to be counted, are
     dealt by article too, to tasks whose number grows with them."""
     keys = ["venue_ord", "source_id", "article_id"]
-    tasks = max(math.ceil(resolved.count() / task_rows), int(resolved.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return resolved.repartition(tasks, *keys).groupBy(*keys).agg(F.min("ord").alias("ord"))
+    return dealt(resolved, *keys, task_rows=task_rows).groupBy(*keys).agg(F.min("ord").alias("ord"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from venuemill.functions.text import present
 from venuemill.operators.consolidate import NUMERIC_KEYS
 from venuemill.operators.ranking import row_number_in_groups
+from venuemill.session import cut_lineage
 
 RATING_KEYS = ["michelin", "whiteguide", *NUMERIC_KEYS]
 
@@ -18,10 +19,11 @@ def dedup_by_place(venues: DataFrame, idx: str = "idx") -> DataFrame:
     The keeper (most sources, then first) keeps its own columns; donors, in
     the same order, fill missing ratings, sources, quotes, address, city and
     price range.  Works on minima over the donor order, so a place id shared
-    by very many venues combines on the map side.
+    by very many venues combines on the map side.  Venues alone with their place stay where they are.
     """
     rank = F.struct((-F.col("source_count")).alias("less"), F.col(idx).alias("idx"))
-    placed = venues.where(present(F.col("place_id"))).withColumn("_rank", rank)
+    sharing, others = _sharing(venues)
+    placed = sharing.withColumn("_rank", rank)
 
     def fill(column: Column) -> Column:
         return F.min(F.when(present(column), F.struct("_rank", column.alias("v"))))["v"]
@@ -47,7 +49,21 @@ def dedup_by_place(venues: DataFrame, idx: str = "idx") -> DataFrame:
         "quotes": F.when(merged, F.coalesce("_all_quotes", "quotes")).otherwise(F.col("quotes")),
         "source_count": F.when(merged, F.size(F.coalesce("_all_sources", "sources"))).otherwise(F.col("source_count")),
     }).select(*venues.columns)
-    return kept.unionByName(venues.where(~present(F.col("place_id"))))
+    return kept.unionByName(others)
+
+
+#: Place ids of several venues that go to the tasks; with more of them all placed venues are folded.
+FEW_SHARED = 100_000
+
+
+def _sharing(venues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the venues that share a place id, all others); the former may hold venues alone with their place too."""
+    placed = present(F.col("place_id"))
+    shared = venues.where(placed).groupBy("place_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place_id")
+    shared = cut_lineage(shared)
+    if shared.count() > FEW_SHARED:
+        return venues.where(placed), venues.where(~placed)
+    return tuple(venues.join(F.broadcast(shared), "place_id", how).select(*venues.columns) for how in ("left_semi", "left_anti"))
 
 
 def _first_per_source(placed: DataFrame, column: str) -> DataFrame:
@@ -65,7 +81,7 @@ def known_merges(venues: DataFrame, idx: str = "idx") -> DataFrame:
 
     ``pos`` counts the aliases by (fewer sources later, ``idx``), the order in which they are found."""
     rank = F.struct((-F.col("source_count")).alias("less"), F.col(idx).alias("idx"))
-    placed = venues.where(present(F.col("place_id"))).select("place_id", "name", rank.alias("rank"))
+    placed = _sharing(venues)[0].select("place_id", "name", rank.alias("rank"))
     keeper = placed.groupBy("place_id").agg(F.min(F.struct("rank", "name")).alias("k"))
     found = (
         placed.join(keeper, "place_id")

@@ -21,28 +21,34 @@ def needs_enrichment(
     target_id: str | None = None, limit: int | None = None, order: str = "idx",
 ) -> DataFrame:
     """Rows to look up: by id, all, those lacking details, or the unseen ones."""
-    has_place = present(F.col("place_id"))
     if target_id is not None:
         todo = venues.where(F.col("id") == target_id)
-    elif mode == "force":
-        todo = venues
-    elif mode == "backfill":
+    else:
+        todo = with_todo(venues, lookups, mode).where("todo").drop("todo")
+    return todo.orderBy(order).limit(limit) if limit else todo
+
+
+def with_todo(venues: DataFrame, lookups: DataFrame, mode: str = "default") -> DataFrame:
+    """The rows with ``todo``: whether ``mode`` asks to look them up."""
+    has_place = present(F.col("place_id"))
+    if mode == "force":
+        return venues.withColumn("todo", F.lit(True))
+    if mode == "backfill":
         lacking = (
             F.col("hours").isNull() | ~present(F.col("website")) | ~present(F.col("phone"))
         )
-        todo = venues.where(has_place & lacking)
-    else:
-        todo = venues.where(~has_place).join(lookups.select("id"), "id", "left_anti")
-    return todo.orderBy(order).limit(limit) if limit else todo
+        return venues.withColumn("todo", F.coalesce(has_place & lacking, F.lit(False)))
+    seen = lookups.select("id").distinct().withColumn("_seen", F.lit(True))
+    return venues.join(seen, "id", "left").select(*venues.columns, (~has_place & F.col("_seen").isNull()).alias("todo"))
 
 
-def enrich(venues: DataFrame, places: DataFrame) -> DataFrame:
+def enrich(venues: DataFrame, places: DataFrame, asked: Column | bool = True) -> DataFrame:
     """Apply place candidates to venues.
 
     ``places`` has ``venue_id``, ``attempt`` ('first' or 'retry'), ``position``
     and the place columns.  The first candidate of the first attempt counts;
     when it is no food place, a food retry candidate replaces it.  Candidates
-    outside the country are rejected.  Adds ``looked_up`` and ``enriched``.
+    outside the country are rejected.  Rows that are not ``asked`` stay as they are.  Adds ``enriched``.
     """
     cols = [c for c in places.columns if c not in ("venue_id", "attempt", "position")]
     top = (
@@ -63,7 +69,7 @@ def enrich(venues: DataFrame, places: DataFrame) -> DataFrame:
     lng = F.coalesce(F.col("p.lng"), F.lit(0.0))
     address = F.coalesce(F.col("p.formatted_address"), F.lit(""))
     out = venues.join(chosen, "id", "left").withColumn(
-        "enriched", F.coalesce(F.col("p").isNotNull() & geo.in_country(lat, lng, address), F.lit(False))
+        "enriched", F.coalesce((asked if isinstance(asked, Column) else F.lit(asked)) & F.col("p").isNotNull() & geo.in_country(lat, lng, address), F.lit(False))
     )
     hours = hours_from_periods(F.col("p.periods"))
     new = {

@@ -11,7 +11,7 @@ from venuemill.functions.geo import venue_category
 from venuemill.operators import dedup, enrich, incremental, ranking, resolve, serve
 from venuemill.operators.consolidate import consolidate
 from venuemill.operators.slugs import unique_slugs
-from venuemill.session import cut_lineage
+from venuemill.session import cut_lineage, stored
 
 
 def merge(articles: DataFrame, known_merges: DataFrame | None = None) -> DataFrame:
@@ -58,15 +58,13 @@ def refine_again(
         start = previous.select(*blank.columns)
     else:
         start = enrich.carry_over(blank, previous).drop("carried") if previous is not None else blank
-    start = cut_lineage(start)  # read for the lookups, the looked up and the others
     if lookups is None:
         lookups = venues.sparkSession.createDataFrame([], "id string, place_id string, queried_at string")
-    todo = enrich.needs_enrichment(start, lookups, mode).select("id")
-    asked = enrich.enrich(start.join(todo, "id", "left_semi"), places)
-    asked = cut_lineage(asked.select(*start.columns))
-    cache = incremental.update_lookups(lookups, asked.select("id", "place_id", now.alias("queried_at")))
-    rest = start.join(todo, "id", "left_anti").select(*start.columns)
-    return (*finish_refine(cut_lineage(rest.unionByName(asked)), keep_unplaced), cache)
+    # every join is by id, so wide rows are sent once and stored once
+    asked = enrich.enrich(enrich.with_todo(start, lookups, mode), places, F.col("todo"))
+    asked = stored(asked.select(*start.columns, "todo"), "enriched")
+    cache = incremental.update_lookups(lookups, asked.where("todo").select("id", "place_id", now.alias("queried_at")))
+    return (*finish_refine(asked.drop("todo"), keep_unplaced), cache)
 
 
 def finish_refine(enriched: DataFrame, keep_unplaced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -11,12 +11,13 @@ from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
 from venuemill.plans.queries_match import _PLACED_SQL, _line_mentions, _placed
 from venuemill.plans.queries_refine import _ENRICHED_SQL, _candidates, _venues
-from venuemill.session import cut_lineage
+from venuemill.session import stored
 
 
 def refine_again(spark, d):
     """A second refine over the merge's own venues: carried, known as missing, and newly looked up ones."""
-    merged = cut_lineage(consolidate.consolidate(_line_mentions(spark, d))).withColumnRenamed("venue_ord", "idx")  # read by both runs and for their places
+    merged = consolidate.consolidate(_line_mentions(spark, d), ("l_partkey",)).withColumnRenamed("venue_ord", "idx")
+    merged = stored(merged, "merged")  # read by both runs and for their places
     part = F.concat_ws(":", "idx.pass", "idx.pos", "idx.sub")
     venues = merged.withColumns({"id": part, "n": F.col("idx.pos") % 6})
     fresh = venues.drop("n")
@@ -28,9 +29,9 @@ def refine_again(spark, d):
     kept, _, _, lookups = pipeline.refine_again(
         fresh, places, previous.withColumn("quotes", excerpt), misses, keep_unplaced=True, queried_at="2002-01-01")
     asked = lookups.select(F.col("id").alias("_id"), "queried_at")
-    return kept.join(asked, kept["id"] == asked["_id"], "left").select(
-        F.col("id").alias("founder"), "place_id", "google_rating", "queried_at",
-        F.exists("quotes", lambda q: q["excerpt"].isNotNull()).alias("has_excerpt"))
+    shown = kept.select(
+        F.col("id").alias("founder"), "place_id", "google_rating", F.exists("quotes", lambda q: q["excerpt"].isNotNull()).alias("has_excerpt"))
+    return shown.join(asked, shown["founder"] == asked["_id"], "left").select("founder", "place_id", "google_rating", "queried_at", "has_excerpt")
 
 
 def _places(venues, run, rating):
@@ -108,7 +109,7 @@ SELECT venue, source_id, string_agg(article_id, ',' ORDER BY ord, article_id) AS
 
 def merge_report(spark, d):
     """Merged venues by number of sources and by type."""
-    return stats.counts_of(consolidate.consolidate(_line_mentions(spark, d)), {"sources": F.col("source_count"), "type": F.col("venue_type")})
+    return stats.counts_of(consolidate.consolidate(_line_mentions(spark, d), ("l_partkey",)), {"sources": F.col("source_count"), "type": F.col("venue_type")})
 
 
 MERGE_REPORT_SQL = """

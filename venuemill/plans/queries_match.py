@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from venuemill import fixed_values as V
@@ -10,7 +11,7 @@ from venuemill.functions import text
 from venuemill.operators import consolidate, dedup, fuzzy, resolve, slugs
 from venuemill.plans import pipeline
 from venuemill.plans.proxies import pick, table
-from venuemill.session import spread
+from venuemill.session import dealt, spread
 
 
 def exact_alias_match(spark, d):
@@ -112,10 +113,13 @@ def _line_order():
     return F.struct(F.col("l_linenumber").alias("pass"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_partkey").cast("int").alias("sub"))
 
 
-def _line_rows(spark, d, founders=None):
-    """Line items as rows about their part: the line number is the pass.  ``founders`` join the lines before texts are made of them."""
+def _line_rows(spark, d, founded=False):
+    """Line items as rows about their part: the line number is the pass.  With ``founded`` lines are dealt by part to tasks of bounded size,
+    and the founder stands beside them before texts are made of them."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    lines = table(spark, d, "lineitem") if founders is None else table(spark, d, "lineitem").join(founders, "l_partkey")
+    lines = table(spark, d, "lineitem")
+    if founded:
+        lines = dealt(lines, "l_partkey").withColumn("venue_ord", F.min(_line_order()).over(Window.partitionBy("l_partkey")))
     x = lines.join(p, F.col("l_partkey") == F.col("p_partkey"))
     ln, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int")
     order = _line_order()
@@ -135,18 +139,17 @@ def _line_rows(spark, d, founders=None):
         F.lit("review").alias("content_type"), F.when(qty % 2 == 0, day).otherwise(F.lit("")).alias("published_at"),
         F.concat(F.lit("text "), F.expr("repeat('x', cast(l_quantity as int))")).alias("body_text"),
         F.when(qty % 2 == 0, F.array(F.concat(F.lit("tag"), qty.cast("string")))).alias("tags"),
-        F.lit(None).cast(schemas.SUB_SCORES).alias("explicit_sub_scores"), qty.alias("review_count"), *([] if founders is None else ["venue_ord"]),
+        F.lit(None).cast(schemas.SUB_SCORES).alias("explicit_sub_scores"), qty.alias("review_count"), *(["venue_ord"] if founded else []),
     )
 
 
 def _line_mentions(spark, d):
     """Line items as mentions of their part, which the first of them founds."""
-    founders = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min(_line_order()).alias("venue_ord"))
-    return _line_rows(spark, d, founders)
+    return _line_rows(spark, d, founded=True)
 
 
 def consolidate_first(spark, d):
-    v = consolidate.consolidate(_line_mentions(spark, d))
+    v = consolidate.consolidate(_line_mentions(spark, d), ("l_partkey",))
     r = F.col("ratings")
     return v.select(
         F.concat_ws(":", F.col("venue_ord.pass"), F.col("venue_ord.pos"), F.col("venue_ord.sub")).alias("founder"),

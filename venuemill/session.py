@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,16 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
 
 
+#: Rows that a task tells apart or sorts, about.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *by: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt by these columns to tasks of about ``task_rows`` each, so that a task's memory does not grow with the input.  They are read once more to be counted."""
+    tasks = max(math.ceil(df.count() / task_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -53,3 +65,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: for wide rows of which later steps read some columns each."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
